@@ -13,7 +13,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def measurements_from_events(events: DataFrame, threshold: int = 80) -> DataFrame:
+def measurements_from_events(events: DataFrame, threshold: int = 80, keep=()) -> DataFrame:
     """``events`` -> ``measurements(event_id, ts, data_type, utilization, label)``.
 
     The label (the reference's ``class`` field) is 1 iff ``props.k >= threshold``.
@@ -24,6 +24,7 @@ def measurements_from_events(events: DataFrame, threshold: int = 80) -> DataFram
         F.col("event_type").alias("data_type"),
         F.col("value").alias("utilization"),
         F.when(k >= threshold, 1).otherwise(0).alias("label"),
+        *keep,
     )
 
 
