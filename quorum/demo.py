@@ -7,8 +7,6 @@ these rows only play the part of the model and config topics.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,18 +41,25 @@ CONFIG_ROWS = [
 LATENCY_A, LATENCY_B, LATENCY_MOD = 31, 77, 300
 
 
-def _ts(s: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(s)
+def _values(spark: SparkSession, rows_sql: str, schema) -> DataFrame:
+    """A VALUES list as a JVM-side local relation (no Python rows), cast to
+    ``schema``; Spark knows its exact size."""
+    df = spark.sql(rows_sql)
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    rows = [r[:4] + (_ts(r[4]),) + r[5:] for r in REGISTRY_ROWS]
-    return spark.createDataFrame(rows, schemas.REGISTRY)
+    vals = ", ".join(
+        f"('{r[0]}', '{r[1]}', '{r[2]}', {r[3]}, TIMESTAMP_NTZ '{r[4]} 00:00:00', "
+        f"{r[5]}, {r[6]}D, {r[7]}D, {r[8]}D, {r[9]})" for r in REGISTRY_ROWS)
+    names = ", ".join(f.name for f in schemas.REGISTRY.fields)
+    return _values(spark, f"SELECT * FROM VALUES {vals} AS t({names})", schemas.REGISTRY)
 
 
 def config(spark: SparkSession) -> DataFrame:
-    rows = [(a, b, _ts(c)) for a, b, c in CONFIG_ROWS]
-    return spark.createDataFrame(rows, schemas.CONFIG)
+    vals = ", ".join(f"('{a}', {b}L, TIMESTAMP_NTZ '{c} 00:00:00')" for a, b, c in CONFIG_ROWS)
+    names = ", ".join(f.name for f in schemas.CONFIG.fields)
+    return _values(spark, f"SELECT * FROM VALUES {vals} AS t({names})", schemas.CONFIG)
 
 
 def latency() -> Column:

@@ -81,8 +81,9 @@ def collect_vote(rows: DataFrame, quorum="all", threshold: float = 0.5) -> DataF
     """One result per measurement."""
     d = mark_counted(rows, quorum)
     cnt = F.count_if("counted")
-    agg = d.groupBy("guid").agg(
-        *[F.any_value(c).alias(c) for c in START_COLS],
+    # start columns depend on guid only; as grouping keys they keep the
+    # aggregate hash-based (no sort) with fixed-width buffers
+    agg = d.groupBy("guid", *START_COLS).agg(
         cnt.alias("__n"),
         F.sum(F.when(F.col("counted"), F.coalesce("result", F.lit(0)))).alias("__ones"),
         F.max(F.when(F.col("counted"), F.col("latency_ms"))).alias("__last"),

@@ -36,8 +36,7 @@ def collect_answers(rows: DataFrame, quorum="all") -> DataFrame:
     ans = F.when(F.col("counted"), F.struct(F.col("latency_ms").alias("l"),
                                             F.col("data_model").alias("m"),
                                             F.col("result").alias("r")))
-    g = d.groupBy("guid").agg(*[F.any_value(c).alias(c) for c in START_COLS],
-                              F.array_sort(F.collect_list(ans)).alias("__a"))
+    g = d.groupBy("guid", *START_COLS).agg(F.array_sort(F.collect_list(ans)).alias("__a"))
     return (g.withColumn("results", F.col("__a.r"))
              .withColumn("latencies", F.col("__a.l"))
              .withColumn("complete", (F.size("__a") > 0) & (F.size("__a") >= _quorum_k(quorum)))

@@ -10,18 +10,21 @@ rows of one model version in one task; a hot model (a third of all rows)
 would then be a single task.  Instead each version is split into time
 buckets (``bucket_seconds``):
 
-1. inside ``(version, bucket)`` a ROWS frame of ``W = max width`` collects the
-   local window (bounded frame, codegen'd, spillable sort);
-2. the last ``W-1`` rows of every bucket (its "tail") form a table of at most
-   ``buckets x (W-1)`` rows; over it, a second bounded frame gives, for each
-   bucket, the ``W-1`` rows that precede the *next* non-empty bucket (the
-   "carry");
-3. rows near the start of a bucket prepend the carry.
-
-Frame bounds must be literals, so ``W`` is the largest width; each row then
-``slice``s its own width.  Values are wrapped in a struct because
-``collect_list`` skips NULLs, and a NULL inside a full window must make the
-score NULL.
+1. inside ``(version, bucket)`` the previous ``W-1`` values come from
+   ``lag`` (offset frames: one sort, one pass, no per-row re-aggregation);
+2. the last ``W-1`` rows of every bucket (its "tail", a ``row_number``
+   filter that Spark turns into a map-side group limit) form a table of at
+   most ``buckets x (W-1)`` rows - bounded by the time span, not by the data
+   volume; over it, the same ``lag`` trick gives, at the last row of each
+   bucket, the ``W-1`` values that precede the *next* non-empty bucket (the
+   "carry"), and ``lead`` names that bucket;
+3. rows near the start of a bucket prepend the carry (a join on
+   ``(version, bucket)`` whose build side is the small carry table).
+
+Frame offsets must be literals, so ``W`` is the largest width; each row then
+``slice``s its own width.  Values travel inside a struct so that a NULL
+value (still a row) differs from a missing row; a NULL inside a full window
+makes the score NULL.
 """
 
 from __future__ import annotations
@@ -36,6 +39,19 @@ from quorum.operators.asof import time_bucket
 DEFAULT_WINDOW_BUCKET_SECONDS = 3600
 
 
+def _prev_values(v: str, w: Window, n: int) -> Column:
+    """``[v(-n), ..., v(-1)]`` over ``w``, missing rows dropped (oldest first)."""
+    lags = [F.lag(v, k).over(w) for k in range(n, 0, -1)]
+    return F.filter(F.array(*lags), lambda x: x.isNotNull())
+
+
+def _upto(v: str, w: Window, n: int) -> Column:
+    """The previous ``n`` values and the current one."""
+    if n == 0:
+        return F.array(v)
+    return F.concat(_prev_values(v, w, n), F.array(v))
+
+
 def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
                   max_width: int, partition: Sequence[str] = ("data_model", "version"),
                   order: Sequence[str] = ("ts", "event_id"), ts: str = "ts",
@@ -43,44 +59,51 @@ def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
                   bucket_seconds: int | None = DEFAULT_WINDOW_BUCKET_SECONDS) -> DataFrame:
     """Add ``out`` (``array<value type>`` or NULL) to ``df``.
 
-    ``bucket_seconds=None`` uses one partition per version (no split)."""
+    ``bucket_seconds=None`` keeps one partition per version (no split)."""
     W = int(max_width)
     if W < 1:
         raise ValueError("max_width must be >= 1")
     val = F.col(value) if isinstance(value, str) else value
     wid = F.lit(width) if isinstance(width, int) else (F.col(width) if isinstance(width, str) else width)
     part = list(partition)
-    bcol = time_bucket(ts, bucket_seconds) if bucket_seconds else F.lit(0).cast("long")
-    d = df.withColumn("__b", bcol).withColumn("__v", F.struct(val.alias("v")))
-    local = Window.partitionBy(*part, "__b").orderBy(*order)
-    d = d.withColumn("__win", F.collect_list("__v").over(local.rowsBetween(-(W - 1), 0)))
-    if W > 1:
+    d = df.withColumn("__v", F.struct(val.alias("v")))
+    if W == 1:
+        d = d.withColumn("__full", F.array("__v"))
+    elif not bucket_seconds:
+        w = Window.partitionBy(*part).orderBy(*order)
+        d = d.withColumn("__full", _upto("__v", w, W - 1))
+    else:
+        d = d.withColumn("__b", time_bucket(ts, bucket_seconds))
+        local = Window.partitionBy(*part, "__b").orderBy(*order)
+        # tails: last W-1 rows per (version, bucket).  A row_number filter
+        # lets Spark limit each group map-side (WindowGroupLimit) before the
+        # exchange, so this branch shuffles at most W-1 rows per group and task.
         rev = Window.partitionBy(*part, "__b").orderBy(*[F.col(o).desc() for o in order])
-        d = d.withColumn("__rd", F.row_number().over(rev))
-        tails = d.filter(F.col("__rd") <= W - 1).select(*part, "__b", *order, "__v", "__rd")
+        tails = (d.select(*part, "__b", *order, "__v")
+                 .withColumn("__rd", F.row_number().over(rev))
+                 .filter(F.col("__rd") <= W - 1))
         seq = Window.partitionBy(*part).orderBy(*order)
-        tails = tails.withColumn("__tw", F.collect_list("__v").over(seq.rowsBetween(-(W - 2), 0)))
-        ends = tails.filter(F.col("__rd") == 1)
-        nxt = Window.partitionBy(*part).orderBy("__b")
-        carry = (ends.withColumn("__nb", F.lead("__b").over(nxt))
-                 .filter(F.col("__nb").isNotNull())
-                 .select(*part, F.col("__nb").alias("__b"), F.col("__tw").alias("__carry")))
+        carry = (tails
+                 .withColumns({"__cw": _upto("__v", seq, W - 2),
+                               "__nb": F.lead("__b", 1).over(seq)})
+                 .filter((F.col("__rd") == 1) & F.col("__nb").isNotNull())
+                 .select(*part, F.col("__nb").alias("__b"), F.col("__cw").alias("__carry")))
+        d = d.withColumn("__prev", _prev_values("__v", local, W - 1))
         d = d.join(carry, [*part, "__b"], "left")
-        full = F.when(F.size("__win") >= W, F.col("__win")) \
-                .otherwise(F.concat(F.coalesce("__carry", F.array()), F.col("__win")))
-        d = d.withColumn("__full", full).drop("__carry", "__rd")
-    else:
-        d = d.withColumn("__full", F.col("__win"))
+        local_n = F.size("__prev") + 1
+        head = F.when(local_n >= W, F.col("__prev")) \
+                .otherwise(F.concat(F.coalesce("__carry", F.array()), F.col("__prev")))
+        d = d.withColumn("__full", F.concat(head, F.array("__v"))) \
+             .drop("__b", "__prev", "__carry")
     n = F.size("__full")
     sl = F.when((wid >= 1) & (n >= wid), F.slice("__full", n - wid + 1, wid))
     d = d.withColumn(out, F.transform(sl, lambda x: x["v"]))
-    return d.drop("__b", "__v", "__win", "__full")
+    return d.drop("__v", "__full")
 
 
 def last_n_window_plain(df: DataFrame, value, width, max_width: int,
                         partition=("data_model", "version"), order=("ts", "event_id"),
                         out: str = "window") -> DataFrame:
-    """Reference form with one partition per version (used to check the
-    bucketed form; fine when versions are small)."""
+    """One partition per version (no split); fine when versions are small."""
     return last_n_window(df, value, width, max_width, partition, order, out=out,
                          bucket_seconds=None)
