@@ -79,6 +79,7 @@ def decode_models(raw: DataFrame, fmt: str = "json", desc_file: str | None = Non
         F.coalesce(pre["mean"], F.lit(0.0)).alias("mean"),
         F.coalesce(pre["std"], F.lit(0.0)).alias("std"),
         F.coalesce(p["thr"], F.lit(0.0)).alias("thr"),
+        F.coalesce(p["ord"], F.lit(0)).alias("ord"),
         p["data"].alias("data"),
         (bad | F.coalesce(located, F.lit(False))).alias("_bad"),
     )

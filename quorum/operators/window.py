@@ -56,10 +56,12 @@ def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
                   max_width: int, partition: Sequence[str] = ("data_model", "version"),
                   order: Sequence[str] = ("ts", "event_id"), ts: str = "ts",
                   out: str = "window",
-                  bucket_seconds: int | None = DEFAULT_WINDOW_BUCKET_SECONDS) -> DataFrame:
+                  bucket_seconds: int | None = DEFAULT_WINDOW_BUCKET_SECONDS,
+                  bucket: Column | None = None) -> DataFrame:
     """Add ``out`` (``array<value type>`` or NULL) to ``df``.
 
-    ``bucket_seconds=None`` keeps one partition per version (no split)."""
+    ``bucket_seconds=None`` keeps one partition per version (no split).
+    ``bucket`` overrides the time bucket; it must not decrease along ``order``."""
     W = int(max_width)
     if W < 1:
         raise ValueError("max_width must be >= 1")
@@ -69,11 +71,11 @@ def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
     d = df.withColumn("__v", F.struct(val.alias("v")))
     if W == 1:
         d = d.withColumn("__full", F.array("__v"))
-    elif not bucket_seconds:
+    elif not bucket_seconds and bucket is None:
         w = Window.partitionBy(*part).orderBy(*order)
         d = d.withColumn("__full", _upto("__v", w, W - 1))
     else:
-        d = d.withColumn("__b", time_bucket(ts, bucket_seconds))
+        d = d.withColumn("__b", bucket if bucket is not None else time_bucket(ts, bucket_seconds))
         local = Window.partitionBy(*part, "__b").orderBy(*order)
         # tails: last W-1 rows per (version, bucket).  A row_number filter
         # lets Spark limit each group map-side (WindowGroupLimit) before the

@@ -136,6 +136,13 @@ def q_serve(spark, d):
                  latency=demo.latency()).results
 
 
+def q_serve_stream(spark, d):
+    """The events published as a log in 3 files, served by the streaming
+    jobs (availableNow), results read back from the sink table."""
+    from quorum.streaming.demo_run import run
+    return run(spark, d, n_files=3)
+
+
 def q_custom_decider(spark, d):
     return decide_with(_rows(spark, d))
 

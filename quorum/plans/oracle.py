@@ -156,6 +156,7 @@ FROM results""",
         "decode_quarantine": _decode_sql("bad"),
     }
     q["score_python_model"] = q["score_linear"]
+    q["serve_stream"] = q["serve"]
     for k in (1, 2):
         bk = _base(k)
         q[f"vote_quorum_{k}"] = bk + f"SELECT {RESULT_COLS} FROM results"

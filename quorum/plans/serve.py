@@ -35,6 +35,28 @@ def max_width(registry: DataFrame) -> int:
     return int(w or 1)
 
 
+def routed_rows(measurements: DataFrame, registry: DataFrame,
+                config: DataFrame | None = None,
+                default_timeout_ms: int = DEFAULT_TIMEOUT_MS, strategy: str = "auto",
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """guid + deadline + fan-out with active version + standardised value."""
+    reg = prepare_registry(registry)
+    meas = measurements if "guid" in measurements.columns else with_guid(measurements)
+    meas = with_timeout(meas, config, default_ms=default_timeout_ms, strategy=strategy,
+                        max_broadcast_rows=max_broadcast_rows)
+    rows = route_requests(meas, reg, strategy=strategy, max_broadcast_rows=max_broadcast_rows)
+    return rows.withColumn("z", standardize("utilization", "mean", "std"))
+
+
+def score_rows(rows: DataFrame, scorer: str = "linear", scorer_map=None,
+               latency: Column | None = None) -> DataFrame:
+    """Result and answer time of windowed rows."""
+    smap = scorer_map or scorers()
+    model_types = sorted(smap) if scorer == "python" else [0]
+    rows = score_with(rows, smap) if scorer == "python" else score_linear(rows)
+    return with_answers(rows, latency, model_types)
+
+
 def scored_requests(measurements: DataFrame, registry: DataFrame,
                     config: DataFrame | None = None, latency: Column | None = None,
                     scorer: str = "linear", default_timeout_ms: int = DEFAULT_TIMEOUT_MS,
@@ -46,20 +68,10 @@ def scored_requests(measurements: DataFrame, registry: DataFrame,
 
     Measurements without a model are one row with NULL ``data_model``."""
     reg = prepare_registry(registry)
-    smap = scorer_map or scorers()
-    model_types = sorted(smap) if scorer == "python" else [0]
-    meas = measurements if "guid" in measurements.columns else with_guid(measurements)
-    meas = with_timeout(meas, config, default_ms=default_timeout_ms, strategy=strategy,
-                        max_broadcast_rows=max_broadcast_rows)
-    rows = route_requests(meas, reg, strategy=strategy, max_broadcast_rows=max_broadcast_rows)
-    rows = rows.withColumn("z", standardize("utilization", "mean", "std"))
-    rows = last_n_window(rows, "z", "width", max_width(reg),
-                         bucket_seconds=bucket_seconds)
-    if scorer == "python":
-        rows = score_with(rows, smap)
-    else:
-        rows = score_linear(rows)
-    return with_answers(rows, latency, model_types)
+    rows = routed_rows(measurements, reg, config, default_timeout_ms, strategy,
+                       max_broadcast_rows)
+    rows = last_n_window(rows, "z", "width", max_width(reg), bucket_seconds=bucket_seconds)
+    return score_rows(rows, scorer, scorer_map, latency)
 
 
 def serve(measurements: DataFrame, registry: DataFrame, config: DataFrame | None = None,

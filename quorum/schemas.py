@@ -30,6 +30,8 @@ MODEL_WIRE = T.StructType([
     # scoring parameters of the built-in linear scorer travel with the model
     T.StructField("thr", T.DoubleType()),
     T.StructField("registeredAt", T.StringType()),
+    # optional position of the model among those of its type (demo latency)
+    T.StructField("ord", T.IntegerType()),
 ])
 
 CONFIG_WIRE = T.StructType([

@@ -42,10 +42,10 @@ SQL = E.oracle_sql()
 
 def test_every_query_has_oracle_or_is_streaming():
     missing = set(QUERIES) - set(SQL)
-    assert missing <= {"serve_stream"}
+    assert not missing
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - {"serve_stream"}))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
