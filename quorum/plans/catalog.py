@@ -143,6 +143,14 @@ def q_serve_stream(spark, d):
     return run(spark, d, n_files=3)
 
 
+def q_serve_stateful(spark, d):
+    """The serving stream followed by the stateful collector
+    (transformWithState keyed by guid, event-time deadline timers)."""
+    from quorum.streaming.demo_run import run_with_collector
+    res, _ = run_with_collector(spark, d, n_files=2)
+    return res
+
+
 def q_custom_decider(spark, d):
     return decide_with(_rows(spark, d))
 

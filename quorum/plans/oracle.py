@@ -157,6 +157,7 @@ FROM results""",
     }
     q["score_python_model"] = q["score_linear"]
     q["serve_stream"] = q["serve"]
+    q["serve_stateful"] = q["serve"]
     for k in (1, 2):
         bk = _base(k)
         q[f"vote_quorum_{k}"] = bk + f"SELECT {RESULT_COLS} FROM results"

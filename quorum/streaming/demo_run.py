@@ -18,7 +18,8 @@ from quorum.session import work_dir
 from quorum.sources.logs import CONFIG_TOPIC, DATA_TOPIC, MODELS_TOPIC, LogConfig, as_log, write_log
 from quorum.sources.tables import measurements
 from quorum.streaming.registry_job import Tables, config_payloads, model_payloads, registry_job
-from quorum.streaming.serve_stream import serve_stream
+from quorum.streaming.collector import FLUSH_GUID, OUTPUT, collect_stream
+from quorum.streaming.serve_stream import RESPONSES, serve_stream
 from quorum.streaming.tables import read_table
 
 
@@ -50,3 +51,46 @@ def run(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all") -> Dat
                      trigger={"availableNow": True}, max_files_per_trigger=1)
     q.awaitTermination()
     return read_table(spark, tables.results, schemas.RESULTS)
+
+
+def run_collector(spark: SparkSession, tables: Tables, ckpt: str, quorum="all",
+                  flush: bool = True) -> DataFrame:
+    """Stateful collector over the ``responses`` table written by
+    ``serve_stream`` (T3); returns results and late rows (``kind``)."""
+    if flush:
+        # an end-of-stream marker far in event time moves the watermark past
+        # every open deadline, so the last timers fire
+        far = spark.range(1).select(
+            F.lit(FLUSH_GUID).alias("guid"), F.lit(-1).cast("long").alias("event_id"),
+            F.lit("").alias("data_type"),
+            F.lit("2200-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+        far = far.select(*[F.col(f.name).cast(f.dataType) if f.name in far.columns
+                           else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in RESPONSES.fields])
+        far.write.mode("overwrite").parquet(f"{tables.responses}/flush")
+    src = (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
+           .parquet(tables.responses))
+    q = (collect_stream(src, quorum).writeStream.format("parquet")
+         .option("path", tables.collected).option("checkpointLocation", f"{ckpt}/collector")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(tables.collected)
+
+
+def run_with_collector(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all"):
+    """Serving stream, then the stateful collector; (results, late answers)."""
+    root = work_dir(spark, "serve-collect")
+    logs, tables, ckpt = LogConfig(root=f"{root}/logs"), Tables(f"{root}/tables"), f"{root}/ckpt"
+    mp = model_payloads(demo.registry(spark))
+    write_log(as_log(mp.coalesce(1), MODELS_TOPIC, timestamp="registered_at"), logs, MODELS_TOPIC)
+    cp = config_payloads(demo.config(spark))
+    write_log(as_log(cp.coalesce(1), CONFIG_TOPIC, timestamp="effective_at"), logs, CONFIG_TOPIC)
+    for q in registry_job(spark, logs, tables, ckpt, trigger={"availableNow": True}):
+        q.awaitTermination()
+    publish_events(spark, sf_dir, logs, n_files)
+    serve_stream(spark, logs, tables, ckpt, latency=demo.latency, quorum=quorum,
+                 trigger={"availableNow": True}, max_files_per_trigger=1).awaitTermination()
+    out = run_collector(spark, tables, ckpt, quorum)
+    res = out.filter("kind = 'result'").select(*schemas.RESULTS.fieldNames())
+    late = out.filter("kind = 'late'")
+    return res, late

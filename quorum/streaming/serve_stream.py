@@ -51,9 +51,17 @@ CARRY = T.StructType([
 
 _SEQ_SCALE = 1_000_000_000  # time buckets per micro-batch number (monotone bucket key)
 
-RESPONSE_COLS = ["guid", "event_id", "data_type", "ts", "label", "n_models", "timeout_ms",
-                 "data_model", "version", "description", "model_type", "answered", "result",
-                 "latency_ms", "arrived_at"]
+RESPONSES = T.StructType([
+    T.StructField("guid", T.StringType()), T.StructField("event_id", T.LongType()),
+    T.StructField("data_type", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("label", T.IntegerType()), T.StructField("n_models", T.IntegerType()),
+    T.StructField("timeout_ms", T.LongType()), T.StructField("data_model", T.StringType()),
+    T.StructField("version", T.TimestampNTZType()), T.StructField("description", T.StringType()),
+    T.StructField("model_type", T.IntegerType()), T.StructField("answered", T.BooleanType()),
+    T.StructField("result", T.IntegerType()), T.StructField("latency_ms", T.LongType()),
+    T.StructField("arrived_at", T.TimestampNTZType()),
+])
+RESPONSE_COLS = RESPONSES.fieldNames()
 
 
 def measurements_from_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +120,8 @@ class ServeBatch:
             lat = self.latency() if self.latency else None
             rows = score_rows(rows, self.scorer, latency=lat).persist()
             try:
-                write_batch(rows.select(*RESPONSE_COLS), t.responses, batch_id)
+                write_batch(rows.select(*[F.col(f.name).cast(f.dataType) for f in RESPONSES.fields]),
+                            t.responses, batch_id)
                 write_batch(collect_vote(rows, self.quorum), t.results, batch_id)
                 write_batch(nxt, t.carry, batch_id)
             finally:
