@@ -52,15 +52,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Read from the session; set a local one only where it is unset (tests)."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None) or \
-            sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or \
+        sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="quorum-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
-    return d
+    return sc.getCheckpointDir() or d
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
