@@ -46,8 +46,7 @@ def validity_intervals(df: DataFrame, keys: Sequence[str], ts: str,
     """Add ``[valid_from, valid_to)`` per key (W2): a row is valid from its own
     time until the next row of the same key; the last one never expires."""
     w = Window.partitionBy(*keys).orderBy(F.col(ts), *[F.col(t) for t in tie])
-    return (df.withColumn(valid_from, F.col(ts))
-              .withColumn(valid_to, F.lead(F.col(ts)).over(w)))
+    return df.withColumns({valid_from: F.col(ts), valid_to: F.lead(F.col(ts)).over(w)})
 
 
 def interval_join(left: DataFrame, intervals: DataFrame, on: Sequence[str], ts: str,
@@ -56,9 +55,8 @@ def interval_join(left: DataFrame, intervals: DataFrame, on: Sequence[str], ts:
     """Join each left row with every interval of its key that contains ``ts``.
 
     ``intervals`` key columns are matched by name and dropped from the output."""
-    r = intervals
-    for k in on:
-        r = r.withColumnRenamed(k, f"__r_{k}")
+    r = intervals.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c)
+                           for c in intervals.columns])
     if broadcast:
         r = F.broadcast(r)
     cond = [left[k] == r[f"__r_{k}"] for k in on]

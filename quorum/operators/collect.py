@@ -4,8 +4,8 @@ Input: one row per (measurement, model) as produced by ``route_requests`` and
 scoring - the start information (``guid``, ``n_models``, ``timeout_ms``,
 ``label``, ``ts``) rides on every row, so a request with no answer at all is
 still present, and measurements without models are one row with
-``n_models = 0``.  Collecting is therefore a single ``groupBy(guid)``: one
-shuffle, with partial aggregation, no join back to the starts.
+``n_models = 0``.  Collecting is therefore a single ``groupBy`` on the
+measurement id: one shuffle, no join back to the starts.
 
 Rules (reference behaviour, SC variant):
 * an answer counts iff ``latency_ms <= timeout_ms`` (and it is among the
@@ -22,10 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.functions.columns import VOTER_MODEL
+from quorum.functions.columns import VOTER_MODEL, request_guid
 from quorum.operators.route import SUPPORTED_MODEL_TYPES
 
-START_COLS = ["event_id", "data_type", "ts", "label", "n_models", "timeout_ms"]
+# the measurement id keys a request; the guid string (a hash of it) is only
+# formed on the one-row-per-request output, never carried through a shuffle
+KEY = "event_id"
+START_COLS = ["data_type", "ts", "label", "n_models", "timeout_ms"]
 
 
 def with_answers(rows: DataFrame, latency: Column | None = None,
@@ -51,7 +54,7 @@ def with_arrival_rank(rows: DataFrame) -> DataFrame:
     first, by (latency, model key); NULL for late or missing answers."""
     on_time = F.col("answered") & (F.col("latency_ms") <= F.col("timeout_ms"))
     d = rows.withColumn("on_time", F.coalesce(on_time, F.lit(False)))
-    w = Window.partitionBy("guid").orderBy(F.col("on_time").desc(), "latency_ms", "data_model")
+    w = Window.partitionBy(KEY).orderBy(F.col("on_time").desc(), "latency_ms", "data_model")
     return d.withColumn("arrival_rank", F.when(F.col("on_time"), F.row_number().over(w)))
 
 
@@ -83,7 +86,7 @@ def collect_vote(rows: DataFrame, quorum="all", threshold: float = 0.5) -> DataF
     cnt = F.count_if("counted")
     # start columns depend on guid only; as grouping keys they keep the
     # aggregate hash-based (no sort) with fixed-width buffers
-    agg = d.groupBy("guid", *START_COLS).agg(
+    agg = d.groupBy(KEY, *START_COLS).agg(
         cnt.alias("__n"),
         F.sum(F.when(F.col("counted"), F.coalesce("result", F.lit(0)))).alias("__ones"),
         F.max(F.when(F.col("counted"), F.col("latency_ms"))).alias("__last"),
@@ -94,7 +97,7 @@ def collect_vote(rows: DataFrame, quorum="all", threshold: float = 0.5) -> DataF
     complete = processed & (F.col("__n") >= k)
     vote = F.when(F.col("__ones") / F.col("__n") < F.lit(threshold), 0).otherwise(1)
     return agg.select(
-        "guid", "event_id", "data_type", "ts",
+        request_guid(KEY).alias("guid"), "event_id", "data_type", "ts",
         F.col("n_models").cast("int").alias("n_models"),
         processed.alias("processed"),
         F.when(processed, F.lit(VOTER_MODEL)).otherwise(F.lit("")).alias("model"),

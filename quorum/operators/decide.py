@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from quorum import schemas
 from quorum.functions.columns import VOTER_MODEL
-from quorum.operators.collect import START_COLS, _quorum_k, mark_counted
+from quorum.functions.columns import request_guid
+from quorum.operators.collect import KEY, START_COLS, _quorum_k, mark_counted
 
 Decider = Callable[[pd.DataFrame], pd.Series]
 
@@ -36,8 +37,9 @@ def collect_answers(rows: DataFrame, quorum="all") -> DataFrame:
     ans = F.when(F.col("counted"), F.struct(F.col("latency_ms").alias("l"),
                                             F.col("data_model").alias("m"),
                                             F.col("result").alias("r")))
-    g = d.groupBy("guid", *START_COLS).agg(F.array_sort(F.collect_list(ans)).alias("__a"))
-    return (g.withColumn("results", F.col("__a.r"))
+    g = d.groupBy(KEY, *START_COLS).agg(F.array_sort(F.collect_list(ans)).alias("__a"))
+    return (g.withColumn("guid", request_guid(KEY))
+             .withColumn("results", F.col("__a.r"))
              .withColumn("latencies", F.col("__a.l"))
              .withColumn("complete", (F.size("__a") > 0) & (F.size("__a") >= _quorum_k(quorum)))
              .drop("__a"))

@@ -33,8 +33,8 @@ def prepare_registry(registry: DataFrame) -> DataFrame:
     """Add ``data_model`` (P5) and ``version`` (= registration time)."""
     if "data_model" in registry.columns:
         return registry
-    return (registry.withColumn("data_model", data_model_key("data_type", "name"))
-                    .withColumn("version", F.col("registered_at")))
+    return registry.withColumns({"data_model": data_model_key("data_type", "name"),
+                                 "version": F.col("registered_at")})
 
 
 def servable(registry: DataFrame, model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:

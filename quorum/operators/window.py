@@ -58,7 +58,9 @@ def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
                   out: str = "window",
                   bucket_seconds: int | None = DEFAULT_WINDOW_BUCKET_SECONDS,
                   bucket: Column | None = None) -> DataFrame:
-    """Add ``out`` (``array<value type>`` or NULL) to ``df``.
+    """Add ``out`` (``array<value type>`` or NULL) to ``df``.  With
+    ``width=None`` ``out`` holds up to the last ``max_width`` values, to be cut
+    later with ``last_values`` (the width can then join in after the shuffle).
 
     ``bucket_seconds=None`` keeps one partition per version (no split).
     ``bucket`` overrides the time bucket; it must not decrease along ``order``."""
@@ -66,7 +68,8 @@ def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
     if W < 1:
         raise ValueError("max_width must be >= 1")
     val = F.col(value) if isinstance(value, str) else value
-    wid = F.lit(width) if isinstance(width, int) else (F.col(width) if isinstance(width, str) else width)
+    wid = None if width is None else (
+        F.lit(width) if isinstance(width, int) else (F.col(width) if isinstance(width, str) else width))
     part = list(partition)
     d = df.withColumn("__v", F.struct(val.alias("v")))
     if W == 1:
@@ -97,12 +100,17 @@ def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
                 .otherwise(F.concat(F.coalesce("__carry", F.array()), F.col("__prev")))
         d = d.withColumn("__full", F.concat(head, F.array("__v"))) \
              .drop("__b", "__prev", "__carry")
-    n = F.size("__full")
-    sl = F.when((wid >= 1) & (n >= wid), F.slice("__full", n - wid + 1, wid))
-    d = d.withColumn(out, F.transform(sl, lambda x: x["v"]))
+    vals = F.transform("__full", lambda x: x["v"])
+    d = d.withColumn(out, vals if wid is None else last_values(vals, wid))
     return d.drop("__v", "__full")
 
 
+def last_values(values: Column, width: Column) -> Column:
+    """The last ``width`` entries of ``values``; NULL when there are fewer."""
+    n = F.size(values)
+    return F.when((width >= 1) & (n >= width), F.slice(values, n - width + 1, width))
+
+
 def last_n_window_plain(df: DataFrame, value, width, max_width: int,
                         partition=("data_model", "version"), order=("ts", "event_id"),
                         out: str = "window") -> DataFrame:

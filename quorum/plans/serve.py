@@ -1,14 +1,16 @@
 """The whole serving graph as one batch plan.
 
-    measurements --guid--timeout(as-of, broadcast)--route(as-of, broadcast)--+
-      one row per (measurement, model), start info on every row              |
-    --last-N window per (version, time bucket)  [shuffle 1]                   |
-    --score (column expression or Arrow batches)                              |
-    --answer latency / arrival                                                |
-    --collect + vote per guid                   [shuffle 2]  --> results      |
-
-Only two exchanges touch measurement-sized data; everything joined to the
-measurements is registry- or config-sized and broadcast after a row count.
+    measurements --deadline (as-of)--route + active version (as-of)----------+
+      one row per (measurement, model), start info on every row            |
+    --last-N window per (version, time bucket)      [exchange 1]            |
+    --model attributes (broadcast) --score --answer time                    |
+    --collect + vote per measurement                [exchange 2] --> results
+
+Only two exchanges touch measurement-sized data.  Everything joined to the
+measurements is registry- or config-sized and broadcast after a row count
+proves it small; the rows crossing exchange 1 carry only keys, start
+information and the standardised value - the model's attributes join back
+after the window.
 """
 
 from __future__ import annotations
@@ -21,13 +23,35 @@ from pyspark.sql import functions as F
 from quorum.functions.columns import standardize
 from quorum.operators.asof import DEFAULT_MAX_BROADCAST_ROWS
 from quorum.operators.collect import collect_vote, with_answers
-from quorum.operators.route import (DEFAULT_TIMEOUT_MS, prepare_registry, route_requests,
-                                    with_guid, with_timeout)
+from quorum.operators.route import (DEFAULT_TIMEOUT_MS, _version_cols, prepare_registry,
+                                    route_requests, with_timeout)
 from quorum.operators.score import score_linear, score_with, scorers
-from quorum.operators.window import DEFAULT_WINDOW_BUCKET_SECONDS, last_n_window
+from quorum.operators.window import DEFAULT_WINDOW_BUCKET_SECONDS, last_n_window, last_values
 
 Served = namedtuple("Served", "results rows")
 
+# columns that cross the window exchange
+SLIM_COLS = ["event_id", "ts", "data_type", "label", "timeout_ms", "n_models",
+             "data_model", "version", "z"]
+
+
+def registry_profile(registry: DataFrame, config: DataFrame | None = None,
+                     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[bool, bool, int]:
+    """(registry fits a broadcast, config fits a broadcast, largest window
+    width) - one early-stopping job over both small inputs."""
+    sides = registry.limit(max_rows + 1).select(F.lit(0).alias("side"), F.col("width"))
+    if config is not None:
+        sides = sides.unionByName(config.limit(max_rows + 1).select(
+            F.lit(1).alias("side"), F.lit(None).cast("int").alias("width")))
+    got = {r[0]: (r[1], r[2]) for r in
+           sides.groupBy("side").agg(F.count(F.lit(1)), F.max("width")).collect()}
+    n_reg, w = got.get(0, (0, 1))
+    reg_fits = n_reg <= max_rows
+    cfg_fits = got.get(1, (0, None))[0] <= max_rows
+    if not reg_fits:
+        w = registry.agg(F.max("width")).first()[0]
+    return reg_fits, cfg_fits, int(w or 1)
+
 
 def max_width(registry: DataFrame) -> int:
     """Largest window width in the registry (a registry-sized aggregate)."""
@@ -35,14 +59,21 @@ def max_width(registry: DataFrame) -> int:
     return int(w or 1)
 
 
+def version_attrs(registry: DataFrame) -> DataFrame:
+    reg = prepare_registry(registry)
+    return reg.select("data_model", "version",
+                      *[c for c in _version_cols(reg) if c not in ("data_model", "version")])
+
+
 def routed_rows(measurements: DataFrame, registry: DataFrame,
                 config: DataFrame | None = None,
                 default_timeout_ms: int = DEFAULT_TIMEOUT_MS, strategy: str = "auto",
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """guid + deadline + fan-out with active version + standardised value."""
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                config_strategy: str | None = None) -> DataFrame:
+    """Deadline + fan-out with active version + standardised value ``z``."""
     reg = prepare_registry(registry)
-    meas = measurements if "guid" in measurements.columns else with_guid(measurements)
-    meas = with_timeout(meas, config, default_ms=default_timeout_ms, strategy=strategy,
+    meas = with_timeout(measurements, config, default_ms=default_timeout_ms,
+                        strategy=config_strategy or strategy,
                         max_broadcast_rows=max_broadcast_rows)
     rows = route_requests(meas, reg, strategy=strategy, max_broadcast_rows=max_broadcast_rows)
     return rows.withColumn("z", standardize("utilization", "mean", "std"))
@@ -68,9 +99,20 @@ def scored_requests(measurements: DataFrame, registry: DataFrame,
 
     Measurements without a model are one row with NULL ``data_model``."""
     reg = prepare_registry(registry)
+    reg_fits, cfg_fits, W = registry_profile(reg, config, max_broadcast_rows)
+    cfg_strategy = strategy
+    if strategy == "auto":
+        strategy = "broadcast" if reg_fits else "scan"
+        cfg_strategy = "broadcast" if cfg_fits else "scan"
     rows = routed_rows(measurements, reg, config, default_timeout_ms, strategy,
-                       max_broadcast_rows)
-    rows = last_n_window(rows, "z", "width", max_width(reg), bucket_seconds=bucket_seconds)
+                       max_broadcast_rows, cfg_strategy)
+    if strategy == "broadcast":
+        rows = last_n_window(rows.select(*SLIM_COLS), "z", None, W, out="__vals",
+                             bucket_seconds=bucket_seconds)
+        rows = rows.join(F.broadcast(version_attrs(reg)), ["data_model", "version"], "left")
+    else:
+        rows = last_n_window(rows, "z", None, W, out="__vals", bucket_seconds=bucket_seconds)
+    rows = rows.withColumn("window", last_values(F.col("__vals"), F.col("width"))).drop("__vals")
     return score_rows(rows, scorer, scorer_map, latency)
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorum.functions.columns import request_guid
 from quorum.functions.decode import decode_measurements, split_bad
 from quorum.operators.asof import time_bucket
 from quorum.operators.collect import collect_vote
@@ -120,7 +121,8 @@ class ServeBatch:
             lat = self.latency() if self.latency else None
             rows = score_rows(rows, self.scorer, latency=lat).persist()
             try:
-                write_batch(rows.select(*[F.col(f.name).cast(f.dataType) for f in RESPONSES.fields]),
+                resp = rows.withColumn("guid", request_guid("event_id"))
+                write_batch(resp.select(*[F.col(f.name).cast(f.dataType) for f in RESPONSES.fields]),
                             t.responses, batch_id)
                 write_batch(collect_vote(rows, self.quorum), t.results, batch_id)
                 write_batch(nxt, t.carry, batch_id)
