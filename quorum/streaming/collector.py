@@ -45,8 +45,12 @@ FLUSH_GUID = "~flush"
 
 class CollectorProcessor(StatefulProcessor):
 
-    def __init__(self, quorum="all", threshold: float = 0.5):
-        self.quorum, self.threshold = quorum, threshold
+    def __init__(self, quorum="all", threshold: float = 0.5, time_mode: str = "event"):
+        """``time_mode="event"``: an answer's latency is its ``latency_ms``
+        (arrival minus measurement time), deadlines follow the watermark.
+        ``"processing"``: latency is measured on the wall clock from when the
+        request was first seen, deadlines are processing-time timers."""
+        self.quorum, self.threshold, self.time_mode = quorum, threshold, time_mode
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -56,6 +60,7 @@ class CollectorProcessor(StatefulProcessor):
         self.answers = handle.getMapState("answers", "data_model string",
                                           "latency_ms long, result int")
         self.done = handle.getValueState("done", "flag boolean")
+        self.clock = handle.getValueState("clock", "start_ms long")
 
     # -- helpers ---------------------------------------------------------
     def _row(self, guid, st, processed, result, duration, outcome, kind="result",
@@ -124,20 +129,27 @@ class CollectorProcessor(StatefulProcessor):
             st = (int(r.event_id), r.data_type, pd.Timestamp(r.ts).to_pydatetime(), int(r.label),
                   int(r.n_models), int(r.timeout_ms))
             self.start.update(st)
-            start_ms = int(pd.Timestamp(r.ts).value // 1_000_000)
+            if self.time_mode == "processing":
+                start_ms = int(timerValues.getCurrentProcessingTimeInMs())
+            else:
+                start_ms = int(pd.Timestamp(r.ts).value // 1_000_000)
+            self.clock.update((start_ms,))
             if st[4] == 0:
                 self._finish(start_ms)
                 yield self._frame([self._row(guid, st, False, None, 0, "no_model")])
                 return
             self.handle.registerTimer(start_ms + st[5])
+        now_lat = None
+        if self.time_mode == "processing":
+            now_lat = int(timerValues.getCurrentProcessingTimeInMs()) - self.clock.get()[0]
         for r in pdf[pdf["answered"].fillna(False)].itertuples():
             if not self.answers.containsKey((r.data_model,)):
                 res = None if pd.isna(r.result) else int(r.result)
-                self.answers.updateValue((r.data_model,), (int(r.latency_ms), res))
+                lat = now_lat if now_lat is not None else int(r.latency_ms)
+                self.answers.updateValue((r.data_model,), (lat, res))
         out = self._decide(guid, final=False)
         if out is not None:
-            st = self.start.get()
-            self._finish(int(pd.Timestamp(st[2]).value // 1_000_000) + st[5])
+            self._finish(self.clock.get()[0] + self.start.get()[5])
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -146,22 +158,28 @@ class CollectorProcessor(StatefulProcessor):
             self.start.clear()
             self.done.clear()
             self.answers.clear()
+            self.clock.clear()
             return
         if not self.start.exists():
             return
         out = self._decide(guid, final=True)
-        st = self.start.get()
-        self._finish(int(pd.Timestamp(st[2]).value // 1_000_000) + st[5])
+        self._finish(self.clock.get()[0] + self.start.get()[5])
         yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def collect_stream(responses: DataFrame, quorum="all", watermark: str = "1 minute") -> DataFrame:
+def collect_stream(responses: DataFrame, quorum="all", watermark: str = "1 minute",
+                   time_mode: str = "event") -> DataFrame:
     """Streaming results from a stream of response rows (``RESPONSE_COLS``)."""
+    proc = CollectorProcessor(quorum, time_mode=time_mode)
+    if time_mode == "processing":
+        return responses.groupBy("guid").transformWithStateInPandas(
+            statefulProcessor=proc, outputStructType=OUTPUT, outputMode="Append",
+            timeMode="ProcessingTime")
     ev = F.coalesce(F.col("arrived_at"), F.col("ts")).cast("timestamp")
     src = responses.withColumn("event_time", ev).withWatermark("event_time", watermark)
     return src.groupBy("guid").transformWithStateInPandas(
-        statefulProcessor=CollectorProcessor(quorum), outputStructType=OUTPUT,
+        statefulProcessor=proc, outputStructType=OUTPUT,
         outputMode="Append", timeMode="EventTime")
