@@ -67,7 +67,7 @@ def run_collector(spark: SparkSession, tables: Tables, ckpt: str, quorum="all",
         far = far.select(*[F.col(f.name).cast(f.dataType) if f.name in far.columns
                            else F.lit(None).cast(f.dataType).alias(f.name)
                            for f in RESPONSES.fields])
-        far.write.mode("overwrite").parquet(f"{tables.responses}/flush")
+        far.write.mode("overwrite").parquet(f"{tables.responses}/batch_id=-1")
     src = (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
            .parquet(tables.responses))
     q = (collect_stream(src, quorum).writeStream.format("parquet")

@@ -10,17 +10,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quorum import schemas
 from quorum.operators.route import known_models, prepare_registry
 from quorum.operators.stats import collector_stats, current_model_stats, model_stats
+from quorum.streaming.collector import FLUSH_GUID
 from quorum.streaming.registry_job import Tables, config_table, registry_table
 from quorum.streaming.serve_stream import RESPONSES
 from quorum.streaming.tables import read_table
 
 
 def stream_state_report(spark: SparkSession, tables: Tables) -> dict[str, DataFrame]:
-    rows = read_table(spark, tables.responses, RESPONSES)
+    rows = read_table(spark, tables.responses, RESPONSES).filter(F.col("guid") != FLUSH_GUID)
     results = read_table(spark, tables.results, schemas.RESULTS)
     return {
         "known_models": known_models(prepare_registry(registry_table(spark, tables))),

@@ -29,3 +29,27 @@ def test_log_round_trip(spark):
     back = read_log_batch(spark, cfg, "t")
     assert back.schema == schemas.LOG
     assert sorted((bytes(r["value"]).decode(), r["offset"]) for r in back.collect()) == [("a", 1), ("b", 2)]
+
+
+def test_tail_log_hands_every_batch_to_handler(spark):
+    from quorum.sources.logs import read_log, tail_log
+    cfg = LogConfig(root=work_dir(spark, "tail"))
+    for i in range(2):
+        df = spark.createDataFrame([(f"x{i}{j}", i * 10 + j) for j in range(3)], "v string, o long")
+        write_log(as_log(df.coalesce(1), "t", value="v", offset="o"), cfg, "t")
+    seen = []
+    q = tail_log(read_log(spark, cfg, "t", start="earliest", max_files_per_trigger=1),
+                 lambda df, bid: seen.append((bid, df.count())),
+                 checkpoint=work_dir(spark, "tail-ckpt"), trigger={"availableNow": True})
+    q.awaitTermination()
+    assert sum(n for _, n in seen) == 6 and len(seen) == 2
+
+
+def test_write_results_parquet(spark):
+    from quorum.sources.logs import write_results
+    from quorum import schemas
+    path = work_dir(spark, "results")
+    df = spark.createDataFrame([("g", 1, "cpu", None, 1, True, "voter model", 0, 1, 5, "complete")],
+                               schemas.RESULTS)
+    write_results(df, path)
+    assert spark.read.parquet(path).count() == 1

@@ -54,3 +54,20 @@ def test_restart_from_checkpoint_no_loss_no_duplicates(spark):
     late = out.filter("kind = 'late'").select("event_id", F.col("late_model").alias("data_model"))
     exp = late_responses(_rows(spark, SF_SMALL)).select("event_id", "data_model")
     assert _same(late, exp)
+
+
+def test_collector_state_is_readable_and_cleaned(spark):
+    from quorum.streaming.reports import open_requests, stream_state_report
+    from quorum.streaming.demo_run import run_with_collector
+    from quorum.session import checkpoint_root
+    import glob
+    res, late = run_with_collector(spark, SF_SMALL, n_files=1)
+    assert res.count() == 1000
+    root = sorted(glob.glob(checkpoint_root(spark).replace("file:", "") + "/serve-collect-*"))[-1]
+    # what is left in the state store are tombstones of decided requests
+    # (removed by clean-up timers as event time moves on): none is undecided
+    held = open_requests(spark, root + "/ckpt/collector").select(F.col("key.guid").alias("guid"))
+    assert held.subtract(res.select("guid")).count() == 0
+    rep = stream_state_report(spark, Tables(root + "/tables"))
+    assert rep["model_versions"].agg(F.sum("usage")).first()[0] == \
+        _rows(spark, SF_SMALL).filter("answered").count()
