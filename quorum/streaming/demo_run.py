@@ -9,6 +9,8 @@ live under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +38,27 @@ def publish_events(spark: SparkSession, sf_dir: str, logs: LogConfig, n_files: i
                   logs, DATA_TOPIC)
 
 
+@contextmanager
+def utc(spark: SparkSession):
+    """Log times are ``timestamp`` (zoned) while the tables use
+    ``timestamp_ntz``: run the jobs in UTC so the casts are exact, then put
+    the session's zone back."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def run(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all") -> DataFrame:
+    with utc(spark):
+        return _run(spark, sf_dir, n_files, quorum)
+
+
+def _run(spark: SparkSession, sf_dir: str, n_files: int, quorum) -> DataFrame:
     root = work_dir(spark, "serve-stream")
     logs, tables, ckpt = LogConfig(root=f"{root}/logs"), Tables(f"{root}/tables"), f"{root}/ckpt"
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     mp = model_payloads(demo.registry(spark))
     write_log(as_log(mp.coalesce(1), MODELS_TOPIC, timestamp="registered_at"), logs, MODELS_TOPIC)
     cp = config_payloads(demo.config(spark))
@@ -79,6 +98,11 @@ def run_collector(spark: SparkSession, tables: Tables, ckpt: str, quorum="all",
 
 def run_with_collector(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all"):
     """Serving stream, then the stateful collector; (results, late answers)."""
+    with utc(spark):
+        return _run_with_collector(spark, sf_dir, n_files, quorum)
+
+
+def _run_with_collector(spark: SparkSession, sf_dir: str, n_files: int, quorum):
     root = work_dir(spark, "serve-collect")
     logs, tables, ckpt = LogConfig(root=f"{root}/logs"), Tables(f"{root}/tables"), f"{root}/ckpt"
     mp = model_payloads(demo.registry(spark))
