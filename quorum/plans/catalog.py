@@ -19,8 +19,8 @@ from quorum.operators.collect import (collect_vote, late_responses, responses_in
                                       with_arrival_rank)
 from quorum.operators.decide import decide_with
 from quorum.operators.ensemble import SliceModel, ensemble_score
-from quorum.operators.route import (SUPPORTED_MODEL_TYPES, route, with_epoch, with_guid,
-                                    with_timeout)
+from quorum.operators.route import (SUPPORTED_MODEL_TYPES, known_models, route,
+                                    version_intervals, with_epoch, with_guid, with_timeout)
 from quorum.operators.stats import collector_stats, current_model_stats, model_stats
 from quorum.plans.oracle import (BAD_EMPTY_K, BAD_TRUNCATE_K, BAD_TYPE_K, ENSEMBLE_SLICES,
                                  TRUNCATE_AT)
@@ -72,6 +72,14 @@ def q_active_version(spark, d):
     return _routed(spark, d).requests.select(*ANS, "version", "description")
 
 
+def q_version_intervals(spark, d):
+    """W2 per request: the validity interval of the version that served it."""
+    req = _routed(spark, d).requests.select(*ANS, "version")
+    iv = version_intervals(demo.registry(spark)).select(
+        "data_model", F.col("valid_from").alias("version"), "valid_from", "valid_to")
+    return req.join(iv, ["data_model", "version"]).select(*ANS, "valid_from", "valid_to")
+
+
 def q_effective_timeout(spark, d):
     return with_timeout(measurements(spark, d), demo.config(spark)).select(
         "event_id", "data_type", "timeout_ms")
@@ -174,6 +182,16 @@ def q_collector_stats(spark, d):
                      F.round("avg_ms", 6).alias("avg_ms"), "tmout_ms")
 
 
+def q_state_report(spark, d):
+    """Per data type the known models and the collector statistics."""
+    st = collector_stats(_results(spark, d), demo.config(spark))
+    km = known_models(demo.registry(spark)).select(
+        "data_type", F.array_join("models", ",").alias("models"), "n_models")
+    return st.join(km, "data_type", "left").select(
+        "data_type", "models", "n_models", "usage", "duration_ms", "min_ms", "max_ms",
+        F.round("avg_ms", 6).alias("avg_ms"), "tmout_ms")
+
+
 def q_serving_lines(spark, d):
     return _results(spark, d).select("event_id", serving_line().alias("line"))
 

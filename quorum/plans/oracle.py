@@ -155,6 +155,19 @@ FROM results""",
         "decode_good_rows": _decode_sql("good"),
         "decode_quarantine": _decode_sql("bad"),
     }
+    q["version_intervals"] = b + """, iv AS (SELECT data_model, registered_at AS vf,
+       lead(registered_at) OVER (PARTITION BY data_model ORDER BY registered_at, description) AS vt FROM reg)
+SELECT r.event_id, r.data_model, iv.vf AS valid_from, iv.vt AS valid_to
+FROM req r JOIN iv ON r.data_model = iv.data_model AND r.version = iv.vf"""
+    q["state_report"] = b + f""", cur AS (SELECT data_type, arg_max(tmout_ms, effective_at) AS t FROM cfg GROUP BY data_type),
+km AS (SELECT data_type, string_agg(data_model, ',' ORDER BY first_at, data_model) AS models,
+              CAST(count(*) AS INTEGER) AS n_models FROM firsts GROUP BY data_type),
+st AS (SELECT r.data_type, count(*) AS usage, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, min(duration_ms) AS min_ms,
+       max(duration_ms) AS max_ms, round(sum(duration_ms) / count(*), 6) AS avg_ms,
+       CAST(coalesce(nullif(any_value(cur.t), 0), {DEFAULT_TIMEOUT_MS}) AS BIGINT) AS tmout_ms
+       FROM results r LEFT JOIN cur ON r.data_type = cur.data_type WHERE processed GROUP BY r.data_type)
+SELECT st.data_type, km.models, km.n_models, usage, duration_ms, min_ms, max_ms, avg_ms, tmout_ms
+FROM st LEFT JOIN km ON st.data_type = km.data_type"""
     q["score_python_model"] = q["score_linear"]
     q["serve_stream"] = q["serve"]
     q["serve_stateful"] = q["serve"]
