@@ -71,3 +71,41 @@ def test_collector_state_is_readable_and_cleaned(spark):
     rep = stream_state_report(spark, Tables(root + "/tables"))
     assert rep["model_versions"].agg(F.sum("usage")).first()[0] == \
         _rows(spark, SF_SMALL).filter("answered").count()
+
+
+def test_processing_time_collector_decides_every_request(spark):
+    import time as _time
+    from quorum.streaming.collector import OUTPUT, collect_stream
+    from quorum.streaming.serve_stream import RESPONSES
+    from quorum.functions.columns import request_guid
+    root = work_dir(spark, "ptime")
+    rows = _rows(spark, SF_SMALL).withColumn("guid", request_guid("event_id"))
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in RESPONSES.fields]) \
+        .write.parquet(f"{root}/in/batch_id=0")
+    src = spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    q = (collect_stream(src, time_mode="processing").writeStream.format("parquet")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
+         .outputMode("append").trigger(processingTime="1 second").start())
+    try:
+        t0, n = _time.time(), 0
+        while _time.time() - t0 < 120 and n < 1000:
+            _time.sleep(2)
+            try:
+                n = spark.read.schema(OUTPUT).parquet(f"{root}/out").filter("kind = 'result'").count()
+            except Exception:  # noqa: BLE001 - nothing written yet
+                n = 0
+    finally:
+        q.stop()
+    out = spark.read.schema(OUTPUT).parquet(f"{root}/out").filter("kind = 'result'")
+    got = {r["outcome"]: r["count"] for r in out.groupBy("outcome").count().collect()}
+    # answers come in the same micro-batch as their start (wall-clock latency ~0):
+    # a request completes iff every model answers; else its timer decides it
+    per = rows.groupBy("event_id").agg(F.max("n_models").alias("n"),
+                                       F.count_if("answered").alias("a"))
+    exp_complete = per.filter("n > 0 AND a = n").count()
+    exp_deadline = per.filter("n > 0 AND a < n").count()
+    exp_none = per.filter("n = 0").count()
+    assert out.count() == out.select("guid").distinct().count() == 1000
+    assert got.get("complete", 0) == exp_complete
+    assert got.get("deadline", 0) + got.get("timeout", 0) == exp_deadline
+    assert got.get("no_model", 0) == exp_none
