@@ -99,3 +99,23 @@ def test_python_scorer_matches_native(spark):
 def test_registry_rows_build(spark):
     reg = registry_df(spark, [("cpu", "m", "d", 0, T(1), 1, 0.0, 1.0, 0.0, 1)])
     assert reg.count() == 1
+
+
+def test_serve_scan_strategy_equals_broadcast(spark):
+    from quorum import demo
+    from quorum.plans.serve import serve
+    from quorum.sources.tables import measurements
+    m = measurements(spark, "/root/testdata/sf0.001")
+    args = (m, demo.registry(spark), demo.config(spark))
+    a = serve(*args, latency=demo.latency()).results
+    b = serve(*args, latency=demo.latency(), strategy="scan").results
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_registry_profile_bounds_rows_and_bytes(spark):
+    from quorum import demo
+    from quorum.plans.serve import registry_profile
+    reg, cfg = demo.registry(spark), demo.config(spark)
+    assert registry_profile(reg, cfg) == (True, True, 8)
+    assert registry_profile(reg, cfg, max_rows=5)[:2] == (False, True)
+    assert registry_profile(reg, cfg, max_bytes=50)[:2] == (False, False)   # config ~84 B
