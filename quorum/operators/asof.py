@@ -25,15 +25,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_BUCKET_SECONDS = 3600
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (early-stopping count)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """Approximate size of a row: bytes of strings/binaries, 8 per other field."""
+    parts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+             if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
+             for f in df.schema.fields]
+    return sum(parts[1:], parts[0]) if parts else F.lit(0)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                   max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes``
+    bytes (one early-stopping job)."""
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return r[0] <= max_rows and (r[1] or 0) <= max_bytes
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:

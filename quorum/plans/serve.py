@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorum.functions.columns import standardize
-from quorum.operators.asof import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS
+from quorum.operators.asof import (DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS,
+                                   row_bytes)
 from quorum.operators.collect import collect_vote, with_answers
 from quorum.operators.route import (DEFAULT_TIMEOUT_MS, _version_cols, prepare_registry,
                                     route_requests, with_timeout)
@@ -35,18 +36,6 @@ SLIM_COLS = ["event_id", "ts", "data_type", "label", "timeout_ms", "n_models",
              "data_model", "version", "z"]
 
 
-def _row_bytes(df: DataFrame):
-    """Approximate size of a row: bytes of strings/binaries, 8 per other field."""
-    from pyspark.sql import types as T
-    parts = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
-        else:
-            parts.append(F.lit(8))
-    return sum(parts[1:], parts[0]) if parts else F.lit(0)
-
-
 def registry_profile(registry: DataFrame, config: DataFrame | None = None,
                      max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[bool, bool, int]:
@@ -55,11 +44,11 @@ def registry_profile(registry: DataFrame, config: DataFrame | None = None,
     it has at most ``max_rows`` rows and about ``max_bytes`` bytes (model
     payloads can make a few rows large)."""
     sides = registry.limit(max_rows + 1).select(F.lit(0).alias("side"), F.col("width"),
-                                                _row_bytes(registry).alias("b"))
+                                                row_bytes(registry).alias("b"))
     if config is not None:
         sides = sides.unionByName(config.limit(max_rows + 1).select(
             F.lit(1).alias("side"), F.lit(None).cast("int").alias("width"),
-            _row_bytes(config).alias("b")))
+            row_bytes(config).alias("b")))
     got = {r[0]: (r[1], r[2], r[3] or 0) for r in
            sides.groupBy("side").agg(F.count(F.lit(1)), F.max("width"),
                                      F.sum("b")).collect()}
