@@ -48,6 +48,9 @@ class Scorer(Protocol):
 
     def predict(self, model: Any, windows: np.ndarray) -> np.ndarray: ...
 
+    def close(self, model: Any) -> None:
+        """Release a loaded model (optional; called when a task is done)."""
+
 
 class LinearScorer:
     """Python twin of ``score_linear`` (used to check the plug-in path)."""
@@ -86,6 +89,15 @@ def score_with(df: DataFrame, scorer_map: dict[int, Scorer] | None = None,
 
     def run(batches):
         cache: dict = {}
+        try:
+            yield from _score_batches(batches, cache)
+        finally:
+            for (*_, mt), model in cache.items():
+                closer = getattr(smap[int(mt)], "close", None)
+                if closer is not None:
+                    closer(model)
+
+    def _score_batches(batches, cache):
         for pdf in batches:
             res = pd.array([None] * len(pdf), dtype="Int32")
             dur = np.zeros(len(pdf))
