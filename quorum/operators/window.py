@@ -21,6 +21,12 @@ buckets (``bucket_seconds``):
 3. rows near the start of a bucket prepend the carry (a join on
    ``(version, bucket)`` whose build side is the small carry table).
 
+Bucket size (default 60 s): a task holds one version's rows of one bucket,
+so a model taking a third of a large stream stays at about its rows per
+minute; AQE packs the many small buckets of quiet models into few tasks, and
+the tail table grows with the time span (buckets x (W-1) rows per version),
+not with the data.
+
 Frame offsets must be literals, so ``W`` is the largest width; each row then
 ``slice``s its own width.  Values travel inside a struct so that a NULL
 value (still a row) differs from a missing row; a NULL inside a full window
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quorum.operators.asof import time_bucket
 
-DEFAULT_WINDOW_BUCKET_SECONDS = 3600
+DEFAULT_WINDOW_BUCKET_SECONDS = 60
 
 
 def _prev_values(v: str, w: Window, n: int) -> Column:
