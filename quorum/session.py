@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -64,6 +65,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Start stateful queries (transformWithState) with the RocksDB state
+    store; a started query keeps its own copy of the setting, so the
+    session's value is put back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB_PROVIDER)
+    try:
+        yield
+    finally:
+        if old is not None:
+            spark.conf.set(key, old)
+        else:
+            spark.conf.unset(key)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     root = checkpoint_root(spark)

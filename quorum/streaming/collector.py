@@ -172,7 +172,9 @@ class CollectorProcessor(StatefulProcessor):
 
 def collect_stream(responses: DataFrame, quorum="all", watermark: str = "1 minute",
                    time_mode: str = "event") -> DataFrame:
-    """Streaming results from a stream of response rows (``RESPONSE_COLS``)."""
+    """Streaming results from a stream of response rows (``RESPONSE_COLS``).
+    Start the sink inside ``quorum.session.rocksdb_state(spark)`` (the state
+    store must be RocksDB for transformWithState)."""
     proc = CollectorProcessor(quorum, time_mode=time_mode)
     if time_mode == "processing":
         return responses.groupBy("guid").transformWithStateInPandas(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quorum import demo, schemas
 from quorum.functions.decode import encode_measurements
-from quorum.session import work_dir
+from quorum.session import rocksdb_state, work_dir
 from quorum.sources.logs import CONFIG_TOPIC, DATA_TOPIC, MODELS_TOPIC, LogConfig, as_log, write_log
 from quorum.sources.tables import measurements
 from quorum.streaming.registry_job import Tables, config_payloads, model_payloads, registry_job
@@ -89,9 +89,10 @@ def run_collector(spark: SparkSession, tables: Tables, ckpt: str, quorum="all",
         far.write.mode("overwrite").parquet(f"{tables.responses}/batch_id=-1")
     src = (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
            .parquet(tables.responses))
-    q = (collect_stream(src, quorum).writeStream.format("parquet")
-         .option("path", tables.collected).option("checkpointLocation", f"{ckpt}/collector")
-         .outputMode("append").trigger(availableNow=True).start())
+    with rocksdb_state(spark):
+        q = (collect_stream(src, quorum).writeStream.format("parquet")
+             .option("path", tables.collected).option("checkpointLocation", f"{ckpt}/collector")
+             .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(tables.collected)
 

@@ -83,9 +83,11 @@ def test_processing_time_collector_decides_every_request(spark):
     rows.select(*[F.col(f.name).cast(f.dataType) for f in RESPONSES.fields]) \
         .write.parquet(f"{root}/in/batch_id=0")
     src = spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    q = (collect_stream(src, time_mode="processing").writeStream.format("parquet")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
-         .outputMode("append").trigger(processingTime="1 second").start())
+    from quorum.session import rocksdb_state
+    with rocksdb_state(spark):
+        q = (collect_stream(src, time_mode="processing").writeStream.format("parquet")
+             .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
+             .outputMode("append").trigger(processingTime="1 second").start())
     try:
         t0, n = _time.time(), 0
         while _time.time() - t0 < 120 and n < 1000:
