@@ -48,7 +48,11 @@ def _source_cols(raw: DataFrame) -> list[str]:
 
 def decode_measurements(raw: DataFrame, fmt: str = "json", desc_file: str | None = None) -> DataFrame:
     """Log rows -> measurement columns + ``_bad`` flag (P1).  Missing fields
-    take proto3 defaults."""
+    take proto3 defaults.  ``fmt``: ``json``, ``protobuf`` (spark-protobuf
+    package) or ``pb`` (protobuf runtime in Arrow batches)."""
+    if fmt == "pb":
+        from quorum.functions.wire import decode_measurements_pb
+        return decode_measurements_pb(raw)
     p, bad = _parse(F.col("value"), schemas.MEASUREMENT_WIRE, fmt, "CPUData", desc_file)
     return raw.select(
         *_source_cols(raw), "value",
@@ -62,6 +66,12 @@ def decode_measurements(raw: DataFrame, fmt: str = "json", desc_file: str | None
 def decode_models(raw: DataFrame, fmt: str = "json", desc_file: str | None = None) -> DataFrame:
     """Log rows -> registry rows (P2): blanks in names become ``_``, the
     preprocessing block is flattened; a location-only model is bad."""
+    if fmt == "pb":
+        from quorum.functions.wire import decode_models_pb
+        d = decode_models_pb(raw)
+        reg_at = (F.col("timestamp").cast("timestamp_ntz") if "timestamp" in raw.columns
+                  else F.lit(None).cast("timestamp_ntz"))
+        return d.withColumns({"registered_at": reg_at, "thr": F.lit(0.0), "ord": F.lit(0)})
     p, bad = _parse(F.col("value"), schemas.MODEL_WIRE, fmt, "ModelDescriptor", desc_file)
     pre = p["preprocessing"]
     reg_at = F.coalesce(F.to_timestamp_ntz(p["registeredAt"]),
@@ -87,6 +97,12 @@ def decode_models(raw: DataFrame, fmt: str = "json", desc_file: str | None = Non
 
 def decode_config(raw: DataFrame, fmt: str = "json", desc_file: str | None = None) -> DataFrame:
     """Log rows -> ``config(data_type, tmout_ms, effective_at)``."""
+    if fmt == "pb":
+        from quorum.functions.wire import decode_config_pb
+        d = decode_config_pb(raw)
+        eff = (F.col("timestamp").cast("timestamp_ntz") if "timestamp" in raw.columns
+               else F.lit(None).cast("timestamp_ntz"))
+        return d.withColumn("effective_at", eff)
     p, bad = _parse(F.col("value"), schemas.CONFIG_WIRE, fmt, "SpeculativeDescriptor", desc_file)
     eff = F.to_timestamp_ntz(p["effectiveAt"])
     if "timestamp" in raw.columns:

@@ -1,0 +1,150 @@
+"""Protobuf wire records decoded in Arrow batches (P1-P3 with ``fmt="pb"``).
+
+The reference's topics carry proto3 messages.  With the spark-protobuf
+package on the cluster, ``decode_*(raw, fmt="protobuf")`` uses
+``from_protobuf``; without it, these functions decode with the
+``google.protobuf`` runtime inside ``mapInPandas`` (one message class per
+task, a batch of payloads per call).  Proto3 rules hold: zero bytes are a
+valid message of defaults, unparsable bytes go to quarantine.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+# The wire messages (proto3), as (message, [(field, number, type)])
+# CPUData: utilization double = 1, class int32 = 2, dataType string = 3
+# ServingResultMessage: served int32 = 1
+# ModelPreprocessing: width int32 = 1, mean double = 2, std double = 3,
+#                     input string = 4, output string = 5
+# ModelDescriptor: name string = 1, description string = 2, dataType string = 3,
+#                  modeltype enum ModelType {TENSORFLOW = 0, PMML = 1} = 4,
+#                  oneof MessageContent {data bytes = 5, location string = 6},
+#                  preprocessing ModelPreprocessing = 7
+# SpeculativeDescriptor: datatype string = 1, tmout int64 = 2
+_MESSAGES = {
+    "CPUData": [("utilization", 1, "double"), ("class", 2, "int32"), ("dataType", 3, "string")],
+    "ServingResultMessage": [("served", 1, "int32")],
+    "ModelPreprocessing": [("width", 1, "int32"), ("mean", 2, "double"), ("std", 3, "double"),
+                           ("input", 4, "string"), ("output", 5, "string")],
+    "ModelDescriptor": [("name", 1, "string"), ("description", 2, "string"),
+                        ("dataType", 3, "string"), ("modeltype", 4, "enum:ModelType"),
+                        ("data", 5, "bytes|MessageContent"),
+                        ("location", 6, "string|MessageContent"),
+                        ("preprocessing", 7, "message:ModelPreprocessing")],
+    "SpeculativeDescriptor": [("datatype", 1, "string"), ("tmout", 2, "int64")],
+}
+_ENUMS = {"ModelType": [("TENSORFLOW", 0), ("PMML", 1)]}
+_PACKAGE = "quorum.wire"
+
+_classes: dict = {}
+
+
+def message_class(name: str):
+    """The generated message class for ``name`` (built once per process)."""
+    if not _classes:
+        from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
+        F = descriptor_pb2.FieldDescriptorProto
+        scalar = {"double": F.TYPE_DOUBLE, "int32": F.TYPE_INT32, "int64": F.TYPE_INT64,
+                  "string": F.TYPE_STRING, "bytes": F.TYPE_BYTES}
+        fd = descriptor_pb2.FileDescriptorProto(name="quorum_wire.proto", package=_PACKAGE,
+                                                syntax="proto3")
+        for ename, values in _ENUMS.items():
+            e = fd.enum_type.add(name=ename)
+            for vname, num in values:
+                e.value.add(name=vname, number=num)
+        for mname, fields in _MESSAGES.items():
+            m = fd.message_type.add(name=mname)
+            oneofs: dict = {}
+            for fname, num, ftype in fields:
+                f = m.field.add(name=fname, number=num, label=F.LABEL_OPTIONAL)
+                kind, _, oneof = ftype.partition("|")
+                if kind.startswith("enum:"):
+                    f.type, f.type_name = F.TYPE_ENUM, f".{_PACKAGE}.{kind[5:]}"
+                elif kind.startswith("message:"):
+                    f.type, f.type_name = F.TYPE_MESSAGE, f".{_PACKAGE}.{kind[8:]}"
+                else:
+                    f.type = scalar[kind]
+                if oneof:
+                    if oneof not in oneofs:
+                        oneofs[oneof] = len(m.oneof_decl)
+                        m.oneof_decl.add(name=oneof)
+                    f.oneof_index = oneofs[oneof]
+        pool = descriptor_pool.DescriptorPool()
+        pool.Add(fd)
+        for mname in _MESSAGES:
+            desc = pool.FindMessageTypeByName(f"{_PACKAGE}.{mname}")
+            _classes[mname] = message_factory.GetMessageClass(desc)
+    return _classes[name]
+
+
+def _decode(raw: DataFrame, message: str, out_fields: list[T.StructField], extract) -> DataFrame:
+    keep = [f for f in raw.schema.fields if f.name != "value"]
+    schema = T.StructType(keep + [T.StructField("value", T.BinaryType())] + out_fields +
+                          [T.StructField("_bad", T.BooleanType())])
+    names = [f.name for f in out_fields]
+
+    def run(batches):
+        cls = message_class(message)
+        for pdf in batches:
+            rows = []
+            for v in pdf["value"]:
+                if v is None:
+                    rows.append([None] * len(names) + [True])
+                    continue
+                try:
+                    msg = cls.FromString(bytes(v))
+                    rows.append(list(extract(msg)) + [False])
+                except Exception:  # noqa: BLE001 - any parse failure quarantines the record
+                    rows.append([None] * len(names) + [True])
+            dec = pd.DataFrame(rows, columns=names + ["_bad"], index=pdf.index)
+            yield pd.concat([pdf, dec], axis=1)
+
+    return raw.mapInPandas(run, schema)
+
+
+def decode_measurements_pb(raw: DataFrame) -> DataFrame:
+    """Log rows with ``CPUData`` payloads -> ``utilization, label, data_type, _bad``."""
+    return _decode(raw, "CPUData",
+                   [T.StructField("utilization", T.DoubleType()),
+                    T.StructField("label", T.IntegerType()),
+                    T.StructField("data_type", T.StringType())],
+                   lambda m: (m.utilization, getattr(m, "class"), m.dataType))
+
+
+def decode_config_pb(raw: DataFrame) -> DataFrame:
+    """Log rows with ``SpeculativeDescriptor`` payloads -> ``data_type, tmout_ms, _bad``."""
+    return _decode(raw, "SpeculativeDescriptor",
+                   [T.StructField("data_type", T.StringType()),
+                    T.StructField("tmout_ms", T.LongType())],
+                   lambda m: (m.datatype, m.tmout))
+
+
+def decode_models_pb(raw: DataFrame) -> DataFrame:
+    """Log rows with ``ModelDescriptor`` payloads -> registry columns; a
+    location-only descriptor is bad (as in the reference)."""
+    def extract(m):
+        if m.WhichOneof("MessageContent") != "data":
+            raise ValueError("location based models are not supported")
+        p = m.preprocessing
+        return (m.dataType, m.name.replace(" ", "_"), m.description, int(m.modeltype),
+                p.width, p.mean, p.std, bytes(m.data))
+    return _decode(raw, "ModelDescriptor",
+                   [T.StructField("data_type", T.StringType()),
+                    T.StructField("name", T.StringType()),
+                    T.StructField("description", T.StringType()),
+                    T.StructField("model_type", T.IntegerType()),
+                    T.StructField("width", T.IntegerType()),
+                    T.StructField("mean", T.DoubleType()),
+                    T.StructField("std", T.DoubleType()),
+                    T.StructField("data", T.BinaryType())],
+                   extract)
+
+
+def encode_measurement(utilization: float, label: int, data_type: str) -> bytes:
+    """One ``CPUData`` payload (publisher side, and tests)."""
+    msg = message_class("CPUData")(utilization=utilization, dataType=data_type)
+    setattr(msg, "class", label)
+    return msg.SerializeToString()
