@@ -148,3 +148,21 @@ def encode_measurement(utilization: float, label: int, data_type: str) -> bytes:
     msg = message_class("CPUData")(utilization=utilization, dataType=data_type)
     setattr(msg, "class", label)
     return msg.SerializeToString()
+
+
+def encode_measurements_pb(df: DataFrame) -> DataFrame:
+    """Measurement rows -> the same rows plus ``value`` (``CPUData`` bytes),
+    encoded in Arrow batches."""
+    schema = T.StructType(df.schema.fields + [T.StructField("value", T.BinaryType())])
+
+    def run(batches):
+        cls = message_class("CPUData")
+        for pdf in batches:
+            vals = []
+            for u, lab, dt in zip(pdf["utilization"], pdf["label"], pdf["data_type"]):
+                msg = cls(utilization=float(u), dataType=str(dt))
+                setattr(msg, "class", int(lab))
+                vals.append(msg.SerializeToString())
+            yield pdf.assign(value=vals)
+
+    return df.mapInPandas(run, schema)

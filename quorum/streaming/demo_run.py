@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quorum import demo, schemas
 from quorum.functions.decode import encode_measurements
+from quorum.functions.wire import encode_measurements_pb
 from quorum.session import rocksdb_state, work_dir
 from quorum.sources.logs import CONFIG_TOPIC, DATA_TOPIC, MODELS_TOPIC, LogConfig, as_log, write_log
 from quorum.sources.tables import measurements
@@ -25,7 +26,8 @@ from quorum.streaming.serve_stream import RESPONSES, serve_stream
 from quorum.streaming.tables import read_table
 
 
-def publish_events(spark: SparkSession, sf_dir: str, logs: LogConfig, n_files: int) -> None:
+def publish_events(spark: SparkSession, sf_dir: str, logs: LogConfig, n_files: int,
+                   fmt: str = "json") -> None:
     m = measurements(spark, sf_dir)
     bounds = m.agg(F.min("ts"), F.max("ts")).first()
     lo, hi = bounds[0], bounds[1]
@@ -33,7 +35,8 @@ def publish_events(spark: SparkSession, sf_dir: str, logs: LogConfig, n_files: i
     for i in range(n_files):
         a = lo + step * i
         cond = (F.col("ts") >= a) & ((F.col("ts") < lo + step * (i + 1)) if i < n_files - 1 else F.lit(True))
-        part = encode_measurements(m.filter(cond))
+        part = (encode_measurements_pb(m.filter(cond)) if fmt == "pb"
+                else encode_measurements(m.filter(cond)))
         write_log(as_log(part.coalesce(1), DATA_TOPIC, offset="event_id", timestamp="ts"),
                   logs, DATA_TOPIC)
 
@@ -51,12 +54,13 @@ def utc(spark: SparkSession):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
-def run(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all") -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all",
+        fmt: str = "json") -> DataFrame:
     with utc(spark):
-        return _run(spark, sf_dir, n_files, quorum)
+        return _run(spark, sf_dir, n_files, quorum, fmt)
 
 
-def _run(spark: SparkSession, sf_dir: str, n_files: int, quorum) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, n_files: int, quorum, fmt: str = "json") -> DataFrame:
     root = work_dir(spark, "serve-stream")
     logs, tables, ckpt = LogConfig(root=f"{root}/logs"), Tables(f"{root}/tables"), f"{root}/ckpt"
     mp = model_payloads(demo.registry(spark))
@@ -65,9 +69,9 @@ def _run(spark: SparkSession, sf_dir: str, n_files: int, quorum) -> DataFrame:
     write_log(as_log(cp.coalesce(1), CONFIG_TOPIC, timestamp="effective_at"), logs, CONFIG_TOPIC)
     for q in registry_job(spark, logs, tables, ckpt, trigger={"availableNow": True}):
         q.awaitTermination()
-    publish_events(spark, sf_dir, logs, n_files)
+    publish_events(spark, sf_dir, logs, n_files, fmt)
     q = serve_stream(spark, logs, tables, ckpt, latency=demo.latency, quorum=quorum,
-                     trigger={"availableNow": True}, max_files_per_trigger=1)
+                     trigger={"availableNow": True}, max_files_per_trigger=1, fmt=fmt)
     q.awaitTermination()
     return read_table(spark, tables.results, schemas.RESULTS)
 

@@ -65,10 +65,10 @@ RESPONSES = T.StructType([
 RESPONSE_COLS = RESPONSES.fieldNames()
 
 
-def measurements_from_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+def measurements_from_log(log: DataFrame, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
     """Decoded measurement log -> (measurements, quarantine).  The source
     position is the measurement id and the log time its time."""
-    good, bad = split_bad(decode_measurements(log))
+    good, bad = split_bad(decode_measurements(log, fmt))
     meas = good.select(F.col("offset").alias("event_id"),
                        F.col("timestamp").cast("timestamp_ntz").alias("ts"),
                        "data_type", "utilization", "label")
@@ -100,16 +100,16 @@ class ServeBatch:
 
     def __init__(self, tables: Tables, latency: Callable[[], Column] | None = None,
                  quorum="all", scorer: str = "linear",
-                 bucket_seconds: int = DEFAULT_WINDOW_BUCKET_SECONDS):
+                 bucket_seconds: int = DEFAULT_WINDOW_BUCKET_SECONDS, fmt: str = "json"):
         self.tables, self.latency, self.quorum = tables, latency, quorum
-        self.scorer, self.bucket_seconds = scorer, bucket_seconds
+        self.scorer, self.bucket_seconds, self.fmt = scorer, bucket_seconds, fmt
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         t = self.tables
         batch = batch.persist()
         try:
-            meas, bad = measurements_from_log(batch)
+            meas, bad = measurements_from_log(batch, self.fmt)
             write_batch(bad.withColumn("value", F.col("value").cast("string")),
                         t.quarantine, batch_id)
             reg = prepare_registry(registry_table(spark, t))
@@ -135,10 +135,10 @@ class ServeBatch:
 def serve_stream(spark: SparkSession, logs: LogConfig, tables: Tables, checkpoint: str,
                  latency: Callable[[], Column] | None = None, quorum="all",
                  trigger: dict | None = None, max_files_per_trigger: int | None = None,
-                 scorer: str = "linear"):
+                 scorer: str = "linear", fmt: str = "json"):
     """Start the serving query (E2); returns its handle."""
     src = read_log(spark, logs, DATA_TOPIC, start="earliest" if logs.root else "latest",
                    max_files_per_trigger=max_files_per_trigger)
-    return (src.writeStream.foreachBatch(ServeBatch(tables, latency, quorum, scorer))
+    return (src.writeStream.foreachBatch(ServeBatch(tables, latency, quorum, scorer, fmt=fmt))
             .option("checkpointLocation", f"{checkpoint}/serve")
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())

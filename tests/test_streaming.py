@@ -111,3 +111,7 @@ def test_processing_time_collector_decides_every_request(spark):
     assert got.get("complete", 0) == exp_complete
     assert got.get("deadline", 0) + got.get("timeout", 0) == exp_deadline
     assert got.get("no_model", 0) == exp_none
+
+
+def test_serve_stream_protobuf_log_equals_batch(spark):
+    assert _same(run(spark, SF_SMALL, n_files=2, fmt="pb"), q_serve(spark, SF_SMALL))
