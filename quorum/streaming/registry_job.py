@@ -38,18 +38,18 @@ def config_table(spark: SparkSession, tables: Tables) -> DataFrame:
     return read_table(spark, tables.config, schemas.CONFIG)
 
 
-def _models_batch(tables: Tables):
+def _models_batch(tables: Tables, fmt: str = "json"):
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_bad(decode_models(batch))
+        good, bad = split_bad(decode_models(batch, fmt))
         write_batch(good.select(*schemas.REGISTRY.fieldNames()), tables.registry, batch_id)
         write_batch(bad.withColumn("value", F.col("value").cast("string")),
                     tables.models_quarantine, batch_id)
     return handle
 
 
-def _config_batch(tables: Tables):
+def _config_batch(tables: Tables, fmt: str = "json"):
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_bad(decode_config(batch))
+        good, bad = split_bad(decode_config(batch, fmt))
         write_batch(good.select(*schemas.CONFIG.fieldNames()), tables.config, batch_id)
         write_batch(bad.withColumn("value", F.col("value").cast("string")),
                     tables.config_quarantine, batch_id)
@@ -57,14 +57,15 @@ def _config_batch(tables: Tables):
 
 
 def registry_job(spark: SparkSession, logs: LogConfig, tables: Tables, checkpoint: str,
-                 trigger: dict | None = None):
-    """Start the two registry queries; returns their handles."""
+                 trigger: dict | None = None, fmt: str = "json"):
+    """Start the two registry queries; returns their handles.  ``fmt`` as in
+    ``quorum.functions.decode`` (proto3 descriptors carry no ``thr``: 0)."""
     trig = trigger or {"processingTime": "5 seconds"}
     qm = (read_log(spark, logs, MODELS_TOPIC, start="earliest").writeStream
-          .foreachBatch(_models_batch(tables))
+          .foreachBatch(_models_batch(tables, fmt))
           .option("checkpointLocation", f"{checkpoint}/models").trigger(**trig).start())
     qc = (read_log(spark, logs, CONFIG_TOPIC, start="earliest").writeStream
-          .foreachBatch(_config_batch(tables))
+          .foreachBatch(_config_batch(tables, fmt))
           .option("checkpointLocation", f"{checkpoint}/config").trigger(**trig).start())
     return [qm, qc]
 
