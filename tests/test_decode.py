@@ -83,6 +83,9 @@ def test_protobuf_models_and_config(spark):
     out = {r["offset"]: r for r in decode_models_pb(raw).collect()}
     assert not out[0]["_bad"] and out[0]["name"] == "m_3" and out[0]["model_type"] == 1
     assert out[0]["width"] == 8 and out[1]["_bad"]
+    from quorum.functions.decode import decode_models, split_bad
+    good, _ = split_bad(decode_models(raw, fmt="pb"))
+    assert good.select(*schemas.REGISTRY.fieldNames()).count() == 1
     c = decode_config_pb(spark.createDataFrame([(None, sd.SerializeToString(), "s", 0, 0, None)],
                                                schemas.LOG)).first()
     assert (c["data_type"], c["tmout_ms"], c["_bad"]) == ("cpu", 90, False)
