@@ -115,3 +115,12 @@ def test_processing_time_collector_decides_every_request(spark):
 
 def test_serve_stream_protobuf_log_equals_batch(spark):
     assert _same(run(spark, SF_SMALL, n_files=2, fmt="pb"), q_serve(spark, SF_SMALL))
+
+
+def test_stateful_collector_quorum_one_equals_batch(spark):
+    from quorum.plans.catalog import _results
+    from quorum.streaming.demo_run import run_with_collector
+    res, late = run_with_collector(spark, SF_SMALL, n_files=1, quorum=1)
+    assert _same(res, _results(spark, SF_SMALL, 1))
+    exp_late = late_responses(_rows(spark, SF_SMALL), 1).select("event_id", "data_model")
+    assert _same(late.select("event_id", F.col("late_model").alias("data_model")), exp_late)
