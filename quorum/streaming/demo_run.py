@@ -22,7 +22,7 @@ from quorum.sources.logs import CONFIG_TOPIC, DATA_TOPIC, MODELS_TOPIC, LogConfi
 from quorum.sources.tables import measurements
 from quorum.streaming.registry_job import Tables, config_payloads, model_payloads, registry_job
 from quorum.streaming.collector import FLUSH_GUID, OUTPUT, collect_stream
-from quorum.streaming.serve_stream import RESPONSES, serve_stream
+from quorum.streaming.serve_stream import RESPONSES, responses_stream, serve_stream
 from quorum.streaming.tables import read_table
 
 
@@ -91,8 +91,7 @@ def run_collector(spark: SparkSession, tables: Tables, ckpt: str, quorum="all",
                            else F.lit(None).cast(f.dataType).alias(f.name)
                            for f in RESPONSES.fields])
         far.write.mode("overwrite").parquet(f"{tables.responses}/batch_id=-1")
-    src = (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
-           .parquet(tables.responses))
+    src = responses_stream(spark, tables)
     with rocksdb_state(spark):
         q = (collect_stream(src, quorum).writeStream.format("parquet")
              .option("path", tables.collected).option("checkpointLocation", f"{ckpt}/collector")

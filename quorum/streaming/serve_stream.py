@@ -39,7 +39,7 @@ from quorum.operators.window import DEFAULT_WINDOW_BUCKET_SECONDS, last_n_window
 from quorum.plans.serve import max_width, routed_rows, score_rows
 from quorum.sources.logs import DATA_TOPIC, LogConfig, read_log
 from quorum.streaming.registry_job import Tables, config_table, registry_table
-from quorum.streaming.tables import read_batch, write_batch
+from quorum.streaming.tables import ensure_dir, read_batch, write_batch
 
 CARRY = T.StructType([
     T.StructField("data_model", T.StringType()),
@@ -142,3 +142,11 @@ def serve_stream(spark: SparkSession, logs: LogConfig, tables: Tables, checkpoin
     return (src.writeStream.foreachBatch(ServeBatch(tables, latency, quorum, scorer, fmt=fmt))
             .option("checkpointLocation", f"{checkpoint}/serve")
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+
+
+def responses_stream(spark: SparkSession, tables: Tables) -> DataFrame:
+    """The ``responses`` table as a stream (input of the stateful collector);
+    the folder is created first, so the collector may start before serving."""
+    ensure_dir(tables.responses)
+    return (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
+            .parquet(tables.responses))
