@@ -63,13 +63,16 @@ def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
                   order: Sequence[str] = ("ts", "event_id"), ts: str = "ts",
                   out: str = "window",
                   bucket_seconds: int | None = DEFAULT_WINDOW_BUCKET_SECONDS,
-                  bucket: Column | None = None) -> DataFrame:
+                  bucket: Column | None = None,
+                  tail_source: DataFrame | None = None) -> DataFrame:
     """Add ``out`` (``array<value type>`` or NULL) to ``df``.  With
     ``width=None`` ``out`` holds up to the last ``max_width`` values, to be cut
     later with ``last_values`` (the width can then join in after the shuffle).
 
     ``bucket_seconds=None`` keeps one partition per version (no split).
-    ``bucket`` overrides the time bucket; it must not decrease along ``order``."""
+    ``bucket`` overrides the time bucket; it must not decrease along ``order``.
+    ``tail_source``: the same rows (partition, order, ``ts`` and ``value``
+    columns) from a cheaper plan, used for the tail branch instead of ``df``."""
     W = int(max_width)
     if W < 1:
         raise ValueError("max_width must be >= 1")
@@ -90,7 +93,16 @@ def last_n_window(df: DataFrame, value: Column | str, width: Column | str | int,
         # lets Spark limit each group map-side (WindowGroupLimit) before the
         # exchange, so this branch shuffles at most W-1 rows per group and task.
         rev = Window.partitionBy(*part, "__b").orderBy(*[F.col(o).desc() for o in order])
-        tails = (d.select(*part, "__b", *order, "__v")
+        if tail_source is not None:
+            if bucket is not None or not isinstance(value, str):
+                raise ValueError("tail_source needs a column name value and time buckets")
+            cols = list(dict.fromkeys([*part, *order, ts, value]))
+            src = tail_source.select(*cols).withColumns({
+                "__b": time_bucket(ts, bucket_seconds),
+                "__v": F.struct(F.col(value).alias("v"))})
+        else:
+            src = d
+        tails = (src.select(*part, "__b", *order, "__v")
                  .withColumn("__rd", F.row_number().over(rev))
                  .filter(F.col("__rd") <= W - 1))
         seq = Window.partitionBy(*part).orderBy(*order)

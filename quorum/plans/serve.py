@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from quorum.functions.columns import standardize
 from quorum.operators.asof import (DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS,
-                                   row_bytes)
+                                   interval_join, row_bytes)
 from quorum.operators.collect import collect_vote, with_answers
 from quorum.operators.route import (DEFAULT_TIMEOUT_MS, _version_cols, prepare_registry,
-                                    route_requests, with_timeout)
+                                    route_requests, version_intervals, with_timeout)
 from quorum.operators.score import score_linear, score_with, scorers
 from quorum.operators.window import DEFAULT_WINDOW_BUCKET_SECONDS, last_n_window, last_values
 
@@ -115,8 +115,18 @@ def scored_requests(measurements: DataFrame, registry: DataFrame,
     rows = routed_rows(measurements, reg, config, default_timeout_ms, strategy,
                        max_broadcast_rows, cfg_strategy)
     if strategy == "broadcast":
+        # the window's tail branch needs only (version, time, z): feed it from
+        # the scan and the version-interval join, without deadline and epochs
+        tails = None
+        if bucket_seconds:
+            iv = version_intervals(reg).select("data_type", "valid_from", "valid_to",
+                                               "data_model", "version", "mean", "std")
+            src = measurements.select("event_id", "ts", "data_type", "utilization")
+            tails = (interval_join(src, iv, ["data_type"], "ts", how="inner")
+                     .select("data_model", "version", "ts", "event_id",
+                             standardize("utilization", "mean", "std").alias("z")))
         rows = last_n_window(rows.select(*SLIM_COLS), "z", None, W, out="__vals",
-                             bucket_seconds=bucket_seconds)
+                             bucket_seconds=bucket_seconds, tail_source=tails)
         rows = rows.join(F.broadcast(version_attrs(reg)), ["data_model", "version"], "left")
     else:
         rows = last_n_window(rows, "z", None, W, out="__vals", bucket_seconds=bucket_seconds)
