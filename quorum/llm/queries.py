@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quorum.llm import (bpe, chat, decontaminate, licenses, quality, simhash, sitetree, substrings,
+from quorum.llm import (bpe, chat, decontaminate, licenses, ngrams, quality, simhash, sitetree, substrings,
                         templates)
 from quorum.llm.common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_ngram_trie(spark, sf_dir):
+    return ngrams.report(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.report(read(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_site_tree(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_chat_format, op4_substring_dedup, op5_license_scan, op6_quality_rules,
+    op1_ngram_trie, op2_simhash, op3_chat_format, op4_substring_dedup, op5_license_scan, op6_quality_rules,
     op7_byte_bpe, op8_line_templates, op9_decontaminate, op10_site_tree)}
