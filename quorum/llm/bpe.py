@@ -274,15 +274,16 @@ def _tokenizer(path: str, pattern: str) -> Tokenizer:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
-           digests: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (array of ints) and ``n_tokens``; with
-    ``digests`` instead the hashes of ids and of the decoded bytes.  The file
-    ``vocabulary`` (about 1 MB) is sent along for nodes that lack it."""
+           ids: bool = True, digests: bool = False) -> DataFrame:
+    """``docs`` with ``n_tokens``, with ``ids`` (array of ints) and with
+    ``digests``: the hashes of the ids and of the bytes decoded from them.
+    The file ``vocabulary`` (about 1 MB) is sent along for nodes that lack it."""
     docs.sparkSession.sparkContext.addFile(vocabulary)
     ids_c, n_c, sha_c, back_c = (fresh_name(docs, c) for c in (
         "ids", "n_tokens", "ids_sha256", "decoded_sha256"))
-    new = ({n_c: F.lit(0).cast("long"), sha_c: F.lit(""), back_c: F.lit("")} if digests else
-           {n_c: F.lit(0).cast("long"), ids_c: F.array().cast("array<int>")})
+    new = {n_c: F.lit(0).cast("long")}
+    new |= {ids_c: F.array().cast("array<int>")} if ids else {}
+    new |= {sha_c: F.lit(""), back_c: F.lit("")} if digests else {}
     df = docs.withColumns(new)
 
     def run(batches):
@@ -292,13 +293,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
             names = batch.schema.names
             out = {c: [] for c in new}
             for value in batch.column(names.index(text_col)):
-                ids = tok.encode(value.as_py() or "")
-                out[n_c].append(len(ids))
+                got = tok.encode(value.as_py() or "")
+                out[n_c].append(len(got))
                 if digests:
-                    out[sha_c].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    out[back_c].append(hashlib.sha256(tok.decode(ids).encode()).hexdigest())
-                else:
-                    out[ids_c].append(ids.astype(np.int32))
+                    out[sha_c].append(hashlib.sha256(got.tobytes()).hexdigest())
+                    out[back_c].append(hashlib.sha256(tok.decode(got).encode()).hexdigest())
+                if ids:
+                    out[ids_c].append(got.astype(np.int32))
             cols = {c: pa.array(v, df_types[c]) for c, v in out.items()}
             yield pa.RecordBatch.from_arrays(
                 [cols[c] if c in cols else batch.column(i) for i, c in enumerate(names)], names=names)
@@ -327,4 +328,4 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids
 
 def report(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encode(docs.select("doc_id", "text"), vocabulary, pattern, digests=True).drop("text")
+    return encode(docs.select("doc_id", "text"), vocabulary, pattern, ids=False, digests=True).drop("text")
