@@ -284,14 +284,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     new = {n_c: F.lit(0).cast("long")}
     new |= {ids_c: F.array().cast("array<int>")} if ids else {}
     new |= {sha_c: F.lit(""), back_c: F.lit("")} if digests else {}
-    df = docs.withColumns(new)
+    df, added = docs.withColumns(new), list(new)
 
     def run(batches):
         tok = _tokenizer(vocabulary, pattern)
         gc.disable()            # the tables hold no cycles, and scanning them costs half the time
         for batch in batches:
             names = batch.schema.names
-            out = {c: [] for c in new}
+            out = {c: [] for c in added}
             for value in batch.column(names.index(text_col)):
                 got = tok.encode(value.as_py() or "")
                 out[n_c].append(len(got))
