@@ -49,9 +49,9 @@ from quorum.llm.eliasfano import EliasFano, Quantised
 from quorum.llm.substrings import pack, unpack
 
 HEADS = 1 << 18
-SHARD_EVENTS = 2_000_000
+SHARD_EVENTS = 1_200_000
 MIN_SHARDS = 96
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 START, END = np.uint64(0), np.uint64(1)
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
