@@ -9,7 +9,7 @@ knows the last token.  A later token can only begin where the bytes up to now
 are a proper prefix of some vocabulary entry; the tokens that the paths to
 all such places share are certain and leave the state, so lookahead is
 bounded by the longest entry.  States and transitions are made when first
-met and kept; the tables are emptied when they pass ``MAX_STATES``.
+met and kept, up to ``MAX_STATES``.
 
 Decoding maps ids to bytes; :class:`Utf8Stream` is an incremental UTF-8
 machine over chunks that may end inside a character.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import fresh_name, map_batches
 
-MAX_STATES = 300_000
-MAX_PIECES = 250_000
+MAX_STATES = 150_000
+MAX_PIECES = 400_000
 MAX_PIECE = 40
 
 
@@ -93,17 +93,17 @@ class Transducer:
         self.index: dict[tuple, int] = {}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self.start = self._state(-1, b"", (), ())
-
-    def _state(self, prev: int, pending: bytes, lasts: tuple, live: tuple) -> int:
-        """A state: the last token emitted, the bytes since, the last token
-        of each prefix of them, and the places with their trie nodes (one
-        after the other) where a vocabulary entry may be under way."""
-        key = (prev, pending)
-        at = self.index.get(key)
+        self.start = self._keep((-1, b"", (), ()))
+        self.passing = 0
+
+    def _keep(self, state: tuple) -> int:
+        """The number of a state.  A state is: the last token emitted, the
+        bytes since, the last token of each prefix of them, and the places
+        with their trie nodes where a vocabulary entry may be under way."""
+        at = self.index.get(state[:2])
         if at is None:
-            at = self.index[key] = len(self.states)
-            self.states.append((prev, pending, lasts, live))
+            at = self.index[state[:2]] = len(self.states)
+            self.states.append(state)
         return at
 
     def pair_ok(self, a: int, b: int) -> bool:
@@ -125,9 +125,9 @@ class Transducer:
             n -= size[lasts[n - 1]]
         return out
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """The transition of ``state`` on ``byte``: next state, ids emitted."""
-        prev, pending, lasts, live = self.states[state]
+        prev, pending, lasts, live = state
         m = self.m
         child, rank_at, inner = m.child, m.rank_at, m.inner
         last, going = -1, []
@@ -147,39 +147,58 @@ class Transducer:
         pending += bytes((byte,))
         lasts += (last,)
         if going and not going[0][0]:        # an entry may still begin where the state does
-            return self._state(prev, pending, lasts, tuple(going)), ()
+            return (prev, pending, lasts, tuple(going)), ()
         shared = self.path(lasts, len(pending))      # on the paths to all later boundaries
         for s, _ in going:
             other = set(self.path(lasts, s))
             shared = [n for n in shared if n in other]
             if not shared:
-                return self._state(prev, pending, lasts, tuple(going)), ()
+                return (prev, pending, lasts, tuple(going)), ()
         cut = shared[0]
-        return (self._state(lasts[cut - 1], pending[cut:], lasts[cut:],
-                            tuple([(s - cut, node) for s, node in going])),
+        return ((lasts[cut - 1], pending[cut:], lasts[cut:], tuple([(s - cut, node) for s, node in going])),
                 tuple([lasts[n - 1] for n in reversed(shared)]))
 
     def encode(self, raw: bytes) -> list[int]:
-        """Ids of one piece."""
-        if len(self.states) > MAX_STATES:
+        """Ids of one piece.  With the tables full, steps from states not in
+        them are made in passing; after many such steps they start anew."""
+        if self.passing > 4 * MAX_STATES:
             self.reset()
-        state, out, steps = self.start, [], self.steps
+        at, out, steps = self.start, [], self.steps
+        state = None                         # the state, where it has no number
         for byte in raw:
-            key = byte << 32 | state
-            move = steps.get(key)
-            if move is None:
-                move = steps[key] = self.step(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        tail = self.ends.get(state)
-        if tail is None:
-            lasts = self.states[state][2]
-            tail = self.ends[state] = tuple(
-                [lasts[n - 1] for n in reversed(self.path(lasts, len(lasts)))])
+            if state is None:
+                key = byte << 32 | at
+                move = steps.get(key)
+                if move is not None:
+                    at, ids = move
+                    if ids:
+                        out += ids
+                    continue
+                state, ids = self.step(self.states[at], byte)
+                if len(self.states) < MAX_STATES:
+                    at, state = self._keep(state), None
+                    steps[key] = at, ids
+                    out += ids
+                    continue
+            else:
+                state, ids = self.step(state, byte)
+            self.passing += 1
+            out += ids
+            known = self.index.get(state[:2])
+            if known is not None:
+                at, state = known, None
+        if state is None:
+            tail = self.ends.get(at)
+            if tail is None:
+                tail = self.ends[at] = self._tail(self.states[at][2])
+        else:
+            tail = self._tail(state[2])
         out += tail
         return out
 
+    def _tail(self, lasts: tuple) -> tuple[int, ...]:
+        return tuple([lasts[n - 1] for n in reversed(self.path(lasts, len(lasts)))])
+
 
 class Utf8Stream:
     """Incremental UTF-8: feed chunks, get text; a character may span chunks.
