@@ -116,12 +116,14 @@ def recurring(rows: DataFrame, rid: str, text_col: str = "text", min_docs: int =
     places = distinct.select("leaf", "h", "docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(
         (F.col("n") >= limit) & ~F.contains(F.col("token"), F.lit("#"))).select("leaf", "place", "token")
-    fixed = places.join(constant, ["leaf", "place", "token"]).groupBy("h").agg(
-        F.array_sort(F.collect_list(F.struct("place", "token"))).alias("fixed"))
-    template = F.xxhash64("leaf", "fixed")
-    templates = distinct.join(fixed, "h").where(
+    # per leaf, its constants: at most leaf documents / limit of them at each place
+    per_leaf = constant.groupBy("leaf").agg(F.collect_list(
+        F.concat_ws(" ", "place", "token")).alias("constants"))
+    fixed = F.filter(F.transform(F.split("line", " "), lambda t, i: F.concat_ws(" ", i, t)),
+                     lambda x: F.array_contains("constants", x))
+    templates = distinct.join(per_leaf, "leaf").withColumn("fixed", fixed).where(
         F.size("fixed") >= F.lit(similarity) * n_tokens(F.col("line"))).select(
-        "h", template.alias("template"))
+        "h", F.xxhash64("leaf", "fixed").alias("template"))
     seen = once.join(templates, "h").select("rid", "around", "template")
     n_docs = seen.select("rid", "template").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     n_around = seen.select("around", "template").distinct().groupBy("template").agg(
