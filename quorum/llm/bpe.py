@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import fresh_name, map_batches
 
-MAX_STATES = 150_000
-MAX_PIECES = 400_000
+MAX_STATES = 100_000
+MAX_PIECES = 200_000
+SLICE_ROWS = 500
 MAX_PIECE = 40
 
 
@@ -308,7 +309,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     def run(batches):
         tok = _tokenizer(vocabulary, pattern)
         gc.disable()            # the tables hold no cycles, and scanning them costs half the time
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             names = batch.schema.names
             out = {c: [] for c in added}
             for value in batch.column(names.index(text_col)):

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-HASH_BYTES = 1 << 20
-BLOCK_BYTES = 4 << 20
+HASH_BYTES = 1 << 19
+BLOCK_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
