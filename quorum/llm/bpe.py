@@ -24,6 +24,8 @@ import base64
 import gc
 import hashlib
 import os
+import threading
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +37,11 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import fresh_name, map_batches
 
-MAX_STATES = 100_000
-MAX_PIECES = 200_000
+MAX_STATES = 150_000
+MAX_PIECES = 400_000
 SLICE_ROWS = 500
+IDLE_SECONDS = 3.0
+_idle: threading.Timer | None = None
 MAX_PIECE = 40
 
 
@@ -84,8 +88,8 @@ class Merges:
 class Transducer:
     """Reads bytes, emits token ids."""
 
-    def __init__(self, merges: Merges):
-        self.m = merges
+    def __init__(self, merges: Merges, max_states: int = MAX_STATES):
+        self.m, self.max_states = merges, max_states
         self._pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
@@ -112,7 +116,7 @@ class Transducer:
         key = (a, b)
         ok = self._pairs.get(key)
         if ok is None:
-            if len(self._pairs) > MAX_STATES:
+            if len(self._pairs) > self.max_states:
                 self._pairs.clear()
             left, right = self.m.bytes_of[a], self.m.bytes_of[b]
             ok = self._pairs[key] = self.m.merge(left + right) == [left, right]
@@ -162,7 +166,7 @@ class Transducer:
     def encode(self, raw: bytes) -> list[int]:
         """Ids of one piece.  With the tables full, steps from states not in
         them are made in passing; after many such steps they start anew."""
-        if self.passing > 4 * MAX_STATES:
+        if self.passing > 4 * self.max_states:
             self.reset()
         at, out, steps = self.start, [], self.steps
         state = None                         # the state, where it has no number
@@ -176,7 +180,7 @@ class Transducer:
                         out += ids
                     continue
                 state, ids = self.step(self.states[at], byte)
-                if len(self.states) < MAX_STATES:
+                if len(self.states) < self.max_states:
                     at, state = self._keep(state), None
                     steps[key] = at, ids
                     out += ids
@@ -251,28 +255,28 @@ class Utf8Stream:
 class Tokenizer:
     """Texts to ids and back."""
 
-    def __init__(self, path: str, pattern: str):
-        self.merges = Merges(path)
-        self.fst = Transducer(self.merges)
+    def __init__(self, path: str, pattern: str, max_pieces: int = MAX_PIECES,
+                 max_states: int = MAX_STATES):
+        self.merges, self.max_pieces = Merges(path), max_pieces
+        self.fst = Transducer(self.merges, max_states)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}     # pieces met lately,
-        self.older: dict[str, tuple[int, ...]] = {}     # and before these
+        self.known: dict[str, tuple[int, ...]] = {}     # pieces met, while there is room
+        self.passing = 0
         size = max(self.merges.bytes_of) + 1
         self.table = [self.merges.bytes_of.get(i, b"") for i in range(size)]
 
     def encode(self, text: str) -> np.ndarray:
+        if self.passing > 4 * self.max_pieces:    # pieces have changed: learn them anew
+            self.known, self.passing = {}, 0
         known, out = self.known, []
         for piece in self.pieces(text):
             ids = known.get(piece)
             if ids is None:
-                ids = self.older.get(piece)
-                if ids is None:
-                    ids = tuple(self.fst.encode(piece.encode()))
-                if len(piece) <= MAX_PIECE:
-                    if len(known) >= MAX_PIECES:
-                        self.older, self.known = known, {}
-                        known = self.known
+                ids = tuple(self.fst.encode(piece.encode()))
+                if len(known) < self.max_pieces and len(piece) <= MAX_PIECE:
                     known[piece] = ids
+                else:
+                    self.passing += 1
             out += ids
         return np.array(out, dtype="<u4")
 
@@ -287,17 +291,42 @@ class Tokenizer:
         return "".join(parts) + stream.finish()
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One tokenizer for each worker process."""
-    return Tokenizer(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
+@lru_cache(maxsize=1)
+def _tables(path: str, pattern: str, max_pieces: int, max_states: int) -> Tokenizer:
+    return Tokenizer(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)),
+                     pattern, max_pieces, max_states)
+
+
+def _release() -> None:
+    _tables.cache_clear()
+    gc.enable()
+    gc.collect()
+
+
+@contextmanager
+def _tokenizer(*key):
+    """The worker process's tokenizer, kept from task to task; a worker that
+    Spark keeps for other stages drops it after ``IDLE_SECONDS``."""
+    global _idle
+    if _idle is not None:
+        _idle.cancel()
+    gc.disable()                # the tables hold no cycles, and scanning them costs half the time
+    try:
+        yield _tables(*key)
+    finally:
+        _idle = threading.Timer(IDLE_SECONDS, _release)
+        _idle.daemon = True
+        _idle.start()
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
-           ids: bool = True, digests: bool = False) -> DataFrame:
+           ids: bool = True, digests: bool = False, max_pieces: int = MAX_PIECES,
+           max_states: int = MAX_STATES) -> DataFrame:
     """``docs`` with ``n_tokens``, with ``ids`` (array of ints) and with
     ``digests``: the hashes of the ids and of the bytes decoded from them.
-    The file ``vocabulary`` (about 1 MB) is sent along for nodes that lack it."""
+    The file ``vocabulary`` (about 1 MB) is sent along for nodes that lack it.
+    ``max_pieces`` and ``max_states`` bound a worker's tables (about 230 and
+    700 bytes each); they change its speed, not its results."""
     docs.sparkSession.sparkContext.addFile(vocabulary)
     ids_c, n_c, sha_c, back_c = (fresh_name(docs, c) for c in (
         "ids", "n_tokens", "ids_sha256", "decoded_sha256"))
@@ -307,22 +336,21 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     df, added = docs.withColumns(new), list(new)
 
     def run(batches):
-        tok = _tokenizer(vocabulary, pattern)
-        gc.disable()            # the tables hold no cycles, and scanning them costs half the time
-        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
-            names = batch.schema.names
-            out = {c: [] for c in added}
-            for value in batch.column(names.index(text_col)):
-                got = tok.encode(value.as_py() or "")
-                out[n_c].append(len(got))
-                if digests:
-                    out[sha_c].append(hashlib.sha256(got.tobytes()).hexdigest())
-                    out[back_c].append(hashlib.sha256(tok.decode(got).encode()).hexdigest())
-                if ids:
-                    out[ids_c].append(got.astype(np.int32))
-            cols = {c: pa.array(v, df_types[c]) for c, v in out.items()}
-            yield pa.RecordBatch.from_arrays(
-                [cols[c] if c in cols else batch.column(i) for i, c in enumerate(names)], names=names)
+        with _tokenizer(vocabulary, pattern, max_pieces, max_states) as tok:
+            for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
+                names = batch.schema.names
+                out = {c: [] for c in added}
+                for value in batch.column(names.index(text_col)):
+                    got = tok.encode(value.as_py() or "")
+                    out[n_c].append(len(got))
+                    if digests:
+                        out[sha_c].append(hashlib.sha256(got.tobytes()).hexdigest())
+                        out[back_c].append(hashlib.sha256(tok.decode(got).encode()).hexdigest())
+                    if ids:
+                        out[ids_c].append(got.astype(np.int32))
+                cols = {c: pa.array(v, df_types[c]) for c, v in out.items()}
+                yield pa.RecordBatch.from_arrays(
+                    [cols[c] if c in cols else batch.column(i) for i, c in enumerate(names)], names=names)
 
     df_types = {n_c: pa.int64(), sha_c: pa.string(), back_c: pa.string(), ids_c: pa.list_(pa.int32())}
     return map_batches(df, run, df.schema)
@@ -335,13 +363,13 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids
     df = tokens.withColumn(out, F.lit(""))
 
     def run(batches):
-        tok = _tokenizer(vocabulary, pattern)
-        for batch in batches:
-            names = batch.schema.names
-            texts = pa.array([tok.decode(v.as_py() or []) for v in
-                              batch.column(names.index(ids_col))], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [texts if c == out else batch.column(i) for i, c in enumerate(names)], names=names)
+        with _tokenizer(vocabulary, pattern, MAX_PIECES, MAX_STATES) as tok:
+            for batch in batches:
+                names = batch.schema.names
+                texts = pa.array([tok.decode(v.as_py() or []) for v in
+                                  batch.column(names.index(ids_col))], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [texts if c == out else batch.column(i) for i, c in enumerate(names)], names=names)
 
     return map_batches(df, run, df.schema)
 
