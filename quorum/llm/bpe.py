@@ -39,7 +39,7 @@ from quorum.llm.common import fresh_name, map_batches
 
 MAX_STATES = 150_000
 MAX_PIECES = 400_000
-SLICE_ROWS = 500
+SLICE_ROWS = 250
 IDLE_SECONDS = 3.0
 _idle: threading.Timer | None = None
 MAX_PIECE = 40

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,6 +32,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a row number in ``name`` that is the same in each pass.
+
+    Rows read straight from files are numbered by partition and place, which
+    repeat; other frames are written first."""
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    if "_metadata" not in docs.columns:
+        try:
+            docs.select("_metadata.file_path")       # resolves only over a file scan
+            return rows
+        except AnalysisException:
+            pass
+    return saved(rows, "rows")
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with the package available to the workers."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import SPACE_PATTERN, WHITE, fresh_name, saved
+from quorum.llm.common import SPACE_PATTERN, WHITE, fresh_name, numbered, saved
 
 MIN_WORDS = 50
 WINDOW = 3
@@ -168,7 +168,7 @@ def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", **l
     """``docs`` without its rejected rows and without frequent lines; texts
     that hold no frequent line stay as they are."""
     rid = fresh_name(docs, "row_")
-    rows = saved(docs.withColumn(rid, F.monotonically_increasing_id()), "documents")
+    rows = numbered(docs, rid)
     verdicts, frequent = judge(rows, text_col, host_col, keep=[rid], **limits)
     hit = (verdicts.where("kept and removed_words > 0")
            .select(F.col(rid).alias("r_"), "host", F.explode("lines_.h").alias("h"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import fresh_name, map_batches, saved
+from quorum.llm.common import fresh_name, map_batches, numbered, saved
 from quorum.llm.components import components
 
 BITS = 64
@@ -178,9 +178,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the
     smallest id (of repeated rows, one).  A null id sorts last."""
-    rows = saved(docs.withColumn(fresh_name(docs, "row_number_"), F.monotonically_increasing_id()),
-                 "rows")
-    rid = rows.columns[-1]
+    rid = fresh_name(docs, "row_number_")
+    rows = numbered(docs, rid)
     ids = rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"),
                                F.col(rid).alias("r")).alias("id"), F.col(text_col).alias("text"))
     groups = near_duplicates(ids, "id", "text", shingle, radius)

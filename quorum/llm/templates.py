@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import SPACE_PATTERN, fresh_name, saved
+from quorum.llm.common import SPACE_PATTERN, fresh_name, numbered, saved
 
 LEAD = 3
 MIN_TOKENS = 3
@@ -136,7 +136,7 @@ def recurring(rows: DataFrame, rid: str, text_col: str = "text", min_docs: int =
 def drop_lines(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """``docs`` without the lines of recurring templates."""
     rid = fresh_name(docs, "row_")
-    rows = saved(docs.withColumn(rid, F.monotonically_increasing_id()), "documents")
+    rows = numbered(docs, rid)
     _, lines, templates = recurring(rows, rid, text_col, **limits)
     gone = (lines.select("rid", "h").join(templates.select("h"), "h", "left_semi")
             .groupBy("rid").agg(F.collect_set("h").alias("gone_")).withColumnRenamed("rid", "r_"))
