@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and digests of the encoded texts."""
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN,
-                      digests=True, max_pieces=80_000, max_states=30_000).select("doc_id", "lang", "source", "n_tokens", "ids",
+                      digests=True, max_pieces=200_000, max_states=80_000).select("doc_id", "lang", "source", "n_tokens", "ids",
                                            "ids_sha256", "decoded_sha256")
 
 

@@ -34,7 +34,7 @@ MIN_DOCS = 10
 MIN_SHARE = 0.001
 SIMILARITY = 0.5
 MIN_CONTEXTS = 0.5
-BITMAP_BYTES = 1 << 20
+BITMAP_BYTES = 1 << 16
 _FIELD = "<*>"
 
 
