@@ -51,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
           ("decontamination", decontamination), ("tokens", tokens)]
 
-#: hashes, components and the merge rule have no SQL form; tests hold each stage to brute force
+#: hashes, components and the merge rule have no SQL form; tests/llm holds the operators to brute force
 ORACLE_SQL = None
 
 
