@@ -27,6 +27,18 @@ REGISTRY_ROWS = [
     ("view", "m1", "view late", 0, "2024-01-20", 2, 50.0, 50.0, 0.0, 1),
 ]
 
+# The same registry as a publisher with retries leaves it: a message delivered
+# twice, two versions at one time (the later line holds), and versions of a
+# type without a scorer registered over versions that serve
+REPLAYED_ROWS = REGISTRY_ROWS + [
+    ("click", "m1", "click short v2", 0, "2024-01-15", 2, 50.0, 50.0, 0.1, 1),
+    ("click", "m2", "click mid", 0, "2024-01-10", 4, 50.0, 25.0, 0.2, 2),
+    ("click", "m2", "click mid, tie", 0, "2024-01-10", 4, 50.0, 25.0, -0.4, 2),
+    ("error", "m1", "error pmml", 1, "2024-01-10", 3, 50.0, 50.0, 0.0, 1),
+    ("view", "m1", "view pmml", 1, "2024-01-18", 2, 50.0, 50.0, 0.0, 1),
+    ("purchase", "p2", "purchase p2 served", 0, "2024-01-12", 2, 50.0, 50.0, 0.0, 2),
+]
+
 # Fixed values (FIXTURES.md section 4): timeout config
 # (data_type, tmout_ms, effective_at)
 CONFIG_ROWS = [
@@ -48,10 +60,10 @@ def _values(spark: SparkSession, rows_sql: str, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def registry(spark: SparkSession) -> DataFrame:
+def registry(spark: SparkSession, rows=REGISTRY_ROWS) -> DataFrame:
     vals = ", ".join(
         f"('{r[0]}', '{r[1]}', '{r[2]}', {r[3]}, TIMESTAMP_NTZ '{r[4]} 00:00:00', "
-        f"{r[5]}, {r[6]}D, {r[7]}D, {r[8]}D, {r[9]})" for r in REGISTRY_ROWS)
+        f"{r[5]}, {r[6]}D, {r[7]}D, {r[8]}D, {r[9]})" for r in rows)
     names = ", ".join(f.name for f in schemas.REGISTRY.fields)
     return _values(spark, f"SELECT * FROM VALUES {vals} AS t({names})", schemas.REGISTRY)
 
@@ -70,10 +82,10 @@ def latency() -> Column:
 
 # SQL renderings of the same rows, for the DuckDB oracle ---------------------
 
-def registry_sql() -> str:
+def registry_sql(rows=REGISTRY_ROWS) -> str:
     vals = ",\n    ".join(
         f"('{r[0]}', '{r[1]}', '{r[2]}', {r[3]}, TIMESTAMP '{r[4]} 00:00:00', "
-        f"{r[5]}, {r[6]}, {r[7]}, {r[8]}, {r[9]})" for r in REGISTRY_ROWS)
+        f"{r[5]}, {r[6]}, {r[7]}, {r[8]}, {r[9]})" for r in rows)
     return (f"SELECT * FROM (VALUES\n    {vals}) AS t(data_type, name, description, "
             "model_type, registered_at, width, mean, std, thr, ord)")
 

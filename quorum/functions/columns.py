@@ -34,6 +34,16 @@ def request_guid(*cols) -> Column:
     return F.sha2(key, 256)
 
 
+def source_id(partition="partition", offset="offset") -> Column:
+    """Position in a topic as one number: ``partition * 2**44 + offset``, so that
+    offsets of different partitions never meet.  A partition above 2**19 or
+    an offset above 2**44 has no number and stops the job."""
+    p, o = F.coalesce(_c(partition), F.lit(0)).cast("long"), _c(offset).cast("long")
+    fits = (p >= 0) & (p < F.lit(1 << 19)) & (o >= 0) & (o < F.lit(1 << 44))
+    return (F.when(o.isNull() | fits, p * F.lit(1 << 44) + o)
+            .otherwise(F.raise_error(F.lit("log position out of range")).cast("long")))
+
+
 def standardize(value, mean, std) -> Column:
     """``((v - mean) / std)`` as float; NULL when std is 0."""
     return F.try_divide(_c(value) - _c(mean), _c(std)).cast("float")

@@ -65,7 +65,8 @@ def decode_measurements(raw: DataFrame, fmt: str = "json", desc_file: str | None
 
 def decode_models(raw: DataFrame, fmt: str = "json", desc_file: str | None = None) -> DataFrame:
     """Log rows -> registry rows (P2): blanks in names become ``_``, the
-    preprocessing block is flattened; a location-only model is bad."""
+    preprocessing block is flattened; a descriptor without model data is bad
+    (by location only, or neither)."""
     if fmt == "pb":
         from quorum.functions.wire import decode_models_pb
         d = decode_models_pb(raw)
@@ -77,7 +78,6 @@ def decode_models(raw: DataFrame, fmt: str = "json", desc_file: str | None = Non
     reg_at = F.coalesce(F.to_timestamp_ntz(p["registeredAt"]),
                         F.col("timestamp").cast("timestamp_ntz")) \
         if "timestamp" in raw.columns else F.to_timestamp_ntz(p["registeredAt"])
-    located = p["data"].isNull() & p["location"].isNotNull()
     return raw.select(
         *_source_cols(raw), "value",
         F.coalesce(p["dataType"], F.lit("")).alias("data_type"),
@@ -91,7 +91,7 @@ def decode_models(raw: DataFrame, fmt: str = "json", desc_file: str | None = Non
         F.coalesce(p["thr"], F.lit(0.0)).alias("thr"),
         F.coalesce(p["ord"], F.lit(0)).alias("ord"),
         p["data"].alias("data"),
-        (bad | F.coalesce(located, F.lit(False))).alias("_bad"),
+        (bad | p["data"].isNull()).alias("_bad"),
     )
 
 

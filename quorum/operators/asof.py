@@ -33,10 +33,15 @@ DEFAULT_BUCKET_SECONDS = 3600
 
 
 def row_bytes(df: DataFrame) -> Column:
-    """Approximate size of a row: bytes of strings/binaries, 8 per other field."""
-    parts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
-             if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
-             for f in df.schema.fields]
+    """Approximate size of a row: bytes of strings and binaries, the bytes of
+    their text form for arrays, maps and structs, 8 per other field."""
+    def size(f):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f.name)))), F.lit(0))
+        return F.lit(8)
+    parts = [size(f).cast("long") for f in df.schema.fields]
     return sum(parts[1:], parts[0]) if parts else F.lit(0)
 
 

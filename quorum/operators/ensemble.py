@@ -36,7 +36,8 @@ class SliceModel:
             w = F.array(*[F.lit(float(x)) for x in self.weights])
             s = F.aggregate(F.zip_with(sl, w, lambda x, y: x.cast("double") * y),
                             F.lit(0.0).cast("double"), lambda a, x: a + x)
-        return s + F.lit(float(self.bias))
+        # a vector that ends before the slice does has no logit
+        return F.when(F.size(sl) == self.length, s + F.lit(float(self.bias)))
 
     def score(self, vec: Column) -> Column:
         return argmax2(F.lit(0.0), self.logit(vec))

@@ -26,15 +26,40 @@ from quorum.operators.asof import (DEFAULT_MAX_BROADCAST_ROWS, asof_join, fits_b
 DEFAULT_TIMEOUT_MS = 150
 SUPPORTED_MODEL_TYPES = (0,)
 
+# tells versions of one model and time apart when the log order is unknown
+VERSION_ORDER = ["description", "model_type", "width", "mean", "std", "thr", "ord"]
+
 Routed = namedtuple("Routed", "starts requests no_model")
 
 
 def prepare_registry(registry: DataFrame) -> DataFrame:
-    """Add ``data_model`` (P5) and ``version`` (= registration time)."""
+    """Add ``data_model`` (P5) and ``version`` (= registration time), one row per
+    (model, registration time): of messages with the same time the last in
+    the log stays (``log_pos``, if the registry has it, then the row's own
+    values, so the choice never depends on the plan)."""
     if "data_model" in registry.columns:
         return registry
-    return registry.withColumns({"data_model": data_model_key("data_type", "name"),
-                                 "version": F.col("registered_at")})
+    reg = registry.withColumns({"data_model": data_model_key("data_type", "name"),
+                                "version": F.col("registered_at")})
+    keys = ["data_type", "data_model", "registered_at"]
+    rest = [c for c in reg.columns if c not in keys]
+    order = [c for c in ["log_pos", *VERSION_ORDER] if c in rest]
+    return (reg.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last"))
+            .select(*[F.col(c) if c in keys else F.col("__last")[c].alias(c)
+                      for c in reg.columns if c != "log_pos"]))
+
+
+def activated(registry: DataFrame, model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
+    """Versions that become active (J3, P7): one whose type has no scorer never
+    displaces a version that serves.  Before any servable version it stays, as
+    the known model that does not answer."""
+    w = (Window.partitionBy("data_type", "data_model").orderBy("registered_at")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    serves = F.col("model_type").isin(list(model_types))
+    return (prepare_registry(registry)
+            .withColumn("__serves", F.coalesce(serves, F.lit(False)))
+            .withColumn("__served", F.max("__serves").over(w))
+            .filter(F.col("__serves") | ~F.col("__served")).drop("__serves", "__served"))
 
 
 def servable(registry: DataFrame, model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
@@ -66,12 +91,22 @@ def known_models(registry: DataFrame) -> DataFrame:
             .withColumn("n_models", F.size("models")))
 
 
-def version_intervals(registry: DataFrame) -> DataFrame:
-    """Each version of a model is active from its registration until the next
-    version of the same model (W2)."""
-    reg = prepare_registry(registry)
-    return validity_intervals(reg, ["data_model"], "registered_at", "valid_from", "valid_to",
-                              tie=["description"])
+def model_count_epochs(registry: DataFrame) -> DataFrame:
+    """``(data_type, epoch_at, n_models)``: the number of known models from
+    ``epoch_at`` on - fixed-size rows, at most one per registry row, so that a
+    registry that fits a broadcast bounds them too."""
+    per = first_registrations(registry).groupBy("data_type", F.col("first_at").alias("epoch_at")) \
+        .agg(F.count(F.lit(1)).alias("__new"))
+    w = (Window.partitionBy("data_type").orderBy("epoch_at")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return per.select("data_type", "epoch_at", F.sum("__new").over(w).cast("int").alias("n_models"))
+
+
+def version_intervals(registry: DataFrame, model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
+    """Each activated version of a model is active from its registration until
+    the next activated version of the same model (W2)."""
+    return validity_intervals(activated(registry, model_types), ["data_type", "data_model"],
+                              "registered_at", "valid_from", "valid_to")
 
 
 def with_guid(measurements: DataFrame, cols=("event_id",)) -> DataFrame:
@@ -98,8 +133,9 @@ def with_timeout(df: DataFrame, config: DataFrame | None, ts: str = "ts",
         return df.withColumn("timeout_ms", F.lit(default_ms).cast("long"))
     cfg = config.select("data_type", F.col("tmout_ms").alias("__tmout"),
                         F.col("effective_at").alias("__eff"))
+    # of two configs with one time the longer deadline holds
     out = asof_join(df, cfg, ["data_type"], ts, "__eff", how="left", strategy=strategy,
-                    max_broadcast_rows=max_broadcast_rows)
+                    max_broadcast_rows=max_broadcast_rows, tie=["__tmout"])
     return (out.withColumn("timeout_ms", F.coalesce(F.nullif(F.col("__tmout"), F.lit(0)),
                                                     F.lit(default_ms)).cast("long"))
                .drop("__tmout", "__eff"))
@@ -110,14 +146,15 @@ REQUEST_MODEL_COLS = ["data_model", "version", "name", "description", "model_typ
 
 
 def _version_cols(registry: DataFrame) -> list[str]:
-    base = set(REQUEST_MODEL_COLS) | {"data_type", "registered_at"}
+    base = set(REQUEST_MODEL_COLS) | {"data_type", "registered_at", "log_pos"}
     extra = [c for c in registry.columns if c not in base]
     return REQUEST_MODEL_COLS + extra
 
 
 def route_requests(measurements: DataFrame, registry: DataFrame, strategy: str = "auto",
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                   with_models_list: bool = False) -> DataFrame:
+                   with_models_list: bool = False,
+                   model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
     """One row per (measurement, known model) with the active version (J1-J3),
     or one row with NULL ``data_model`` for a measurement without models (J6).
 
@@ -127,21 +164,26 @@ def route_requests(measurements: DataFrame, registry: DataFrame, strategy: str =
         strategy = "broadcast" if fits_broadcast(reg, max_broadcast_rows) else "scan"
     cols = _version_cols(reg)
     if strategy == "broadcast":
-        ep = known_model_epochs(reg).select("data_type", "epoch_at", "n_models", "models")
-        out = asof_join(measurements, ep, ["data_type"], "ts", "epoch_at", how="left",
-                        strategy="broadcast")
-        iv = version_intervals(reg).select("data_type", "valid_from", "valid_to", *cols)
+        if with_models_list:     # lists of names can outgrow the registry: sized on their own
+            ep = known_model_epochs(reg).select("data_type", "epoch_at", "n_models", "models")
+            out = asof_join(measurements, ep, ["data_type"], "ts", "epoch_at", how="left",
+                            max_broadcast_rows=max_broadcast_rows)
+        else:
+            out = asof_join(measurements, model_count_epochs(reg), ["data_type"], "ts", "epoch_at",
+                            how="left", strategy="broadcast")
+        iv = version_intervals(reg, model_types).select("data_type", "valid_from", "valid_to", *cols)
         out = interval_join(out, iv, ["data_type"], "ts", how="left")
         out = out.drop("valid_from", "valid_to", "epoch_at")
     else:
         out = with_epoch(measurements, reg, strategy="scan")
         out = out.withColumn("data_model", F.explode_outer("models"))
-        vers = reg.select("data_type", "data_model", F.col("registered_at").alias("__at"),
-                          *[c for c in cols if c != "data_model"])
+        vers = activated(reg, model_types).select(
+            "data_type", "data_model", F.col("registered_at").alias("__at"),
+            *[c for c in cols if c != "data_model"])
         out = asof_join(out, vers, ["data_type", "data_model"], "ts", "__at", how="left",
-                        strategy="scan", tie=["description"]).drop("__at")
+                        strategy="scan").drop("__at")
     out = out.withColumn("n_models", F.coalesce("n_models", F.lit(0)))
-    if not with_models_list:
+    if not with_models_list and strategy != "broadcast":
         out = out.drop("models")
     return out
 

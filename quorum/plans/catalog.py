@@ -23,7 +23,7 @@ from quorum.operators.route import (SUPPORTED_MODEL_TYPES, known_models, route,
                                     version_intervals, with_epoch, with_guid, with_timeout)
 from quorum.operators.stats import collector_stats, current_model_stats, model_stats
 from quorum.plans.oracle import (BAD_EMPTY_K, BAD_TRUNCATE_K, BAD_TYPE_K, ENSEMBLE_SLICES,
-                                 TRUNCATE_AT)
+                                 LOG_PARTITIONS, TRUNCATE_AT)
 from quorum.plans.serve import scored_requests
 from quorum.sources.tables import measurements, measurements_from_events, read_table
 
@@ -144,6 +144,29 @@ def q_serve(spark, d):
                  latency=demo.latency()).results
 
 
+def q_replayed_registry(spark, d):
+    """Messages delivered twice, ties, and versions that cannot serve
+    registered over versions that do."""
+    from quorum.plans.serve import serve
+    return serve(measurements(spark, d), demo.registry(spark, demo.REPLAYED_ROWS),
+                 demo.config(spark), latency=demo.latency()).results
+
+
+def q_multi_partition_results(spark, d):
+    """The events as a log of several partitions whose offsets collide; every
+    measurement has its own result."""
+    from quorum.plans.serve import serve
+    from quorum.streaming.serve_stream import measurements_from_log
+    m = dec.encode_measurements(measurements(spark, d))
+    part = F.col("event_id") % LOG_PARTITIONS
+    log = m.select(F.lit(None).cast("binary").alias("key"), "value", F.lit("mdata").alias("topic"),
+                   part.cast("int").alias("partition"),
+                   ((F.col("event_id") - part) / LOG_PARTITIONS).cast("long").alias("offset"),
+                   F.col("ts").cast("timestamp").alias("timestamp"))
+    meas, _ = measurements_from_log(log)
+    return serve(meas, demo.registry(spark), demo.config(spark), latency=demo.latency()).results
+
+
 def q_serve_stream(spark, d):
     """The events published as a log in 3 files, served by the streaming
     jobs (availableNow), results read back from the sink table."""

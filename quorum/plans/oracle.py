@@ -12,7 +12,11 @@ MAX_WIDTH = max(r[5] for r in demo.REGISTRY_ROWS)
 DEFAULT_TIMEOUT_MS = 150
 
 
-def _base(quorum="all") -> str:
+# The log of ``multi_partition_results`` and its position number
+LOG_PARTITIONS, PARTITION_STEP = 8, 1 << 44
+
+
+def _base(quorum="all", rows=demo.REGISTRY_ROWS, event_id="event_id") -> str:
     if quorum == "all":
         counted = """
 cnt AS (SELECT a.*, coalesce(answered AND latency_ms <= timeout_ms, false) AS counted FROM ans a),"""
@@ -26,13 +30,18 @@ cnt AS (SELECT a.*, r.arrival_rank, coalesce(r.arrival_rank <= {int(quorum)}, fa
         FROM ans a LEFT JOIN ranked r ON a.event_id = r.event_id AND a.data_model = r.data_model),"""
         k = str(int(quorum))
     return f"""WITH
-reg0 AS ({demo.registry_sql()}),
-reg AS (SELECT *, data_type || '-' || replace(name, ' ', '_') AS data_model, registered_at AS version FROM reg0),
+reg0 AS ({demo.registry_sql(rows)}),
+known AS (SELECT *, data_type || '-' || replace(name, ' ', '_') AS data_model, registered_at AS version FROM reg0
+          QUALIFY row_number() OVER (PARTITION BY data_type, name, registered_at ORDER BY description DESC) = 1),
+reg AS (SELECT * FROM known k
+        WHERE model_type = 0 OR NOT EXISTS (
+            SELECT 1 FROM known s WHERE s.data_model = k.data_model AND s.model_type = 0
+                                    AND s.registered_at < k.registered_at)),
 cfg AS ({demo.config_sql()}),
-meas AS (SELECT event_id, ts, event_type AS data_type, value AS utilization,
+meas AS (SELECT {event_id} AS event_id, ts, event_type AS data_type, value AS utilization,
                 CAST(CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 80 THEN 1 ELSE 0 END AS INTEGER) AS label
          FROM events),
-firsts AS (SELECT data_type, data_model, min(registered_at) AS first_at FROM reg GROUP BY data_type, data_model),
+firsts AS (SELECT data_type, data_model, min(registered_at) AS first_at FROM known GROUP BY data_type, data_model),
 nm AS (SELECT m.event_id, CAST(count(f.data_model) AS INTEGER) AS n_models,
               string_agg(f.data_model, ',' ORDER BY f.first_at, f.data_model) AS models
        FROM meas m LEFT JOIN firsts f ON f.data_type = m.data_type AND f.first_at <= m.ts
@@ -168,6 +177,11 @@ st AS (SELECT r.data_type, count(*) AS usage, CAST(sum(duration_ms) AS BIGINT) A
        FROM results r LEFT JOIN cur ON r.data_type = cur.data_type WHERE processed GROUP BY r.data_type)
 SELECT st.data_type, km.models, km.n_models, usage, duration_ms, min_ms, max_ms, avg_ms, tmout_ms
 FROM st LEFT JOIN km ON st.data_type = km.data_type"""
+    q["replayed_registry"] = (_base(rows=demo.REPLAYED_ROWS) +
+                              f"SELECT {RESULT_COLS} FROM results")
+    q["multi_partition_results"] = _base(event_id=(
+        f"(event_id % {LOG_PARTITIONS}) * {PARTITION_STEP} + event_id // {LOG_PARTITIONS}")) + \
+        f"SELECT {RESULT_COLS} FROM results"
     q["score_python_model"] = q["score_linear"]
     q["serve_stream"] = q["serve"]
     q["serve_stateful"] = q["serve"]

@@ -24,8 +24,9 @@ from quorum.functions.columns import standardize
 from quorum.operators.asof import (DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS,
                                    interval_join, row_bytes)
 from quorum.operators.collect import collect_vote, with_answers
-from quorum.operators.route import (DEFAULT_TIMEOUT_MS, _version_cols, prepare_registry,
-                                    route_requests, version_intervals, with_timeout)
+from quorum.operators.route import (DEFAULT_TIMEOUT_MS, SUPPORTED_MODEL_TYPES, _version_cols,
+                                    prepare_registry, route_requests, version_intervals,
+                                    with_timeout)
 from quorum.operators.score import score_linear, score_with, scorers
 from quorum.operators.window import DEFAULT_WINDOW_BUCKET_SECONDS, last_n_window, last_values
 
@@ -68,8 +69,9 @@ def max_width(registry: DataFrame) -> int:
 
 
 def version_attrs(registry: DataFrame) -> DataFrame:
+    """Attributes by (data_type, data_model, version), one row each."""
     reg = prepare_registry(registry)
-    return reg.select("data_model", "version",
+    return reg.select("data_type", "data_model", "version",
                       *[c for c in _version_cols(reg) if c not in ("data_model", "version")])
 
 
@@ -77,23 +79,29 @@ def routed_rows(measurements: DataFrame, registry: DataFrame,
                 config: DataFrame | None = None,
                 default_timeout_ms: int = DEFAULT_TIMEOUT_MS, strategy: str = "auto",
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                config_strategy: str | None = None) -> DataFrame:
+                config_strategy: str | None = None,
+                model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
     """Deadline + fan-out with active version + standardised value ``z``."""
     reg = prepare_registry(registry)
     meas = with_timeout(measurements, config, default_ms=default_timeout_ms,
                         strategy=config_strategy or strategy,
                         max_broadcast_rows=max_broadcast_rows)
-    rows = route_requests(meas, reg, strategy=strategy, max_broadcast_rows=max_broadcast_rows)
+    rows = route_requests(meas, reg, strategy=strategy, max_broadcast_rows=max_broadcast_rows,
+                          model_types=model_types)
     return rows.withColumn("z", standardize("utilization", "mean", "std"))
 
 
 def score_rows(rows: DataFrame, scorer: str = "linear", scorer_map=None,
                latency: Column | None = None) -> DataFrame:
     """Result and answer time of windowed rows."""
-    smap = scorer_map or scorers()
-    model_types = sorted(smap) if scorer == "python" else [0]
-    rows = score_with(rows, smap) if scorer == "python" else score_linear(rows)
-    return with_answers(rows, latency, model_types)
+    types = answering_types(scorer, scorer_map)
+    rows = score_with(rows, scorer_map or scorers()) if scorer == "python" else score_linear(rows)
+    return with_answers(rows, latency, types)
+
+
+def answering_types(scorer: str = "linear", scorer_map=None) -> list[int]:
+    """Model types that have a scorer, so that their versions become active."""
+    return sorted(scorer_map or scorers()) if scorer == "python" else list(SUPPORTED_MODEL_TYPES)
 
 
 def scored_requests(measurements: DataFrame, registry: DataFrame,
@@ -112,14 +120,15 @@ def scored_requests(measurements: DataFrame, registry: DataFrame,
     if strategy == "auto":
         strategy = "broadcast" if reg_fits else "scan"
         cfg_strategy = "broadcast" if cfg_fits else "scan"
+    types = answering_types(scorer, scorer_map)
     rows = routed_rows(measurements, reg, config, default_timeout_ms, strategy,
-                       max_broadcast_rows, cfg_strategy)
+                       max_broadcast_rows, cfg_strategy, types)
     if strategy == "broadcast":
         # the window's tail branch needs only (version, time, z): feed it from
         # the scan and the version-interval join, without deadline and epochs
         tails = None
         if bucket_seconds:
-            iv = version_intervals(reg).select("data_type", "valid_from", "valid_to",
+            iv = version_intervals(reg, types).select("data_type", "valid_from", "valid_to",
                                                "data_model", "version", "mean", "std")
             src = measurements.select("event_id", "ts", "data_type", "utilization")
             tails = (interval_join(src, iv, ["data_type"], "ts", how="inner")
@@ -127,7 +136,8 @@ def scored_requests(measurements: DataFrame, registry: DataFrame,
                              standardize("utilization", "mean", "std").alias("z")))
         rows = last_n_window(rows.select(*SLIM_COLS), "z", None, W, out="__vals",
                              bucket_seconds=bucket_seconds, tail_source=tails)
-        rows = rows.join(F.broadcast(version_attrs(reg)), ["data_model", "version"], "left")
+        rows = rows.join(F.broadcast(version_attrs(reg)), ["data_type", "data_model", "version"],
+                         "left")
     else:
         rows = last_n_window(rows, "z", None, W, out="__vals", bucket_seconds=bucket_seconds)
     rows = rows.withColumn("window", last_values(F.col("__vals"), F.col("width"))).drop("__vals")

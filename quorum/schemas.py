@@ -72,6 +72,9 @@ REGISTRY = T.StructType([
     T.StructField("ord", T.IntegerType()),
 ])
 
+# the registry as the stream keeps it: with the message's place in the log
+REGISTRY_LOG = T.StructType(REGISTRY.fields + [T.StructField("log_pos", T.LongType())])
+
 CONFIG = T.StructType([
     T.StructField("data_type", T.StringType()),
     T.StructField("tmout_ms", T.LongType()),

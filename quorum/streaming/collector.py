@@ -7,11 +7,14 @@ no hot key).  State per request, durable in the state store (RocksDB):
 * ``answers`` - answers by model key (map state: a replayed answer is not
   counted twice);
 * ``done``    - tombstone after the decision, so that a late answer does not
-  reopen the request; removed by a clean-up timer.
+  reopen the request; kept for good, unless ``forget_after_ms`` names the
+  time after which no answer can come any more.
 
 A request is decided when ``quorum`` answers arrived in time (answer rule:
-``latency_ms <= timeout_ms``), or by the event-time timer at
-``start + timeout``.  Each request has its own timer (timers are keyed by
+``latency_ms <= timeout_ms``), or by its timer, ``timeout`` after the job first
+saw it.  Which answers count depends on their own times only; the timer runs
+on the time at which the job reads a row, so that the watermark never drops a
+row because its measurement is old or came out of order.  Each request has its own timer (timers are keyed by
 (key, expiry), so a per-type sweep as in a shared map would collapse).
 Answers that come after the decision, or past the deadline, are emitted as
 ``kind = 'late'`` rows (the audit frame of J7).
@@ -39,18 +42,21 @@ OUTPUT = T.StructType(schemas.RESULTS.fields + [
     T.StructField("late_ms", T.LongType()),
 ])
 
-CLEANUP_GRACE_MS = 3_600_000
 FLUSH_GUID = "~flush"
 
 
 class CollectorProcessor(StatefulProcessor):
 
-    def __init__(self, quorum="all", threshold: float = 0.5, time_mode: str = "event"):
+    def __init__(self, quorum="all", threshold: float = 0.5, time_mode: str = "event",
+                 forget_after_ms: int | None = None):
         """``time_mode="event"``: an answer's latency is its ``latency_ms``
         (arrival minus measurement time), deadlines follow the watermark.
+        ``forget_after_ms``: how long after its deadline a decided request is
+        remembered; an answer that comes later would open it again.
         ``"processing"``: latency is measured on the wall clock from when the
         request was first seen, deadlines are processing-time timers."""
         self.quorum, self.threshold, self.time_mode = quorum, threshold, time_mode
+        self.forget_after_ms = forget_after_ms
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -84,7 +90,8 @@ class CollectorProcessor(StatefulProcessor):
         self.answers.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(deadline_ms + CLEANUP_GRACE_MS)
+        if self.forget_after_ms is not None:
+            self.handle.registerTimer(deadline_ms + self.forget_after_ms)
 
     def _decide(self, guid, final: bool):
         st = self.start.get()
@@ -132,7 +139,7 @@ class CollectorProcessor(StatefulProcessor):
             if self.time_mode == "processing":
                 start_ms = int(timerValues.getCurrentProcessingTimeInMs())
             else:
-                start_ms = int(pd.Timestamp(r.ts).value // 1_000_000)
+                start_ms = int(pd.Timestamp(r.event_time).value // 1_000_000)
             self.clock.update((start_ms,))
             if st[4] == 0:
                 self._finish(start_ms)
@@ -171,16 +178,19 @@ class CollectorProcessor(StatefulProcessor):
 
 
 def collect_stream(responses: DataFrame, quorum="all", watermark: str = "1 minute",
-                   time_mode: str = "event") -> DataFrame:
+                   time_mode: str = "event", threshold: float = 0.5,
+                   forget_after_ms: int | None = None) -> DataFrame:
     """Streaming results from a stream of response rows (``RESPONSE_COLS``).
     Start the sink inside ``quorum.session.rocksdb_state(spark)`` (the state
     store must be RocksDB for transformWithState)."""
-    proc = CollectorProcessor(quorum, time_mode=time_mode)
+    proc = CollectorProcessor(quorum, threshold, time_mode, forget_after_ms)
     if time_mode == "processing":
         return responses.groupBy("guid").transformWithStateInPandas(
             statefulProcessor=proc, outputStructType=OUTPUT, outputMode="Append",
             timeMode="ProcessingTime")
-    ev = F.coalesce(F.col("arrived_at"), F.col("ts")).cast("timestamp")
+    # the time of reading; only the end-of-stream marker brings its own
+    ev = (F.when(F.col("guid") == FLUSH_GUID, F.col("ts").cast("timestamp"))
+          .otherwise(F.current_timestamp()))
     src = responses.withColumn("event_time", ev).withWatermark("event_time", watermark)
     return src.groupBy("guid").transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=OUTPUT,

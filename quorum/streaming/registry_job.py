@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum import schemas
+from quorum.functions.columns import source_id
 from quorum.functions.decode import decode_config, decode_models, split_bad
 from quorum.sources.logs import CONFIG_TOPIC, MODELS_TOPIC, LogConfig, read_log
 from quorum.streaming.tables import read_table, write_batch
@@ -31,7 +32,7 @@ class Tables:
 
 
 def registry_table(spark: SparkSession, tables: Tables) -> DataFrame:
-    return read_table(spark, tables.registry, schemas.REGISTRY)
+    return read_table(spark, tables.registry, schemas.REGISTRY_LOG)
 
 
 def config_table(spark: SparkSession, tables: Tables) -> DataFrame:
@@ -41,7 +42,8 @@ def config_table(spark: SparkSession, tables: Tables) -> DataFrame:
 def _models_batch(tables: Tables, fmt: str = "json"):
     def handle(batch: DataFrame, batch_id: int) -> None:
         good, bad = split_bad(decode_models(batch, fmt))
-        write_batch(good.select(*schemas.REGISTRY.fieldNames()), tables.registry, batch_id)
+        write_batch(good.select(*schemas.REGISTRY.fieldNames(), source_id().alias("log_pos")),
+                    tables.registry, batch_id)
         write_batch(bad.withColumn("value", F.col("value").cast("string")),
                     tables.models_quarantine, batch_id)
     return handle

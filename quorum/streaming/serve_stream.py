@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorum.functions.columns import request_guid
+from quorum.functions.columns import request_guid, source_id
 from quorum.functions.decode import decode_measurements, split_bad
 from quorum.operators.asof import time_bucket
 from quorum.operators.collect import collect_vote
 from quorum.operators.route import prepare_registry
 from quorum.operators.window import DEFAULT_WINDOW_BUCKET_SECONDS, last_n_window
-from quorum.plans.serve import max_width, routed_rows, score_rows
+from quorum.plans.serve import answering_types, max_width, routed_rows, score_rows
 from quorum.sources.logs import DATA_TOPIC, LogConfig, read_log
 from quorum.streaming.registry_job import Tables, config_table, registry_table
 from quorum.streaming.tables import ensure_dir, read_batch, write_batch
@@ -69,7 +69,7 @@ def measurements_from_log(log: DataFrame, fmt: str = "json") -> tuple[DataFrame,
     """Decoded measurement log -> (measurements, quarantine).  The source
     position is the measurement id and the log time its time."""
     good, bad = split_bad(decode_measurements(log, fmt))
-    meas = good.select(F.col("offset").alias("event_id"),
+    meas = good.select(source_id().alias("event_id"),
                        F.col("timestamp").cast("timestamp_ntz").alias("ts"),
                        "data_type", "utilization", "label")
     return meas, bad
@@ -115,7 +115,7 @@ class ServeBatch:
             reg = prepare_registry(registry_table(spark, t))
             cfg = config_table(spark, t)
             W = max_width(reg)
-            rows = routed_rows(meas, reg, cfg)
+            rows = routed_rows(meas, reg, cfg, model_types=answering_types(self.scorer))
             carry = read_batch(spark, t.carry, CARRY, batch_id - 1)
             rows, nxt = _window_with_carry(rows, carry, batch_id, W, self.bucket_seconds)
             lat = self.latency() if self.latency else None
@@ -147,6 +147,6 @@ def serve_stream(spark: SparkSession, logs: LogConfig, tables: Tables, checkpoin
 def responses_stream(spark: SparkSession, tables: Tables) -> DataFrame:
     """The ``responses`` table as a stream (input of the stateful collector);
     the folder is created first, so the collector may start before serving."""
-    ensure_dir(tables.responses)
+    ensure_dir(spark, tables.responses)
     return (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
             .parquet(tables.responses))

@@ -7,22 +7,19 @@ output instead of duplicating it.  Readers see the union of all batches.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _local(path: str) -> str | None:
-    if "://" in path and not path.startswith("file:"):
-        return None
-    return path.replace("file:", "")
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of a folder on any storage that Spark can write to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.sc().hadoopConfiguration()), p
 
 
-def ensure_dir(path: str) -> None:
-    p = _local(path)
-    if p is not None:
-        os.makedirs(p, exist_ok=True)
+def ensure_dir(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)
 
 
 def write_batch(df: DataFrame, table: str, batch_id: int) -> None:
@@ -33,7 +30,7 @@ def read_table(spark: SparkSession, table: str, schema: T.StructType,
                upto_batch: int | None = None) -> DataFrame:
     """All batches of a folder table (explicit schema: an empty table is an
     empty DataFrame).  ``upto_batch`` keeps batches ``<= upto_batch``."""
-    ensure_dir(table)
+    ensure_dir(spark, table)
     full = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
     df = spark.read.schema(full).option("basePath", table).parquet(table)
     if upto_batch is not None:
@@ -43,7 +40,7 @@ def read_table(spark: SparkSession, table: str, schema: T.StructType,
 
 def read_batch(spark: SparkSession, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
     path = f"{table.rstrip('/')}/batch_id={batch_id}"
-    p = _local(path)
-    if p is not None and not os.path.isdir(p):
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
