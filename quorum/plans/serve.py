@@ -6,7 +6,9 @@
     --model attributes (broadcast) --score --answer time                    |
     --collect + vote per measurement                [exchange 2] --> results
 
-Only two exchanges touch measurement-sized data.  Everything joined to the
+Two exchanges carry the measurements; the window's tail branch adds its own,
+small on dense input and of all rows where a version has fewer measurements a
+bucket than its window is wide.  Everything joined to the
 measurements is registry- or config-sized and broadcast after a row count
 proves it small; the rows crossing exchange 1 carry only keys, start
 information and the standardised value - the model's attributes join back
