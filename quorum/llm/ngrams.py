@@ -6,26 +6,29 @@ The model is a trigram model with interpolated absolute discounting,
     p(w | v)   = max(c(vw) - D2, 0) / c(v) + D2 N(v) / c(v) * p(w)
 
 (c: training counts, N: distinct successors, D from the counts of counts).
-p(w) is the add-half unigram probability; of the words rarer than one in
-``HEADS`` tokens it is their common mean, so that it can be sent to all tasks
-(by counting, there are at most ``HEADS`` others).
-
-Counting and scoring are one shuffle of packed events.  Every token of every
-text - training or not - goes with its two predecessors to the shard of the
-word before it, where all that its probability needs meets: c(uvw), c(uv),
-c(vw), c(v).  A shard builds its part of the model as a trie: level one holds
+p(w) is the add-half unigram probability.  All counts, and D2 and D3, are of
+the whole training corpus.
+
+Work moves as packed events.  Every token of every text - training or not -
+goes with its two predecessors to the shard of the word before it; a
+frequent word's events are spread over several shards by u, so c(uvw), c(uv)
+and N(uv) are whole in one shard.  The events move twice.  First, merged
+within each block, they are counted: shards give the counts of counts, and
+ask for what they see a part of only - c(vw) of spread words, c(w) of words
+not among the ``HEADS`` that all tasks know - from the totals of all shards,
+summed by (v, w).  Then the events, their documents and the answers meet in
+the shard, which builds its part of the model as a trie: level one holds
 the words v, level two their successors w, level three, for each context uv,
 the successors by their position among those of v.  Levels and the monotone
 pointers between them are Elias-Fano sequences, probabilities and back-off
 weights are 8-bit codes; the trie is memory-mapped, and the shard's queries
 are found by successor search, context-relative on the last level.  Shards
 answer with sums per document, which meet again per block of documents.
+Neither the number of shards nor ``HEADS`` changes a score, but for the codes'
+rounding.
 
-A frequent word's events are spread over several shards by u; its middle
-history is then (v, shard of u), a finer class of the same history, and all
-counts stay local and whole.  Words are known by 64-bit hashes (successors
-within a context by 32 bits of them), so exact counts hold up to collisions:
-one in 10**6 corpora of 4 million distinct words.
+Words are known by 64-bit hashes (u within the contexts of v by 32 bits of
+them), so exact counts hold up to collisions.
 
 Defined results: a null or empty text is its end token alone; a null id is
 in the training part; repeated rows are texts of their own; with no training
@@ -52,7 +55,8 @@ HEADS = 1 << 18
 SHARD_EVENTS = 1_200_000
 MIN_SHARDS = 96
 BLOCK_BYTES = 6 << 20
-START, END = np.uint64(0), np.uint64(1)
+START, END, WORD = np.uint64(0), np.uint64(1), np.uint64(2)   # WORD: in place of v, asks for c(w)
+D2, D3, KINDS = -1, -2, -3      # in place of a shard: counts of counts, N(v) of spread words
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -102,15 +106,32 @@ class Unigrams:
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
         self.norm = total + 0.5 * (types + 1)
-        rest = max(0.0, 1.0 - float(np.sum(self.c + 0.5)) / self.norm)
-        self.tail = rest / (types - len(h) + 1)
-        low = (self.h & _LOW).astype(np.uint32)
-        by = np.argsort(low, kind="stable")
-        self.low, self.low_p = low[by], ((self.c + 0.5) / self.norm)[by]
-        ends = int(self.c[self.h == END].sum())
-        self.pieces_of_start = max(1, -(-ends * shards // max(total, 1)))
+        self.ends = int(self.c[self.h == END].sum())
+        self.pieces_of_start = max(1, -(-self.ends * shards // max(total, 1)))
         self.pieces = np.maximum(1, -(-self.c * shards // max(total, 1))).astype(np.uint64)
 
+    def with_stats(self, stats: list[tuple[int, int, int]]) -> "Unigrams":
+        """Also D2, D3 and N(v) of the spread words, from summed (kind, key, n)."""
+        found = {(kind, key): n for kind, key, n in stats}
+        self.d2, self.d3 = (discount(found.get((k, 1), 0), found.get((k, 2), 0)) for k in (D2, D3))
+        kinds = sorted((key % (1 << 64), n) for (kind, key), n in found.items() if kind == KINDS)
+        self.spread = np.array([v for v, _ in kinds], dtype=np.uint64)
+        self.kinds = np.array([n for _, n in kinds], dtype=np.int64)
+        return self
+
+    def is_spread(self, v: np.ndarray) -> np.ndarray:
+        """Whether a word's events are in several shards."""
+        at = self.head(v)
+        out = at >= 0
+        out[out] = self.pieces[at[out]] > 1
+        out[v == START] = self.pieces_of_start > 1
+        return out
+
+    def history(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """c(v) and N(v) of spread words."""
+        c = np.where(v == START, self.ends, self.c[self.head(v)])
+        return c, self.kinds[np.searchsorted(self.spread, v)]
+
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / self.norm)
 
@@ -121,21 +142,17 @@ class Unigrams:
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         return np.where(self.h[at] == h, at, -1)
 
-    def p(self, w: np.ndarray) -> np.ndarray:
-        """p(w) of 32-bit word hashes."""
-        if not len(self.low):
-            return np.full(len(w), self.tail)
-        at = np.minimum(np.searchsorted(self.low, w), len(self.low) - 1)
-        return np.where(self.low[at] == w, self.low_p[at], self.tail)
-
 
-_EVENTS = ("<u8", "<u4", "<u4", "<u4", "<u4")   # runs: v, length (top bit: frequent); u, w, row (top bit: held out)
-_HEADER = ("<i8", "u1", "<i8", "<f8", "<i8")    # ids, held out, n_tokens, base and known of frequent words
+_EVENTS = ("<u8", "<u4", "<u4", "<u8", "<u4")   # runs: v, length; u, w, row (top bit: held out) or training count
+_HEADER = ("<i8", "u1", "<i8")                  # ids, held out, n_tokens
+_ASKED = ("<u8", "<u8", "<i8")                  # v, w, training count
 _SUMS = ("<u4", "<f8", "<f8", "<u4")            # row, score, base, known
+_COUNTS = "shard long, sender long, data binary, n long"
 
 
-def _events(shared):
-    """Documents -> header rows and the events of each shard, in packed blocks."""
+def _events(shared, counted: bool):
+    """Documents -> the events of each shard, in packed blocks: with their rows,
+    after header rows, or (``counted``) merged with their training counts."""
     def run(batches):
         uni = shared.value
         part, k = TaskContext.get().partitionId(), 0
@@ -152,36 +169,34 @@ def _events(shared):
                 v[at] = START
                 u = np.concatenate((v[:1], v[:-1]))
                 u[at] = START
-                known = uni.head(w)
-                frequent = known >= 0
-                base = np.bincount(row[frequent], weights=uni.base(uni.c[known[frequent]]), minlength=b - a)
-                n_known = np.bincount(row[frequent], minlength=b - a)
-                yield _rows([(-1 - block, block, pack(*(np.ascontiguousarray(x).astype(t) for x, t in zip(
-                    (ids[a:b], held | (nulls[a:b] << 1), sizes, base, n_known), _HEADER))))])
+                tag = row | (held[row].astype(np.uint32) << np.uint32(31))
+                if counted:
+                    key = T.mix(T.mix(T.mix(v) + u) + w)
+                    order = np.argsort(key)
+                    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+                    tag = np.add.reduceat(~held[row[order]], first, dtype=np.uint32)
+                    v, u, w = (x[order][first] for x in (v, u, w))
+                else:
+                    yield _rows([(-1 - block, block, pack(*(np.ascontiguousarray(x).astype(t) for x, t in zip(
+                        (ids[a:b], held | (nulls[a:b] << 1), sizes), _HEADER))))])
                 # the shard of an event, by v, and by u too where v is frequent
                 pieces = np.ones(len(w), dtype=np.uint64)
-                v_head = np.concatenate((known[:1], known[:-1]))
-                v_head[at] = -1
-                spread = v_head >= 0
-                pieces[spread] = uni.pieces[v_head[spread]]
-                pieces[at] = uni.pieces_of_start
+                head = uni.head(v)
+                pieces[head >= 0] = uni.pieces[head[head >= 0]]
+                pieces[v == START] = uni.pieces_of_start
                 piece = T.mix(u ^ _G) % pieces
-                vk = np.where(piece > 0, T.mix(v + piece * _G), v)
-                shard = T.mix(vk ^ np.uint64(0x5BD1E995)) % np.uint64(uni.shards)
-                flag = spread.copy()
-                flag[at] = True                       # the start is no token
-                order = np.argsort(shard << np.uint64(44) | vk >> np.uint64(20))
-                vk, shard, flag = vk[order], shard[order], flag[order]
-                tag = row | (held[row].astype(np.uint32) << np.uint32(31))
-                u32, w32, tag = ((x[order] & _LOW).astype(np.uint32) for x in (u, w, tag.astype(np.uint64)))
+                shard = T.mix(np.where(piece > 0, T.mix(v + piece * _G), v) ^ np.uint64(0x5BD1E995)) \
+                    % np.uint64(uni.shards)
+                order = np.argsort(shard << np.uint64(44) | v >> np.uint64(20))
+                v, shard, w, tag = v[order], shard[order], w[order], tag[order]
+                u32 = (u[order] & _LOW).astype(np.uint32)
                 cuts = np.searchsorted(shard, np.arange(uni.shards + 1, dtype=np.uint64))
                 out = []
                 for s in np.flatnonzero(np.diff(cuts)).tolist():
                     x = slice(cuts[s], cuts[s + 1])
-                    runs = np.flatnonzero(np.concatenate(([True], vk[x][1:] != vk[x][:-1])))
+                    runs = np.flatnonzero(np.concatenate(([True], v[x][1:] != v[x][:-1])))
                     length = np.diff(np.append(runs, cuts[s + 1] - cuts[s])).astype(np.uint32)
-                    length |= flag[x][runs].astype(np.uint32) << np.uint32(31)
-                    out.append((s, block, pack(vk[x][runs], length, u32[x], w32[x], tag[x])))
+                    out.append((s, block, pack(v[x][runs], length, u32[x], w[x], tag[x])))
                 yield _rows(out)
     return run
 
@@ -193,52 +208,118 @@ def _rows(rows) -> pa.RecordBatch:
         names=["shard", "block", "data"])
 
 
-def discount(counts: np.ndarray) -> float:
+def discount(n1: int, n2: int) -> float:
     """n1 / (n1 + 2 n2) of the counts of counts, within (0, 1)."""
-    n1, n2 = int(np.sum(counts == 1)), int(np.sum(counts == 2))
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
+class Grams:
+    """The distinct n-grams of one shard's events with the events' training
+    counts: trigrams (v, u, w, c), pairs (pair, c2), words (words, cw); w is
+    known by its place among the words, v in pairs by that among the names."""
+
+    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray):
+        self.words, at = np.unique(w, return_inverse=True)
+        order = np.lexsort((at, u, v))
+        v, u, at = v[order], u[order], at[order]
+        new = np.concatenate(([True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (at[1:] != at[:-1])))
+        self.group = np.empty(len(v), dtype=np.int64)          # of each event, its trigram
+        self.group[order] = np.cumsum(new) - 1
+        self.c = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        self.v, self.u, self.w = v[new], u[new], at[new].astype(np.uint64)
+        first = np.concatenate(([True], self.v[1:] != self.v[:-1]))
+        self.names, self.vid = self.v[first], (np.cumsum(first) - 1).astype(np.uint64)
+        self.pair, of = np.unique(self.vid << np.uint64(32) | self.w, return_inverse=True)
+        self.pair_v = (self.pair >> np.uint64(32)).astype(np.int64)
+        self.pair_w = (self.pair & _LOW).astype(np.int64)
+        self.c2 = np.bincount(of, weights=self.c, minlength=len(self.pair)).astype(np.int64)
+        self.cw = np.bincount(self.w.astype(np.int64), weights=self.c,
+                              minlength=len(self.words)).astype(np.int64)
+
+
+def _unpacked(data) -> list[np.ndarray]:
+    """v, u, w and the last column of packed events."""
+    got = [unpack(x, *_EVENTS) for x in data]
+    v = np.concatenate([np.repeat(g[0], g[1]) for g in got])
+    return [v, *(np.concatenate([g[i] for g in got]) for i in (2, 3, 4))]
+
+
+def _stats(kind: int, counts: np.ndarray) -> list[tuple]:
+    return [(kind, n, None, int(np.sum(counts == n))) for n in (1, 2)]
+
+
+def _count(shared):
+    """Shard -> counts of counts of what is whole in it, and by (v, w) its part
+    of the others."""
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        uni = shared.value
+        g = Grams(*_unpacked(pdf["data"]))
+        spread, rare = uni.is_spread(g.names)[g.pair_v], uni.head(g.words) < 0
+        out = _stats(D3, g.c) + _stats(D2, g.c2[~spread])
+        v = np.concatenate((g.names[g.pair_v[spread]], np.full(int(rare.sum()), WORD)))
+        w = np.concatenate((g.words[g.pair_w[spread]], g.words[rare]))
+        c = np.concatenate((g.c2[spread], g.cw[rare]))
+        to = T.mix(v ^ T.mix(w)) % np.uint64(uni.shards)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(uni.shards + 1, dtype=np.uint64))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            x = order[cuts[s]:cuts[s + 1]]
+            out.append((s, key[0], pack(v[x], w[x], c[x]), 0))
+        return pd.DataFrame(out, columns=["shard", "sender", "data", "n"])
+    return run
+
+
+def _total(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Parts by (v, w) -> to each sender the totals of what it asked; counts of
+    counts and N(v) of spread words."""
+    got = [unpack(x, *_ASKED) for x in pdf["data"]]
+    v, w, c = (np.concatenate([g[k] for g in got]) for k in range(3))
+    order = np.lexsort((w, v))
+    new = np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])))
+    sums = np.add.reduceat(c[order], np.flatnonzero(new))
+    total = np.empty(len(v), dtype=np.int64)
+    total[order] = sums[np.cumsum(new) - 1]
+    names = v[order][new]
+    real = (names != WORD) & (sums > 0)
+    out = _stats(D2, sums[real])
+    out += [(KINDS, k, None, n) for k, n in zip(*(x.astype(np.int64).tolist() for x in np.unique(
+        names[real], return_counts=True)))]
+    at = 0
+    for sender, g in zip(pdf["sender"], got):
+        out.append((sender, -1, pack(g[0], g[1], total[at:at + len(g[0])]), 0))
+        at += len(g[0])
+    return pd.DataFrame(out, columns=["shard", "sender", "data", "n"])
+
+
 class Trie:
     """The n-grams of one shard: u, v, w with training counts."""
 
-    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, uni: Unigrams):
-        """``v`` (64 bits), ``u``, ``w`` (32 bits): training events sorted by
-        (v, u, w)."""
-        n = len(v)
-        first = np.concatenate(([True], v[1:] != v[:-1])) if n else np.empty(0, bool)
-        names = v[first]
-        vid = (np.cumsum(first) - 1).astype(np.uint64)
-        cv = np.bincount(vid.astype(np.int64), minlength=len(names))
-        pair, c2 = np.unique(vid << np.uint64(32) | w, return_counts=True)
-        pair_v = (pair >> np.uint64(32)).astype(np.int64)
-        successors = np.bincount(pair_v, minlength=len(names))
-        d2 = discount(c2)
-        low = d2 * successors / np.maximum(cv, 1)
-        p2 = np.maximum(c2 - d2, 0) / cv[pair_v] + low[pair_v] * uni.p((pair & _LOW).astype(np.uint32))
+    def __init__(self, g: Grams, cv: np.ndarray, kinds: np.ndarray, p: np.ndarray, uni: Unigrams):
+        """``g`` with its whole c2; c(v) and N(v) of its names, p(w) of its words.
+        A v without training text leaves all to p(w)."""
+        low = np.where(cv > 0, uni.d2 * kinds / np.maximum(cv, 1), 1.0)
+        some = g.c2 > 0
+        pair, pair_v, c2 = g.pair[some], g.pair_v[some], g.c2[some]
+        p2 = np.maximum(c2 - uni.d2, 0) / cv[pair_v] + low[pair_v] * p[g.pair_w[some]]
+        successors = np.bincount(pair_v, minlength=len(g.names))
         at2 = np.concatenate(([0], np.cumsum(successors)))
         # contexts (v, u), and their successors by position among those of v
-        ctx_key = vid << np.uint64(32) | u
+        some = g.c > 0
+        vid, c3 = g.vid[some], g.c[some]
+        n = len(vid)
+        ctx_key = vid << np.uint64(32) | g.u[some]
         new_ctx = np.concatenate(([True], ctx_key[1:] != ctx_key[:-1])) if n else np.empty(0, bool)
         ctx = np.cumsum(new_ctx) - 1
-        new = new_ctx | np.concatenate(([True], w[1:] != w[:-1])) if n else np.empty(0, bool)
-        starts = np.flatnonzero(new)
-        c3 = np.diff(np.append(starts, n))
-        g_ctx = ctx[starts]
-        cc = np.bincount(ctx, minlength=int(new_ctx.sum()))
-        kinds = np.bincount(g_ctx, minlength=len(cc))
-        d3 = discount(c3)
-        back3 = d3 * kinds / np.maximum(cc, 1)
-        lower = np.searchsorted(pair, (vid << np.uint64(32) | w)[starts])
-        p3 = np.maximum(c3 - d3, 0) / cc[g_ctx] + back3[g_ctx] * p2[lower]
-        position = lower - at2[vid[starts].astype(np.int64)]
-        self.width = int(successors.max()).bit_length() if len(successors) else 0
-        order = np.lexsort((position, g_ctx))
-        third = g_ctx[order].astype(np.uint64) << np.uint64(self.width) | position[order].astype(np.uint64)
-        levels = {"v": names, "vw": pair, "to_w": at2, "vu": ctx_key[new_ctx], "uvw": third}
+        cc = np.bincount(ctx, weights=c3)
+        back3 = uni.d3 * np.bincount(ctx) / np.maximum(cc, 1)
+        lower = np.searchsorted(pair, vid << np.uint64(32) | g.w[some])
+        p3 = np.maximum(c3 - uni.d3, 0) / cc[ctx] + back3[ctx] * p2[lower]
+        position = lower - at2[vid.astype(np.int64)]
+        self.width = int(successors.max()).bit_length()
+        third = ctx.astype(np.uint64) << np.uint64(self.width) | position.astype(np.uint64)
+        levels = {"v": g.names, "vw": pair, "to_w": at2, "vu": ctx_key[new_ctx], "uvw": third}
         codes = {"vw": np.log10(p2), "v": np.log10(np.minimum(low, 1)), "vu": np.log10(np.minimum(back3, 1)),
-                 "uvw": np.log10(p3[order])}
-        self.counts = cv
+                 "uvw": np.log10(p3)}
         self._map({k: EliasFano.encode(x) for k, x in levels.items()},
                   {k: Quantised.fit(x) for k, x in codes.items()})
 
@@ -277,11 +358,9 @@ class Trie:
         out[ok] = level.find(some)[back]
         return out
 
-    def log10(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, uni: Unigrams) -> np.ndarray:
-        """log10 p(w | u v) of each query; also leaves ``found_v``."""
-        every = np.ones(len(v), dtype=bool)
-        vid = self._find(self.level["v"], v, every)
-        self.found_v = vid
+    def log10(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """log10 p(w | u v) of each query; w by places in ``p``, their p(w)."""
+        vid = self._find(self.level["v"], v, np.ones(len(v), dtype=bool))
         seen = vid >= 0
         shifted = np.where(seen, vid, 0).astype(np.uint64) << np.uint64(32)
         pair = self._find(self.level["vw"], shifted | w, seen)
@@ -291,7 +370,7 @@ class Trie:
         relative = np.where(both, pair - to_w[np.maximum(vid, 0)], 0).astype(np.uint64)
         key = np.where(both, ctx, 0).astype(np.uint64) << np.uint64(self.width) | relative
         third = self._find(self.level["uvw"], key, both)
-        out = np.log10(uni.p(w))
+        out = np.log10(p[w.astype(np.int64)])
         back = seen & (pair < 0)
         out[back] += self.code["v"][vid[back]]
         out[pair >= 0] = self.code["vw"][pair[pair >= 0]]
@@ -306,29 +385,32 @@ def _score(shared):
         if key[0] < 0:
             return pdf[["block", "data"]].assign(header=True)
         uni = shared.value
-        got = [unpack(x, *_EVENTS) for x in pdf["data"]]
-        length = [g[1] & np.uint32(0x7FFFFFFF) for g in got]
-        v = np.concatenate([np.repeat(g[0], n) for g, n in zip(got, length)])
-        frequent = np.concatenate([np.repeat(g[1] >> np.uint32(31), n) for g, n in zip(got, length)]) > 0
-        u, w, tag = (np.concatenate([g[i] for g in got]) for i in (2, 3, 4))
-        sizes = [len(g[2]) for g in got]
-        del got, length
-        held = tag >> np.uint32(31) > 0
-        order = np.lexsort((w, u, v))
-        sv, su, sw = v[order], u[order], w[order]
-        train = ~held[order]
-        trie = Trie(sv[train], su[train], sw[train], uni)
-        new = np.concatenate(([True], (sv[1:] != sv[:-1]) | (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])))
-        logs = trie.log10(sv[new], su[new], sw[new], uni)
-        group = np.cumsum(new) - 1
-        score = np.empty(len(v))
-        score[order] = logs[group]
-        count = np.empty(len(v), dtype=np.int64)
-        found = trie.found_v
-        count[order] = np.where(found >= 0, trie.counts[np.maximum(found, 0)] if len(trie.counts) else 0, 0)[group]
+        asked = pdf["block"] < 0
+        answers = [unpack(x, *_ASKED) for x in pdf.loc[asked, "data"]]
+        pdf = pdf[~asked]
+        v, u, w, tag = _unpacked(pdf["data"])
+        sizes = [int(unpack(x, *_EVENTS)[1].sum()) for x in pdf["data"]]
+        g = Grams(v, u, w, tag >> np.uint32(31) == 0)
+        del v, u, w
+        # whole counts in place of the shard's own; answers are in the order of (v, w)
+        at = uni.head(g.words)
+        spread, rare = uni.is_spread(g.names), at < 0
+        if answers:
+            av, aw, ac = (np.concatenate([x[k] for x in answers]) for k in range(3))
+            order = np.lexsort((aw, av))
+            of_word = av[order] == WORD
+            g.c2[spread[g.pair_v]], g.cw[rare] = ac[order][~of_word], ac[order][of_word]
+        g.cw[~rare] = uni.c[at[~rare]]
+        cv = np.bincount(g.vid.astype(np.int64), weights=g.c).astype(np.int64)
+        kinds = np.bincount(g.pair_v[g.c2 > 0], minlength=len(g.names))
+        if spread.any():
+            cv[spread], kinds[spread] = uni.history(g.names[spread])
+        p = (g.cw + 0.5) / uni.norm
+        trie = Trie(g, cv, kinds, p, uni)
+        score = trie.log10(g.v, g.u, g.w, p)[g.group]
         trie.close()
-        base = np.where(frequent, 0.0, uni.base(count))
-        known = (count > 0) & ~frequent
+        of = g.w.astype(np.int64)[g.group]
+        base, known = uni.base(g.cw)[of], (g.cw > 0)[of]
         out, at = [], 0
         for block, n in zip(pdf["block"], sizes):
             x = slice(at, at + n)
@@ -343,8 +425,8 @@ def _score(shared):
 def _gather(total: int):
     """Block -> one row per document."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, flags, n, base, known = unpack(pdf.loc[pdf["header"], "data"].iloc[0], *_HEADER)
-        score, base, known = np.zeros(len(ids)), base.copy(), known.copy()
+        ids, flags, n = unpack(pdf.loc[pdf["header"], "data"].iloc[0], *_HEADER)
+        score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
         for raw in pdf.loc[~pdf["header"], "data"]:
             rows, s, b, k = unpack(raw, *_SUMS)
             score[rows] += s
@@ -371,9 +453,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, types = n[0] or 0, n[1]
     heads = words.where(F.col("c") * HEADS > total).collect()      # fewer than HEADS, by their sum
     shards = max(min_shards, total // shard_events)
-    shared = spark.sparkContext.broadcast(Unigrams(total, types, [(r.h, r.c) for r in heads], shards))
-    events = map_batches(rows, _events(shared), "shard long, block long, data binary")
-    sums = events.groupBy("shard").applyInPandas(_score(shared), "block long, data binary, header boolean")
+    uni = Unigrams(total, types, [(r.h, r.c) for r in heads], shards)
+
+    def events(shared, counted):
+        return map_batches(rows, _events(shared, counted), "shard long, block long, data binary")
+
+    shared = spark.sparkContext.broadcast(uni)
+    counts = saved(events(shared, True).groupBy("shard").applyInPandas(_count(shared), _COUNTS), "counts")
+    totals = saved(counts.where("shard >= 0").groupBy("shard").applyInPandas(_total, _COUNTS), "totals")
+    stats = (counts.union(totals).where("shard < 0").groupBy("shard", "sender").agg(F.sum("n")).collect())
+    whole = spark.sparkContext.broadcast(uni.with_stats([tuple(r) for r in stats]))   # fewer than 2 * shards
+    sums = (events(whole, False).union(totals.where("shard >= 0").select("shard", "sender", "data"))
+            .groupBy("shard").applyInPandas(_score(whole), "block long, data binary, header boolean"))
     return sums.groupBy("block").applyInPandas(
         _gather(total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                         "base_score double, score double")

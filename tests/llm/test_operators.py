@@ -53,6 +53,45 @@ def test_base_score_and_better_model(spark):
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
 
 
+def test_scores_are_of_the_whole_corpus(spark, monkeypatch):
+    """Equal to brute force, up to the codes' rounding, whatever the shards and heads."""
+    from quorum.llm import ngrams
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(
+        docs(spark, EDGE).select(F.col("doc_id") + 10000, "text"))
+    c1, c2, c3 = (collections.Counter() for _ in range(3))
+    texts = {r.doc_id: ["<s> "] * 2 + words(r.text) + ["</s> "] for r in table.collect()}
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c1.update(t[2:])
+            c2.update(zip(t[1:], t[2:]))
+            c3.update(zip(t, t[1:], t[2:]))
+    cv, cuv, nv, nuv = (collections.Counter() for _ in range(4))
+    for (v, _), c in c2.items():
+        cv[v] += c
+        nv[v] += 1
+    for (u, v, _), c in c3.items():
+        cuv[u, v] += c
+        nuv[u, v] += 1
+    d2, d3 = (ngrams.discount(*(sum(x == k for x in c.values()) for k in (1, 2))) for c in (c2, c3))
+    norm = sum(c1.values()) + .5 * (len(c1) + 1)
+
+    def p(u, v, w):
+        out = (c1[w] + .5) / norm
+        if cv[v]:
+            out = max(c2[v, w] - d2, 0) / cv[v] + d2 * nv[v] / cv[v] * out
+        if cuv[u, v]:
+            out = max(c3[u, v, w] - d3, 0) / cuv[u, v] + d3 * nuv[u, v] / cuv[u, v] * out
+        return math.log10(out)
+    want = {i: sum(p(*x) for x in zip(t, t[1:], t[2:])) for i, t in texts.items()}
+    for shards, heads in ((3, 1 << 18), (60, 1 << 18), (60, 64)):
+        monkeypatch.setattr(ngrams, "HEADS", heads)
+        got = {r.doc_id: r.score for r in ngrams.scores(table, min_shards=shards).collect()}
+        assert set(got) == set(want)
+        off = [abs(got[i] - x) / len(texts[i]) for i, x in want.items()]
+        assert np.median(off) < 0.002 and max(off) < 0.1, (shards, heads)
+        assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.002)
+
+
 def test_elias_fano_round_trip():
     from quorum.llm.eliasfano import EliasFano
     rng = np.random.default_rng(1)
