@@ -2,10 +2,13 @@
 
 A gear rolling hash runs over each whole text's bytes; where it falls below a
 threshold a chunk ends, so boundaries depend on the last ``REACH`` bytes only
-and come back in step right after an insertion.  Chunks are deduplicated by
-digest: the copy in the document with the smallest id stays.  Runs of
-chunks whose first copy is in another document, of ``min_words`` words or
-more, are the repeated passages.
+and come back in step right after an insertion.  Deduplicated, by digest, are
+units as long as the claim: shortest series of chunks of one document that
+hold ``min_words`` words, from each chunk on and up to each chunk; the copy in
+the document with the smallest id stays.  Neighbouring units whose first copy
+is in one other document are a repeated passage.  A stretch whose units have
+different first documents is reported once for each of them, and such
+passages may overlap.
 
 Work moves in packed blocks.  A block of documents sends each distinct digest
 once to the shard of that digest, with the block's smallest document that
@@ -24,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.llm import text as T
@@ -82,6 +85,32 @@ def chunked(buf: np.ndarray, offsets: np.ndarray, mean: int = MEAN_CHUNK):
     return row, T.word_hashes(buf, begins, ends), ends - begins, words
 
 
+_INVERSE = np.uint64(pow(int(T.powers(2)[1]), -1, 1 << 64))
+
+
+def units(row: np.ndarray, digest: np.ndarray, words: np.ndarray, min_words: int):
+    """(first chunk, last chunk, digest) of the shortest series of chunks of a
+    row with ``min_words`` words, from each chunk and to each chunk, in order."""
+    n = len(row)
+    if not n:
+        z = np.empty(0, dtype=np.int64)
+        return z, z, np.empty(0, dtype=np.uint64)
+    total = np.concatenate(([0], np.cumsum(words.astype(np.int64))))
+    at = np.arange(n)
+    last = np.searchsorted(total, total[:-1] + min_words, side="left") - 1
+    first = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    a, b = np.concatenate((at, first)), np.concatenate((np.maximum(last, at), at))
+    ok = (a >= 0) & (b < n)
+    a, b = a[ok], b[ok]
+    a, b = a[row[a] == row[b]], b[row[a] == row[b]]
+    key = np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
+    a, b = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digest * T.powers(n), dtype=np.uint64)))
+    back = np.full(n, _INVERSE)
+    back[0] = 1
+    return a, b, T.mix((sums[b + 1] - sums[a]) * np.multiply.accumulate(back)[a])
+
+
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -134,15 +163,17 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, mean: int = MEAN_CHUNK)
     return saved(map_batches(rows, run, "block long, data binary"), "chunks")
 
 
-def _ask(shards: int):
-    """Block -> its distinct digests with their smallest document, by shard."""
+def _ask(shards: int, min_words: int):
+    """Block -> its units' distinct digests with their smallest document, by shard."""
     def run(frames):
         for pdf in frames:
             out = []
             for block, data in zip(pdf["block"], pdf["data"]):
-                ids, row, digest, _, _ = unpack(data, *_BLOCK)
-                order = np.lexsort((ids[row], digest))
-                d, i = digest[order], ids[row][order]
+                ids, row, digest, _, words = unpack(data, *_BLOCK)
+                a, _, digest = units(row, digest, words, min_words)
+                own = ids[row[a]]
+                order = np.lexsort((own, digest))
+                d, i = digest[order], own[order]
                 first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else order
                 d, i = d[first], i[first]
                 shard = (d >> np.uint64(40)) % np.uint64(shards)
@@ -180,15 +211,16 @@ def _spans(min_words: int):
     """Block and answers -> repeated passages."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, row, digest, size, words = unpack(pdf.loc[pdf["own"], "data"].iloc[0], *_BLOCK)
-        own = ids[row]
-        order = np.lexsort((own, digest))
-        d = digest[order]
+        a, b, unit = units(row, digest, words, min_words)
+        own = ids[row[a]]
+        order = np.lexsort((own, unit))
+        d = unit[order]
         new = np.concatenate(([True], d[1:] != d[:-1])) if len(d) else np.empty(0, bool)
         keys, firsts = d[new], own[order][new]
         for raw in pdf.loc[~pdf["own"], "data"]:
             k, f = unpack(raw, "<u8", "<i8")
             firsts[np.searchsorted(keys, k)] = f
-        first = firsts[np.searchsorted(keys, digest)]
+        first = firsts[np.searchsorted(keys, unit)]
         end = np.cumsum(size.astype(np.int64))
         begin = end - size
         start_of_row = np.full(len(ids), 0, dtype=np.int64)
@@ -196,18 +228,16 @@ def _spans(min_words: int):
             heads = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             start_of_row[row[heads]] = begin[heads]
         dup = first != own
-        edge = np.concatenate(([True], (dup[1:] != dup[:-1]) | (row[1:] != row[:-1]))) \
-            if len(dup) else np.empty(0, bool)
-        run_at = np.flatnonzero(edge)
-        run_end = np.append(run_at[1:], len(dup)) if len(run_at) else run_at
+        a, b, first, own = a[dup], b[dup], first[dup], own[dup]
+        edge = np.flatnonzero(np.concatenate(([True], (np.diff(a) > 1) | (np.diff(first) != 0)
+                                              | (np.diff(row[a].astype(np.int64)) != 0)))) if len(a) else a
+        a, b, first, own = a[edge], b[np.append(edge[1:], len(b)) - 1] if len(b) else b, first[edge], own[edge]
         total = np.concatenate(([0], np.cumsum(words.astype(np.int64))))
-        keep = dup[run_at] & (total[run_end] - total[run_at] >= min_words) if len(run_at) else []
-        a, b = run_at[keep], run_end[keep]
         at_row = start_of_row[row[a]]
         return pd.DataFrame({
-            "doc_id": own[a], "first_doc_id": first[a],
-            "begin": begin[a] - at_row, "end": end[b - 1] - at_row,
-            "n_words": total[b] - total[a], "n_chunks": (b - a).astype(np.int64)})
+            "doc_id": own, "first_doc_id": first,
+            "begin": begin[a] - at_row, "end": end[b] - at_row,
+            "n_words": total[b + 1] - total[a], "n_chunks": b + 1 - a})
     return run
 
 
@@ -220,7 +250,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table = blocks(docs, id_col, text_col, mean)
     size = table.agg(F.sum(F.length("data"))).first()[0] or 0
     shards = max(512, size // SHARD_BYTES)
-    answers = (table.mapInPandas(_ask(shards), "shard long, block long, data binary")
+    answers = (table.mapInPandas(_ask(shards, min_words), "shard long, block long, data binary")
                .groupBy("shard").applyInPandas(_answer, "block long, data binary, own boolean"))
     both = answers.union(table.select("block", "data", F.lit(True)))
     return both.groupBy("block").applyInPandas(
@@ -235,7 +265,9 @@ def report(docs: DataFrame) -> DataFrame:
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      **parameters) -> DataFrame:
     """``docs`` without the repeated passages (their first copies stay)."""
-    spans = repeated_passages(docs, id_col, text_col, **parameters).groupBy("doc_id").agg(
+    so_far = Window.partitionBy("doc_id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
+    spans = repeated_passages(docs, id_col, text_col, **parameters).withColumn(
+        "end", F.max("end").over(so_far)).groupBy("doc_id").agg(      # passages may overlap
         F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans_")).withColumnRenamed(
         "doc_id", "span_id_")
     joined = docs.join(spans, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("span_id_"),
@@ -245,7 +277,8 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     F.col("spans_"))
     piece = F.transform(cuts, lambda c, i: F.decode(F.substring(
         raw, c["end"].cast("int") + 1,
-        (F.coalesce(F.get(cuts, i + 1)["begin"], F.octet_length(text_col).cast("long")) - c["end"]).cast("int")),
+        F.greatest(F.lit(0), (F.coalesce(F.get(cuts, i + 1)["begin"], F.octet_length(text_col).cast("long"))
+                              - c["end"]).cast("int"))),
         "utf-8"))
     return joined.withColumn(text_col, F.when(F.col("spans_").isNull(), F.col(text_col)).otherwise(
         F.array_join(piece, ""))).select(*[F.col(f"`{c}`") for c in docs.columns])

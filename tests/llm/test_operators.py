@@ -171,6 +171,32 @@ def test_substrings_find_a_shifted_passage(spark):
     assert substrings.report(table.limit(0)).count() == 0
 
 
+def test_chunks_of_several_documents_are_no_passage(spark):
+    from quorum.llm import substrings
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    whole = " ".join(word() for _ in range(60))
+    raw = np.frombuffer(whole.encode(), dtype=np.uint8)
+    ends = substrings.boundaries(raw, np.array([0, len(raw)]))
+    # each chunk of ``whole`` is in a document of its own, with what decides its ends
+    parts = [whole[max(0, a - 30):b + 4] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()) if b - a < 60]
+    assert all(len(x.split(" ")) < 20 for x in parts)
+    passage = " ".join(word() for _ in range(60))
+    middle = " ".join(passage.split(" ")[15:45])
+    n = len(parts)
+    texts = [*parts, whole, f"{word()} {middle} {word()}", f"{word()} {passage}",
+             " ".join([word(), passage, *(word() for _ in range(9))])]
+    table = docs(spark, texts)
+    got = substrings.report(table).collect()
+    assert {r.doc_id for r in got} == {n + 2, n + 3}
+    raw = [(t or "").encode() for t in texts]
+    for r in got:
+        piece = raw[r.doc_id][r.begin:r.end]
+        assert r.n_words >= 20 and piece in raw[r.first_doc_id]
+    cut = {r.doc_id: r.text for r in substrings.without_passages(table).collect()}
+    assert [cut[i] for i in range(n + 2)] == texts[:n + 2] and len(cut[n + 3]) < len(texts[n + 3]) - 200
+
+
 def test_licences(spark):
     from quorum.llm import licenses
     got = licenses.report(docs(spark, ["Released under the MIT License.\nx", "released under the MIT license!",
