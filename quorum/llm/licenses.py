@@ -1,8 +1,10 @@
 """Licence recognition by sentences.
 
-A text is cut into sentences; each is normalised (lower case, punctuation
-and white space runs become one space) and mapped to the identifier of a
-known licence sentence; the sequence of identifiers of a document is then
+A text is cut into pieces at line and sentence ends, without the marks of
+comments; each is normalised (lower case, punctuation and white space runs
+become one space).  A known licence sentence is found where a piece begins
+with it, be it wrapped over several pieces, and mapped to its identifier;
+the sequence of identifiers of a document is then
 matched against ordered rules.  A rule names a licence and the identifiers
 it needs, in order; ``...`` allows others in between.  More specific rules
 come first; a sentence that a rule used is not used by a later one.
@@ -50,6 +52,30 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be "
                    "used to endorse or promote products derived from this software",
+    "bsd-endorse-name": "Neither the name of <any> nor the names of its contributors may be used to "
+                        "endorse or promote products derived from this software",
+    "lgpl-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                         "General Public License as published by the Free Software Foundation",
+    "agpl-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero "
+                         "General Public License as published by the Free Software Foundation",
+    "gpl-v2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public "
+                   "License version 2 as published by the Free Software Foundation",
+    "gpl-v21-later": "either version 2.1 of the License, or (at your option) any later version.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with "
+                 "or without fee is hereby granted, provided that the above copyright notice and this "
+                 "permission notice appear in all copies.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with "
+                     "or without fee is hereby granted, provided that the above copyright notice and "
+                     "this permission notice appear in all copies.",
+    "epl2": "This program and the accompanying materials are made available under the terms of the "
+            "Eclipse Public License 2.0",
+    "epl2-v": "This program and the accompanying materials are made available under the terms of the "
+              "Eclipse Public License v2.0",
+    "epl2-v.": "This program and the accompanying materials are made available under the terms of the "
+               "Eclipse Public License v. 2.0",
+    "epl1": "This program and the accompanying materials are made available under the terms of the "
+            "Eclipse Public License v1.0",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
     "lic-mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights": "All rights reserved.",
 }
@@ -57,12 +83,21 @@ SENTENCES = {
 # (licence, identifiers in order); "..." lets other sentences stand between
 RULES = [
     ("BSD-3-Clause", ["bsd-redistribution", "...", "bsd-source", "...", "bsd-binary", "...", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "...", "bsd-source", "...", "bsd-binary", "...", "bsd-endorse-name"]),
     ("BSD-2-Clause", ["bsd-redistribution", "...", "bsd-source", "...", "bsd-binary"]),
     ("MIT", ["mit-grant", "...", "mit-notice", "...", "as-is"]),
     ("MIT", ["mit-grant", "...", "mit-notice"]),
     ("Apache-2.0", ["apache2-the", "...", "apache2-may-not", "...", "apache2-copy"]),
     ("GPL-3.0-or-later", ["gpl-redistribute", "...", "gpl-v3-later"]),
     ("GPL-2.0-or-later", ["gpl-redistribute", "...", "gpl-v2-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-redistribute", "...", "gpl-v3-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-redistribute", "...", "gpl-v21-later"]),
+    ("LGPL-2.0-or-later", ["lgpl-redistribute", "...", "gpl-v2-later"]),
+    ("AGPL-3.0-or-later", ["agpl-redistribute", "...", "gpl-v3-later"]),
+    ("GPL-2.0-only", ["gpl-v2-only"]),
+    ("ISC", ["isc-grant"]), ("ISC", ["isc-grant-and"]),
+    ("EPL-2.0", ["epl2"]), ("EPL-2.0", ["epl2-v"]), ("EPL-2.0", ["epl2-v."]), ("EPL-1.0", ["epl1"]),
+    ("Unlicense", ["unlicense"]),
     ("GPL-3.0-only", ["lic-gpl3"]),
     ("Apache-2.0", ["lic-apache2"]),
     ("Apache-2.0", ["apache2-the"]),
@@ -74,6 +109,11 @@ RULES = [
 
 _SPLIT = r"\n+|(?<=[.!?;:])\s+(?=[A-Z\"(])|(?<=[;:,])\s+(?=you |either )"
 
+#: marks of comments at the start and the end of a line
+_COMMENT = r"(?m)^[ \t]*(?:/{2,}|/?\*+/?|#+|-{2,}|;+|%+|<!--|>+|(?:dnl|REM|rem)(?=[ \t]))[ \t]*|[ \t]*(?:\*+/|-->)[ \t\r]*$"
+_ANY = "<any>"
+_SHORT = 8          # known sentences of at most so many words must end where a piece ends
+
 
 def normal(sentence: str) -> str:
     """Normal form of a sentence."""
@@ -86,29 +126,45 @@ def normal_column(sentence: Column) -> Column:
 
 def sentence_parts(sentences: dict[str, str]) -> list[tuple[str, str]]:
     """(normal form, identifier) of the known sentences."""
-    return [(normal(text), key) for key, text in sentences.items()]
+    return [(f" {_ANY}".join(normal(x) for x in text.split("<any>")), key) for key, text in sentences.items()]
 
 
 def identifiers(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
     A cheap test for the first word of any known sentence comes before the
-    normal form; a known sentence without its end matches as a prefix."""
+    comparison; a long known sentence without its end matches as a prefix."""
     known = sentence_parts(sentences or SENTENCES)
     firsts = "|".join(sorted({k.split(" ")[0] for k, _ in known}))
-    candidates = F.filter(F.split(F.coalesce(text, F.lit("")), _SPLIT),
-                          lambda s: F.rlike(s, F.lit(f"(?i)^[^a-z0-9]*(?:{firsts})\\b")))
-
-    def to_id(s):
-        n = normal_column(s)
-        out = F.lit(None).cast("string")
-        # longest first: of two that fit, the more specific is tested first
-        for form, key in sorted(known, key=lambda x: len(x[0])):
-            fits = (n == form) | F.startswith(n, F.lit(form + " ")) if form.count(" ") > 7 else n == form
-            out = F.when(fits, F.lit(key)).otherwise(out)
-        return out
-
-    return F.filter(F.transform(candidates, to_id), lambda x: x.isNotNull())
+    longest = max(k.count(" ") + 13 * k.count(_ANY) for k, _ in known) + 1
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), _COMMENT, "")
+    pieces = F.filter(F.transform(F.split(plain, _SPLIT), normal_column), lambda n: n != "")
+
+    def to_id(all_, i):
+        # pieces hold a word at least, so so many of them hold any known sentence
+        n = F.array_join(F.slice(all_, i + 1, longest), " ")
+        ends = F.transform(F.sequence(F.lit(1), F.lit(_SHORT)),
+                           lambda k: F.array_join(F.slice(all_, i + 1, k), " "))
+
+        def fits(form, n, ends):
+            if _ANY in form:
+                return F.rlike(n, F.lit("^" + form.replace(_ANY, r"(?:\S+ ){1,12}?") + r"\b"))
+            if form.count(" ") < _SHORT:
+                return F.array_contains(ends, form)
+            return (n == form) | F.startswith(n, F.lit(form + " "))
+
+        def choose(bound):
+            out = F.lit(None).cast("string")
+            # longest first: of two that fit, the more specific is tested first
+            for form, key in sorted(known, key=lambda x: len(x[0])):
+                out = F.when(fits(form, bound["n"], bound["ends"]), F.lit(key)).otherwise(out)
+            return out
+        return F.get(F.transform(F.array(F.struct(n.alias("n"), ends.alias("ends"))), choose), F.lit(0))
+
+    # the arrays of one element bind what the functions on them use several times
+    found = F.get(F.transform(F.array(pieces), lambda all_: F.transform(
+        all_, lambda n, i: F.when(F.rlike(n, F.lit(f"^(?:{firsts})\\b")), to_id(all_, i)))), F.lit(0))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def match_rules(ids: Column, rules=None) -> Column:

@@ -197,6 +197,50 @@ def test_chunks_of_several_documents_are_no_passage(spark):
     assert [cut[i] for i in range(n + 2)] == texts[:n + 2] and len(cut[n + 3]) < len(texts[n + 3]) - 200
 
 
+def test_wrapped_licences(spark):
+    from quorum.llm import licenses
+    mit = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy and sell copies of the Software, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+    bsd2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer."""
+    bsd3 = bsd2 + """
+3. Neither the name of the Example Institute nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission."""
+    apache = """# Licensed under the Apache License, Version 2.0 (the
+# "License"); you may not use this file except in compliance
+# with the License. You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+    short = "// This software is released under the\n// MIT License.\nint x;"
+    texts = [mit, bsd2, bsd3, apache, gpl, gpl.replace("GNU General", "GNU Lesser General"), short,
+             "Released under the MIT\nLicense of another kind"]
+    got = [r.licences for r in licenses.report(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-or-later",
+                   "LGPL-3.0-or-later", "MIT", ""]
+
+
 def test_licences(spark):
     from quorum.llm import licenses
     got = licenses.report(docs(spark, ["Released under the MIT License.\nx", "released under the MIT license!",
