@@ -5,7 +5,8 @@ its ``LEAD`` leading tokens (digits masked).  The path is the leaf.  Within a
 leaf, a token is a constant of its place if lines of enough documents have
 it there, otherwise the place is a variable field ``<*>``; a line's template
 is what remains, if at least ``SIMILARITY`` of it is constant.  Lines whose
-template recurs across enough documents are dropped.
+template recurs across ``MIN_DOCS`` documents, however many there are in all,
+are dropped.
 
 Only leaves that enough documents reach can hold a recurring template, so
 the tokens of all other lines are never spread out: a first pass counts
@@ -31,7 +32,6 @@ from quorum.llm.common import SPACE_PATTERN, fresh_name, numbered, saved
 LEAD = 3
 MIN_TOKENS = 3
 MIN_DOCS = 10
-MIN_SHARE = 0.001
 SIMILARITY = 0.5
 MIN_CONTEXTS = 0.5
 BITMAP_BYTES = 1 << 16
@@ -89,8 +89,7 @@ def _in_bitmap(leaf_col: Column, bits: bytes) -> Column:
 
 
 def recurring(rows: DataFrame, rid: str, text_col: str = "text", min_docs: int = MIN_DOCS,
-              min_share: float = MIN_SHARE, similarity: float = SIMILARITY,
-              min_contexts: float = MIN_CONTEXTS,
+              similarity: float = SIMILARITY, min_contexts: float = MIN_CONTEXTS,
               keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(table, lines, templates): table as in :func:`parsed`, lines its lines
     as rows; templates has (h, template) of the lines that a recurring
@@ -101,10 +100,9 @@ def recurring(rows: DataFrame, rid: str, text_col: str = "text", min_docs: int =
     docs = lines.groupBy("text_").agg(F.min("rid").alias("rid")).select("rid")
     once = saved(lines.join(docs, "rid", "left_semi").groupBy("rid", "leaf", "h", "around").agg(
         F.lit(1).alias("one")).drop("one"), "lines")
-    limit = max(min_docs, round(min_share * table.count()))
     per_leaf = once.groupBy("rid", "leaf").agg(F.lit(1).alias("one")).groupBy("leaf").agg(
         F.count("*").alias("docs"))
-    leaves = saved(per_leaf.where(F.col("docs") >= limit).select("leaf"), "leaves")
+    leaves = saved(per_leaf.where(F.col("docs") >= min_docs).select("leaf"), "leaves")
     bits = _bitmap(leaves)
     norm = rows.select(F.explode(_normal_lines(F.col(text_col))).alias("line"))
     # distinct lines of the reached leaves, with the number of documents that hold each
@@ -115,8 +113,8 @@ def recurring(rows: DataFrame, rid: str, text_col: str = "text", min_docs: int =
     distinct = saved(texts.join(leaves, "leaf", "left_semi").join(held, "h"), "lines")
     places = distinct.select("leaf", "h", "docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(
-        (F.col("n") >= limit) & ~F.contains(F.col("token"), F.lit("#"))).select("leaf", "place", "token")
-    # per leaf, its constants: at most leaf documents / limit of them at each place
+        (F.col("n") >= min_docs) & ~F.contains(F.col("token"), F.lit("#"))).select("leaf", "place", "token")
+    # per leaf, its constants: at most leaf documents / min_docs of them at each place
     per_leaf = constant.groupBy("leaf").agg(F.collect_list(
         F.concat_ws(" ", "place", "token")).alias("constants"))
     fixed = F.filter(F.transform(F.split("line", " "), lambda t, i: F.concat_ws(" ", i, t)),
@@ -128,7 +126,7 @@ def recurring(rows: DataFrame, rid: str, text_col: str = "text", min_docs: int =
     n_docs = seen.select("rid", "template").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     n_around = seen.select("around", "template").distinct().groupBy("template").agg(
         F.count("*").alias("contexts"))
-    good = n_docs.where(F.col("docs") >= limit).join(n_around, "template").where(
+    good = n_docs.where(F.col("docs") >= min_docs).join(n_around, "template").where(
         F.col("contexts") >= F.col("docs") * min_contexts).select("template")
     return table, lines, saved(templates.join(good, "template", "left_semi"), "templates")
 

@@ -278,6 +278,14 @@ def test_frequent_line_goes_and_copies_stay(spark):
         assert got[30:] == texts[30:]
 
 
+def test_template_goes_however_large_the_input(spark):
+    from quorum.llm import templates
+    held = spark.range(12).selectExpr("id", "concat('a', uuid(), '\\nread more on our site\\nb', uuid()) as text")
+    others = spark.range(12, 15000).selectExpr("id", "uuid() as text")
+    out = templates.drop_lines(held.union(others))
+    assert out.where("text like '%read more%'").count() == 0 and out.count() == 15000
+
+
 def test_bpe_matches_library(spark):
     import base64
 
