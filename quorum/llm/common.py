@@ -32,19 +32,38 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: what may stand above a file scan whose rows are known by file and place
+_ROWWISE = {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _rowwise(plan) -> bool:
+    """Whether each row of a plan is a row of the one file scan below it."""
+    name, below = plan.nodeName().split(" ")[0], plan.children()
+    return ((name in _ROWWISE or name.startswith("Relation")) and below.size() <= 1
+            and all(_rowwise(below.apply(i)) for i in range(below.size())))
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a row number in ``name`` that is the same in each pass.
 
-    Rows read straight from files are numbered by partition and place, which
-    repeat; other frames are written first."""
-    rows = docs.withColumn(name, F.monotonically_increasing_id())
-    if "_metadata" not in docs.columns:
+    Rows read straight from Parquet files are known by their file and their
+    place in it, however the files are split; other frames are written first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if "_metadata" not in docs.columns and plan.deterministic() and _rowwise(plan):
+        path, at, no = (fresh_name(docs, c) for c in ("file_path_", "row_index_", "file_no_"))
         try:
-            docs.select("_metadata.file_path")       # resolves only over a file scan
-            return rows
+            rows = docs.select("*", F.col("_metadata.file_path").alias(path),
+                               F.col("_metadata.row_index").alias(at))
         except AnalysisException:
-            pass
-    return saved(rows, "rows")
+            rows = None                              # no file scan, or not of Parquet
+        if rows is not None:
+            files = sorted(r[0] for r in rows.select(path).distinct().collect())
+            numbers = docs.sparkSession.createDataFrame(
+                list(enumerate(files)), f"{no} long, {path} string")
+            return rows.join(F.broadcast(numbers), path).select(
+                *[F.col(f"`{c}`") for c in docs.columns],
+                (F.shiftleft(no, 40) + F.col(at)).alias(name))
+    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],

@@ -286,6 +286,30 @@ def test_template_goes_however_large_the_input(spark):
     assert out.where("text like '%read more%'").count() == 0 and out.count() == 15000
 
 
+def test_row_numbers_repeat_however_files_are_split(spark, tmp_path):
+    from quorum.llm.common import numbered
+    path = str(tmp_path / "rows")
+    # files of different sizes are read in another order once each is a partition of its own
+    for n in (10, 3000, 200):
+        spark.range(n).selectExpr("id", "uuid() as text").coalesce(1).write.mode("append").parquet(path)
+    plain = spark.read.parquet(path).where("id >= 0")
+    rows = numbered(plain, "row")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    seen = []
+    try:
+        for limit in ("128m", "2k"):
+            spark.conf.set(key, limit)
+            seen.append({(r.id, r.text): r.row for r in rows.select("*").collect()})
+    finally:
+        spark.conf.set(key, before)
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 3210
+    # a join makes several rows of one: these are written
+    twice = numbered(plain.join(spark.range(2).withColumnRenamed("id", "k")), "row")
+    assert twice.select("row").distinct().count() == twice.count() == 6420
+    assert "monotonically" not in twice._jdf.queryExecution().toString()
+
+
 def test_bpe_matches_library(spark):
     import base64
 
