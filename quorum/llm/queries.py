@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quorum.llm import (bpe, chat, decontaminate, licenses, ngrams, quality, simhash, sitetree, substrings,
-                        templates)
+from quorum.llm import (bpe, chat, decontaminate, licenses, negatives, ngrams, quality, resample, simhash, sitetree,
+                        substrings, templates, urlfilter)
 from quorum.llm.common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -53,6 +53,19 @@ def op10_site_tree(spark, sf_dir):
     return sitetree.report(read(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark, sf_dir):
+    return urlfilter.report(read(spark, sf_dir, "pages"))
+
+
+def op13_resample(spark, sf_dir):
+    return resample.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_trie, op2_simhash, op3_chat_format, op4_substring_dedup, op5_license_scan, op6_quality_rules,
-    op7_byte_bpe, op8_line_templates, op9_decontaminate, op10_site_tree)}
+    op7_byte_bpe, op8_line_templates, op9_decontaminate, op10_site_tree, op11_hard_negatives, op12_url_filter,
+    op13_resample)}
