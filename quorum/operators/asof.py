@@ -10,7 +10,9 @@ two physical forms:
   broadcast hash join on the key plus a range condition.  The left side is
   streamed, never shuffled.  Used when the right side is proven small: its
   rows are counted (``limit(n+1).count()`` stops early) before the hint is
-  given.
+  given.  Where a key has many intervals, they are laid on a grid of time cells
+  (``TimeGrid``) and the join is on the key and the cell, so that a left row
+  meets the few intervals of its cell and not all of its key.
 * **scan** - for a right side of any size: left and right rows are unioned
   and sharded by ``(key, time bucket)``; inside a shard
   ``last(ignorenulls)`` over the time order finds the version, and the
@@ -21,6 +23,7 @@ two physical forms:
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,37 +70,75 @@ def validity_intervals(df: DataFrame, keys: Sequence[str], ts: str,
     return df.withColumns({valid_from: F.col(ts), valid_to: F.lead(F.col(ts)).over(w)})
 
 
+#: ``n`` cells of ``width`` microseconds from ``start`` on; the first and the last are open to their side
+TimeGrid = namedtuple("TimeGrid", "start width n")
+
+#: a key with no more intervals than this is searched without a grid
+GRIDLESS_INTERVALS = 32
+MAX_GRID_CELLS = 100_000
+
+
+def micros(ts: str | Column) -> Column:
+    """Microseconds of a time, as one whole number."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
+def time_grid(start: int | None, end: int | None, intervals: int, at_once: int = 1) -> TimeGrid | None:
+    """A grid between the first and the last start (microseconds) of a key's
+    ``intervals``, of which up to ``at_once`` hold at a time: with ``intervals /
+    at_once`` cells, laying them on it makes about two rows of each.  ``None``
+    where a key has at most ``GRIDLESS_INTERVALS`` or they all hold at once."""
+    n = min(intervals // max(at_once, 1), MAX_GRID_CELLS)
+    if start is None or intervals <= GRIDLESS_INTERVALS or n <= 1:
+        return None
+    return TimeGrid(int(start), max(1, -(-(int(end) - int(start) + 1) // n)), n)
+
+
+def grid_cell(ts: str | Column, grid: TimeGrid) -> Column:
+    cell = F.floor((micros(ts) - F.lit(grid.start)) / F.lit(grid.width))
+    # (least and greatest skip nulls)
+    return F.when(cell.isNotNull(), F.least(F.greatest(cell, F.lit(0)), F.lit(grid.n - 1))).cast("int")
+
+
 def interval_join(left: DataFrame, intervals: DataFrame, on: Sequence[str], ts: str,
                   valid_from: str = "valid_from", valid_to: str = "valid_to",
-                  how: str = "inner", broadcast: bool = True) -> DataFrame:
+                  how: str = "inner", broadcast: bool = True, grid: TimeGrid | None = None) -> DataFrame:
     """Join each left row with every interval of its key that contains ``ts``.
 
-    ``intervals`` key columns are matched by name and dropped from the output."""
+    ``intervals`` key columns are matched by name and dropped from the output.
+    With ``grid`` each interval is repeated for the cells it touches and a left row
+    meets those of its cell only."""
     r = intervals.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c)
                            for c in intervals.columns])
+    lay = []
+    if grid is not None:
+        last = F.coalesce(grid_cell(valid_to, grid), F.lit(grid.n - 1))
+        r = r.withColumn("__cell", F.explode(F.sequence(grid_cell(valid_from, grid), last)))
+        lay = [grid_cell(left[ts], grid) == r["__cell"]]
     if broadcast:
         r = F.broadcast(r)
-    cond = [left[k] == r[f"__r_{k}"] for k in on]
+    cond = [left[k] == r[f"__r_{k}"] for k in on] + lay
     cond += [r[valid_from] <= left[ts], r[valid_to].isNull() | (left[ts] < r[valid_to])]
     out = left.join(r, cond, how)
-    return out.drop(*[f"__r_{k}" for k in on])
+    return out.drop(*[f"__r_{k}" for k in on], *(["__cell"] if lay else []))
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str,
               right_ts: str, how: str = "left", strategy: str = "auto",
               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
               bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-              tie: Sequence[str] = ()) -> DataFrame:
+              tie: Sequence[str] = (), grid: TimeGrid | None = None) -> DataFrame:
     """Latest right row per key with ``right_ts <= left_ts``.
 
     Right columns other than the keys are appended (``right_ts`` included);
     ``how`` is ``left`` (unmatched rows get NULLs) or ``inner``.  ``tie``
-    orders right rows that share a key and a time (later one wins)."""
+    orders right rows that share a key and a time (later one wins); ``grid``
+    is for the broadcast form (:func:`interval_join`)."""
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(right, max_broadcast_rows) else "scan"
     if strategy == "broadcast":
         iv = validity_intervals(right, on, right_ts, "__vf", "__vt", tie)
-        out = interval_join(left, iv, on, left_ts, "__vf", "__vt", how=how)
+        out = interval_join(left, iv, on, left_ts, "__vf", "__vt", how=how, grid=grid)
         return out.drop("__vf", "__vt")
     if strategy == "scan":
         return _asof_scan(left, right, on, left_ts, right_ts, how, bucket_seconds, tie)

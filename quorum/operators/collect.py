@@ -30,6 +30,26 @@ from quorum.operators.route import SUPPORTED_MODEL_TYPES
 KEY = "event_id"
 START_COLS = ["data_type", "ts", "label", "n_models", "timeout_ms"]
 
+#: where rows lie: rows of one request share it, and rows that carry it are
+#: partitioned by it (with the data type or alone).  As a grouping key it lets
+#: ranks and votes run where the rows are, without an exchange
+PLACE = "__place"
+
+#: one counted answer, in order of arrival, as a decider sees it
+ANSWER = "struct<latency_ms:bigint,data_model:string,result:int>"
+
+
+def request_keys(rows: DataFrame) -> list[str]:
+    """Columns that tell requests apart, with the place of the rows if they have one."""
+    return [KEY, *(["data_type", PLACE] if PLACE in rows.columns else [])]
+
+
+def counted_answers() -> Column:
+    """Aggregate: the counted answers of a request, in order of arrival.  They
+    are at most as many as the type has models."""
+    return F.array_sort(F.collect_list(F.when(F.col("counted"), F.struct("latency_ms", "data_model", "result"))
+                                       .cast(ANSWER)))
+
 
 def with_answers(rows: DataFrame, latency: Column | None = None,
                  model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
@@ -54,7 +74,7 @@ def with_arrival_rank(rows: DataFrame) -> DataFrame:
     first, by (latency, model key); NULL for late or missing answers."""
     on_time = F.col("answered") & (F.col("latency_ms") <= F.col("timeout_ms"))
     d = rows.withColumn("on_time", F.coalesce(on_time, F.lit(False)))
-    w = Window.partitionBy(KEY).orderBy(F.col("on_time").desc(), "latency_ms", "data_model")
+    w = Window.partitionBy(*request_keys(rows)).orderBy(F.col("on_time").desc(), "latency_ms", "data_model")
     return d.withColumn("arrival_rank", F.when(F.col("on_time"), F.row_number().over(w)))
 
 
@@ -80,22 +100,29 @@ def late_responses(rows: DataFrame, quorum="all") -> DataFrame:
     return mark_counted(rows, quorum).filter(F.col("answered") & ~F.col("counted"))
 
 
-def collect_vote(rows: DataFrame, quorum="all", threshold: float = 0.5) -> DataFrame:
-    """One result per measurement."""
+def collect_vote(rows: DataFrame, quorum="all", threshold: float = 0.5, decider=None) -> DataFrame:
+    """One result per measurement.
+
+    ``decider`` (F3): a function of the counted answers' column (an array of
+    ``ANSWER``, in order of arrival) that gives the result's column, such as
+    those of ``quorum.operators.deciders``; without one the answers vote
+    against ``threshold``.  Either is part of the one collecting ``groupBy``."""
     d = mark_counted(rows, quorum)
     cnt = F.count_if("counted")
-    # start columns depend on guid only; as grouping keys they keep the
+    chosen = (F.sum(F.when(F.col("counted"), F.coalesce("result", F.lit(0)))) if decider is None
+              else counted_answers())
+    # start columns depend on the measurement only; as grouping keys they keep the
     # aggregate hash-based (no sort) with fixed-width buffers
-    agg = d.groupBy(KEY, *START_COLS).agg(
-        cnt.alias("__n"),
-        F.sum(F.when(F.col("counted"), F.coalesce("result", F.lit(0)))).alias("__ones"),
+    agg = d.groupBy(*dict.fromkeys([*request_keys(d), *START_COLS])).agg(
+        cnt.alias("__n"), chosen.alias("__chosen"),
         F.max(F.when(F.col("counted"), F.col("latency_ms"))).alias("__last"),
     )
     k = _quorum_k(quorum)
     has_models = F.col("n_models") > 0
     processed = has_models & (F.col("__n") > 0)
     complete = processed & (F.col("__n") >= k)
-    vote = F.when(F.col("__ones") / F.col("__n") < F.lit(threshold), 0).otherwise(1)
+    vote = (F.when(F.col("__chosen") / F.col("__n") < F.lit(threshold), 0).otherwise(1) if decider is None
+            else decider(F.col("__chosen")))
     return agg.select(
         request_guid(KEY).alias("guid"), "event_id", "data_type", "ts",
         F.col("n_models").cast("int").alias("n_models"),

@@ -1,4 +1,7 @@
-"""Pluggable deciders (F3): the vote replaced by a Python function.
+"""Python deciders (F3): the vote replaced by a Python function, in batch plans.
+
+Deciders that column functions can express belong in ``quorum.operators.deciders``:
+they need no Python worker and hold in the streaming paths as well.
 
 The answers that count for a request are gathered per guid - at most
 ``n_models`` of them, so the list is bounded by the registry, never by the
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 from quorum import schemas
 from quorum.functions.columns import VOTER_MODEL
 from quorum.functions.columns import request_guid
-from quorum.operators.collect import KEY, START_COLS, _quorum_k, mark_counted
+from quorum.operators.collect import KEY, START_COLS, _quorum_k, counted_answers, mark_counted, request_keys
+from quorum.session import ship_package
 
 Decider = Callable[[pd.DataFrame], pd.Series]
 
@@ -34,20 +38,18 @@ def collect_answers(rows: DataFrame, quorum="all") -> DataFrame:
     """One row per guid: start columns, ``results`` / ``latencies`` of the
     counted answers in arrival order, and the completion flag."""
     d = mark_counted(rows, quorum)
-    ans = F.when(F.col("counted"), F.struct(F.col("latency_ms").alias("l"),
-                                            F.col("data_model").alias("m"),
-                                            F.col("result").alias("r")))
-    g = d.groupBy(KEY, *START_COLS).agg(F.array_sort(F.collect_list(ans)).alias("__a"))
+    g = d.groupBy(*dict.fromkeys([*request_keys(d), *START_COLS])).agg(counted_answers().alias("__a"))
     return (g.withColumn("guid", request_guid(KEY))
-             .withColumn("results", F.col("__a.r"))
-             .withColumn("latencies", F.col("__a.l"))
+             .withColumn("results", F.col("__a.result"))
+             .withColumn("latencies", F.col("__a.latency_ms"))
              .withColumn("complete", (F.size("__a") > 0) & (F.size("__a") >= _quorum_k(quorum)))
-             .drop("__a"))
+             .select("guid", KEY, *START_COLS, "results", "latencies", "complete"))
 
 
 def decide_with(rows: DataFrame, decider: Decider = majority_decider, quorum="all") -> DataFrame:
     """Results (same schema as ``collect_vote``) with ``decider`` choosing the
     result of every request that has at least one counted answer."""
+    ship_package(rows.sparkSession)
     coll = collect_answers(rows, quorum)
 
     def run(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quorum.functions.columns import data_model_key, request_guid
 from quorum.operators.asof import (DEFAULT_MAX_BROADCAST_ROWS, asof_join, fits_broadcast,
-                                   interval_join, validity_intervals)
+                                   interval_join, micros, time_grid, validity_intervals)
 
 DEFAULT_TIMEOUT_MS = 150
 SUPPORTED_MODEL_TYPES = (0,)
@@ -74,21 +74,21 @@ def first_registrations(registry: DataFrame) -> DataFrame:
 
 def known_model_epochs(registry: DataFrame) -> DataFrame:
     """``(data_type, epoch_at, n_models, models)``: from ``epoch_at`` on, the type
-    knows ``models`` (ordered by first registration, then name)."""
-    first = first_registrations(registry)
-    w = (Window.partitionBy("data_type").orderBy("first_at", "data_model")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = first.withColumn("models", F.collect_list("data_model").over(w))
-    return (running.groupBy("data_type", F.col("first_at").alias("epoch_at"))
-            .agg(F.max_by("models", F.size("models")).alias("models"))
-            .withColumn("n_models", F.size("models")))
+    knows ``models`` (ordered by first registration, then name).
+
+    A type's models are listed once; an epoch's list is the start of that list."""
+    all_models = (first_registrations(registry).groupBy("data_type")
+                  .agg(F.array_sort(F.collect_list(F.struct("first_at", "data_model"))).alias("__all")))
+    return (model_count_epochs(registry).join(all_models, "data_type")
+            .select("data_type", "epoch_at", "n_models",
+                    F.slice(F.col("__all.data_model"), F.lit(1), F.col("n_models")).alias("models")))
 
 
 def known_models(registry: DataFrame) -> DataFrame:
     """Current known-model list per data type (A1 / T8 ``currentModels``)."""
-    e = known_model_epochs(registry)
-    return (e.groupBy("data_type").agg(F.max_by("models", "epoch_at").alias("models"))
-            .withColumn("n_models", F.size("models")))
+    return (first_registrations(registry).groupBy("data_type")
+            .agg(F.array_sort(F.collect_list(F.struct("first_at", "data_model"))).alias("__all"))
+            .select("data_type", F.col("__all.data_model").alias("models"), F.size("__all").alias("n_models")))
 
 
 def model_count_epochs(registry: DataFrame) -> DataFrame:
@@ -124,9 +124,29 @@ def with_epoch(measurements: DataFrame, registry: DataFrame, strategy: str = "au
                .drop("epoch_at"))
 
 
+def with_model_count(measurements: DataFrame, registry: DataFrame, grid=None) -> DataFrame:
+    """Attach ``n_models`` (0 for none) by a broadcast of the count epochs."""
+    out = asof_join(measurements, model_count_epochs(registry), ["data_type"], "ts", "epoch_at",
+                    how="left", strategy="broadcast", grid=grid)
+    return out.withColumn("n_models", F.coalesce("n_models", F.lit(0))).drop("epoch_at")
+
+
+def version_counts(registry: DataFrame) -> DataFrame:
+    """Per type: versions ``n``, models ``at_once``, first and last registration (microseconds)."""
+    at = micros("registered_at")
+    return (prepare_registry(registry).groupBy("data_type", "data_model").agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("b"))
+            .groupBy("data_type").agg(F.sum("n").alias("n"), F.count("*").alias("at_once"), F.min("a").alias("a"), F.max("b").alias("b")))
+
+
+def registry_grid(registry: DataFrame):
+    """Time cells for a registry with a type of many versions, else ``None``."""
+    r = version_counts(registry).agg(F.max_by(F.struct("n", "at_once"), "n").alias("m"), F.min("a").alias("a"), F.max("b").alias("b")).first()
+    return time_grid(r.a, r.b, r.m.n, r.m.at_once) if r.m else None
+
+
 def with_timeout(df: DataFrame, config: DataFrame | None, ts: str = "ts",
                  default_ms: int = DEFAULT_TIMEOUT_MS, strategy: str = "auto",
-                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, grid=None) -> DataFrame:
     """Effective answer deadline at ``ts`` (J4): latest config of the data type;
     none or 0 -> ``default_ms``."""
     if config is None:
@@ -135,7 +155,7 @@ def with_timeout(df: DataFrame, config: DataFrame | None, ts: str = "ts",
                         F.col("effective_at").alias("__eff"))
     # of two configs with one time the longer deadline holds
     out = asof_join(df, cfg, ["data_type"], ts, "__eff", how="left", strategy=strategy,
-                    max_broadcast_rows=max_broadcast_rows, tie=["__tmout"])
+                    max_broadcast_rows=max_broadcast_rows, tie=["__tmout"], grid=grid)
     return (out.withColumn("timeout_ms", F.coalesce(F.nullif(F.col("__tmout"), F.lit(0)),
                                                     F.lit(default_ms)).cast("long"))
                .drop("__tmout", "__eff"))
@@ -154,14 +174,17 @@ def _version_cols(registry: DataFrame) -> list[str]:
 def route_requests(measurements: DataFrame, registry: DataFrame, strategy: str = "auto",
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                    with_models_list: bool = False,
-                   model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
+                   model_types=SUPPORTED_MODEL_TYPES, grid=None) -> DataFrame:
     """One row per (measurement, known model) with the active version (J1-J3),
     or one row with NULL ``data_model`` for a measurement without models (J6).
 
-    Every row carries ``n_models``; measurement columns are kept."""
+    Every row carries ``n_models``; measurement columns are kept.  ``grid``: time
+    cells for a type with many versions (:func:`registry_grid`, found here with
+    ``strategy="auto"``)."""
     reg = prepare_registry(registry)
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(reg, max_broadcast_rows) else "scan"
+        grid = registry_grid(reg) if strategy == "broadcast" else None
     cols = _version_cols(reg)
     if strategy == "broadcast":
         if with_models_list:     # lists of names can outgrow the registry: sized on their own
@@ -169,10 +192,9 @@ def route_requests(measurements: DataFrame, registry: DataFrame, strategy: str =
             out = asof_join(measurements, ep, ["data_type"], "ts", "epoch_at", how="left",
                             max_broadcast_rows=max_broadcast_rows)
         else:
-            out = asof_join(measurements, model_count_epochs(reg), ["data_type"], "ts", "epoch_at",
-                            how="left", strategy="broadcast")
+            out = with_model_count(measurements, reg, grid)
         iv = version_intervals(reg, model_types).select("data_type", "valid_from", "valid_to", *cols)
-        out = interval_join(out, iv, ["data_type"], "ts", how="left")
+        out = interval_join(out, iv, ["data_type"], "ts", how="left", grid=grid)
         out = out.drop("valid_from", "valid_to", "epoch_at")
     else:
         out = with_epoch(measurements, reg, strategy="scan")

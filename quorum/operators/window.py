@@ -40,7 +40,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.operators.asof import time_bucket
+from quorum.operators.asof import micros, time_bucket
 
 DEFAULT_WINDOW_BUCKET_SECONDS = 60
 
@@ -129,9 +129,105 @@ def last_values(values: Column, width: Column) -> Column:
     return F.when((width >= 1) & (n >= width), F.slice(values, n - width + 1, width))
 
 
-def last_n_window_plain(df: DataFrame, value, width, max_width: int,
-                        partition=("data_model", "version"), order=("ts", "event_id"),
-                        out: str = "window") -> DataFrame:
-    """One partition per version (no split); fine when versions are small."""
-    return last_n_window(df, value, width, max_width, partition, order, out=out,
-                         bucket_seconds=None)
+# One window per measurement ----------------------------------------------------
+#
+# All models of a data type see the same measurements, so their windows are cuts of
+# one array per measurement: its type's last W raw values, from the version's
+# start on, as many as the version is wide.  The array is computed once per
+# measurement, in buckets of consecutive measurements of a type whose borders
+# follow the density of the data; what a bucket needs from before its border is
+# dealt to it as context rows, so a single exchange carries the measurements.
+
+#: a bucket has about this many measurements, or CONTEXT_SHARE windows if that is more
+BUCKET_ROWS = 50_000
+CONTEXT_SHARE = 100
+#: time slots of the density histogram, over all types together, each for SLOT_ROWS measurements or more
+SLOTS = 1 << 17
+SLOT_ROWS = 64
+
+LAST = "__last"
+
+
+def density_slots(rows: DataFrame, types: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS,
+                  slots: int = SLOTS) -> DataFrame | None:
+    """Where the measurements of each slot of time go: ``(data_type, __start, __span,
+    __slot, __bucket, __context)``; ``None`` if every type fits one bucket.
+
+    Two column-pruned passes: rows and time span per type, then rows per slot,
+    at most ``slots`` of them and one a type.  A type gets slots in proportion to its rows,
+    a bucket ends at the first slot at which it has enough rows, and the slots before a
+    border that hold the ``width - 1`` rows a window can reach back to are context
+    of the bucket after it (of several, if buckets there are smaller than a window).
+    ``types`` (one column, proven small) are the types that have models."""
+    slim = rows.select("data_type", micros("ts").alias("__us")).join(F.broadcast(types), "data_type")
+    per = slim.groupBy("data_type").agg(F.count("*").alias("n"), F.min("__us").alias("a"), F.max("__us").alias("b")).collect()
+    total = sum(r.n for r in per)
+    slots = min(slots, total // SLOT_ROWS)
+    enough = max(bucket_rows, CONTEXT_SHARE * width)
+    if all(r.n <= enough for r in per):
+        return None
+    spans = [(r.data_type, r.a, max(1, -(-(r.b - r.a + 1) // max(1, slots * r.n // total)))) for r in per if r.a is not None]
+    grid = rows.sparkSession.createDataFrame(spans, "data_type string, __start long, __span long")
+    counts = (slim.join(F.broadcast(grid), "data_type")
+              .groupBy("data_type", _slot(F.col("__us")).alias("__slot")).count().collect())
+    by_type: dict = {}
+    for r in counts:
+        by_type.setdefault(r.data_type, []).append((r["__slot"], r["count"]))
+    out = []
+    for data_type, start, span in spans:
+        out += [(data_type, start, span, *x) for x in _assign(sorted(by_type.get(data_type, [])), enough, width - 1)]
+    return rows.sparkSession.createDataFrame(
+        out, "data_type string, __start long, __span long, __slot long, __bucket int, __context array<int>")
+
+
+def _slot(us: Column) -> Column:
+    return F.floor((us - F.col("__start")) / F.col("__span"))
+
+
+def _assign(slots: list[tuple[int, int]], enough: int, back: int) -> list[tuple[int, int, list[int]]]:
+    """(slot, bucket, buckets it is context of) for the (slot, rows) of a type, in order of time."""
+    out, borders, bucket, have = [], [], 0, 0
+    for i, (slot, n) in enumerate(slots):
+        if have >= enough:
+            bucket, have = bucket + 1, 0
+            borders.append(i)
+        have += n
+        out.append((slot, bucket, []))
+    for j, i in enumerate(borders):
+        need = back
+        while need > 0 and i > 0:
+            i -= 1
+            out[i][2].append(j + 1)
+            need -= slots[i][1]
+    return out
+
+
+def with_last_values(rows: DataFrame, value: str, width: int, slots: DataFrame | None, place: str,
+                     order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """Add ``LAST``: the type's last ``width`` (ts, value) pairs up to the row, oldest
+    first, and ``place``: rows are partitioned by it and the data type.
+
+    ``slots``: of :func:`density_slots`; measurements of types that are not in it
+    have no models and need no neighbours."""
+    if slots is None:
+        d = rows.withColumns({place: F.lit(0), "__ctx": F.lit(False)})
+    else:
+        spans = F.broadcast(slots.coalesce(1).select("data_type", "__start", "__span").distinct())
+        dealt = slots.select("data_type", "__slot", "__bucket", "__context")
+        d = (rows.join(spans, "data_type", "left").withColumn("__slot", _slot(micros("ts")))
+             .join(F.broadcast(dealt), ["data_type", "__slot"], "left"))
+        spread = -1 - F.pmod(F.xxhash64(*order), F.lit(1024)).cast("int")
+        own = F.array(F.struct(F.coalesce("__bucket", spread).alias("p"), F.lit(False).alias("c")))
+        others = F.transform(F.coalesce("__context", F.array().cast("array<int>")), lambda b: F.struct(b.alias("p"), F.lit(True).alias("c")))
+        d = (d.withColumn("__to", F.explode(F.concat(own, others)))
+             .select(*rows.columns, F.col("__to.p").alias(place), F.col("__to.c").alias("__ctx")))
+    w = Window.partitionBy("data_type", place).orderBy(*order)
+    pair = F.struct(F.col("ts").alias("ts"), F.col(value).alias("v"))
+    return (d.withColumn(LAST, F.collect_list(pair).over(w.rowsBetween(1 - width, Window.currentRow)))
+            .filter(~F.col("__ctx")).drop("__ctx"))
+
+
+def cut_window(last: Column, since: Column, width: Column) -> Column:
+    """The last ``width`` values at or after ``since``; NULL when there are fewer."""
+    own = F.filter(last, lambda x: x["ts"] >= since)
+    return last_values(F.transform(own, lambda x: x["v"]), width)

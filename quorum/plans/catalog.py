@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quorum import demo
 from quorum.functions import decode as dec
-from quorum.functions.columns import encode_result, serving_line
+from quorum.functions.columns import encode_result, request_guid, serving_line
+from quorum.operators import deciders
 from quorum.operators.collect import (collect_vote, late_responses, responses_in_time,
                                       with_arrival_rank)
 from quorum.operators.decide import decide_with
@@ -22,8 +23,9 @@ from quorum.operators.ensemble import SliceModel, ensemble_score
 from quorum.operators.route import (SUPPORTED_MODEL_TYPES, known_models, route,
                                     version_intervals, with_epoch, with_guid, with_timeout)
 from quorum.operators.stats import collector_stats, current_model_stats, model_stats
-from quorum.plans.oracle import (BAD_EMPTY_K, BAD_TRUNCATE_K, BAD_TYPE_K, ENSEMBLE_SLICES,
-                                 LOG_PARTITIONS, TRUNCATE_AT)
+from quorum.plans.oracle import (AGAIN_EVERY, AGAIN_MS, ASTRAY_BY, ASTRAY_EVERY, BAD_EMPTY_K, BAD_TRUNCATE_K, BAD_TYPE_K,
+                                 DECIDER_WEIGHTS, ENSEMBLE_SLICES, LOG_PARTITIONS, NAMELESS_EVERY, OTHER_WEIGHT,
+                                 SOONER_EVERY, SOONER_MS, TRUNCATE_AT)
 from quorum.plans.serve import scored_requests
 from quorum.sources.tables import measurements, measurements_from_events, read_table
 
@@ -183,9 +185,64 @@ def q_serve_stateful(spark, d):
 
 
 def q_custom_decider(spark, d):
+    """the earliest answer with a result decides, as an aggregate of the collecting ``groupBy``."""
+    return collect_vote(_rows(spark, d), decider=deciders.first_answer())
+
+
+def q_weighted_decider(spark, d):
+    """F3 with k-of-n: votes weighted by model, of the first two answers."""
+    return collect_vote(_rows(spark, d), 2, decider=deciders.weighted_vote(DECIDER_WEIGHTS, other=OTHER_WEIGHT))
+
+
+def q_python_decider(spark, d):
     return decide_with(_rows(spark, d))
 
 
+def outside_answers(spark, d) -> DataFrame:
+    """Answers as an outside scorer would send them: those of the demo's models, some
+    twice (later with another result, or earlier), some to requests that nobody made, some
+    without a guid."""
+    rows = _rows(spark, d).filter("answered").select("event_id", "data_model", "result", "arrived_at")
+    moved = lambda ms: F.timestamp_add("MILLISECOND", F.lit(ms), F.col("arrived_at"))
+    copies = F.array(
+        F.struct(F.col("event_id").alias("to"), F.col("result").alias("result"), F.col("arrived_at").alias("arrived_at")),
+        F.when(F.col("event_id") % AGAIN_EVERY == 0, F.struct(F.col("event_id").alias("to"), (1 - F.col("result")).alias("result"),
+                                                             moved(AGAIN_MS).alias("arrived_at"))),
+        F.when(F.col("event_id") % SOONER_EVERY == 0, F.struct(F.col("event_id").alias("to"), F.col("result").alias("result"),
+                                                              moved(-SOONER_MS).alias("arrived_at"))),
+        F.when(F.col("event_id") % ASTRAY_EVERY == 0, F.struct((F.col("event_id") + ASTRAY_BY).alias("to"), F.col("result").alias("result"),
+                                                              F.col("arrived_at").alias("arrived_at"))),
+        F.when(F.col("event_id") % NAMELESS_EVERY == 0, F.struct(F.lit(None).cast("long").alias("to"), F.col("result").alias("result"),
+                                                                F.col("arrived_at").alias("arrived_at"))))
+    sent = rows.select("data_model", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c"))
+    return sent.select(request_guid("c.to").alias("guid"), "data_model", "c.result", "c.arrived_at")
+
+
+def _outside(spark, d, quorum="all"):
+    from quorum.plans.serve import serve
+    return serve(measurements(spark, d), demo.registry(spark), demo.config(spark), quorum=quorum,
+                 responses=outside_answers(spark, d))
+
+
+def q_collected_responses(spark, d):
+    """Answers as an input of their own."""
+    return _outside(spark, d).results
+
+
+def q_collected_quorum_1(spark, d):
+    return _outside(spark, d, 1).results
+
+
+def q_unknown_responses(spark, d):
+    """Answers that nobody waits for."""
+    return _outside(spark, d).unknown.select("guid", "data_model", "result", "reason")
+
+
+def q_late_outside_responses(spark, d):
+    """Answers that came when their request was finished."""
+    return _outside(spark, d, 1).late.select("event_id", "data_model", "latency_ms")
+
+
 def _stat_cols(df, keys):
     return df.select(*keys, "usage", "duration_ms", "min_ms", "max_ms",
                      F.round("avg_ms", 6).alias("avg_ms"))

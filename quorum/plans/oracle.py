@@ -16,18 +16,33 @@ DEFAULT_TIMEOUT_MS = 150
 LOG_PARTITIONS, PARTITION_STEP = 8, 1 << 44
 
 
-def _base(quorum="all", rows=demo.REGISTRY_ROWS, event_id="event_id") -> str:
+# What outside answers do, by event_id, and the weights of a decider
+AGAIN_EVERY, AGAIN_MS, SOONER_EVERY, SOONER_MS = 3, 5, 5, 10
+ASTRAY_EVERY, ASTRAY_BY, NAMELESS_EVERY = 7, 1_000_000_000_000, 11
+DECIDER_WEIGHTS, OTHER_WEIGHT = {"click-m1": 0.5, "click-m2": 2.5, "error-m1": 0.0}, 1.0
+
+
+def _base(quorum="all", rows=demo.REGISTRY_ROWS, event_id="event_id", outside=False) -> str:
+    ans, came = "ans", ""
+    if outside:
+        ans, came = "came", f"""
+sent AS (SELECT event_id, data_model, result, latency_ms FROM ans WHERE answered
+         UNION ALL SELECT event_id, data_model, 1 - result, latency_ms + {AGAIN_MS} FROM ans WHERE answered AND event_id % {AGAIN_EVERY} = 0
+         UNION ALL SELECT event_id, data_model, result, latency_ms - {SOONER_MS} FROM ans WHERE answered AND event_id % {SOONER_EVERY} = 0),
+came AS (SELECT s.event_id, s.data_model, s.result, greatest(s.latency_ms, 0) AS latency_ms, true AS answered, t.timeout_ms
+         FROM sent s JOIN tmo t USING (event_id)
+         QUALIFY row_number() OVER (PARTITION BY event_id, data_model ORDER BY s.latency_ms, s.result NULLS LAST) = 1),"""
     if quorum == "all":
-        counted = """
-cnt AS (SELECT a.*, coalesce(answered AND latency_ms <= timeout_ms, false) AS counted FROM ans a),"""
+        counted = f"""
+cnt AS (SELECT a.*, coalesce(answered AND latency_ms <= timeout_ms, false) AS counted FROM {ans} a),"""
         k = "n.n_models"
     else:
         counted = f"""
 ranked AS (SELECT event_id, data_model,
                   CAST(row_number() OVER (PARTITION BY event_id ORDER BY latency_ms, data_model) AS INTEGER) AS arrival_rank
-           FROM ans WHERE answered AND latency_ms <= timeout_ms),
+           FROM {ans} WHERE answered AND latency_ms <= timeout_ms),
 cnt AS (SELECT a.*, r.arrival_rank, coalesce(r.arrival_rank <= {int(quorum)}, false) AS counted
-        FROM ans a LEFT JOIN ranked r ON a.event_id = r.event_id AND a.data_model = r.data_model),"""
+        FROM {ans} a LEFT JOIN ranked r ON a.event_id = r.event_id AND a.data_model = r.data_model),"""
         k = str(int(quorum))
     return f"""WITH
 reg0 AS ({demo.registry_sql(rows)}),
@@ -64,7 +79,7 @@ ans AS (SELECT s.*,
                (s.model_type = 0) AS answered,
                CASE WHEN s.model_type = 0 THEN CAST({demo.LATENCY_SQL} AS BIGINT) END AS latency_ms,
                t.timeout_ms, n.n_models
-        FROM w3 s JOIN tmo t USING (event_id) JOIN nm n USING (event_id)),{counted}
+        FROM w3 s JOIN tmo t USING (event_id) JOIN nm n USING (event_id)),{came}{counted}
 agg AS (SELECT event_id, count(*) FILTER (WHERE counted) AS n_cnt,
                sum(coalesce(result, 0)) FILTER (WHERE counted) AS ones,
                max(latency_ms) FILTER (WHERE counted) AS last_ms
@@ -142,7 +157,7 @@ def queries() -> dict[str, str]:
         "late_responses": b + f"SELECT {ans_cols}, latency_ms FROM cnt WHERE answered AND NOT counted",
         "vote_all": b + f"SELECT {RESULT_COLS} FROM results",
         "serve": b + f"SELECT {RESULT_COLS} FROM results",
-        "custom_decider": b + f"SELECT {RESULT_COLS} FROM results",
+        "python_decider": b + f"SELECT {RESULT_COLS} FROM results",
         "model_stats": b + """SELECT data_model, version, count(*) AS usage, CAST(sum(latency_ms) AS BIGINT) AS duration_ms,
        min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, round(sum(latency_ms) / count(*), 6) AS avg_ms
 FROM ans WHERE answered GROUP BY data_model, version""",
@@ -182,6 +197,21 @@ FROM st LEFT JOIN km ON st.data_type = km.data_type"""
     q["multi_partition_results"] = _base(event_id=(
         f"(event_id % {LOG_PARTITIONS}) * {PARTITION_STEP} + event_id // {LOG_PARTITIONS}")) + \
         f"SELECT {RESULT_COLS} FROM results"
+    others = RESULT_COLS.replace(", result,", f", CAST(CASE WHEN processed THEN coalesce(f.chosen, 0) END AS INTEGER) AS result,").replace("event_id,", "r.event_id,")
+    q["custom_decider"] = b + f""", f AS (SELECT event_id, arg_min(result, (latency_ms, data_model)) AS chosen FROM cnt
+    WHERE counted AND result IS NOT NULL GROUP BY event_id)
+SELECT {others} FROM results r LEFT JOIN f ON f.event_id = r.event_id"""
+    weight = "CASE data_model " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in DECIDER_WEIGHTS.items()) + f" ELSE {OTHER_WEIGHT} END"
+    q["weighted_decider"] = _base(2) + f""", f AS (SELECT event_id,
+    CASE WHEN coalesce(sum(CAST({weight} AS DOUBLE) * coalesce(result, 0)) / nullif(sum(CAST({weight} AS DOUBLE)), 0), 0) < 0.5 THEN 0 ELSE 1 END AS chosen
+    FROM cnt WHERE counted GROUP BY event_id)
+SELECT {others} FROM results r LEFT JOIN f ON f.event_id = r.event_id"""
+    q["collected_responses"] = _base(outside=True) + f"SELECT {RESULT_COLS} FROM results"
+    q["collected_quorum_1"] = _base(1, outside=True) + f"SELECT {RESULT_COLS} FROM results"
+    q["late_outside_responses"] = _base(1, outside=True) + "SELECT event_id, data_model, latency_ms FROM cnt WHERE NOT counted"
+    q["unknown_responses"] = b + f"""SELECT sha256(CAST(event_id + {ASTRAY_BY} AS VARCHAR)) AS guid, data_model, result, 'no_request' AS reason
+FROM ans WHERE answered AND event_id % {ASTRAY_EVERY} = 0
+UNION ALL SELECT CAST(NULL AS VARCHAR), data_model, result, 'incomplete' FROM ans WHERE answered AND event_id % {NAMELESS_EVERY} = 0"""
     q["score_python_model"] = q["score_linear"]
     q["serve_stream"] = q["serve"]
     q["serve_stateful"] = q["serve"]

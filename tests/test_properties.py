@@ -38,7 +38,7 @@ def test_vote_independent_of_partitioning(spark):
     a = collect_vote(_rows(spark, m))
     b = collect_vote(_rows(spark, m.repartition(7, "user_id" if "user_id" in m.columns else "event_id")
                             .sortWithinPartitions(F.rand(5))))
-    c = collect_vote(_rows(spark, m, bucket_seconds=600))
+    c = collect_vote(_rows(spark, m, bucket_rows=700))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.exceptAll(c).count() == 0
 

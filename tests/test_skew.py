@@ -8,13 +8,16 @@ from quorum.plans.serve import scored_requests
 from quorum.sources.tables import measurements
 
 
-def test_hot_model_window_spreads_over_partitions(spark):
+def test_hot_model_window_spreads_over_partitions(spark, monkeypatch):
+    from quorum.operators import window
+    monkeypatch.setattr(window, "CONTEXT_SHARE", 5)
+    monkeypatch.setattr(window, "SLOT_ROWS", 8)
     # every event is the same data type with one model: one hot key
     m = measurements(spark, SF_SMALL).withColumn("data_type", F.lit("cpu"))
     reg = registry_df(spark, [("cpu", "m", "m", 0, T(1), 4, 50.0, 50.0, 0.0, 1)])
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        rows = scored_requests(m, reg, bucket_seconds=3600)
+        rows = scored_requests(m, reg, bucket_rows=50)
         # keep the window referenced, else the optimizer prunes it away
         used = F.coalesce(F.size("window"), F.lit(0)) >= 0
         parts = rows.filter(used).select(F.spark_partition_id().alias("p")).distinct().count()
