@@ -7,6 +7,8 @@ these rows only play the part of the model and config topics.
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,26 @@ REPLAYED_ROWS = REGISTRY_ROWS + [
     ("purchase", "p2", "purchase p2 served", 0, "2024-01-12", 2, 50.0, 50.0, 0.0, 2),
 ]
 
+# Versions whose payload does not load, registered over (or before) ones that serve
+BROKEN_ROWS = REGISTRY_ROWS + [
+    ("click", "m1", "click broken", 0, "2024-01-18", 2, 50.0, 50.0, 0.1, 1),
+    ("click", "m2", "click mended", 0, "2024-01-19", 3, 50.0, 25.0, 0.1, 2),
+    ("error", "m3", "error never loads", 0, "2024-01-05", 3, 50.0, 50.0, 0.0, 3),
+]
+BROKEN = ("click broken", "error never loads")
+
+
+def weights_of(width: int) -> list[float]:
+    """Rising weights that sum to one: the model in the payload."""
+    return [2.0 * i / (width * (width + 1)) for i in range(1, width + 1)]
+
+
+def payload_of(row) -> bytes:
+    """Little-endian doubles: bias and weights; cut short for the broken versions."""
+    raw = struct.pack(f"<{1 + row[5]}d", -row[8], *weights_of(row[5]))
+    return raw[:-3] if row[2] in BROKEN else raw
+
+
 # Fixed values (FIXTURES.md section 4): timeout config
 # (data_type, tmout_ms, effective_at)
 CONFIG_ROWS = [
@@ -68,6 +90,13 @@ def registry(spark: SparkSession, rows=REGISTRY_ROWS) -> DataFrame:
     return _values(spark, f"SELECT * FROM VALUES {vals} AS t({names})", schemas.REGISTRY)
 
 
+def payload_registry(spark: SparkSession, rows=BROKEN_ROWS) -> DataFrame:
+    """The registry with a payload a version."""
+    raw = ", ".join(f"('{r[0]}', '{r[1]}', TIMESTAMP_NTZ '{r[4]} 00:00:00', X'{payload_of(r).hex()}')" for r in rows)
+    sent = spark.sql(f"SELECT * FROM VALUES {raw} AS t(data_type, name, registered_at, payload)")
+    return registry(spark, rows).join(F.broadcast(sent), ["data_type", "name", "registered_at"])
+
+
 def config(spark: SparkSession) -> DataFrame:
     vals = ", ".join(f"('{a}', {b}L, TIMESTAMP_NTZ '{c} 00:00:00')" for a, b, c in CONFIG_ROWS)
     names = ", ".join(f.name for f in schemas.CONFIG.fields)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.functions.columns import VOTER_MODEL, request_guid
-from quorum.operators.route import SUPPORTED_MODEL_TYPES
+from quorum.operators.route import SUPPORTED_MODEL_TYPES, serves
 
 # the measurement id keys a request; the guid string (a hash of it) is only
 # formed on the one-row-per-request output, never carried through a shuffle
@@ -56,7 +56,7 @@ def with_answers(rows: DataFrame, latency: Column | None = None,
     """Mark which request rows get an answer and when (``latency_ms``,
     ``arrived_at``).  Only versions of a servable model type answer."""
     lat = latency if latency is not None else F.lit(0)
-    answered = F.col("data_model").isNotNull() & F.col("model_type").isin(list(model_types))
+    answered = F.col("data_model").isNotNull() & serves(rows, model_types)
     return (rows.withColumn("answered", F.coalesce(answered, F.lit(False)))
                 .withColumn("latency_ms", F.when(F.col("answered"), lat.cast("long")))
                 .withColumn("arrived_at", F.timestamp_add("MILLISECOND", F.col("latency_ms"),

@@ -50,21 +50,26 @@ def prepare_registry(registry: DataFrame) -> DataFrame:
 
 
 def activated(registry: DataFrame, model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
-    """Versions that become active (J3, P7): one whose type has no scorer never
-    displaces a version that serves.  Before any servable version it stays, as
+    """Versions that become active (J3, P7): one whose type has no scorer, or whose
+    payload does not load (``score.with_load_probe``), never displaces a version that serves.  Before any servable version it stays, as
     the known model that does not answer."""
     w = (Window.partitionBy("data_type", "data_model").orderBy("registered_at")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    serves = F.col("model_type").isin(list(model_types))
-    return (prepare_registry(registry)
-            .withColumn("__serves", F.coalesce(serves, F.lit(False)))
+    reg = prepare_registry(registry)
+    return (reg.withColumn("__serves", serves(reg, model_types))
             .withColumn("__served", F.max("__serves").over(w))
             .filter(F.col("__serves") | ~F.col("__served")).drop("__serves", "__served"))
 
 
+def serves(rows: DataFrame, model_types=SUPPORTED_MODEL_TYPES):
+    """Whether a version can answer: its type has a scorer, and it loads where that was tried."""
+    able = F.col("model_type").isin(list(model_types))
+    return F.coalesce(able & F.col("loads") if "loads" in rows.columns else able, F.lit(False))
+
+
 def servable(registry: DataFrame, model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:
-    """Versions whose model type has a scorer."""
-    return registry.filter(F.col("model_type").isin(list(model_types)))
+    """Versions that have a scorer and load."""
+    return registry.filter(serves(registry, model_types))
 
 
 def first_registrations(registry: DataFrame) -> DataFrame:
@@ -166,7 +171,7 @@ REQUEST_MODEL_COLS = ["data_model", "version", "name", "description", "model_typ
 
 
 def _version_cols(registry: DataFrame) -> list[str]:
-    base = set(REQUEST_MODEL_COLS) | {"data_type", "registered_at", "log_pos"}
+    base = set(REQUEST_MODEL_COLS) | {"data_type", "registered_at", "log_pos", "payload", "load_error"}
     extra = [c for c in registry.columns if c not in base]
     return REQUEST_MODEL_COLS + extra
 

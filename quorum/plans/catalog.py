@@ -22,11 +22,12 @@ from quorum.operators.decide import decide_with
 from quorum.operators.ensemble import SliceModel, ensemble_score
 from quorum.operators.route import (SUPPORTED_MODEL_TYPES, known_models, route,
                                     version_intervals, with_epoch, with_guid, with_timeout)
+from quorum.operators.score import PayloadScorer, score_linear
 from quorum.operators.stats import collector_stats, current_model_stats, model_stats
 from quorum.plans.oracle import (AGAIN_EVERY, AGAIN_MS, ASTRAY_BY, ASTRAY_EVERY, BAD_EMPTY_K, BAD_TRUNCATE_K, BAD_TYPE_K,
                                  DECIDER_WEIGHTS, ENSEMBLE_SLICES, LOG_PARTITIONS, NAMELESS_EVERY, OTHER_WEIGHT,
                                  SOONER_EVERY, SOONER_MS, TRUNCATE_AT)
-from quorum.plans.serve import scored_requests
+from quorum.plans.serve import MEASURED, scored_requests
 from quorum.sources.tables import measurements, measurements_from_events, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +117,36 @@ def q_score_python_model(spark, d):
     return _scored(_rows(spark, d, scorer="python"))
 
 
+def q_score_weighted(spark, d):
+    """M1: the native scorer with a weight for each value of the window."""
+    rows = _rows(spark, d).filter("answered").drop("result")
+    w = F.col("width")
+    rows = rows.withColumns({"weights": F.transform(F.sequence(F.lit(1), w), lambda i: F.lit(2.0) * i / (w * (w + 1))),
+                             "bias": -F.col("thr")})
+    return _scored(score_linear(rows))
+
+
+def _payload_rows(spark, d, **kw):
+    return scored_requests(measurements(spark, d), demo.payload_registry(spark), demo.config(spark), scorer="python",
+                           scorer_map={0: PayloadScorer()}, **kw)
+
+
+def q_score_payload_model(spark, d):
+    """The weights come from the payload; versions whose payload does not load are never active."""
+    return _scored(_payload_rows(spark, d, latency=demo.latency()))
+
+
+def q_failing_payload_results(spark, d):
+    """A payload that does not load, registered over one that serves."""
+    return collect_vote(_payload_rows(spark, d, latency=demo.latency()))
+
+
+def q_measured_usage(spark, d):
+    """M3, A2: usage and durations as the scorer took them."""
+    st = model_stats(_payload_rows(spark, d, latency=MEASURED))
+    return st.select("data_model", "version", "usage", (F.col("duration_ms") > 0).alias("measured"))
+
+
 def q_responses_in_time(spark, d):
     return responses_in_time(_rows(spark, d)).select(*ANS, "latency_ms", "result")
 

@@ -22,7 +22,7 @@ ASTRAY_EVERY, ASTRAY_BY, NAMELESS_EVERY = 7, 1_000_000_000_000, 11
 DECIDER_WEIGHTS, OTHER_WEIGHT = {"click-m1": 0.5, "click-m2": 2.5, "error-m1": 0.0}, 1.0
 
 
-def _base(quorum="all", rows=demo.REGISTRY_ROWS, event_id="event_id", outside=False) -> str:
+def _base(quorum="all", rows=demo.REGISTRY_ROWS, event_id="event_id", outside=False, broken=(), weighted=False) -> str:
     ans, came = "ans", ""
     if outside:
         ans, came = "came", f"""
@@ -44,13 +44,18 @@ ranked AS (SELECT event_id, data_model,
 cnt AS (SELECT a.*, r.arrival_rank, coalesce(r.arrival_rank <= {int(quorum)}, false) AS counted
         FROM {ans} a LEFT JOIN ranked r ON a.event_id = r.event_id AND a.data_model = r.data_model),"""
         k = str(int(quorum))
+    loads = "description NOT IN (" + ", ".join(f"'{x}'" for x in broken) + ")" if broken else "true"
+    logit = "list_sum(list_transform(wvals, lambda x: CAST(x AS DOUBLE))) / width - thr"
+    if weighted:
+        logit = ("list_sum(list_transform(range(1, CAST(width AS BIGINT) + 1), lambda i: CAST(wvals[i] AS DOUBLE) * "
+                 "(2.0::DOUBLE * i / (width * (width + 1))))) + (-thr)")
     return f"""WITH
 reg0 AS ({demo.registry_sql(rows)}),
-known AS (SELECT *, data_type || '-' || replace(name, ' ', '_') AS data_model, registered_at AS version FROM reg0
+known AS (SELECT *, {loads} AND model_type = 0 AS serves, data_type || '-' || replace(name, ' ', '_') AS data_model, registered_at AS version FROM reg0
           QUALIFY row_number() OVER (PARTITION BY data_type, name, registered_at ORDER BY description DESC) = 1),
 reg AS (SELECT * FROM known k
-        WHERE model_type = 0 OR NOT EXISTS (
-            SELECT 1 FROM known s WHERE s.data_model = k.data_model AND s.model_type = 0
+        WHERE serves OR NOT EXISTS (
+            SELECT 1 FROM known s WHERE s.data_model = k.data_model AND s.serves
                                     AND s.registered_at < k.registered_at)),
 cfg AS ({demo.config_sql()}),
 meas AS (SELECT {event_id} AS event_id, ts, event_type AS data_type, value AS utilization,
@@ -64,7 +69,7 @@ nm AS (SELECT m.event_id, CAST(count(f.data_model) AS INTEGER) AS n_models,
 tmo AS (SELECT m.event_id, CAST(coalesce(nullif(c.tmout_ms, 0), {DEFAULT_TIMEOUT_MS}) AS BIGINT) AS timeout_ms
         FROM meas m ASOF LEFT JOIN cfg c ON m.data_type = c.data_type AND m.ts >= c.effective_at),
 fan AS (SELECT m.*, f.data_model FROM meas m JOIN firsts f ON f.data_type = m.data_type AND f.first_at <= m.ts),
-req AS (SELECT q.*, v.version, v.description, v.model_type, v.width, v.mean, v.std, v.thr, v.ord
+req AS (SELECT q.*, v.version, v.description, v.model_type, v.width, v.mean, v.std, v.thr, v.ord, v.serves
         FROM fan q ASOF JOIN reg v ON q.data_model = v.data_model AND q.ts >= v.registered_at),
 win AS (SELECT r.*, list(CAST((utilization - mean) / nullif(std, 0) AS FLOAT)) OVER (
             PARTITION BY data_model, version ORDER BY ts, event_id
@@ -72,12 +77,12 @@ win AS (SELECT r.*, list(CAST((utilization - mean) / nullif(std, 0) AS FLOAT)) O
         FROM req r),
 w2 AS (SELECT *, CASE WHEN len(lst) >= width THEN lst[len(lst) - width + 1:] END AS wvals FROM win),
 w3 AS (SELECT *, CASE WHEN wvals IS NULL OR list_count(wvals) < len(wvals) THEN NULL
-                      ELSE list_sum(list_transform(wvals, lambda x: CAST(x AS DOUBLE))) / width - thr END AS p1
+                      ELSE {logit} END AS p1
        FROM w2),
 ans AS (SELECT s.*,
                CAST(CASE WHEN p1 IS NULL THEN NULL WHEN isnan(p1) THEN 1 WHEN 0 >= p1 THEN 0 ELSE 1 END AS INTEGER) AS result,
-               (s.model_type = 0) AS answered,
-               CASE WHEN s.model_type = 0 THEN CAST({demo.LATENCY_SQL} AS BIGINT) END AS latency_ms,
+               s.serves AS answered,
+               CASE WHEN s.serves THEN CAST({demo.LATENCY_SQL} AS BIGINT) END AS latency_ms,
                t.timeout_ms, n.n_models
         FROM w3 s JOIN tmo t USING (event_id) JOIN nm n USING (event_id)),{came}{counted}
 agg AS (SELECT event_id, count(*) FILTER (WHERE counted) AS n_cnt,
@@ -212,6 +217,13 @@ SELECT {others} FROM results r LEFT JOIN f ON f.event_id = r.event_id"""
     q["unknown_responses"] = b + f"""SELECT sha256(CAST(event_id + {ASTRAY_BY} AS VARCHAR)) AS guid, data_model, result, 'no_request' AS reason
 FROM ans WHERE answered AND event_id % {ASTRAY_EVERY} = 0
 UNION ALL SELECT CAST(NULL AS VARCHAR), data_model, result, 'incomplete' FROM ans WHERE answered AND event_id % {NAMELESS_EVERY} = 0"""
+    scored = f"SELECT {ans_cols}, true AS processed, description AS model, label AS source, result FROM ans WHERE answered"
+    broken = _base(rows=demo.BROKEN_ROWS, broken=demo.BROKEN, weighted=True)
+    q["score_weighted"] = _base(weighted=True) + scored
+    q["score_payload_model"] = broken + scored
+    q["failing_payload_results"] = broken + f"SELECT {RESULT_COLS} FROM results"
+    q["measured_usage"] = broken + """SELECT data_model, version, count(*) AS usage, count(result) > 0 AS measured
+FROM ans WHERE answered GROUP BY data_model, version"""
     q["score_python_model"] = q["score_linear"]
     q["serve_stream"] = q["serve"]
     q["serve_stateful"] = q["serve"]

@@ -32,9 +32,10 @@ from quorum.operators.responses import collect_responses
 from quorum.operators.route import (DEFAULT_TIMEOUT_MS, SUPPORTED_MODEL_TYPES, _version_cols,
                                     prepare_registry, route_requests, version_intervals,
                                     with_epoch, with_model_count, with_timeout)
-from quorum.operators.score import score_linear, score_with, scorers
+from quorum.operators.score import score_linear, score_with, scorers, with_load_probe
 from quorum.operators.window import (BUCKET_ROWS, LAST, cut_window, density_slots, last_n_window, last_values,
                                      with_last_values)
+from quorum.session import checkpoint_root
 
 Served = namedtuple("Served", "results rows")
 
@@ -102,11 +103,19 @@ def routed_rows(measurements: DataFrame, registry: DataFrame,
     return rows.withColumn("z", standardize("utilization", "mean", "std"))
 
 
+MEASURED = "measured"
+
+
 def score_rows(rows: DataFrame, scorer: str = "linear", scorer_map=None,
-               latency: Column | None = None) -> DataFrame:
-    """Result and answer time of windowed rows."""
+               latency: Column | str | None = None, payloads: DataFrame | None = None) -> DataFrame:
+    """Result and answer time of windowed rows.  ``latency=MEASURED`` (M3): the time
+    the Python scorer took, in started milliseconds."""
     types = answering_types(scorer, scorer_map)
-    rows = score_with(rows, scorer_map or scorers()) if scorer == "python" else score_linear(rows)
+    rows = score_with(rows, scorer_map or scorers(), payloads) if scorer == "python" else score_linear(rows)
+    if isinstance(latency, str):
+        if latency != MEASURED or scorer != "python":
+            raise ValueError("latency is a column, or 'measured' with scorer='python'")
+        latency = F.ceil("score_ms")
     return with_answers(rows, latency, types)
 
 
@@ -131,7 +140,7 @@ def request_starts(measurements: DataFrame, registry: DataFrame, config: DataFra
 
 
 def scored_requests(measurements: DataFrame, registry: DataFrame,
-                    config: DataFrame | None = None, latency: Column | None = None,
+                    config: DataFrame | None = None, latency: Column | str | None = None,
                     scorer: str = "linear", default_timeout_ms: int = DEFAULT_TIMEOUT_MS,
                     strategy: str = "auto",
                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
@@ -140,8 +149,18 @@ def scored_requests(measurements: DataFrame, registry: DataFrame,
 
     Measurements without a model are one row with NULL ``data_model``.  The rows
     carry ``collect.PLACE``, by which they are partitioned; a bucket of the
-    window has about ``bucket_rows`` measurements."""
-    reg = prepare_registry(registry)
+    window has about ``bucket_rows`` measurements.
+
+    A registry with a ``payload`` column (binary) is served by Python scorers: every
+    version is tried once, those that do not load never become active, and the
+    others' payloads reach the scorer."""
+    reg, payloads = prepare_registry(registry), None
+    if scorer == "python" and "payload" in registry.columns:
+        payloads = reg.select("data_model", "version", "payload")
+        if "loads" not in reg.columns:
+            checkpoint_root(registry.sparkSession)
+            reg = with_load_probe(reg, scorer_map).drop("payload", "load_error").checkpoint()
+    reg = registry = reg.drop("payload", "load_error")
     p = registry_profile(reg, config, max_broadcast_rows)
     cfg_strategy = strategy
     if strategy == "auto":
@@ -168,16 +187,17 @@ def scored_requests(measurements: DataFrame, registry: DataFrame,
                            max_broadcast_rows, cfg_strategy, types)
         rows = last_n_window(rows, "z", None, p.width, out="__vals")
         rows = rows.withColumn("window", last_values(F.col("__vals"), F.col("width"))).drop("__vals")
-    return score_rows(rows, scorer, scorer_map, latency)
+    return score_rows(rows, scorer, scorer_map, latency, payloads)
 
 
 def serve(measurements: DataFrame, registry: DataFrame, config: DataFrame | None = None,
-          latency: Column | None = None, quorum="all", threshold: float = 0.5,
+          latency: Column | str | None = None, quorum="all", threshold: float = 0.5,
           responses: DataFrame | None = None, decider=None, **kw):
     """One result per measurement.
 
     ``latency`` is the answer time of a request row in ms (a column over the
-    row's measurement and model columns); default 0, all answers in time.
+    row's measurement and model columns); default 0, all answers in time; with
+    ``scorer="python"`` it may be ``MEASURED``, the time the scorer took.
     ``quorum``: ``"all"`` waits for every model, an int ``k`` finishes at the
     k-th answer in time.  ``decider``: see ``quorum.operators.deciders``.
 
