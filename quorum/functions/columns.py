@@ -75,7 +75,3 @@ def encode_result(result="result") -> Column:
 def decode_result(payload) -> Column:
     return F.from_json(_c(payload).cast("string"), "served int").getField("served")
 
-
-def epoch_ms_text(col) -> Column:
-    """Epoch-ms / timestamp rendered as ``yyyy/MM/dd HH:mm:ss``."""
-    return F.date_format(_c(col), "yyyy/MM/dd HH:mm:ss")

@@ -48,11 +48,7 @@ def _source_cols(raw: DataFrame) -> list[str]:
 
 def decode_measurements(raw: DataFrame, fmt: str = "json", desc_file: str | None = None) -> DataFrame:
     """Log rows -> measurement columns + ``_bad`` flag (P1).  Missing fields
-    take proto3 defaults.  ``fmt``: ``json``, ``protobuf`` (spark-protobuf
-    package) or ``pb`` (protobuf runtime in Arrow batches)."""
-    if fmt == "pb":
-        from quorum.functions.wire import decode_measurements_pb
-        return decode_measurements_pb(raw)
+    take proto3 defaults.  ``fmt``: ``json`` or ``protobuf`` (spark-protobuf package)."""
     p, bad = _parse(F.col("value"), schemas.MEASUREMENT_WIRE, fmt, "CPUData", desc_file)
     return raw.select(
         *_source_cols(raw), "value",
@@ -67,12 +63,6 @@ def decode_models(raw: DataFrame, fmt: str = "json", desc_file: str | None = Non
     """Log rows -> registry rows (P2): blanks in names become ``_``, the
     preprocessing block is flattened; a descriptor without model data is bad
     (by location only, or neither)."""
-    if fmt == "pb":
-        from quorum.functions.wire import decode_models_pb
-        d = decode_models_pb(raw)
-        reg_at = (F.col("timestamp").cast("timestamp_ntz") if "timestamp" in raw.columns
-                  else F.lit(None).cast("timestamp_ntz"))
-        return d.withColumns({"registered_at": reg_at, "thr": F.lit(0.0), "ord": F.lit(0)})
     p, bad = _parse(F.col("value"), schemas.MODEL_WIRE, fmt, "ModelDescriptor", desc_file)
     pre = p["preprocessing"]
     reg_at = F.coalesce(F.to_timestamp_ntz(p["registeredAt"]),
@@ -90,19 +80,17 @@ def decode_models(raw: DataFrame, fmt: str = "json", desc_file: str | None = Non
         F.coalesce(pre["std"], F.lit(0.0)).alias("std"),
         F.coalesce(p["thr"], F.lit(0.0)).alias("thr"),
         F.coalesce(p["ord"], F.lit(0)).alias("ord"),
-        p["data"].alias("data"),
-        (bad | p["data"].isNull()).alias("_bad"),
+        F.coalesce(pre["input"], F.lit("")).alias("input"),
+        F.coalesce(pre["output"], F.lit("")).alias("output"),
+        # base64 text in JSON, bytes in protobuf
+        (F.try_to_binary(p["data"], F.lit("base64")) if fmt == "json" else p["data"]).alias("payload"),
+        (bad | p["data"].isNull() | (F.try_to_binary(p["data"], F.lit("base64")).isNull() if fmt == "json" else F.lit(False)))
+        .alias("_bad"),
     )
 
 
 def decode_config(raw: DataFrame, fmt: str = "json", desc_file: str | None = None) -> DataFrame:
     """Log rows -> ``config(data_type, tmout_ms, effective_at)``."""
-    if fmt == "pb":
-        from quorum.functions.wire import decode_config_pb
-        d = decode_config_pb(raw)
-        eff = (F.col("timestamp").cast("timestamp_ntz") if "timestamp" in raw.columns
-               else F.lit(None).cast("timestamp_ntz"))
-        return d.withColumn("effective_at", eff)
     p, bad = _parse(F.col("value"), schemas.CONFIG_WIRE, fmt, "SpeculativeDescriptor", desc_file)
     eff = F.to_timestamp_ntz(p["effectiveAt"])
     if "timestamp" in raw.columns:

@@ -64,7 +64,7 @@ def activated(registry: DataFrame, model_types=SUPPORTED_MODEL_TYPES) -> DataFra
 def serves(rows: DataFrame, model_types=SUPPORTED_MODEL_TYPES):
     """Whether a version can answer: its type has a scorer, and it loads where that was tried."""
     able = F.col("model_type").isin(list(model_types))
-    return F.coalesce(able & F.col("loads") if "loads" in rows.columns else able, F.lit(False))
+    return F.coalesce(able & F.coalesce("loads", F.lit(True)) if "loads" in rows.columns else able, F.lit(False))
 
 
 def servable(registry: DataFrame, model_types=SUPPORTED_MODEL_TYPES) -> DataFrame:

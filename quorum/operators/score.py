@@ -215,7 +215,7 @@ def score_with(df: DataFrame, scorer_map: dict[int, Scorer] | None = None, paylo
             cache.close()
 
     # a version that does not load has no scorer
-    kind = F.when(F.col(LOADS), F.col("model_type")) if LOADS in df.columns else F.col("model_type")
+    kind = F.when(F.coalesce(LOADS, F.lit(True)), F.col("model_type")) if LOADS in df.columns else F.col("model_type")
     scored = score(kind, "data_model", micros("version"), "window", *PARAMS)
     return (df.withColumn("__scored", scored)
             .withColumns({out: F.col("__scored.result"), duration: F.coalesce(F.col("__scored.ms"), F.lit(0.0))}).drop("__scored"))
@@ -224,26 +224,26 @@ def score_with(df: DataFrame, scorer_map: dict[int, Scorer] | None = None, paylo
 def _score_sharded(df: DataFrame, smap: dict, versions: DataFrame, out: str, duration: str, cache_bytes: int) -> DataFrame:
     """Rows of a version, in shards of about ``SHARD_ROWS``, each with the version's payload."""
     asks = F.col("model_type").isin(list(smap)) & F.col("window").isNotNull()
-    asks = F.coalesce(asks & F.col(LOADS) if LOADS in df.columns else asks, F.lit(False))
+    asks = F.coalesce(asks & F.coalesce(LOADS, F.lit(True)) if LOADS in df.columns else asks, F.lit(False))
     rows = df.where(asks).withColumn("__v", micros("version"))
     counts = rows.groupBy("data_model", "__v").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("__n"))
     rows = rows.join(counts, ["data_model", "__v"])
     # the shard of a row hangs on its own values, so that a task done again deals alike
     rows = rows.withColumn("__shard", F.pmod(F.xxhash64("event_id", "ts"), F.col("__n")).cast("int")).drop("__n")
     sent = (counts.join(versions.withColumnRenamed("version", "__v"), ["data_model", "__v"])
-            .withColumn("__shard", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select("data_model", "__v", "__shard", "payload"))
+            .select(F.col("data_model").alias("m"), F.col("__v").alias("v"),
+                    F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("s"), F.col("payload").alias("p")))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType()), T.StructField(duration, T.DoubleType())])
     names = schema.fieldNames()
 
     def run(pdf: pd.DataFrame, payload: pd.DataFrame) -> pd.DataFrame:
         cache = ModelCache(smap, cache_bytes)
-        raw = bytes(payload["payload"].iloc[0]) if len(payload) and payload["payload"].iloc[0] is not None else None
+        raw = bytes(payload["p"].iloc[0]) if len(payload) and payload["p"].iloc[0] is not None else None
         res, dur = _score_frame(pdf.reset_index(drop=True), cache, lambda m, v: raw)
         cache.close()
         return pdf.assign(**{out: res, duration: dur})[names]
 
-    key = ["data_model", "__v", "__shard"]
-    done = rows.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(run, schema)
+    done = rows.groupBy("data_model", "__v", "__shard").cogroup(sent.groupBy("m", "v", "s")).applyInPandas(run, schema)
     rest = df.where(~asks).withColumns({out: F.lit(None).cast("int"), duration: F.lit(0.0)})
     return done.unionByName(rest)
 

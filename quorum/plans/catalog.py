@@ -20,10 +20,10 @@ from quorum.operators.collect import (collect_vote, late_responses, responses_in
                                       with_arrival_rank)
 from quorum.operators.decide import decide_with
 from quorum.operators.ensemble import SliceModel, ensemble_score
-from quorum.operators.route import (SUPPORTED_MODEL_TYPES, known_models, route,
+from quorum.operators.route import (SUPPORTED_MODEL_TYPES, route,
                                     version_intervals, with_epoch, with_guid, with_timeout)
 from quorum.operators.score import PayloadScorer, score_linear
-from quorum.operators.stats import collector_stats, current_model_stats, model_stats
+from quorum.operators.stats import collector_stats, current_model_stats, model_stats, state_report
 from quorum.plans.oracle import (AGAIN_EVERY, AGAIN_MS, ASTRAY_BY, ASTRAY_EVERY, BAD_EMPTY_K, BAD_TRUNCATE_K, BAD_TYPE_K,
                                  DECIDER_WEIGHTS, ENSEMBLE_SLICES, LOG_PARTITIONS, NAMELESS_EVERY, OTHER_WEIGHT,
                                  SOONER_EVERY, SOONER_MS, TRUNCATE_AT)
@@ -295,14 +295,34 @@ def q_collector_stats(spark, d):
 
 def q_state_report(spark, d):
     """Per data type the known models and the collector statistics."""
-    st = collector_stats(_results(spark, d), demo.config(spark))
-    km = known_models(demo.registry(spark)).select(
-        "data_type", F.array_join("models", ",").alias("models"), "n_models")
-    return st.join(km, "data_type", "left").select(
+    rows = _rows(spark, d)
+    views = state_report(rows, collect_vote(rows), demo.registry(spark), demo.config(spark))
+    km = views["known_models"].select("data_type", F.array_join("models", ",").alias("models"), "n_models")
+    return views["collector_report"].join(km, "data_type", "left").select(
         "data_type", "models", "n_models", "usage", "duration_ms", "min_ms", "max_ms",
         F.round("avg_ms", 6).alias("avg_ms"), "tmout_ms")
 
 
+def q_stream_reports(spark, d):
+    """Statistics kept as partials by the serving stream, micro-batch by micro-batch."""
+    from quorum.streaming.demo_run import served, utc
+    from quorum.streaming.reports import stream_state_report
+    with utc(spark):
+        tables, _ = served(spark, d, "serve-reports", 3, "all")
+        return _stat_cols(stream_state_report(spark, tables)["model_versions"], ["data_model", "version"])
+
+
+def q_stream_payload_results(spark, d):
+    """Payloads through the model topic, tried when registered, served by the stream."""
+    from quorum import schemas
+    from quorum.streaming.demo_run import served, utc
+    from quorum.streaming.tables import read_table as read_batches
+    with utc(spark):
+        tables, _ = served(spark, d, "serve-payload", 2, "all", registry=demo.payload_registry(spark),
+                           scorer_map={0: PayloadScorer()}, scorer="python")
+        return read_batches(spark, tables.results, schemas.RESULTS)
+
+
 def q_serving_lines(spark, d):
     return _results(spark, d).select("event_id", serving_line().alias("line"))
 

@@ -225,6 +225,8 @@ UNION ALL SELECT CAST(NULL AS VARCHAR), data_model, result, 'incomplete' FROM an
     q["measured_usage"] = broken + """SELECT data_model, version, count(*) AS usage, count(result) > 0 AS measured
 FROM ans WHERE answered GROUP BY data_model, version"""
     q["score_python_model"] = q["score_linear"]
+    q["stream_reports"] = q["model_stats"]
+    q["stream_payload_results"] = q["failing_payload_results"]
     q["serve_stream"] = q["serve"]
     q["serve_stateful"] = q["serve"]
     for k in (1, 2):

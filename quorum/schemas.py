@@ -72,8 +72,10 @@ REGISTRY = T.StructType([
     T.StructField("ord", T.IntegerType()),
 ])
 
-# the registry as the stream keeps it: with the message's place in the log
-REGISTRY_LOG = T.StructType(REGISTRY.fields + [T.StructField("log_pos", T.LongType())])
+# the registry as the stream keeps it: with the payload and the message's place in the log
+REGISTRY_LOG = T.StructType(REGISTRY.fields + [T.StructField("log_pos", T.LongType()),
+                                               T.StructField("payload", T.BinaryType()),
+                                               T.StructField("loads", T.BooleanType())])
 
 CONFIG = T.StructType([
     T.StructField("data_type", T.StringType()),
@@ -94,8 +96,3 @@ RESULTS = T.StructType([
     T.StructField("duration_ms", T.LongType()),
     T.StructField("outcome", T.StringType()),
 ])
-
-# model types known to the wire format
-TENSORFLOW = 0
-PMML = 1
-MODEL_TYPE_LABEL = {TENSORFLOW: "TensorFlow", PMML: "PMML"}

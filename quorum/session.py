@@ -113,6 +113,12 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.unset(key)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) on any storage that Spark can write to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.sc().hadoopConfiguration()), p
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     root = checkpoint_root(spark)

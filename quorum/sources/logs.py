@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum import schemas
+from quorum.session import file_system
 
 # Topic names and start positions of the three inputs
 DATA_TOPIC = "mdata"
@@ -44,8 +45,12 @@ class LogConfig:
 
 
 def read_log(spark: SparkSession, cfg: LogConfig, topic: str, start: str | None = None,
-             max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of one topic (S1-S4); ``value`` stays binary."""
+             max_files_per_trigger: int | None = None, position: str | None = None) -> DataFrame:
+    """Streaming read of one topic (S1-S4); ``value`` stays binary.
+
+    ``start="latest"`` on a folder log skips the files that are there when the query
+    first starts: their newest modification time is written to ``position`` (a folder
+    beside the query's checkpoint) once, and found there by later starts."""
     start = start or START.get(topic, "latest")
     if cfg.bootstrap:
         return (spark.readStream.format("kafka")
@@ -56,9 +61,23 @@ def read_log(spark: SparkSession, cfg: LogConfig, topic: str, start: str | None
     r = spark.readStream.schema(schemas.LOG)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    rows = r.parquet(cfg.path(topic))
     if start == "latest":
-        r = r.option("latestFirst", "false")
-    return r.parquet(cfg.path(topic))
+        if position is None:
+            raise ValueError("a folder log read from its latest position needs a place to keep it")
+        since = _first_start(spark, cfg.path(topic), position)
+        rows = rows.where(F.unix_micros(F.col("_metadata.file_modification_time")) > F.lit(since))
+    return rows
+
+
+def _first_start(spark: SparkSession, path: str, position: str) -> int:
+    """Microseconds of the newest file at the first start; -1 for an empty folder."""
+    fs, at = file_system(spark, position)
+    if not fs.exists(at):
+        logs, folder = file_system(spark, path)
+        times = [f.getModificationTime() for f in logs.listStatus(folder)] if logs.exists(folder) else []
+        spark.createDataFrame([(max(times, default=-1) * 1000,)], "since long").coalesce(1).write.parquet(position)
+    return spark.read.schema("since long").parquet(position).first().since
 
 
 def read_log_batch(spark: SparkSession, cfg: LogConfig, topic: str) -> DataFrame:

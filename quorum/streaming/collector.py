@@ -3,24 +3,25 @@
 ``transformWithStateInPandas`` keyed by ``guid`` (unique per measurement, so
 no hot key).  State per request, durable in the state store (RocksDB):
 
-* ``start``   - start information (value state), from the first row seen;
-* ``answers`` - answers by model key (map state: a replayed answer is not
-  counted twice);
-* ``done``    - tombstone after the decision, so that a late answer does not
-  reopen the request; kept for good, unless ``forget_after_ms`` names the
-  time after which no answer can come any more.
-
-A request is decided when ``quorum`` answers arrived in time (answer rule:
-``latency_ms <= timeout_ms``), or by its timer, ``timeout`` after the job first
-saw it.  Which answers count depends on their own times only; the timer runs
-on the time at which the job reads a row, so that the watermark never drops a
-row because its measurement is old or came out of order.  Each request has its own timer (timers are keyed by
-(key, expiry), so a per-type sweep as in a shared map would collapse).
-Answers that come after the decision, or past the deadline, are emitted as
-``kind = 'late'`` rows (the audit frame of J7).
-
-The decision rules are the same as ``quorum.operators.collect`` (batch), so
-streaming and batch give the same results.
+* ``start``   - start information, from the request's start row;
+* ``answers`` - answers by model key (a replayed answer is not counted twice);
+* ``done``    - the mark of a decided request.
+
+Only a start row opens a request.  An answer without one waits (its start may be
+read after it) and is given out as ``kind = 'unknown'`` when the grace is over.  So
+a decided request needs its mark for a bounded grace only: an answer that comes
+still later finds no request, and cannot open one.  State is bounded by
+the requests of one grace.
+
+Which answers count depends on the rows alone: ``latency_ms <= timeout_ms``.  A
+request is decided when ``quorum`` answers in time are there, or by its timer:
+the deadline and ``settle_ms`` after its start was read, on the clock of the job.  No
+watermark takes part: no row is dropped for being old or out of order, and at the
+end of the input the timers of open requests still fire.  Answers that come
+after the decision, or past the deadline, are ``kind = 'late'`` rows (the audit of J7).
+
+The decision is the column expression of a decider (``operators.deciders``) over the
+counted answers, the same object as in batch, evaluated after the state operator.
 """
 
 from __future__ import annotations
@@ -35,28 +36,33 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from quorum import schemas
 from quorum.functions.columns import VOTER_MODEL
+from quorum.operators import deciders
+from quorum.session import ship_package
 
 OUTPUT = T.StructType(schemas.RESULTS.fields + [
     T.StructField("kind", T.StringType()),
     T.StructField("late_model", T.StringType()),
     T.StructField("late_ms", T.LongType()),
 ])
+# what the state operator gives out: the counted answers instead of the result
+_DECIDED = T.StructType([f for f in OUTPUT.fields if f.name != "result"]
+                        + [T.StructField("answers", T.ArrayType(T.StructType([
+                            T.StructField("latency_ms", T.LongType()), T.StructField("data_model", T.StringType()),
+                            T.StructField("result", T.IntegerType())])))])
 
-FLUSH_GUID = "~flush"
+GRACE_MS = 3_600_000
+SETTLE_MS = 2_000
 
 
 class CollectorProcessor(StatefulProcessor):
 
-    def __init__(self, quorum="all", threshold: float = 0.5, time_mode: str = "event",
-                 forget_after_ms: int | None = None):
+    def __init__(self, quorum="all", time_mode: str = "event", settle_ms: int = SETTLE_MS, grace_ms: int = GRACE_MS):
         """``time_mode="event"``: an answer's latency is its ``latency_ms``
-        (arrival minus measurement time), deadlines follow the watermark.
-        ``forget_after_ms``: how long after its deadline a decided request is
-        remembered; an answer that comes later would open it again.
-        ``"processing"``: latency is measured on the wall clock from when the
-        request was first seen, deadlines are processing-time timers."""
-        self.quorum, self.threshold, self.time_mode = quorum, threshold, time_mode
-        self.forget_after_ms = forget_after_ms
+        (arrival minus measurement time).  ``"processing"``: it is measured on the
+        wall clock from when the request was first seen.  ``settle_ms``: how long after the
+        deadline an answer that was in time may still be on its way to the job;
+        ``grace_ms``: how long a decided request, or an answer without one, is remembered."""
+        self.quorum, self.time_mode, self.settle_ms, self.grace_ms = quorum, time_mode, settle_ms, grace_ms
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -69,129 +75,120 @@ class CollectorProcessor(StatefulProcessor):
         self.clock = handle.getValueState("clock", "start_ms long")
 
     # -- helpers ---------------------------------------------------------
-    def _row(self, guid, st, processed, result, duration, outcome, kind="result",
-             late_model=None, late_ms=None):
-        event_id, data_type, ts, label, n_models, _ = st
+    def _row(self, guid, st, kind="result", counted=(), duration=0, outcome="timeout", late=(None, None)):
+        event_id, data_type, ts, label, n_models, _ = st or (None,) * 6
+        processed = bool(counted)
         return {"guid": guid, "event_id": event_id, "data_type": data_type, "ts": ts,
                 "n_models": n_models, "processed": processed,
                 "model": VOTER_MODEL if processed else "",
-                "source": label if processed else 0, "result": result,
+                "source": label if processed else 0,
                 "duration_ms": duration, "outcome": outcome, "kind": kind,
-                "late_model": late_model, "late_ms": late_ms}
+                "late_model": late[0], "late_ms": late[1],
+                "answers": [{"latency_ms": a[0], "data_model": a[1], "result": a[2]} for a in counted]}
 
     def _frame(self, rows) -> pd.DataFrame:
-        df = pd.DataFrame(rows, columns=OUTPUT.fieldNames())
-        for c in ("result", "late_ms", "n_models", "source", "event_id", "duration_ms"):
+        df = pd.DataFrame(rows, columns=_DECIDED.fieldNames())
+        for c in ("late_ms", "n_models", "source", "event_id", "duration_ms"):
             df[c] = df[c].astype("Int64")
         return df
 
-    def _finish(self, deadline_ms: int) -> None:
-        self.done.update((True,))
-        self.answers.clear()
+    def _late(self, guid, answers, kind="late"):
+        st = self.start.get() if self.start.exists() else None
+        return [self._row(guid, st, kind, outcome=kind, late=(dm, lat)) for lat, dm, _ in answers]
+
+    def _only_timer(self, at_ms: int) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if self.forget_after_ms is not None:
-            self.handle.registerTimer(deadline_ms + self.forget_after_ms)
+        self.handle.registerTimer(at_ms)
 
-    def _decide(self, guid, final: bool):
+    def _held(self):
+        return sorted(((v[0], k[0], v[1]) for k, v in self.answers.iterator()), key=lambda x: (x[0], x[1]))
+
+    def _decide(self, guid, now: int, final: bool):
         st = self.start.get()
-        timeout = st[5]
-        ans = sorted(((v[0], k[0], v[1]) for k, v in self.answers.iterator()),
-                     key=lambda x: (x[0], x[1]))
-        on_time = [a for a in ans if a[0] <= timeout]
+        timeout, held = st[5], self._held()
+        on_time = [a for a in held if a[0] <= timeout]
         k = st[4] if self.quorum in (None, "all") else int(self.quorum)
         complete = len(on_time) >= k
         if not complete and not final:
-            return None
+            return []
         counted = on_time[:k] if complete else on_time
-        late = [a for a in ans if a not in counted]
-        rows = []
-        if counted:
-            mean = sum((a[2] or 0) for a in counted) / len(counted)
-            res = 0 if mean < self.threshold else 1
-            dur = counted[-1][0] if complete else timeout
-            rows.append(self._row(guid, st, True, res, dur, "complete" if complete else "deadline"))
-        else:
-            rows.append(self._row(guid, st, False, None, 0, "timeout"))
-        for lat, dm, _ in late:
-            rows.append(self._row(guid, st, False, None, 0, "late", "late", dm, lat))
+        rows = [self._row(guid, st, counted=counted, duration=counted[-1][0] if complete else timeout,
+                          outcome="complete" if complete else "deadline") if counted else self._row(guid, st)]
+        rows += self._late(guid, [a for a in held if a not in counted])
+        self._finish(now)
         return rows
 
+    def _finish(self, now: int) -> None:
+        self.done.update((True,))
+        self.answers.clear()
+        self._only_timer(now + self.grace_ms)
+
     # -- callbacks -------------------------------------------------------
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        guid = key[0]
+        guid, now = key[0], int(timerValues.getCurrentProcessingTimeInMs())
         pdf = pd.concat(list(rows), ignore_index=True)
-        if guid == FLUSH_GUID:
-            return
-        if self.done.exists():
-            st = self.start.get()
-            late = pdf[pdf["answered"].fillna(False)]
-            if len(late):
-                yield self._frame([self._row(guid, st, False, None, 0, "late", "late",
-                                             r.data_model, int(r.latency_ms))
-                                   for r in late.itertuples()])
-            return
-        if not self.start.exists():
-            r = pdf.iloc[0]
+        starts = pdf[pdf["is_start"].fillna(False).astype(bool)]
+        opened = self.start.exists()
+        if not opened and len(starts):
+            r = starts.iloc[0]
             st = (int(r.event_id), r.data_type, pd.Timestamp(r.ts).to_pydatetime(), int(r.label),
                   int(r.n_models), int(r.timeout_ms))
             self.start.update(st)
-            if self.time_mode == "processing":
-                start_ms = int(timerValues.getCurrentProcessingTimeInMs())
-            else:
-                start_ms = int(pd.Timestamp(r.event_time).value // 1_000_000)
-            self.clock.update((start_ms,))
+            self.clock.update((now,))
+            opened = True
             if st[4] == 0:
-                self._finish(start_ms)
-                yield self._frame([self._row(guid, st, False, None, 0, "no_model")])
-                return
-            self.handle.registerTimer(start_ms + st[5])
-        now_lat = None
-        if self.time_mode == "processing":
-            now_lat = int(timerValues.getCurrentProcessingTimeInMs()) - self.clock.get()[0]
-        for r in pdf[pdf["answered"].fillna(False)].itertuples():
-            if not self.answers.containsKey((r.data_model,)):
-                res = None if pd.isna(r.result) else int(r.result)
-                lat = now_lat if now_lat is not None else int(r.latency_ms)
-                self.answers.updateValue((r.data_model,), (lat, res))
-        out = self._decide(guid, final=False)
-        if out is not None:
-            self._finish(self.clock.get()[0] + self.start.get()[5])
+                self._finish(now)
+                yield self._frame([self._row(guid, st, outcome="no_model")])
+            else:
+                self._only_timer(now + st[5] + self.settle_ms)
+        came = []
+        for r in pdf[pdf["answered"].fillna(False).astype(bool)].itertuples():
+            lat = int(r.latency_ms)
+            if self.time_mode == "processing":
+                lat = now - self.clock.get()[0] if opened else 0
+            came.append((lat, r.data_model, None if pd.isna(r.result) else int(r.result)))
+        if self.done.exists():
+            if came:
+                yield self._frame(self._late(guid, came))
+            return
+        for lat, dm, res in sorted(came, key=lambda a: (a[0], a[2] is None, a[2] or 0)):
+            if not self.answers.containsKey((dm,)) or self.answers.getValue((dm,))[0] > lat:
+                self.answers.updateValue((dm,), (lat, res))
+        if not opened:
+            if came:
+                self._only_timer(now + self.grace_ms)
+            return
+        out = self._decide(guid, now, final=False)
+        if out:
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        guid = key[0]
-        if self.done.exists():           # clean-up timer: forget the request
-            self.start.clear()
-            self.done.clear()
-            self.answers.clear()
-            self.clock.clear()
-            return
-        if not self.start.exists():
+        guid, now = key[0], int(timerValues.getCurrentProcessingTimeInMs())
+        if self.start.exists() and not self.done.exists():
+            yield self._frame(self._decide(guid, now, final=True))
             return
-        out = self._decide(guid, final=True)
-        self._finish(self.clock.get()[0] + self.start.get()[5])
-        yield self._frame(out)
+        if not self.start.exists():      # answers that nobody waited for
+            held = self._held()
+            if held:
+                yield self._frame(self._late(guid, held, "unknown"))
+        for state in (self.start, self.done, self.answers, self.clock):
+            state.clear()
 
     def close(self) -> None:
         pass
 
 
-def collect_stream(responses: DataFrame, quorum="all", watermark: str = "1 minute",
-                   time_mode: str = "event", threshold: float = 0.5,
-                   forget_after_ms: int | None = None) -> DataFrame:
-    """Streaming results from a stream of response rows (``RESPONSE_COLS``).
-    Start the sink inside ``quorum.session.rocksdb_state(spark)`` (the state
-    store must be RocksDB for transformWithState)."""
-    proc = CollectorProcessor(quorum, threshold, time_mode, forget_after_ms)
-    if time_mode == "processing":
-        return responses.groupBy("guid").transformWithStateInPandas(
-            statefulProcessor=proc, outputStructType=OUTPUT, outputMode="Append",
-            timeMode="ProcessingTime")
-    # the time of reading; only the end-of-stream marker brings its own
-    ev = (F.when(F.col("guid") == FLUSH_GUID, F.col("ts").cast("timestamp"))
-          .otherwise(F.current_timestamp()))
-    src = responses.withColumn("event_time", ev).withWatermark("event_time", watermark)
-    return src.groupBy("guid").transformWithStateInPandas(
-        statefulProcessor=proc, outputStructType=OUTPUT,
-        outputMode="Append", timeMode="EventTime")
+def collect_stream(responses: DataFrame, quorum="all", time_mode: str = "event", threshold: float = 0.5,
+                   decider=None, settle_ms: int = SETTLE_MS, grace_ms: int = GRACE_MS) -> DataFrame:
+    """Streaming results from a stream of start and answer rows
+    (``serve_stream.RESPONSES``).  Start the sink inside
+    ``quorum.session.rocksdb_state(spark)`` (the state store must be RocksDB for
+    transformWithState) with a ``processingTime`` trigger: deadlines need a clock."""
+    ship_package(responses.sparkSession)
+    out = responses.groupBy("guid").transformWithStateInPandas(
+        statefulProcessor=CollectorProcessor(quorum, time_mode, settle_ms, grace_ms),
+        outputStructType=_DECIDED, outputMode="Append", timeMode="ProcessingTime")
+    decided = (decider or deciders.vote(threshold))(F.col("answers"))
+    result = F.when((F.col("kind") == "result") & F.col("processed"), decided).cast("int")
+    return out.withColumn("result", result).select(*OUTPUT.fieldNames())

@@ -1,7 +1,7 @@
 """Drive the streaming jobs end to end over the given tables (E2 check).
 
-The ``events`` table is published as a measurement log in ``n_files`` files
-(in time order, one file per micro-batch), the inline registry and config
+The ``events`` table is published as a measurement log in slices of time (a few
+files and one micro-batch each), the inline registry and config
 as model and config logs; the registry job and the serving stream then run
 with an ``availableNow`` trigger and the results are read back.  All files
 live under the session's shared checkpoint folder.
@@ -9,6 +9,7 @@ live under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,29 +17,29 @@ from pyspark.sql import functions as F
 
 from quorum import demo, schemas
 from quorum.functions.decode import encode_measurements
-from quorum.functions.wire import encode_measurements_pb
 from quorum.session import rocksdb_state, work_dir
 from quorum.sources.logs import CONFIG_TOPIC, DATA_TOPIC, MODELS_TOPIC, LogConfig, as_log, write_log
 from quorum.sources.tables import measurements
 from quorum.streaming.registry_job import Tables, config_payloads, model_payloads, registry_job
-from quorum.streaming.collector import FLUSH_GUID, OUTPUT, collect_stream
+from quorum.streaming.collector import OUTPUT, collect_stream
 from quorum.streaming.serve_stream import RESPONSES, responses_stream, serve_stream
-from quorum.streaming.tables import read_table
+from quorum.streaming.tables import ensure_dir, read_table
 
 
-def publish_events(spark: SparkSession, sf_dir: str, logs: LogConfig, n_files: int,
-                   fmt: str = "json") -> None:
+FILES_PER_SLICE = 4
+
+
+def publish_events(spark: SparkSession, sf_dir: str, logs: LogConfig, n_slices: int) -> None:
+    """The events in slices of time, each as ``FILES_PER_SLICE`` files of the log."""
     m = measurements(spark, sf_dir)
     bounds = m.agg(F.min("ts"), F.max("ts")).first()
     lo, hi = bounds[0], bounds[1]
-    step = (hi - lo) / n_files
-    for i in range(n_files):
+    step = (hi - lo) / n_slices
+    for i in range(n_slices):
         a = lo + step * i
-        cond = (F.col("ts") >= a) & ((F.col("ts") < lo + step * (i + 1)) if i < n_files - 1 else F.lit(True))
-        part = (encode_measurements_pb(m.filter(cond)) if fmt == "pb"
-                else encode_measurements(m.filter(cond)))
-        write_log(as_log(part.coalesce(1), DATA_TOPIC, offset="event_id", timestamp="ts"),
-                  logs, DATA_TOPIC)
+        cond = (F.col("ts") >= a) & ((F.col("ts") < lo + step * (i + 1)) if i < n_slices - 1 else F.lit(True))
+        part = encode_measurements(m.filter(cond)).repartition(FILES_PER_SLICE)
+        write_log(as_log(part, DATA_TOPIC, offset="event_id", timestamp="ts"), logs, DATA_TOPIC)
 
 
 @contextmanager
@@ -54,71 +55,60 @@ def utc(spark: SparkSession):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
-def run(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all",
-        fmt: str = "json") -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all", decider=None) -> DataFrame:
+    """The serving stream over ``n_files`` slices of the events; its results."""
     with utc(spark):
-        return _run(spark, sf_dir, n_files, quorum, fmt)
+        tables, _ = served(spark, sf_dir, "serve-stream", n_files, quorum, decider=decider)
+        return read_table(spark, tables.results, schemas.RESULTS)
 
 
-def _run(spark: SparkSession, sf_dir: str, n_files: int, quorum, fmt: str = "json") -> DataFrame:
-    root = work_dir(spark, "serve-stream")
+def served(spark: SparkSession, sf_dir: str, name: str, n_files: int, quorum, registry: DataFrame | None = None,
+           scorer_map=None, **kw) -> tuple[Tables, str]:
+    """Publish registry, config and events, run the registry job and the serving
+    stream to their ends; (tables, checkpoint folder)."""
+    root = work_dir(spark, name)
     logs, tables, ckpt = LogConfig(root=f"{root}/logs"), Tables(f"{root}/tables"), f"{root}/ckpt"
-    mp = model_payloads(demo.registry(spark))
+    mp = model_payloads(demo.registry(spark) if registry is None else registry)
     write_log(as_log(mp.coalesce(1), MODELS_TOPIC, timestamp="registered_at"), logs, MODELS_TOPIC)
     cp = config_payloads(demo.config(spark))
     write_log(as_log(cp.coalesce(1), CONFIG_TOPIC, timestamp="effective_at"), logs, CONFIG_TOPIC)
-    for q in registry_job(spark, logs, tables, ckpt, trigger={"availableNow": True}):
+    for q in registry_job(spark, logs, tables, ckpt, trigger={"availableNow": True}, scorer_map=scorer_map):
         q.awaitTermination()
-    publish_events(spark, sf_dir, logs, n_files, fmt)
-    q = serve_stream(spark, logs, tables, ckpt, latency=demo.latency, quorum=quorum,
-                     trigger={"availableNow": True}, max_files_per_trigger=1, fmt=fmt)
-    q.awaitTermination()
-    return read_table(spark, tables.results, schemas.RESULTS)
-
-
-def run_collector(spark: SparkSession, tables: Tables, ckpt: str, quorum="all",
-                  flush: bool = True) -> DataFrame:
-    """Stateful collector over the ``responses`` table written by
-    ``serve_stream`` (T3); returns results and late rows (``kind``)."""
-    if flush:
-        # an end-of-stream marker far in event time moves the watermark past
-        # every open deadline, so the last timers fire
-        far = spark.range(1).select(
-            F.lit(FLUSH_GUID).alias("guid"), F.lit(-1).cast("long").alias("event_id"),
-            F.lit("").alias("data_type"),
-            F.lit("2200-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
-        far = far.select(*[F.col(f.name).cast(f.dataType) if f.name in far.columns
-                           else F.lit(None).cast(f.dataType).alias(f.name)
-                           for f in RESPONSES.fields])
-        far.write.mode("overwrite").parquet(f"{tables.responses}/batch_id=-1")
-    src = responses_stream(spark, tables)
+    publish_events(spark, sf_dir, logs, n_files)
+    serve_stream(spark, logs, tables, ckpt, latency=demo.latency, quorum=quorum, trigger={"availableNow": True},
+                 max_files_per_trigger=FILES_PER_SLICE, scorer_map=scorer_map, **kw).awaitTermination()
+    return tables, ckpt
+
+
+def run_collector(spark: SparkSession, tables: Tables, ckpt: str, quorum="all", decider=None,
+                  settle_ms: int = 500, wait_s: float = 300, **kw) -> DataFrame:
+    """Stateful collector over the ``responses`` table written by ``serve_stream``
+    (T3), until every request that has started is decided; returns results and
+    late rows (``kind``)."""
+    ensure_dir(spark, tables.collected)
+    started = read_table(spark, tables.responses, RESPONSES).filter("is_start").count()
     with rocksdb_state(spark):
-        q = (collect_stream(src, quorum).writeStream.format("parquet")
-             .option("path", tables.collected).option("checkpointLocation", f"{ckpt}/collector")
-             .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+        q = (collect_stream(responses_stream(spark, tables), quorum, decider=decider, settle_ms=settle_ms, **kw)
+             .writeStream.format("parquet").option("path", tables.collected)
+             .option("checkpointLocation", f"{ckpt}/collector")
+             .outputMode("append").trigger(processingTime="1 second").start())
+    try:
+        end = time.monotonic() + wait_s
+        while spark.read.schema(OUTPUT).parquet(tables.collected).filter("kind = 'result'").count() < started:
+            if q.exception() is not None:
+                raise q.exception()
+            if time.monotonic() > end:
+                raise TimeoutError(f"requests still open after {wait_s} s")
+            time.sleep(1)
+    finally:
+        q.stop()
     return spark.read.schema(OUTPUT).parquet(tables.collected)
 
 
-def run_with_collector(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all"):
+def run_with_collector(spark: SparkSession, sf_dir: str, n_files: int = 3, quorum="all", decider=None):
     """Serving stream, then the stateful collector; (results, late answers)."""
     with utc(spark):
-        return _run_with_collector(spark, sf_dir, n_files, quorum)
-
-
-def _run_with_collector(spark: SparkSession, sf_dir: str, n_files: int, quorum):
-    root = work_dir(spark, "serve-collect")
-    logs, tables, ckpt = LogConfig(root=f"{root}/logs"), Tables(f"{root}/tables"), f"{root}/ckpt"
-    mp = model_payloads(demo.registry(spark))
-    write_log(as_log(mp.coalesce(1), MODELS_TOPIC, timestamp="registered_at"), logs, MODELS_TOPIC)
-    cp = config_payloads(demo.config(spark))
-    write_log(as_log(cp.coalesce(1), CONFIG_TOPIC, timestamp="effective_at"), logs, CONFIG_TOPIC)
-    for q in registry_job(spark, logs, tables, ckpt, trigger={"availableNow": True}):
-        q.awaitTermination()
-    publish_events(spark, sf_dir, logs, n_files)
-    serve_stream(spark, logs, tables, ckpt, latency=demo.latency, quorum=quorum,
-                 trigger={"availableNow": True}, max_files_per_trigger=1).awaitTermination()
-    out = run_collector(spark, tables, ckpt, quorum)
-    res = out.filter("kind = 'result'").select(*schemas.RESULTS.fieldNames())
-    late = out.filter("kind = 'late'")
-    return res, late
+        tables, ckpt = served(spark, sf_dir, "serve-collect", n_files, quorum)
+        out = run_collector(spark, tables, ckpt, quorum, decider)
+        res = out.filter("kind = 'result'").select(*schemas.RESULTS.fieldNames())
+        return res, out.filter("kind = 'late'")

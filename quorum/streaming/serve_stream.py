@@ -13,8 +13,9 @@ the same batch operators as ``serve``:
   is still split over many tasks;
 * in event-time deadline mode every answer of a request belongs to the
   micro-batch of its measurement, so collection and vote finish inside the
-  batch; ``responses`` and ``starts`` are also written for the stateful
-  collector (``quorum.streaming.collector``) and for the state reports.
+  batch; start and answer rows are also added to ``responses``, exactly once, for the
+  stateful collector (``quorum.streaming.collector``), and the batch's statistics
+  to the state reports (``quorum.streaming.reports``).
 
 Order: micro-batches in arrival order, then ``(ts, event_id)`` inside one.
 Outputs are written with overwrite under ``batch_id=<n>``: a replayed batch
@@ -33,13 +34,14 @@ from pyspark.sql import types as T
 from quorum.functions.columns import request_guid, source_id
 from quorum.functions.decode import decode_measurements, split_bad
 from quorum.operators.asof import time_bucket
-from quorum.operators.collect import collect_vote
+from quorum.operators.collect import KEY, START_COLS, collect_vote
 from quorum.operators.route import prepare_registry
 from quorum.operators.window import DEFAULT_WINDOW_BUCKET_SECONDS, last_n_window
 from quorum.plans.serve import answering_types, max_width, routed_rows, score_rows
 from quorum.sources.logs import DATA_TOPIC, LogConfig, read_log
 from quorum.streaming.registry_job import Tables, config_table, registry_table
-from quorum.streaming.tables import ensure_dir, read_batch, write_batch
+from quorum.streaming.reports import write_partials
+from quorum.streaming.tables import append_once, ensure_dir, read_batch, write_batch
 
 CARRY = T.StructType([
     T.StructField("data_model", T.StringType()),
@@ -60,7 +62,7 @@ RESPONSES = T.StructType([
     T.StructField("version", T.TimestampNTZType()), T.StructField("description", T.StringType()),
     T.StructField("model_type", T.IntegerType()), T.StructField("answered", T.BooleanType()),
     T.StructField("result", T.IntegerType()), T.StructField("latency_ms", T.LongType()),
-    T.StructField("arrived_at", T.TimestampNTZType()),
+    T.StructField("arrived_at", T.TimestampNTZType()), T.StructField("is_start", T.BooleanType()),
 ])
 RESPONSE_COLS = RESPONSES.fieldNames()
 
@@ -95,51 +97,70 @@ def _window_with_carry(rows: DataFrame, carry: DataFrame, batch_id: int, W: int,
     return out, nxt
 
 
+def response_rows(rows: DataFrame) -> DataFrame:
+    """Answered requests as answer rows, and one start row per measurement."""
+    def shaped(df, is_start):
+        df = df.withColumns({"guid": request_guid("event_id"), "is_start": F.lit(is_start)})
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                           for f in RESPONSES.fields])
+    starts = rows.select(KEY, *START_COLS).distinct().withColumn("answered", F.lit(False))
+    return shaped(rows.filter("answered"), False).union(shaped(starts, True))
+
+
 class ServeBatch:
     """The ``foreachBatch`` handler of ``serve_stream``."""
 
-    def __init__(self, tables: Tables, latency: Callable[[], Column] | None = None,
-                 quorum="all", scorer: str = "linear",
-                 bucket_seconds: int = DEFAULT_WINDOW_BUCKET_SECONDS, fmt: str = "json"):
-        self.tables, self.latency, self.quorum = tables, latency, quorum
-        self.scorer, self.bucket_seconds, self.fmt = scorer, bucket_seconds, fmt
+    def __init__(self, tables: Tables, latency: Callable[[], Column] | str | None = None,
+                 quorum="all", scorer: str = "linear", bucket_seconds: int = DEFAULT_WINDOW_BUCKET_SECONDS,
+                 fmt: str = "json", decider=None, scorer_map=None):
+        self.tables, self.latency, self.quorum, self.decider = tables, latency, quorum, decider
+        self.scorer, self.scorer_map, self.bucket_seconds, self.fmt = scorer, scorer_map, bucket_seconds, fmt
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         t = self.tables
         batch = batch.persist()
+        held = [batch]
         try:
             meas, bad = measurements_from_log(batch, self.fmt)
             write_batch(bad.withColumn("value", F.col("value").cast("string")),
                         t.quarantine, batch_id)
             reg = prepare_registry(registry_table(spark, t))
-            cfg = config_table(spark, t)
+            payloads = reg.select("data_model", "version", "payload") if self.scorer == "python" else None
+            reg = reg.drop("payload")
             W = max_width(reg)
-            rows = routed_rows(meas, reg, cfg, model_types=answering_types(self.scorer))
+            types = answering_types(self.scorer, self.scorer_map)
+            # routed once: the window, the next carry and the answers all read these rows
+            rows = routed_rows(meas, reg, config_table(spark, t), model_types=types).persist()
+            held.append(rows)
             carry = read_batch(spark, t.carry, CARRY, batch_id - 1)
             rows, nxt = _window_with_carry(rows, carry, batch_id, W, self.bucket_seconds)
-            lat = self.latency() if self.latency else None
-            rows = score_rows(rows, self.scorer, latency=lat).persist()
-            try:
-                resp = rows.withColumn("guid", request_guid("event_id"))
-                write_batch(resp.select(*[F.col(f.name).cast(f.dataType) for f in RESPONSES.fields]),
-                            t.responses, batch_id)
-                write_batch(collect_vote(rows, self.quorum), t.results, batch_id)
-                write_batch(nxt, t.carry, batch_id)
-            finally:
-                rows.unpersist()
+            lat = self.latency() if callable(self.latency) else self.latency
+            rows = score_rows(rows, self.scorer, self.scorer_map, lat, payloads).persist()
+            held.append(rows)
+            results = collect_vote(rows, self.quorum, decider=self.decider).persist()
+            held.append(results)
+            append_once(response_rows(rows), t.responses, batch_id)
+            write_batch(results, t.results, batch_id)
+            write_partials(rows, results, t, batch_id)
+            write_batch(nxt, t.carry, batch_id)
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
 
 
 def serve_stream(spark: SparkSession, logs: LogConfig, tables: Tables, checkpoint: str,
-                 latency: Callable[[], Column] | None = None, quorum="all",
+                 latency: Callable[[], Column] | str | None = None, quorum="all",
                  trigger: dict | None = None, max_files_per_trigger: int | None = None,
-                 scorer: str = "linear", fmt: str = "json"):
-    """Start the serving query (E2); returns its handle."""
-    src = read_log(spark, logs, DATA_TOPIC, start="earliest" if logs.root else "latest",
-                   max_files_per_trigger=max_files_per_trigger)
-    return (src.writeStream.foreachBatch(ServeBatch(tables, latency, quorum, scorer, fmt=fmt))
+                 scorer: str = "linear", fmt: str = "json", decider=None, scorer_map=None,
+                 start: str | None = None):
+    """Start the serving query (E2); returns its handle.  ``decider``: see
+    ``quorum.operators.deciders``; ``start``: ``"latest"`` or ``"earliest"`` measurements,
+    by default all of a folder log and the new ones of a topic."""
+    src = read_log(spark, logs, DATA_TOPIC, start=start or ("earliest" if logs.root else "latest"),
+                   max_files_per_trigger=max_files_per_trigger, position=f"{checkpoint}/serve-start")
+    handler = ServeBatch(tables, latency, quorum, scorer, fmt=fmt, decider=decider, scorer_map=scorer_map)
+    return (src.writeStream.foreachBatch(handler)
             .option("checkpointLocation", f"{checkpoint}/serve")
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
 
@@ -148,5 +169,4 @@ def responses_stream(spark: SparkSession, tables: Tables) -> DataFrame:
     """The ``responses`` table as a stream (input of the stateful collector);
     the folder is created first, so the collector may start before serving."""
     ensure_dir(spark, tables.responses)
-    return (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
-            .parquet(tables.responses))
+    return spark.readStream.schema(RESPONSES).parquet(tables.responses)

@@ -1,8 +1,13 @@
 """Folder tables written by ``foreachBatch`` handlers.
 
-Every micro-batch writes under ``<table>/batch_id=<n>`` with overwrite, so a
-replayed batch (at-least-once delivery after a failure) replaces its own
-output instead of duplicating it.  Readers see the union of all batches.
+``write_batch`` writes a micro-batch under ``<table>/batch_id=<n>`` with overwrite, so a
+replayed batch (at-least-once delivery after a failure) replaces its own output;
+such tables are read by batch jobs, which see the union of all batches.
+
+``append_once`` is for tables that a running stream reads: files must not change
+under it.  A batch is written to a staging folder first and marked complete; then
+its files are moved, each at once, into the table.  A replay finds the mark and
+moves what is left, so that no file comes twice and none is replaced.
 """
 
 from __future__ import annotations
@@ -10,15 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-
-def _file_system(spark: SparkSession, path: str):
-    """(file system, path) of a folder on any storage that Spark can write to."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.sc().hadoopConfiguration()), p
+from quorum.session import file_system
 
 
 def ensure_dir(spark: SparkSession, path: str) -> None:
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     fs.mkdirs(p)
 
 
@@ -26,21 +27,34 @@ def write_batch(df: DataFrame, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch_id={batch_id}")
 
 
-def read_table(spark: SparkSession, table: str, schema: T.StructType,
-               upto_batch: int | None = None) -> DataFrame:
+def append_once(df: DataFrame, table: str, batch_id: int) -> None:
+    """Add ``df`` to ``table`` as the rows of ``batch_id``, exactly once."""
+    spark, table = df.sparkSession, table.rstrip("/")
+    staged = f"{table}_staged/batch_id={batch_id}"
+    fs, mark = file_system(spark, f"{staged}/_COMPLETE")
+    if not fs.exists(mark):
+        df.write.mode("overwrite").parquet(staged)
+        fs.create(mark).close()
+    ensure_dir(spark, table)
+    for f in fs.listStatus(file_system(spark, staged)[1]):
+        name = f.getPath().getName()
+        if not name.startswith(("_", ".")):
+            target = file_system(spark, f"{table}/batch-{batch_id:012d}-{name}")[1]
+            if not fs.rename(f.getPath(), target):
+                raise OSError(f"cannot move {f.getPath()} to {target}")
+
+
+def read_table(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
     """All batches of a folder table (explicit schema: an empty table is an
-    empty DataFrame).  ``upto_batch`` keeps batches ``<= upto_batch``."""
+    empty DataFrame)."""
     ensure_dir(spark, table)
     full = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
-    df = spark.read.schema(full).option("basePath", table).parquet(table)
-    if upto_batch is not None:
-        df = df.filter(df["batch_id"] <= upto_batch)
-    return df.drop("batch_id")
+    return spark.read.schema(full).option("basePath", table).parquet(table).drop("batch_id")
 
 
 def read_batch(spark: SparkSession, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
     path = f"{table.rstrip('/')}/batch_id={batch_id}"
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)

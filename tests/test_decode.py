@@ -54,38 +54,17 @@ def test_result_round_trip(spark):
     assert [r[0] for r in back.collect()] == [0, 1, None]
 
 
-def test_protobuf_measurements_in_arrow_batches(spark):
-    from quorum.functions.decode import split_bad
-    from quorum.functions.wire import decode_measurements_pb, encode_measurement
-    from quorum import schemas
-    payloads = [encode_measurement(0.5, 1, "cpu"), b"", b"\xff\xff\xff", None,
-                encode_measurement(0.25, 0, "mem")]
-    rows = [(None, p, "mdata", 0, i, None) for i, p in enumerate(payloads)]
-    raw = spark.createDataFrame(rows, schemas.LOG)
-    good, bad = split_bad(decode_measurements_pb(raw))
-    from quorum.functions.decode import decode_measurements
-    assert decode_measurements(raw, fmt="pb").filter("NOT _bad").count() == 3
-    g = sorted((r["offset"], r["utilization"], r["label"], r["data_type"]) for r in good.collect())
-    assert g == [(0, 0.5, 1, "cpu"), (1, 0.0, 0, ""), (4, 0.25, 0, "mem")]   # b"" = defaults
-    assert sorted(r["offset"] for r in bad.collect()) == [2, 3]
-
-
-def test_protobuf_models_and_config(spark):
-    from quorum.functions.wire import decode_config_pb, decode_models_pb, message_class
+
+def test_model_payload_and_names_are_decoded(spark):
+    import base64
+    import json
     from quorum import schemas
-    md = message_class("ModelDescriptor")(name="m 3", description="d", dataType="cpu",
-                                          modeltype=1, data=b"\x01")
-    md.preprocessing.width, md.preprocessing.mean, md.preprocessing.std = 8, 49.0, 48.0
-    loc = message_class("ModelDescriptor")(name="x", location="somewhere")
-    sd = message_class("SpeculativeDescriptor")(datatype="cpu", tmout=90)
-    raw = spark.createDataFrame([(None, md.SerializeToString(), "models", 0, 0, None),
-                                 (None, loc.SerializeToString(), "models", 0, 1, None)], schemas.LOG)
-    out = {r["offset"]: r for r in decode_models_pb(raw).collect()}
-    assert not out[0]["_bad"] and out[0]["name"] == "m_3" and out[0]["model_type"] == 1
-    assert out[0]["width"] == 8 and out[1]["_bad"]
     from quorum.functions.decode import decode_models, split_bad
-    good, _ = split_bad(decode_models(raw, fmt="pb"))
-    assert good.select(*schemas.REGISTRY.fieldNames()).count() == 1
-    c = decode_config_pb(spark.createDataFrame([(None, sd.SerializeToString(), "s", 0, 0, None)],
-                                               schemas.LOG)).first()
-    assert (c["data_type"], c["tmout_ms"], c["_bad"]) == ("cpu", 90, False)
+    raw = b"\x00\x01graph"
+    rows = [{"name": "m 1", "dataType": "cpu", "data": base64.b64encode(raw).decode(),
+             "preprocessing": {"width": 2, "mean": 1.0, "std": 2.0, "input": "x", "output": "y"}},
+            {"name": "m2", "dataType": "cpu", "data": "not base64!"}, {"name": "m3", "dataType": "cpu", "location": "there"}]
+    log = spark.createDataFrame([(None, json.dumps(r).encode(), "models", 0, i, None) for i, r in enumerate(rows)], schemas.LOG)
+    good, bad = split_bad(decode_models(log))
+    r, = good.collect()
+    assert (r.name, bytes(r.payload), r.input, r.output) == ("m_1", raw, "x", "y") and bad.count() == 2

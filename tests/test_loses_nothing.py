@@ -86,12 +86,16 @@ def test_collector_keeps_requests_that_come_out_of_order(spark):
     """Four micro-batches: the third is five minutes, the last a day older."""
     root = work_dir(spark, "disorder")
 
+    def start(name, ts):
+        return [(name, 1, "cpu", ts, 1, 2, 100, None, None, None, None, False, None, None, None, True)]
+
     def rows(name, ts, latencies):
         return [(name, i, "cpu", ts, 1, 2, 100, f"cpu-m{j}", T(1), "d", 0, True, 1, lat,
-                 ts + dt.timedelta(milliseconds=lat)) for i, (j, lat) in enumerate(latencies)]
-    batches = [rows("a", T(5, 600), [(1, 10), (2, 20)]), rows("b", T(5, 900), [(1, 10)]),
-               rows("c", T(5, 300), [(1, 10), (2, 20)]),
-               rows("d", T(4), [(1, 10), (2, 30)]) + rows("b", T(5, 900), [(2, 30)])
+                 ts + dt.timedelta(milliseconds=lat), False) for i, (j, lat) in enumerate(latencies)]
+    batches = [rows("a", T(5, 600), [(1, 10), (2, 20)]) + start("a", T(5, 600)),
+               rows("b", T(5, 900), [(1, 10)]) + start("b", T(5, 900)),
+               rows("c", T(5, 300), [(1, 10), (2, 20)]) + start("c", T(5, 300)),
+               rows("d", T(4), [(1, 10), (2, 30)]) + start("d", T(4)) + rows("b", T(5, 900), [(2, 30)])
                + rows("a", T(5, 600), [(3, 500)])]
     import time
     for i, b in enumerate(batches):
@@ -100,10 +104,12 @@ def test_collector_keeps_requests_that_come_out_of_order(spark):
     src = (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
            .option("maxFilesPerTrigger", "1").parquet(f"{root}/in"))
     with rocksdb_state(spark):
-        q = (collect_stream(src).writeStream.format("parquet").option("path", f"{root}/out")
+        # the second answer of b is on its way for three micro-batches
+        q = (collect_stream(src, settle_ms=60_000).writeStream.format("parquet").option("path", f"{root}/out")
              .option("checkpointLocation", f"{root}/ck").outputMode("append")
-             .trigger(availableNow=True).start())
-    q.awaitTermination()
+             .trigger(processingTime="1 second").start())
+    q.processAllAvailable()
+    q.stop()
     out = spark.read.schema(OUTPUT).parquet(f"{root}/out").collect()
     res = sorted((r["guid"], r["outcome"], r["processed"], r["duration_ms"])
                  for r in out if r["kind"] == "result")

@@ -34,12 +34,12 @@ def test_restart_from_checkpoint_no_loss_no_duplicates(spark):
         q.awaitTermination()
     # first half of the log, stop; then the rest, restart from the same checkpoint
     stage = LogConfig(root=f"{root}/stage")
-    publish_events(spark, SF_SMALL, stage, 2)
-    files = sorted(spark.read.format("binaryFile").load(f"{stage.root}/mdata")
-                   .select("path", "modificationTime").collect(), key=lambda r: r[1])
-    for i, f in enumerate(files):
-        part = spark.read.schema(schemas.LOG).parquet(f["path"])
-        write_log(part.coalesce(1), logs, "mdata")
+    publish_events(spark, SF_SMALL, stage, 1)
+    staged = spark.read.schema(schemas.LOG).parquet(f"{stage.root}/mdata")
+    half = staged.approxQuantile("offset", [0.5], 0)[0]
+    middle = staged.filter(F.col("offset") <= half).agg(F.max("timestamp")).first()[0]
+    for part in (staged.filter(F.col("timestamp") <= middle), staged.filter(F.col("timestamp") > middle)):
+        write_log(part.coalesce(2), logs, "mdata")
         q = serve_stream(spark, logs, tables, ckpt, latency=demo.latency,
                          trigger={"availableNow": True})
         q.awaitTermination()
@@ -76,12 +76,10 @@ def test_collector_state_is_readable_and_cleaned(spark):
 def test_processing_time_collector_decides_every_request(spark):
     import time as _time
     from quorum.streaming.collector import OUTPUT, collect_stream
-    from quorum.streaming.serve_stream import RESPONSES
-    from quorum.functions.columns import request_guid
+    from quorum.streaming.serve_stream import RESPONSES, response_rows
     root = work_dir(spark, "ptime")
-    rows = _rows(spark, SF_SMALL).withColumn("guid", request_guid("event_id"))
-    rows.select(*[F.col(f.name).cast(f.dataType) for f in RESPONSES.fields]) \
-        .write.parquet(f"{root}/in/batch_id=0")
+    rows = _rows(spark, SF_SMALL)
+    response_rows(rows).write.parquet(f"{root}/in/batch_id=0")
     src = spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true").parquet(f"{root}/in")
     from quorum.session import rocksdb_state
     with rocksdb_state(spark):
@@ -113,10 +111,6 @@ def test_processing_time_collector_decides_every_request(spark):
     assert got.get("no_model", 0) == exp_none
 
 
-def test_serve_stream_protobuf_log_equals_batch(spark):
-    assert _same(run(spark, SF_SMALL, n_files=2, fmt="pb"), q_serve(spark, SF_SMALL))
-
-
 def test_stateful_collector_quorum_one_equals_batch(spark):
     from quorum.plans.catalog import _results
     from quorum.streaming.demo_run import run_with_collector
@@ -124,3 +118,193 @@ def test_stateful_collector_quorum_one_equals_batch(spark):
     assert _same(res, _results(spark, SF_SMALL, 1))
     exp_late = late_responses(_rows(spark, SF_SMALL), 1).select("event_id", "data_model")
     assert _same(late.select("event_id", F.col("late_model").alias("data_model")), exp_late)
+
+
+def test_collector_with_a_decider_equals_batch(spark):
+    """The same decider object in the batch plan, the serving stream and the collector."""
+    from quorum.operators import deciders
+    from quorum.plans.catalog import q_custom_decider
+    from quorum.streaming.demo_run import run_with_collector
+    want = q_custom_decider(spark, SF_SMALL)
+    res, _ = run_with_collector(spark, SF_SMALL, n_files=1, decider=deciders.first_answer())
+    assert _same(res, want)
+    assert _same(run(spark, SF_SMALL, n_files=2, decider=deciders.first_answer()), want)
+
+
+def _answers(*rows):
+    """(guid, is_start, model, latency) as response rows of a type with two models and 100 ms."""
+    from conftest import T
+    return [(g, 1, "cpu", T(5), 1, 2, 100, m, None if s else T(1), None, 0, not s, None if s else 1, lat, None, s)
+            for g, s, m, lat in rows]
+
+
+def _collector(spark, root, **kw):
+    from quorum.session import rocksdb_state
+    from quorum.streaming.collector import collect_stream
+    from quorum.streaming.serve_stream import RESPONSES
+    src = spark.readStream.schema(RESPONSES).parquet(f"{root}/in")
+    with rocksdb_state(spark):
+        return (collect_stream(src, **kw).writeStream.format("parquet").option("path", f"{root}/out")
+                .option("checkpointLocation", f"{root}/ck").trigger(processingTime="200 milliseconds").start())
+
+
+def _collected(spark, root):
+    from quorum.streaming.collector import OUTPUT
+    rows = spark.read.schema(OUTPUT).parquet(f"{root}/out").collect()
+    return sorted((r.guid, r.kind, r.outcome, r.duration_ms, r.late_model or "") for r in rows)
+
+
+def _wait(spark, root, n, seconds=90):
+    import time
+    end = time.monotonic() + seconds
+    while time.monotonic() < end:
+        got = _collected(spark, root)
+        if len(got) >= n:
+            return got
+        time.sleep(.5)
+    return _collected(spark, root)
+
+
+def test_restart_with_open_requests_and_bounded_state(spark):
+    """An open request is decided after a restart, by an answer or by its timer; answers come late and
+    without a request; when the grace is over, no state is left."""
+    import time
+    from quorum.streaming.reports import open_requests
+    from quorum.streaming.serve_stream import RESPONSES
+    from quorum.streaming.tables import ensure_dir
+    root = work_dir(spark, "open")
+    for name in ("in", "out"):
+        ensure_dir(spark, f"{root}/{name}")
+
+    def publish(*rows):
+        spark.createDataFrame(_answers(*rows), RESPONSES).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    # b's answer comes before its start, x never starts
+    publish(("a", True, None, None), ("a", False, "m1", 10), ("b", False, "m1", 20), ("x", False, "m1", 5), ("c", True, None, None))
+    q = _collector(spark, root, settle_ms=20_000, grace_ms=8_000)
+    q.processAllAvailable()
+    q.stop()
+    assert _collected(spark, root) == []
+    assert {r.key.guid for r in open_requests(spark, f"{root}/ck").collect()} == {"a", "c"}
+    publish(("a", False, "m2", 30), ("b", True, None, None), ("b", False, "m2", 15))
+    q = _collector(spark, root, settle_ms=20_000, grace_ms=8_000)
+    try:
+        got = _wait(spark, root, 2, 60)
+        assert ("a", "result", "complete", 30, "") in got and ("b", "result", "complete", 20, "") in got
+        publish(("a", False, "m3", 40))                 # decided, and still remembered
+        got = _wait(spark, root, 5)
+        assert ("a", "late", "late", 0, "m3") in got and ("c", "result", "timeout", 0, "") in got
+        assert ("x", "unknown", "unknown", 0, "m1") in got and len(got) == 5
+        end = time.monotonic() + 60
+        while open_requests(spark, f"{root}/ck").count() and time.monotonic() < end:
+            time.sleep(1)
+        assert open_requests(spark, f"{root}/ck").count() == 0
+        publish(("a", False, "m4", 50))                 # forgotten: opens nothing
+        assert _wait(spark, root, 6)[-1] == ("x", "unknown", "unknown", 0, "m1")
+        assert ("a", "unknown", "unknown", 0, "m4") in _collected(spark, root)
+    finally:
+        q.stop()
+
+
+def test_batches_are_appended_once_under_a_running_reader(spark):
+    """A batch that is done again, wholly or after a break while its files were moved, comes once."""
+    from quorum.session import file_system
+    from quorum.streaming.tables import append_once, ensure_dir
+    root = work_dir(spark, "once")
+    table = f"{root}/t"
+    ensure_dir(spark, table)
+    rows = lambda n: spark.range(n * 100, n * 100 + 40).repartition(4)
+    q = (spark.readStream.schema("id long").parquet(table).writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/ck").trigger(processingTime="100 milliseconds").start())
+    try:
+        append_once(rows(0), table, 0)
+        q.processAllAvailable()
+        append_once(rows(0), table, 0)
+        append_once(rows(1), table, 1)
+        # a break: one file of batch 1 is still in the staging folder
+        fs, folder = file_system(spark, table)
+        moved = sorted(f.getPath().toString() for f in fs.listStatus(folder) if "batch-000000000001" in f.getPath().getName())[0]
+        name = moved.split("batch-000000000001-")[1]
+        q.processAllAvailable()
+        append_once(rows(2), table, 2)
+        append_once(rows(2).limit(3), table, 2)         # complete once: what is written later does not count
+        assert not fs.exists(file_system(spark, f"{table}_staged/batch_id=1/{name}")[1])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted(r.id for r in spark.read.schema("id long").parquet(f"{root}/out").collect())
+    assert got == [n * 100 + i for n in range(3) for i in range(40)]
+
+
+def test_a_break_while_files_are_moved(spark, monkeypatch):
+    from quorum.session import file_system
+    from quorum.streaming import tables
+    root = work_dir(spark, "break")
+    table = f"{root}/t"
+    real, calls = tables.file_system, []
+
+    def breaking(spark, path):
+        calls.append(path)
+        if sum("/batch-" in p for p in calls) == 3:
+            raise OSError("lost")
+        return real(spark, path)
+
+    monkeypatch.setattr(tables, "file_system", breaking)
+    df = spark.range(40).repartition(4)
+    try:
+        tables.append_once(df, table, 7)
+        raise AssertionError("no break")
+    except OSError:
+        pass
+    monkeypatch.setattr(tables, "file_system", real)
+    assert 0 < spark.read.schema("id long").parquet(table).count() < 40
+    tables.append_once(spark.range(100, 140), table, 7)
+    assert sorted(r.id for r in spark.read.schema("id long").parquet(table).collect()) == list(range(40))
+    assert file_system(spark, table)[0] is not None
+
+
+def test_reports_merge_partials_and_survive_a_replay(spark):
+    """Reports read partials only, equal the batch figures after any number of batches, a replayed batch and compaction."""
+    from quorum.operators.collect import collect_vote
+    from quorum.operators.stats import collector_stats, model_stats
+    from quorum.streaming import reports
+    from quorum.streaming.registry_job import Tables
+    rows = _rows(spark, SF_SMALL).persist()
+    t = Tables(work_dir(spark, "partials"))
+    cols = ["usage", "duration_ms", "min_ms", "max_ms", "avg_ms", "since"]
+    for i in range(7):
+        part = rows.filter(F.col("event_id") % 7 == i)
+        for _ in range(2 if i in (2, 4, 6) else 1):        # batches done again, one right after a compaction
+            reports.write_partials(part, collect_vote(part), t, i, compact_every=4)
+    assert reports._generations(spark, t.model_partials) == [3]
+    got = reports.merged_model_stats(reports.read_partials(spark, t.model_partials, reports.MODEL_PARTIALS))
+    want = model_stats(rows)
+    assert _same(got.select("data_model", "version", *cols), want.select("data_model", "version", *cols)) and want.count() > 5
+    got = reports.merged_collector_stats(reports.read_partials(spark, t.collector_partials, reports.COLLECTOR_PARTIALS), demo.config(spark))
+    want = collector_stats(collect_vote(rows), demo.config(spark))
+    assert _same(got.select("data_type", "tmout_ms", *cols), want.select("data_type", "tmout_ms", *cols))
+    reports.compact(spark, t.model_partials, reports.MODEL_PARTIALS, reports.MODEL_KEYS, 6)
+    again = reports.merged_model_stats(reports.read_partials(spark, t.model_partials, reports.MODEL_PARTIALS))
+    assert _same(again.select("data_model", "version", *cols), model_stats(rows).select("data_model", "version", *cols))
+    # an older end: only what was there then
+    older = reports.read_partials(spark, t.model_partials, reports.MODEL_PARTIALS, upto=1)
+    assert older.agg(F.sum("usage")).first()[0] == rows.filter("event_id % 7 <= 1 AND answered").count()
+    rows.unpersist()
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    """The core's Python functions run where neither the working folder nor the path has the package."""
+    import subprocess
+    import sys
+    from conftest import ROOT
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from quorum.session import get_spark
+spark = get_spark('local[2]', shuffle_partitions=2)
+from quorum.plans.catalog import QUERIES
+assert QUERIES['score_python_model'](spark, {SF_SMALL!r}).filter('result = 1').count() > 0
+assert QUERIES['python_decider'](spark, {SF_SMALL!r}).count() == 1000
+"""
+    import os
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=300)
