@@ -34,13 +34,21 @@ from quorum.llm.common import map_batches, saved
 
 MIN_IMPORTANCE = 0.1
 MIN_PAGES = 10
+#: low keys that are broadcast by host: in all, and of one host (a content's key is low only when nearly
+#: all pages of its host have it, so a host has about as many as a page has blocks)
+MAX_BROADCAST_KEYS = 500_000
+MAX_HOST_KEYS = 2_000
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "object"}
+#: elements that may close themselves (``<svg/>``)
+FOREIGN = {"svg", "object"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em",
           "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike",
-          "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup",
+          "munder", "mover", "munderover", "mstyle", "mpadded", "semantics"}
 NOISE_TAGS = {"head", "nav", "footer", "aside", "menu", "form", "button", "select", "dialog", "input",
               *RAW}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "dialog",
@@ -138,6 +146,8 @@ def parse(page: str):
             flush()
         main = up.main or tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
         up.children.append(tag)
+        if tag in FOREIGN and m.group(3).rstrip().endswith("/"):
+            continue                                     # self-closed: nothing inside
         if tag in RAW:                                   # no markup inside: skip to its end
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -156,8 +166,10 @@ _PARSED = ("row_ long, page_id long, url string, host string, "
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """One row per page: its candidate blocks in page order (those in main
-    elements where the page has any) and, for pages without, its styles."""
+    """One row per page: its candidate blocks in page order and its styles.  Main
+    elements are evidence: where they hold at least half of a page's candidate text, its
+    blocks are theirs (and it has no styles to compare); where they hold less - a teaser
+    beside a story - all blocks stay candidates."""
     rows = pages.select(F.monotonically_increasing_id().alias("row_"), "page_id", "url",
                         F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
                         "html")
@@ -170,6 +182,8 @@ def parsed(pages: DataFrame) -> DataFrame:
             for value in batch.column(4):
                 found, shapes = parse(value.as_py() or "")
                 inside = [b for b in found if b[1]]
+                if 2 * sum(len(t) for _, _, t in inside) < sum(len(t) for _, _, t in found):
+                    inside = []
                 blocks.append([{"path": p, "text": t} for p, _, t in inside or found])
                 styles.append([] if inside else [{"path": p, "style": s} for p, s in shapes])
             yield pa.RecordBatch.from_arrays(
@@ -218,11 +232,17 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES,
     table = saved(parsed(pages), "pages")
     low = saved(unimportant(table, min_pages, min_importance), "unimportant").withColumnsRenamed(
         {"host": "host_", "key": "key_"})
-    keys = table.select("row_", "host", F.explode(F.array_distinct(F.flatten(F.transform(
-        "blocks", lambda b: F.array(F.xxhash64(b["path"], b["text"]), F.xxhash64(b["path"])))))).alias("key"))
-    gone = keys.join(low, F.col("host").eqNullSafe(F.col("host_")) & (F.col("key") == F.col("key_"))).groupBy(
-        "row_").agg(F.collect_set("key").alias("gone_")).withColumnRenamed("row_", "gone_row_")
-    joined = table.drop("styles").join(gone, F.col("row_") == F.col("gone_row_"), "left")
+    per_host = low.groupBy("host_").agg(F.collect_set("key_").alias("gone_"))
+    size = per_host.agg(F.coalesce(F.sum(F.size("gone_")), F.lit(0)), F.coalesce(F.max(F.size("gone_")), F.lit(0))).first()
+    if size[0] <= MAX_BROADCAST_KEYS and size[1] <= MAX_HOST_KEYS:
+        # the keys go to the pages, whose texts cross no exchange
+        joined = table.drop("styles").join(F.broadcast(per_host), F.col("host").eqNullSafe(F.col("host_")), "left")
+    else:
+        keys = table.select("row_", "host", F.explode(F.array_distinct(F.flatten(F.transform(
+            "blocks", lambda b: F.array(F.xxhash64(b["path"], b["text"]), F.xxhash64(b["path"])))))).alias("key"))
+        gone = keys.join(low, F.col("host").eqNullSafe(F.col("host_")) & (F.col("key") == F.col("key_"))).groupBy(
+            "row_").agg(F.collect_set("key").alias("gone_")).withColumnRenamed("row_", "gone_row_")
+        joined = table.drop("styles").join(gone, F.col("row_") == F.col("gone_row_"), "left")
     kept = F.when(F.col("gone_").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~(
         F.array_contains("gone_", F.xxhash64(b["path"], b["text"]))
         | F.array_contains("gone_", F.xxhash64(b["path"])))))

@@ -279,3 +279,30 @@ def test_draw_edges(spark):
     clash = table.withColumns({c: F.lit(c) for c in ("row", "row_", "drawn_", "rank", "score", "weight", "__place")})
     kept = resample.draw(clash, goal)
     assert kept.columns == clash.columns and kept.count() == 2 and kept.first()["row_"] == "row_"
+
+
+# -- HTML extraction: what main elements and foreign elements take with them --------
+
+def extracted(spark, *pages, **kw):
+    from quorum.llm import sitetree
+    df = spark.createDataFrame([(i, "http://h.example.org/a", p) for i, p in enumerate(pages)], PAGES)
+    return [r.text for r in sitetree.extract(df, **kw).orderBy("page_id").collect()]
+
+
+def test_main_elements_are_evidence_and_foreign_elements_end(spark):
+    story = "a long story about many things " * 5
+    assert extracted(
+        spark, f"<div><p>{story}</p></div><article><p>teaser card</p></article>",
+        f"<article><p>{story}</p></article><div>more to read</div>",
+        "<p>before</p><svg viewBox='0 0 1 1'/><p>after one</p><object data='x' /><p>after two</p>",
+        "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><svg><text>drawn</text></svg><p>end</p>") == [
+        story.strip() + " teaser card", story.strip(), "before after one after two", "so x=1 holds end"]
+
+
+def test_low_keys_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    from quorum.llm import sitetree
+    pages = [f"<div><p>the same line on every page</p><p>text of page {i} {'x' * i}</p></div>" for i in range(12)]
+    want = [f"text of page {i} {'x' * i}".strip() for i in range(12)]
+    assert extracted(spark, *pages) == want
+    monkeypatch.setattr(sitetree, "MAX_HOST_KEYS", 0)
+    assert extracted(spark, *pages) == want
