@@ -170,15 +170,16 @@ def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", **l
     rid = fresh_name(docs, "row_")
     rows = numbered(docs, rid)
     verdicts, frequent = judge(rows, text_col, host_col, keep=[rid], **limits)
+    r, k, gone = (fresh_name(rows, c) for c in ("r_", "k_", "gone_"))
     hit = (verdicts.where("kept and removed_words > 0")
-           .select(F.col(rid).alias("r_"), "host", F.explode("lines_.h").alias("h"))
+           .select(F.col(rid).alias(r), "host", F.explode("lines_.h").alias("h"))
            .join(frequent.withColumnsRenamed({"host": "host_", "h": "h_"}),
                  (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")))
-           .groupBy("r_").agg(F.collect_set("h").alias("gone_")))
-    kept = verdicts.where("kept").select(F.col(rid).alias("k_"))
-    joined = rows.join(kept, F.col(rid) == F.col("k_"), "left_semi").join(
-        hit, F.col(rid) == F.col("r_"), "left")
+           .groupBy(r).agg(F.collect_set("h").alias(gone)))
+    kept = verdicts.where("kept").select(F.col(rid).alias(k))
+    joined = rows.join(kept, F.col(rid) == F.col(k), "left_semi").join(
+        hit, F.col(rid) == F.col(r), "left")
     left = F.concat_ws("\n", F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(
-        F.col("gone_"), F.xxhash64(F.btrim(F.regexp_replace(F.lower(x), SPACE_PATTERN, " "))))))
-    out = joined.withColumn(text_col, F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(left))
+        F.col(gone), F.xxhash64(F.btrim(F.regexp_replace(F.lower(x), SPACE_PATTERN, " "))))))
+    out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -183,8 +183,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"),
                                F.col(rid).alias("r")).alias("id"), F.col(text_col).alias("text"))
     groups = near_duplicates(ids, "id", "text", shingle, radius)
-    keep = groups.where(F.col("id") == F.col("component")).select(F.col("id.r").alias("keep_"))
-    return (rows.join(keep, F.col(rid) == F.col("keep_"), "left_semi")
+    keep = groups.where(F.col("id") == F.col("component")).select(F.col("id.r").alias(fresh_name(rows, "keep_")))
+    return (rows.join(keep, F.col(rid) == F.col(keep.columns[0]), "left_semi")
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.llm import text as T
-from quorum.llm.common import map_batches, saved, ship_package
+from quorum.llm.common import fresh_name, map_batches, saved, ship_package
 
 REACH = 16
 MEAN_CHUNK = 24
@@ -265,20 +265,21 @@ def report(docs: DataFrame) -> DataFrame:
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      **parameters) -> DataFrame:
     """``docs`` without the repeated passages (their first copies stay)."""
+    cut, of = (fresh_name(docs, c) for c in ("spans_", "span_id_"))
     so_far = Window.partitionBy("doc_id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
     spans = repeated_passages(docs, id_col, text_col, **parameters).withColumn(
         "end", F.max("end").over(so_far)).groupBy("doc_id").agg(      # passages may overlap
-        F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans_")).withColumnRenamed(
-        "doc_id", "span_id_")
-    joined = docs.join(spans, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("span_id_"),
+        F.array_sort(F.collect_set(F.struct("begin", "end"))).alias(cut)).withColumnRenamed(
+        "doc_id", of)
+    joined = docs.join(spans, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col(of),
                        "left")
     raw = F.encode(F.col(text_col), "utf-8")
     cuts = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("end"))),
-                    F.col("spans_"))
+                    F.col(cut))
     piece = F.transform(cuts, lambda c, i: F.decode(F.substring(
         raw, c["end"].cast("int") + 1,
         F.greatest(F.lit(0), (F.coalesce(F.get(cuts, i + 1)["begin"], F.octet_length(text_col).cast("long"))
                               - c["end"]).cast("int"))),
         "utf-8"))
-    return joined.withColumn(text_col, F.when(F.col("spans_").isNull(), F.col(text_col)).otherwise(
+    return joined.withColumn(text_col, F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(
         F.array_join(piece, ""))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -136,12 +136,13 @@ def drop_lines(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     rid = fresh_name(docs, "row_")
     rows = numbered(docs, rid)
     _, lines, templates = recurring(rows, rid, text_col, **limits)
+    r, hit = (fresh_name(rows, c) for c in ("r_", "gone_"))
     gone = (lines.select("rid", "h").join(templates.select("h"), "h", "left_semi")
-            .groupBy("rid").agg(F.collect_set("h").alias("gone_")).withColumnRenamed("rid", "r_"))
-    joined = rows.join(gone, F.col(rid) == F.col("r_"), "left")
+            .groupBy("rid").agg(F.collect_set("h").alias(hit)).withColumnRenamed("rid", r))
+    joined = rows.join(gone, F.col(rid) == F.col(r), "left")
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(
-        F.col("gone_"), F.xxhash64(normal(x)))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(
+        F.col(hit), F.xxhash64(normal(x)))), "\n")
+    return joined.withColumn(text_col, F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(
         left)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

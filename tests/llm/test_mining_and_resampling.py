@@ -306,3 +306,31 @@ def test_low_keys_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
     assert extracted(spark, *pages) == want
     monkeypatch.setattr(sitetree, "MAX_HOST_KEYS", 0)
     assert extracted(spark, *pages) == want
+
+
+# -- columns of the documents that bear the names of helpers -----------------------
+
+HELPERS = ["r_", "k_", "gone_", "keep_", "spans_", "span_id_", "row_", "row_number_", "rid", "h", "host", "n_words", "fp", "component", "id"]
+
+
+def _stages():
+    from quorum.llm import quality, simhash, substrings, templates
+    return {"clean": quality.clean, "drop_lines": templates.drop_lines, "keep_one": simhash.keep_one,
+            "without_passages": substrings.without_passages}
+
+
+@pytest.mark.parametrize("name", ["clean", "drop_lines", "keep_one", "without_passages"])
+def test_helper_names_do_not_clash(spark, name):
+    stage = _stages()[name]
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("alpha beta gamma delta eps zeta eta theta".split(), k=80)) + f"\nshared line\n{i}" for i in range(14)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts + [None, "", texts[0]])]
+    plain = spark.createDataFrame(rows, DOCS)
+    clash = plain.withColumns({c: F.lit(f"own {c}") for c in HELPERS})
+    got, want = stage(clash), stage(plain)
+    assert got.columns == clash.columns
+    key = lambda r: (r.doc_id, r.text or "")
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in HELPERS)
+    empty = stage(clash.limit(0))
+    assert empty.columns == clash.columns and empty.count() == 0
