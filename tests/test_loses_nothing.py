@@ -15,6 +15,7 @@ from quorum.session import rocksdb_state, work_dir
 from quorum.sources.tables import measurements
 from quorum.streaming.collector import OUTPUT, collect_stream
 from quorum.streaming.serve_stream import RESPONSES, measurements_from_log
+from quorum.streaming.tables import ensure_dir
 
 
 def test_broadcast_and_scan_agree_on_a_replayed_registry(spark):
@@ -103,14 +104,18 @@ def test_collector_keeps_requests_that_come_out_of_order(spark):
         time.sleep(1.1)
     src = (spark.readStream.schema(RESPONSES).option("recursiveFileLookup", "true")
            .option("maxFilesPerTrigger", "1").parquet(f"{root}/in"))
+    ensure_dir(spark, f"{root}/out")
     with rocksdb_state(spark):
         # the second answer of b is on its way for three micro-batches
         q = (collect_stream(src, settle_ms=60_000).writeStream.format("parquet").option("path", f"{root}/out")
              .option("checkpointLocation", f"{root}/ck").outputMode("append")
              .trigger(processingTime="1 second").start())
-    q.processAllAvailable()
+    # (with processing-time timers there is always a next micro-batch: nothing to wait for but rows)
+    end, out = time.monotonic() + 90, []
+    while len(out) < 5 and time.monotonic() < end:
+        time.sleep(1)
+        out = spark.read.schema(OUTPUT).parquet(f"{root}/out").collect()
     q.stop()
-    out = spark.read.schema(OUTPUT).parquet(f"{root}/out").collect()
     res = sorted((r["guid"], r["outcome"], r["processed"], r["duration_ms"])
                  for r in out if r["kind"] == "result")
     assert res == [("a", "complete", True, 20), ("b", "complete", True, 30),

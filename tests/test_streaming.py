@@ -181,13 +181,15 @@ def test_restart_with_open_requests_and_bounded_state(spark):
 
     # b's answer comes before its start, x never starts
     publish(("a", True, None, None), ("a", False, "m1", 10), ("b", False, "m1", 20), ("x", False, "m1", 5), ("c", True, None, None))
-    q = _collector(spark, root, settle_ms=20_000, grace_ms=8_000)
-    q.processAllAvailable()
+    q = _collector(spark, root, settle_ms=25_000, grace_ms=20_000)
+    end = time.monotonic() + 60
+    while not (q.lastProgress and q.lastProgress["batchId"] >= 1) and time.monotonic() < end:
+        time.sleep(.5)
     q.stop()
     assert _collected(spark, root) == []
     assert {r.key.guid for r in open_requests(spark, f"{root}/ck").collect()} == {"a", "c"}
     publish(("a", False, "m2", 30), ("b", True, None, None), ("b", False, "m2", 15))
-    q = _collector(spark, root, settle_ms=20_000, grace_ms=8_000)
+    q = _collector(spark, root, settle_ms=25_000, grace_ms=20_000)
     try:
         got = _wait(spark, root, 2, 60)
         assert ("a", "result", "complete", 30, "") in got and ("b", "result", "complete", 20, "") in got
