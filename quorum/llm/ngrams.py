@@ -10,18 +10,20 @@ p(w) is the add-half unigram probability.  All counts, and D2 and D3, are of
 the whole training corpus.
 
 Work moves as packed events.  Every token of every text - training or not -
-goes with its two predecessors to the shard of the word before it; a
-frequent word's events are spread over several shards by u, so c(uvw), c(uv)
-and N(uv) are whole in one shard.  The events move twice.  First, merged
-within each block, they are counted: shards give the counts of counts, and
-ask for what they see a part of only - c(vw) of spread words, c(w) of words
-not among the ``HEADS`` that all tasks know - from the totals of all shards,
-summed by (v, w).  Then the events, their documents and the answers meet in
-the shard, which builds its part of the model as a trie: level one holds
-the words v, level two their successors w, level three, for each context uv,
-the successors by their position among those of v.  Levels and the monotone
-pointers between them are Elias-Fano sequences, probabilities and back-off
-weights are 8-bit codes; the trie is memory-mapped, and the shard's queries
+goes once with its two predecessors to the shard of the word before it; a
+frequent word's events are spread over several shards by u (those of texts'
+first tokens by w), so c(uvw), c(uv) and N(uv) are whole in one shard or known
+to all.  Frequent words travel as codes by rank, bytes of one place together,
+so an event takes about eight bytes.  The shards read this one exchange twice.
+First they count: they give the counts of counts, and ask for what they see a
+part of only - c(vw) of spread words, c(w) of words not among the ``HEADS``
+that all tasks know - from the totals of all shards, summed by (v, w).  Then
+events and answers meet in the shard, which builds its part of the model as a
+trie: level one holds the words v, level two their successors w, level three,
+for each context uv, the successors by their position among those of v.
+Levels and the monotone pointers between them are Elias-Fano sequences,
+probabilities and back-off weights are 8-bit codes; the trie is
+memory-mapped (a nameless temporary file of the task), and the shard's queries
 are found by successor search, context-relative on the last level.  Shards
 answer with sums per document, which meet again per block of documents.
 Neither the number of shards nor ``HEADS`` changes a score, but for the codes'
@@ -51,12 +53,13 @@ from quorum.llm.common import map_batches, saved, ship_package
 from quorum.llm.eliasfano import EliasFano, Quantised
 from quorum.llm.substrings import pack, unpack
 
-HEADS = 1 << 18
+HEADS = 1 << 19
 SHARD_EVENTS = 1_200_000
 MIN_SHARDS = 96
 BLOCK_BYTES = 6 << 20
 START, END, WORD = np.uint64(0), np.uint64(1), np.uint64(2)   # WORD: in place of v, asks for c(w)
-D2, D3, KINDS = -1, -2, -3      # in place of a shard: counts of counts, N(v) of spread words
+PART, D2, D3, KINDS = 0, -1, -2, -3     # kinds of rows: parts and answers, counts of counts, N(v) of spread words
+ESCAPE, FIRST = 0, 1                    # codes of a word known by its hash, and of START
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -99,38 +102,38 @@ def vocabulary(docs: DataFrame, held: str, text_col: str) -> DataFrame:
 class Unigrams:
     """What all tasks know: totals, and counts of the frequent words."""
 
-    def __init__(self, total: int, types: int, heads: list[tuple[int, int]], shards: int):
+    def __init__(self, total: int, types: int, h: np.ndarray, c: np.ndarray, shards: int):
         self.total, self.types, self.shards = total, types, shards
-        h = np.array([x for x, _ in heads], dtype=np.int64).view(np.uint64)
-        c = np.array([x for _, x in heads], dtype=np.int64)
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
         self.norm = total + 0.5 * (types + 1)
         self.ends = int(self.c[self.h == END].sum())
         self.pieces_of_start = max(1, -(-self.ends * shards // max(total, 1)))
         self.pieces = np.maximum(1, -(-self.c * shards // max(total, 1))).astype(np.uint64)
+        by_rank = np.lexsort((self.h, -self.c))
+        self.code = np.empty(len(by_rank), dtype=np.uint32)
+        self.code[by_rank] = np.arange(len(by_rank)) + FIRST + 1
+        self.words = np.concatenate((np.array([0, START], dtype=np.uint64), self.h[by_rank]))
 
-    def with_stats(self, stats: list[tuple[int, int, int]]) -> "Unigrams":
-        """Also D2, D3 and N(v) of the spread words, from summed (kind, key, n)."""
-        found = {(kind, key): n for kind, key, n in stats}
-        self.d2, self.d3 = (discount(found.get((k, 1), 0), found.get((k, 2), 0)) for k in (D2, D3))
-        kinds = sorted((key % (1 << 64), n) for (kind, key), n in found.items() if kind == KINDS)
-        self.spread = np.array([v for v, _ in kinds], dtype=np.uint64)
-        self.kinds = np.array([n for _, n in kinds], dtype=np.int64)
-        return self
+    def shard_of(self, v: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Shard of a piece of a word's events."""
+        return T.mix(np.where(piece > 0, T.mix(v + piece * _G), v) ^ np.uint64(0x5BD1E995)) \
+            % np.uint64(self.shards)
 
-    def is_spread(self, v: np.ndarray) -> np.ndarray:
-        """Whether a word's events are in several shards."""
+    def pieces_of(self, v: np.ndarray) -> np.ndarray:
         at = self.head(v)
-        out = at >= 0
-        out[out] = self.pieces[at[out]] > 1
-        out[v == START] = self.pieces_of_start > 1
+        out = np.ones(len(v), dtype=np.uint64)
+        out[at >= 0] = self.pieces[at[at >= 0]]
+        out[v == START] = self.pieces_of_start
         return out
 
-    def history(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """c(v) and N(v) of spread words."""
-        c = np.where(v == START, self.ends, self.c[self.head(v)])
-        return c, self.kinds[np.searchsorted(self.spread, v)]
+    def is_spread(self, v: np.ndarray) -> np.ndarray:
+        """Whether a word's events are in several shards."""
+        return self.pieces_of(v) > 1
+
+    def history(self, v: np.ndarray) -> np.ndarray:
+        """c(v) of spread words."""
+        return np.where(v == START, self.ends, self.c[self.head(v)])
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / self.norm)
@@ -143,16 +146,33 @@ class Unigrams:
         return np.where(self.h[at] == h, at, -1)
 
 
-_EVENTS = ("<u8", "<u4", "<u4", "<u8", "<u4")   # runs: v, length; u, w, row (top bit: held out) or training count
+# runs of v: codes, hashes of the uncoded, lengths; u: codes, hashes; w: codes, hashes; rows
+_EVENTS = ("u1", "<u8", "u1", "u1", "<u4", "u1", "<u8", "u1")
 _HEADER = ("<i8", "u1", "<i8")                  # ids, held out, n_tokens
 _ASKED = ("<u8", "<u8", "<i8")                  # v, w, training count
 _SUMS = ("<u4", "<f8", "<f8", "<u4")            # row, score, base, known
-_COUNTS = "shard long, sender long, data binary, n long"
+_COUNTS = "shard long, kind long, key long, n long, data binary"
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers as bytes, those of one place together."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()
 
 
-def _events(shared, counted: bool):
-    """Documents -> the events of each shard, in packed blocks: with their rows,
-    after header rows, or (``counted``) merged with their training counts."""
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _previous(x: np.ndarray, first: np.ndarray, fill) -> np.ndarray:
+    """Each token's predecessor; ``fill`` for the first of a text."""
+    out = np.concatenate((x[:1], x[:-1]))
+    out[first] = fill
+    return out
+
+
+def _events(shared):
+    """Documents -> the events of each shard, in packed blocks, after a header
+    row of each block; a row's number goes with its held-out flag as low bit."""
     def run(batches):
         uni = shared.value
         part, k = TaskContext.get().partitionId(), 0
@@ -163,40 +183,37 @@ def _events(shared, counted: bool):
             for a, b, w, sizes in token_blocks(batch, 2):
                 block, k = (part << 32) + k, k + 1
                 held = held_all[a:b]
+                yield _rows([(-1 - block, block, pack(*(np.ascontiguousarray(x).astype(t) for x, t in zip(
+                    (ids[a:b], held | (nulls[a:b] << 1), sizes), _HEADER))))])
                 row = np.repeat(np.arange(b - a, dtype=np.uint32), sizes)
-                at = np.cumsum(sizes) - sizes
-                v = np.concatenate((w[:1], w[:-1]))
-                v[at] = START
-                u = np.concatenate((v[:1], v[:-1]))
-                u[at] = START
-                tag = row | (held[row].astype(np.uint32) << np.uint32(31))
-                if counted:
-                    key = T.mix(T.mix(T.mix(v) + u) + w)
-                    order = np.argsort(key)
-                    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-                    tag = np.add.reduceat(~held[row[order]], first, dtype=np.uint32)
-                    v, u, w = (x[order][first] for x in (v, u, w))
-                else:
-                    yield _rows([(-1 - block, block, pack(*(np.ascontiguousarray(x).astype(t) for x, t in zip(
-                        (ids[a:b], held | (nulls[a:b] << 1), sizes), _HEADER))))])
-                # the shard of an event, by v, and by u too where v is frequent
+                tag = row << np.uint32(1) | held[row]
+                first = np.cumsum(sizes) - sizes
+                at = uni.head(w)
+                code = np.full(len(w), ESCAPE, dtype=np.uint32)
+                code[at >= 0] = uni.code[at[at >= 0]]
+                v, code_v, at_v = (_previous(x, first, f) for x, f in ((w, START), (code, FIRST), (at, -1)))
+                u, code_u = (_previous(x, first, f) for x, f in ((v, START), (code_v, FIRST)))
+                # the shard of an event, by v, and where v is frequent by u too; first tokens by w
                 pieces = np.ones(len(w), dtype=np.uint64)
-                head = uni.head(v)
-                pieces[head >= 0] = uni.pieces[head[head >= 0]]
-                pieces[v == START] = uni.pieces_of_start
-                piece = T.mix(u ^ _G) % pieces
-                shard = T.mix(np.where(piece > 0, T.mix(v + piece * _G), v) ^ np.uint64(0x5BD1E995)) \
-                    % np.uint64(uni.shards)
-                order = np.argsort(shard << np.uint64(44) | v >> np.uint64(20))
-                v, shard, w, tag = v[order], shard[order], w[order], tag[order]
-                u32 = (u[order] & _LOW).astype(np.uint32)
+                pieces[at_v >= 0] = uni.pieces[at_v[at_v >= 0]]
+                pieces[first] = uni.pieces_of_start
+                by = u.copy()
+                by[first] = w[first]
+                shard = uni.shard_of(v, T.mix(by ^ _G) % pieces)
+                order = np.argsort(shard << np.uint64(44) | v >> np.uint64(20), kind="stable")
+                shard, v, u, w, tag = (x[order] for x in (shard, v, u, w, tag))
+                code_v, code_u, code = (x[order] for x in (code_v, code_u, code))
                 cuts = np.searchsorted(shard, np.arange(uni.shards + 1, dtype=np.uint64))
                 out = []
                 for s in np.flatnonzero(np.diff(cuts)).tolist():
                     x = slice(cuts[s], cuts[s + 1])
                     runs = np.flatnonzero(np.concatenate(([True], v[x][1:] != v[x][:-1])))
-                    length = np.diff(np.append(runs, cuts[s + 1] - cuts[s])).astype(np.uint32)
-                    out.append((s, block, pack(v[x][runs], length, u32[x], w[x], tag[x])))
+                    out.append((s, block, pack(
+                        _planes(code_v[x][runs]), v[x][runs][code_v[x][runs] == ESCAPE],
+                        _planes(np.diff(np.append(runs, cuts[s + 1] - cuts[s]))),
+                        _planes(code_u[x]), (u[x][code_u[x] == ESCAPE] & _LOW).astype(np.uint32),
+                        _planes(code[x]), w[x][code[x] == ESCAPE],
+                        _planes(np.diff(tag[x], prepend=np.uint32(0))))))
                 yield _rows(out)
     return run
 
@@ -237,25 +254,47 @@ class Grams:
                               minlength=len(self.words)).astype(np.int64)
 
 
-def _unpacked(data) -> list[np.ndarray]:
-    """v, u, w and the last column of packed events."""
-    got = [unpack(x, *_EVENTS) for x in data]
-    v = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-    return [v, *(np.concatenate([g[i] for g in got]) for i in (2, 3, 4))]
+def _decoded(planes: np.ndarray, others: np.ndarray, words: np.ndarray) -> np.ndarray:
+    code = _numbers(planes)
+    out = words[code]
+    out[code == ESCAPE] = others
+    return out
+
+
+def _unpacked(data, uni: Unigrams) -> tuple[list[np.ndarray], list[int]]:
+    """v, u, w, row and its flag of packed events; the events of each."""
+    low = (uni.words & _LOW).astype(np.uint32)
+    cols, sizes = ([], [], [], []), []
+    for raw in data:
+        v, v_hash, length, u, u_hash, w, w_hash, tag = unpack(raw, *_EVENTS)
+        got = (np.repeat(_decoded(v, v_hash, uni.words), _numbers(length)), _decoded(u, u_hash, low),
+               _decoded(w, w_hash, uni.words), np.cumsum(_numbers(tag), dtype=np.uint32))
+        for col, x in zip(cols, got):
+            col.append(x)
+        sizes.append(len(got[3]))
+    return [np.concatenate(c) for c in cols], sizes
 
 
 def _stats(kind: int, counts: np.ndarray) -> list[tuple]:
-    return [(kind, n, None, int(np.sum(counts == n))) for n in (1, 2)]
+    return [(kind, n, int(np.sum(counts == n)), None) for n in (1, 2)]
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["shard", "kind", "key", "n", "data"])
 
 
 def _count(shared):
     """Shard -> counts of counts of what is whole in it, and by (v, w) its part
     of the others."""
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return _frame([])
         uni = shared.value
-        g = Grams(*_unpacked(pdf["data"]))
+        (v, u, w, tag), _ = _unpacked(pdf["data"], uni)
+        g = Grams(v, u, w, tag % 2 == 0)
+        del v, u, w, tag
         spread, rare = uni.is_spread(g.names)[g.pair_v], uni.head(g.words) < 0
-        out = _stats(D3, g.c) + _stats(D2, g.c2[~spread])
+        out = [(key[0], *x) for x in _stats(D3, g.c) + _stats(D2, g.c2[~spread])]
         v = np.concatenate((g.names[g.pair_v[spread]], np.full(int(rare.sum()), WORD)))
         w = np.concatenate((g.words[g.pair_w[spread]], g.words[rare]))
         c = np.concatenate((g.c2[spread], g.cw[rare]))
@@ -264,14 +303,20 @@ def _count(shared):
         cuts = np.searchsorted(to[order], np.arange(uni.shards + 1, dtype=np.uint64))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             x = order[cuts[s]:cuts[s + 1]]
-            out.append((s, key[0], pack(v[x], w[x], c[x]), 0))
-        return pd.DataFrame(out, columns=["shard", "sender", "data", "n"])
+            out.append((s, PART, key[0], 0, pack(v[x], w[x], c[x])))
+        return _frame(out)
     return run
 
 
 def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     """Parts by (v, w) -> to each sender the totals of what it asked; counts of
     counts and N(v) of spread words."""
+    known = pdf[pdf["kind"] < 0]
+    out = [(-1, kind, n, sum_, None) for kind, n, sum_ in zip(
+        known["kind"].tolist(), known["key"].tolist(), known["n"].tolist())]
+    pdf = pdf[pdf["kind"] == PART]
+    if not len(pdf):
+        return _frame(out)
     got = [unpack(x, *_ASKED) for x in pdf["data"]]
     v, w, c = (np.concatenate([g[k] for g in got]) for k in range(3))
     order = np.lexsort((w, v))
@@ -281,26 +326,44 @@ def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     total[order] = sums[np.cumsum(new) - 1]
     names = v[order][new]
     real = (names != WORD) & (sums > 0)
-    out = _stats(D2, sums[real])
-    out += [(KINDS, k, None, n) for k, n in zip(*(x.astype(np.int64).tolist() for x in np.unique(
+    out += [(-1, *x) for x in _stats(D2, sums[real])]
+    out += [(-1, KINDS, k, n, None) for k, n in zip(*(x.astype(np.int64).tolist() for x in np.unique(
         names[real], return_counts=True)))]
     at = 0
-    for sender, g in zip(pdf["sender"], got):
-        out.append((sender, -1, pack(g[0], g[1], total[at:at + len(g[0])]), 0))
+    for sender, g in zip(pdf["key"], got):
+        out.append((sender, PART, -1, 0, pack(g[0], g[1], total[at:at + len(g[0])])))
         at += len(g[0])
-    return pd.DataFrame(out, columns=["shard", "sender", "data", "n"])
+    return _frame(out)
+
+
+def _to_shards(shared):
+    """Summed counts of counts -> a row for each shard; N(v) -> one for each
+    shard of the word's pieces."""
+    def run(batches):
+        uni = shared.value
+        for batch in batches:
+            for kind, key, n in zip(*(c.to_pylist() for c in batch.columns)):
+                to = np.arange(uni.shards)
+                if kind == KINDS:
+                    v = np.array([key], dtype=np.int64).view(np.uint64)
+                    piece = np.arange(int(uni.pieces_of(v)[0]), dtype=np.uint64)
+                    to = np.unique(uni.shard_of(np.repeat(v, len(piece)), piece)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to, pa.int64()), *(pa.array(np.full(len(to), x), pa.int64()) for x in (kind, key, n)),
+                     pa.nulls(len(to), pa.binary())], names=["shard", "kind", "key", "n", "data"])
+    return run
 
 
 class Trie:
     """The n-grams of one shard: u, v, w with training counts."""
 
-    def __init__(self, g: Grams, cv: np.ndarray, kinds: np.ndarray, p: np.ndarray, uni: Unigrams):
+    def __init__(self, g: Grams, cv: np.ndarray, kinds: np.ndarray, p: np.ndarray, d2: float, d3: float):
         """``g`` with its whole c2; c(v) and N(v) of its names, p(w) of its words.
         A v without training text leaves all to p(w)."""
-        low = np.where(cv > 0, uni.d2 * kinds / np.maximum(cv, 1), 1.0)
+        low = np.where(cv > 0, d2 * kinds / np.maximum(cv, 1), 1.0)
         some = g.c2 > 0
         pair, pair_v, c2 = g.pair[some], g.pair_v[some], g.c2[some]
-        p2 = np.maximum(c2 - uni.d2, 0) / cv[pair_v] + low[pair_v] * p[g.pair_w[some]]
+        p2 = np.maximum(c2 - d2, 0) / cv[pair_v] + low[pair_v] * p[g.pair_w[some]]
         successors = np.bincount(pair_v, minlength=len(g.names))
         at2 = np.concatenate(([0], np.cumsum(successors)))
         # contexts (v, u), and their successors by position among those of v
@@ -310,10 +373,13 @@ class Trie:
         ctx_key = vid << np.uint64(32) | g.u[some]
         new_ctx = np.concatenate(([True], ctx_key[1:] != ctx_key[:-1])) if n else np.empty(0, bool)
         ctx = np.cumsum(new_ctx) - 1
-        cc = np.bincount(ctx, weights=c3)
-        back3 = uni.d3 * np.bincount(ctx) / np.maximum(cc, 1)
+        cc, kinds3 = np.bincount(ctx, weights=c3), np.bincount(ctx)
+        of_start = g.names[vid[new_ctx].astype(np.int64)] == START     # its one context is spread like it
+        if of_start.any():
+            cc[of_start], kinds3[of_start] = cv[g.names == START], kinds[g.names == START]
+        back3 = d3 * kinds3 / np.maximum(cc, 1)
         lower = np.searchsorted(pair, vid << np.uint64(32) | g.w[some])
-        p3 = np.maximum(c3 - uni.d3, 0) / cc[ctx] + back3[ctx] * p2[lower]
+        p3 = np.maximum(c3 - d3, 0) / cc[ctx] + back3[ctx] * p2[lower]
         position = lower - at2[vid.astype(np.int64)]
         self.width = int(successors.max()).bit_length()
         third = ctx.astype(np.uint64) << np.uint64(self.width) | position.astype(np.uint64)
@@ -335,6 +401,7 @@ class Trie:
             self.file.seek(at)
             self.file.write(a.tobytes())
             at += a.nbytes
+        self.file.truncate(at)
         self.file.flush()
         raw = np.memmap(self.file, dtype=np.uint8, mode="r", shape=(at,)) if at else np.empty(0, np.uint8)
         for (o, i, a), place in zip(parts, places):
@@ -381,16 +448,16 @@ class Trie:
 
 def _score(shared):
     """Shard -> sums per block and row; header rows pass through."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:
+    def run(key, pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0 or not len(pdf):
             return pdf[["block", "data"]].assign(header=True)
         uni = shared.value
-        asked = pdf["block"] < 0
-        answers = [unpack(x, *_ASKED) for x in pdf.loc[asked, "data"]]
-        pdf = pdf[~asked]
-        v, u, w, tag = _unpacked(pdf["data"])
-        sizes = [int(unpack(x, *_EVENTS)[1].sum()) for x in pdf["data"]]
-        g = Grams(v, u, w, tag >> np.uint32(31) == 0)
+        answers = [unpack(x, *_ASKED) for x in told.loc[told["kind"] == PART, "data"]]
+        found = {(kind, k): n for kind, k, n in zip(*(told.loc[told["kind"] < 0, c].tolist()
+                                                     for c in ("kind", "key", "n")))}
+        d2, d3 = (discount(found.get((k, 1), 0), found.get((k, 2), 0)) for k in (D2, D3))
+        (v, u, w, tag), sizes = _unpacked(pdf["data"], uni)
+        g = Grams(v, u, w, tag % 2 == 0)
         del v, u, w
         # whole counts in place of the shard's own; answers are in the order of (v, w)
         at = uni.head(g.words)
@@ -404,9 +471,10 @@ def _score(shared):
         cv = np.bincount(g.vid.astype(np.int64), weights=g.c).astype(np.int64)
         kinds = np.bincount(g.pair_v[g.c2 > 0], minlength=len(g.names))
         if spread.any():
-            cv[spread], kinds[spread] = uni.history(g.names[spread])
+            cv[spread] = uni.history(g.names[spread])
+            kinds[spread] = [found.get((KINDS, k), 0) for k in g.names[spread].view(np.int64).tolist()]
         p = (g.cw + 0.5) / uni.norm
-        trie = Trie(g, cv, kinds, p, uni)
+        trie = Trie(g, cv, kinds, p, d2, d3)
         score = trie.log10(g.v, g.u, g.w, p)[g.group]
         trie.close()
         of = g.w.astype(np.int64)[g.group]
@@ -415,7 +483,7 @@ def _score(shared):
         for block, n in zip(pdf["block"], sizes):
             x = slice(at, at + n)
             at += n
-            rows, inv = np.unique(tag[x] & np.uint32(0x7FFFFFFF), return_inverse=True)
+            rows, inv = np.unique(tag[x] >> np.uint32(1), return_inverse=True)
             sums = (np.bincount(inv, weights=y[x], minlength=len(rows)) for y in (score, base, known))
             out.append((block, pack(*(y.astype(t) for y, t in zip((rows, *sums), _SUMS))), False))
         return pd.DataFrame(out, columns=["block", "data", "header"])
@@ -451,20 +519,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = vocabulary(rows, "held", "t")
     n = words.agg(F.sum("c"), F.count("*")).first()
     total, types = n[0] or 0, n[1]
-    heads = words.where(F.col("c") * HEADS > total).collect()      # fewer than HEADS, by their sum
+    heads = words.where(F.col("c") * HEADS > total).toArrow()      # fewer than HEADS, by their sum
     shards = max(min_shards, total // shard_events)
-    uni = Unigrams(total, types, [(r.h, r.c) for r in heads], shards)
-
-    def events(shared, counted):
-        return map_batches(rows, _events(shared, counted), "shard long, block long, data binary")
-
+    uni = Unigrams(total, types, heads["h"].to_numpy().view(np.uint64), heads["c"].to_numpy(), shards)
     shared = spark.sparkContext.broadcast(uni)
-    counts = saved(events(shared, True).groupBy("shard").applyInPandas(_count(shared), _COUNTS), "counts")
-    totals = saved(counts.where("shard >= 0").groupBy("shard").applyInPandas(_total, _COUNTS), "totals")
-    stats = (counts.union(totals).where("shard < 0").groupBy("shard", "sender").agg(F.sum("n")).collect())
-    whole = spark.sparkContext.broadcast(uni.with_stats([tuple(r) for r in stats]))   # fewer than 2 * shards
-    sums = (events(whole, False).union(totals.where("shard >= 0").select("shard", "sender", "data"))
-            .groupBy("shard").applyInPandas(_score(whole), "block long, data binary, header boolean"))
+    # one plan: the exchange of the events by shard is written once and read by the two groupings
+    events = map_batches(rows, _events(shared), "shard long, block long, data binary")
+    parts = events.groupBy("shard").applyInPandas(_count(shared), _COUNTS)
+    totals = parts.groupBy("shard").applyInPandas(_total, _COUNTS)
+    stats = totals.where("kind < 0").groupBy("kind", "key").agg(F.sum("n").alias("n"))   # fewer than 2 * shards
+    told = totals.where(F.col("kind") == PART).union(map_batches(stats, _to_shards(shared), _COUNTS))
+    sums = events.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(
+        _score(shared), "block long, data binary, header boolean")
     return sums.groupBy("block").applyInPandas(
         _gather(total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                         "base_score double, score double")

@@ -92,6 +92,39 @@ def test_scores_are_of_the_whole_corpus(spark, monkeypatch):
         assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.002)
 
 
+def test_first_tokens_are_spread_and_events_move_once(spark):
+    """Of many short texts no shard holds all first tokens, and the events' exchange is reused."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from quorum.llm import ngrams
+    heads = np.array([ngrams.END, 77], dtype=np.uint64)
+    uni = ngrams.Unigrams(6000, 4000, heads, np.array([2000, 300]), 96)
+    rng = random.Random(1)
+    texts = [f"w{rng.random()} x{rng.random()}" for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([False] * 2000), pa.array(texts)],
+                                       names=["id", "held", "t"])
+
+    class Shared:
+        value = uni
+    TaskContext._taskContext, before = type("C", (), {"partitionId": lambda self: 0})(), TaskContext._taskContext
+    try:
+        got = pa.Table.from_batches(ngrams._events(Shared)([batch])).to_pylist()
+    finally:
+        TaskContext._taskContext = before
+    firsts, events = [], 0
+    for r in got:
+        if r["shard"] >= 0:
+            (v, u, w, tag), _ = ngrams._unpacked([r["data"]], uni)
+            firsts.append(int((v == ngrams.START).sum()))
+            events += len(w)
+            assert (u[v == ngrams.START] == 0).all() and not (tag % 2).any()
+    assert (sum(firsts), events) == (2000, 6000) and max(firsts) < 2000 / uni.pieces_of_start * 4
+    df = ngrams.scores(docs(spark, texts[:50]))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+
+
 def test_elias_fano_round_trip():
     from quorum.llm.eliasfano import EliasFano
     rng = np.random.default_rng(1)
