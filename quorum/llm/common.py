@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,6 +66,33 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
+def block_keys(hits: DataFrame, keys: list[str], min_docs: int, min_contexts: float,
+               max_shared: float = 0.5) -> DataFrame:
+    """The ``keys`` of lines that recur as parts of blocks around which texts differ.
+
+    ``hits`` has a row for each recurring line of a document: rid, at (its
+    place), words, total (the document's words), before and after (hashes of
+    the lines beside it) and the keys.  Recurring lines in a row are one block.
+    In copies and near copies they are most of the document, in a menu or
+    footer the lesser part: a key passes if at least half of its documents, and
+    ``min_docs``, have less than ``max_shared`` of their words in recurring
+    lines, and if the lines before and after its blocks differ in
+    ``min_contexts`` of those."""
+    whole, ordered = Window.partitionBy("rid"), Window.partitionBy("rid").orderBy("at")
+    block = Window.partitionBy("rid", "block").orderBy("at").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    per_line = (hits.withColumn("block", F.col("at") - F.row_number().over(ordered))
+                .withColumn("minor", F.sum("words").over(whole) < F.col("total") * max_shared)
+                .withColumn("context", F.xxhash64(F.first("before").over(block), F.last("after").over(block))))
+    per_doc = per_line.groupBy("rid", *keys).agg(F.min("context").alias("context"), F.max("minor").alias("minor"))
+    by_context = per_doc.groupBy(*keys, "context").agg(
+        F.count("*").alias("n"), F.count_if("minor").alias("minor"))
+    return by_context.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("minor").alias("minor"), F.count_if(F.col("minor") > 0).alias("contexts")).where(
+        (F.col("minor") >= min_docs) & (2 * F.col("minor") >= F.col("n"))
+        & (F.col("contexts") >= F.col("minor") * min_contexts)).select(*keys)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with the package available to the workers."""

@@ -7,7 +7,9 @@ document are hashed, documents are counted by (host, line) with a partial
 count before the shuffle, lines above the limits are removed, and documents
 that lose too many of their words are rejected.  Copies of a document are not
 boilerplate: a text counts once per host, and a frequent line must also stand
-among different neighbours (the lines of near copies keep theirs).
+among different neighbours (the lines of near copies keep theirs), or belong
+to a block of frequent lines that is the lesser part of its documents and
+stands among different neighbours (headers, menus and footers of several lines).
 
 All of it is DataFrame functions; hot hosts are spread by the line's hash.
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import SPACE_PATTERN, WHITE, fresh_name, numbered, saved
+from quorum.llm.common import SPACE_PATTERN, WHITE, block_keys, fresh_name, numbered, saved
 
 MIN_WORDS = 50
 WINDOW = 3
@@ -29,7 +31,7 @@ MAX_REPEAT = 0.5
 SYMBOLS = "#*$%&|<>"
 MIN_LINE_DOCS = 8          # a line is frequent if at least so many documents of its host hold it,
 MAX_LINE_SHARE = 0.02      # at least this share of them,
-MIN_CONTEXTS = 0.5         # and if it stands among different lines in this share of those
+MIN_CONTEXTS = 0.5         # and if it, or its block, stands among different lines in this share of those
 MIN_LEFT = 0.3             # share of its words that a document must keep
 
 
@@ -60,7 +62,7 @@ def with_base(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Data
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words and base_failed (names prefixed by ``prefix``)."""
     text = F.col(text_col)
-    w, k, b = (fresh_name(docs, c) for c in ("words_", "windows_", "bits_"))
+    w, k, b, e = (fresh_name(docs, c) for c in ("words_", "windows_", "bits_", "equal_"))
     d = docs.withColumn(w, words(text))
     n = F.size(w)
     # repeated windows: each window is one long, its hash in the high bits and its place in
@@ -70,10 +72,15 @@ def with_base(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Data
     d = d.withColumn(k, F.when(n >= WINDOW, F.expr(
         f"sort_array(transform(sequence(0, size({w}) - {WINDOW}), "
         f"i -> shiftleft(xxhash64({hashed}), {b}) + i))")).otherwise(F.array().cast("array<bigint>")))
-    dup_places = F.expr(
+    # those whose kept bits are equal are compared again by their whole hashes
+    whole = ", ".join(f"get({w}, cast(x & (shiftleft(1L, {b}) - 1) as int) + {j})" for j in range(WINDOW))
+    d = d.withColumn(e, F.expr(
         f"sort_array(transform(filter({k}, (x, i) -> "
         f"shiftright(x ^ get({k}, i - 1), {b}) <=> 0L or shiftright(x ^ get({k}, i + 1), {b}) <=> 0L), "
-        f"x -> x & (shiftleft(1L, {b}) - 1)))")
+        f"x -> struct(xxhash64({whole}) as h, x & (shiftleft(1L, {b}) - 1) as at)))"))
+    dup_places = F.expr(
+        f"sort_array(transform(filter({e}, (x, i) -> "
+        f"x.h <=> get({e}, i - 1).h or x.h <=> get({e}, i + 1).h), x -> x.at))")
     covered = F.aggregate(
         dup_places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).cast("long").alias("last")),
         lambda s, p: F.struct((s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n"),
@@ -88,7 +95,7 @@ def with_base(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Data
         prefix + "n_symbols": n_symbols(text),
         prefix + "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
         prefix + "n_repeat_words": covered,
-    }).drop(w, k, b)
+    }).drop(w, k, b, e)
     nw, nr = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
     return d.withColumn(prefix + "base_failed",
                         (nw < MIN_WORDS) | (nr > F.lit(MAX_REPEAT) * nw))
@@ -114,22 +121,27 @@ def frequent_lines(table: DataFrame, min_docs: int = MIN_LINE_DOCS,
                    min_contexts: float = MIN_CONTEXTS) -> DataFrame:
     """(host, h) of the lines above the limits."""
     texts = table.groupBy("host", "text_").agg(F.min("rid").alias("rid")).select("rid")
-    once = table.join(texts, "rid", "left_semi").select("host", "lines_")
+    once = table.join(texts, "rid", "left_semi").select("rid", "host", "n_words", "lines_")
     per_host = once.groupBy("host").agg(F.count("*").alias("host_docs"))
     rows = once.select("host", F.explode(F.array_distinct(F.transform(
         "lines_", lambda x: F.struct(x["h"], x["around"])))).alias("l")).select("host", "l.*")
     docs_of = once.select("host", F.explode(F.array_distinct(F.transform(
         "lines_", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(
         F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    often = docs_of.join(per_host, docs_of.host.eqNullSafe(per_host.host)).where(
-        F.col("n") >= F.col("host_docs") * max_share).select(docs_of.host, "h", "n")
-    contexts = rows.join(often.select(F.col("host").alias("host_"), F.col("h").alias("h_")),
-                         (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")),
-                         "left_semi").distinct().groupBy("host", "h").agg(
+    often = saved(docs_of.join(per_host, docs_of.host.eqNullSafe(per_host.host)).where(
+        F.col("n") >= F.col("host_docs") * max_share).select(docs_of.host, "h", "n"), "often")
+    is_often = (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_"))
+    names = often.select(F.col("host").alias("host_"), F.col("h").alias("h_"))
+    contexts = rows.join(names, is_often, "left_semi").distinct().groupBy("host", "h").agg(
         F.count("*").alias("contexts"))
-    return often.join(contexts.withColumnsRenamed({"host": "host_", "h": "h_"}),
-                      (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_"))).where(
+    alone = often.join(contexts.withColumnsRenamed({"host": "host_", "h": "h_"}), is_often).where(
         F.col("contexts") >= F.col("n") * min_contexts).select("host", "h")
+    each = F.transform("lines_", lambda x, i: F.struct(
+        i.alias("at"), x["h"].alias("h"), x["words"].alias("words"),
+        F.get("lines_", i - 1)["h"].alias("before"), F.get("lines_", i + 1)["h"].alias("after")))
+    hits = once.select("rid", "host", F.col("n_words").alias("total"), F.explode(each).alias("l")).select(
+        "rid", "host", "total", "l.*").join(names, is_often, "left_semi")
+    return alone.union(block_keys(hits, ["host", "h"], min_docs, min_contexts)).distinct()
 
 
 def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source",

@@ -15,7 +15,8 @@ leaves thins the second pass, an exact join does the rest, and equal lines
 are merged before their tokens are.  Counts are combined before each shuffle.
 
 Copies of a document are not templates: a text counts once, and a template
-must stand among different neighbouring lines (``MIN_CONTEXTS``).
+must stand among different neighbouring lines (``MIN_CONTEXTS``), or in blocks
+of recurring lines that do and that are the lesser part of their documents.
 
 Defined results: null and empty texts have no lines and stay; lines of fewer
 than ``MIN_TOKENS`` tokens are kept; repeated rows and repeated lines are
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import SPACE_PATTERN, fresh_name, numbered, saved
+from quorum.llm.common import SPACE_PATTERN, block_keys, fresh_name, numbered, saved
 
 LEAD = 3
 MIN_TOKENS = 3
@@ -126,9 +127,18 @@ def recurring(rows: DataFrame, rid: str, text_col: str = "text", min_docs: int =
     n_docs = seen.select("rid", "template").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     n_around = seen.select("around", "template").distinct().groupBy("template").agg(
         F.count("*").alias("contexts"))
-    good = n_docs.where(F.col("docs") >= min_docs).join(n_around, "template").where(
+    often = n_docs.where(F.col("docs") >= min_docs)
+    alone = often.join(n_around, "template").where(
         F.col("contexts") >= F.col("docs") * min_contexts).select("template")
-    return table, lines, saved(templates.join(good, "template", "left_semi"), "templates")
+    each = F.transform("lines_", lambda x, i: F.struct(
+        i.alias("at"), x["h"].alias("h"), x["n"].alias("words"),
+        F.get("lines_", i - 1)["h"].alias("before"), F.get("lines_", i + 1)["h"].alias("after")))
+    total = F.aggregate("lines_", F.lit(0), lambda s, x: s + x["n"])
+    known = saved(templates.join(often, "template", "left_semi"), "candidates")
+    hits = table.join(docs, "rid", "left_semi").select("rid", total.alias("total"), F.explode(each).alias("l")).select(
+        "rid", "total", "l.*").join(known, "h")
+    good = alone.union(block_keys(hits, ["template"], min_docs, min_contexts)).distinct()
+    return table, lines, saved(known.join(good, "template", "left_semi"), "templates")
 
 
 def drop_lines(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:

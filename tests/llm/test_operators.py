@@ -391,3 +391,40 @@ def test_main_text(spark):
                                   "page_id long, url string, html string")
     got = {r.page_id: r.text for r in sitetree.report(pages).collect()}
     assert got == {1: "T & t a bc d e", 2: "", 3: ""}
+
+
+def block_texts(rng, n_lines, n_docs=40):
+    """Documents that share a header, a menu and a footer of ``n_lines`` lines each,
+    one group of near copies, one of exact copies, and texts of their own."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    line = lambda n: " ".join(word() for _ in range(n))
+    head, menu, foot = ([line(5) for _ in range(n_lines)] for _ in range(3))
+    pages = [head + [line(60) for _ in range(3)] + menu + [line(60) for _ in range(3)] + foot
+             for _ in range(n_docs)]
+    story = [line(12) for _ in range(30)]
+    near = []
+    for i in range(20):
+        near.append(list(story))
+        near[i][i] = line(12)
+    return pages, head + menu + foot, near + [story] * 20, [[line(60) for _ in range(4)] for _ in range(40)]
+
+
+@pytest.mark.parametrize("n_lines", [1, 2, 3, 5])
+def test_blocks_of_lines_go_and_copies_stay(spark, n_lines):
+    from quorum.llm import quality, templates
+    pages, shared, copies, others = block_texts(random.Random(n_lines), n_lines)
+    texts = ["\n".join(x) for x in (*pages, *copies, *others)]
+    want = {i: "\n".join(x for x in t.split("\n") if x not in shared) for i, t in enumerate(texts)}
+    table = docs(spark, texts)
+    assert {r.doc_id: r.text for r in quality.clean(table).collect()} == want
+    assert {r.doc_id: r.text for r in templates.drop_lines(table).collect()} == want
+
+
+def test_windows_of_long_texts_are_compared_whole(spark):
+    """More than 2**20 words: the places take 21 bits, the hashes are still compared whole."""
+    from quorum.llm import quality
+    n = (1 << 20) + 50
+    text = " ".join(f"w{i}" for i in range(n)) + " w7 w8 w9 x w1 w2"
+    r = quality.with_base(docs(spark, [text, "a b c a b c"])).select(
+        "doc_id", "n_words", "n_repeat_words").orderBy("doc_id").collect()
+    assert [tuple(x) for x in r] == [(0, n + 6, 6), (1, 6, 6)]
