@@ -428,3 +428,69 @@ def test_windows_of_long_texts_are_compared_whole(spark):
     r = quality.with_base(docs(spark, [text, "a b c a b c"])).select(
         "doc_id", "n_words", "n_repeat_words").orderBy("doc_id").collect()
     assert [tuple(x) for x in r] == [(0, n + 6, 6), (1, 6, 6)]
+
+
+def brute_hits(texts, items, n=10):
+    """(words hit, ids of the items found) of each text."""
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = word(t)
+        for k in range(max(1, len(w) - n + 1) if w else 0):
+            windows[tuple(w[k:k + n])].add(i)
+    out = []
+    for t in texts:
+        w, hit, found = word(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k:k + size]) in windows:
+                    hit |= set(range(k, k + size))
+                    found |= windows[tuple(w[k:k + size])]
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("piece,block", [(1 << 14, 1 << 25), (3, 4000)])
+def test_decontaminate_equals_brute_force(spark, monkeypatch, piece, block):
+    """Long items in pieces, shared and repeated items, blocks of a few pieces each."""
+    from quorum.llm import decontaminate as D
+    rng = random.Random(11)
+    vocabulary = ["w%d" % i for i in range(40)]
+    w = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    passage, long = w(25), w(60)
+    items = [("a", " ".join(passage)), ("b", " ".join(w(5) + passage)), ("b", " ".join(w(5) + passage)),
+             ("c", " ".join(long)), ("d", "w1 w2"), ("e", "w3"), ("f", None), ("", "W7, w8; W9!"),
+             *((f"copy{i}", " ".join(passage)) for i in range(20))]
+    texts = [*(" ".join(w(rng.randint(0, 90)) + rng.choice([passage, long, []]) + w(9)) for _ in range(30)), *EDGE]
+    monkeypatch.setattr(D, "PIECE", piece)
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    monkeypatch.setattr(D.window_sets, "__defaults__", (10, block))
+    monkeypatch.setattr(D.mark_hits, "__defaults__", (10, "text", block))
+    got = D.report(docs(spark, texts), spark.createDataFrame(items, "item_id string, text string"))
+    want = brute_hits(texts, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in got.collect()} == dict(enumerate(want))
+
+
+def test_windows_that_share_a_hash(monkeypatch):
+    from quorum.llm import decontaminate as D
+    few = D.window_hashes
+    monkeypatch.setattr(D, "window_hashes", lambda *a: few(*a) & np.uint64(3))
+    rng = random.Random(12)
+    words_ = lambda k: " ".join(rng.choice("abcdefg") for _ in range(k))
+    items = [(f"i{k}", words_(rng.randint(1, 30))) for k in range(60)]
+    texts = [words_(40) for _ in range(20)]
+    built = D.WindowSet([(i, t.encode()) for i, t in items], 4)
+    import pyarrow as pa
+    got = []
+    for low, s, e, h in D.documents_words(pa.array(texts)):
+        at, found = built.scan(low, s, e, h)
+        got.append((len(h), len(at), found))
+    assert got == brute_hits(texts, items, 4)
+
+
+def test_decontaminate_empty_tables(spark):
+    from quorum.llm import decontaminate as D
+    items = spark.createDataFrame([("a", "one two")], "item_id string, text string")
+    table = docs(spark, ["one two", "x"])
+    assert [r.contaminated for r in D.report(table, items.limit(0)).collect()] == [False, False]
+    assert D.report(table.limit(0), items).count() == 0 and D.decontaminate(table, items.limit(0)).count() == 2
