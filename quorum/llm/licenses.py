@@ -2,16 +2,21 @@
 
 A text is cut into pieces at line and sentence ends, without the marks of
 comments; each is normalised (lower case, punctuation and white space runs
-become one space).  A known licence sentence is found where a piece begins
-with it, be it wrapped over several pieces, and mapped to its identifier;
-the sequence of identifiers of a document is then
-matched against ordered rules.  A rule names a licence and the identifiers
-it needs, in order; ``...`` allows others in between.  More specific rules
-come first; a sentence that a rule used is not used by a later one.
+become one space; "this file is" and the like before "licensed under" go).
+A known licence sentence is found where a piece begins with it, be it wrapped
+over several pieces, and mapped to its identifier; a short one (a notice, an
+SPDX tag, a licence's title) must also end where a piece ends.  The sequence
+of identifiers of a document is then matched against ordered rules.  A rule
+names a licence and the identifiers it needs, in order; ``...`` allows others
+in between, which stay for later rules.  More specific rules come first; a
+sentence that a rule used is not used by a later one.  "All rights reserved"
+is an answer only where no licence is found.
 
 Defined results: null and empty texts have no sentences and no licences; a
 document without known sentences has empty lists; repeated sentences count
-at each place; repeated rows give repeated results.
+at each place; repeated rows give repeated results; an empty table gives an
+empty one; very long texts are read whole; where the input has a column
+``sentence_ids`` or ``licences``, it stays and the new one gets a leading ``_``.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorum.llm.common import fresh_name
+
 # Known sentences (fixed values: short public licence notices, normalised below)
 SENTENCES = {
     "lic-mit": "Released under the MIT License.",
@@ -78,8 +85,53 @@ SENTENCES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "lic-mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights": "All rights reserved.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-origin": "The origin of this software must not be misrepresented; you must not claim that you "
+                   "wrote the original software.",
+    "bsl1": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy "
+            "of the software and accompanying documentation covered by this license",
+    "cc-by4-int": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa4-int": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
+                     "International License.",
+    "cc-by-nc4-int": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
+                     "International License.",
+}
+
+# Titles of the licences' own texts (fixed values)
+TITLES = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "EPL-2.0": "Eclipse Public License - v 2.0",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
 }
 
+# Names under which one-sentence notices give licences (fixed values)
+NAMES = {
+    "MIT": ["MIT", "MIT License", "MIT Licence"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "MPL 2.0"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GPL 2.0"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GPL 3.0"],
+    "CC0-1.0": ["CC0 1.0"], "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0"], "CC-BY-ND-4.0": ["CC BY-ND 4.0"], "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"], "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"],
+}
+
+# SPDX identifiers besides those above and those of the rules (fixed values)
+TAGS = ["0BSD", "Artistic-2.0", "BSL-1.0", "CDDL-1.0", "EUPL-1.2", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0",
+        "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "OFL-1.1", "PostgreSQL", "Python-2.0", "WTFPL", "Zlib"]
+
+#: an answer only where there is no other
+RESERVED = "LicenseRef-all-rights-reserved"
+
 # (licence, identifiers in order); "..." lets other sentences stand between
 RULES = [
     ("BSD-3-Clause", ["bsd-redistribution", "...", "bsd-source", "...", "bsd-binary", "...", "bsd-endorse"]),
@@ -104,7 +156,11 @@ RULES = [
     ("MIT", ["lic-mit"]), ("MIT", ["lic-mit-this"]), ("MIT", ["lic-mit-lic"]),
     ("CC-BY-NC-4.0", ["lic-cc-by-nc4"]), ("CC-BY-SA-4.0", ["lic-cc-by-sa4"]),
     ("CC-BY-4.0", ["lic-cc-by4"]), ("CC0-1.0", ["lic-cc0"]), ("MPL-2.0", ["lic-mpl2"]),
-    ("LicenseRef-all-rights-reserved", ["all-rights"]),
+    ("Zlib", ["zlib-as-is", "...", "zlib-origin"]),
+    ("BSL-1.0", ["bsl1"]),
+    ("CC-BY-4.0", ["cc-by4-int"]), ("CC-BY-SA-4.0", ["cc-by-sa4-int"]), ("CC-BY-NC-4.0", ["cc-by-nc4-int"]),
+    *((name, [f"title-{name}"]) for name in TITLES),
+    (RESERVED, ["all-rights"]),
 ]
 
 _SPLIT = r"\n+|(?<=[.!?;:])\s+(?=[A-Z\"(])|(?<=[;:,])\s+(?=you |either )"
@@ -112,14 +168,43 @@ _SPLIT = r"\n+|(?<=[.!?;:])\s+(?=[A-Z\"(])|(?<=[;:,])\s+(?=you |either )"
 #: marks of comments at the start and the end of a line
 _COMMENT = r"(?m)^[ \t]*(?:/{2,}|/?\*+/?|#+|-{2,}|;+|%+|<!--|>+|(?:dnl|REM|rem)(?=[ \t]))[ \t]*|[ \t]*(?:\*+/|-->)[ \t\r]*$"
 _ANY = "<any>"
+#: what may stand before a notice: "this file is", "the code in this folder is also"
+_LEAD = r"(?:this|these|the|all|our)(?: \S+){1,6}? (?:is|are) (?:\S+ )??(?=(?:licensed|released|distributed) under )"
 _SHORT = 8          # known sentences of at most so many words must end where a piece ends
 
 
+#: a tag's expression is cut at its operators, each part a tag
+_TAG = "SPDX-License-Identifier:"
+_OPERATOR = rf"[ \t)]+(?:OR|AND|WITH)[ \t(]+(?<={_TAG}[^\n]{{0,200}})"
+
+_PLUS = rf"({_TAG}[ \t(]*[A-Za-z0-9.-]+)\+"
+
+
 def normal(sentence: str) -> str:
     """Normal form of a sentence."""
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def notices() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """Sentences and rules of one-sentence notices, SPDX tags and titles."""
+    sentences = {f"title-{name}": text for name, text in TITLES.items()}
+    rules = []
+    for name, forms in NAMES.items():
+        for k, form in enumerate(forms):
+            for verb in ("Licensed", "Released", "Distributed"):
+                # "under the MIT" is the beginning of a longer name
+                for the in ("", "the ") if re.search("licen[cs]e", form, re.I) else ("",):
+                    key = f"{verb.lower()}-{name}-{k}{the[:1]}"
+                    sentences[key] = f"{verb} under {the}{form}."
+                    rules.append((name, [key]))
+    known = {normal(text) for text in SENTENCES.values()}
+    sentences = {k: v for k, v in sentences.items() if normal(v) not in known}
+    for name in sorted({*NAMES, *TAGS, *(r[0] for r in RULES if r[0] != RESERVED)}):
+        sentences[f"spdx-{name}"] = f"{_TAG} {name}"
+        rules.append((name, [f"spdx-{name}"]))
+    return sentences, [r for r in rules if r[1][0] in sentences]
+
+
 def normal_column(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
@@ -134,11 +219,20 @@ def identifiers(text: Column, sentences: dict[str, str] | None = None) -> Column
 
     A cheap test for the first word of any known sentence comes before the
     comparison; a long known sentence without its end matches as a prefix."""
-    known = sentence_parts(sentences or SENTENCES)
+    known = sentence_parts(sentences or {**SENTENCES, **notices()[0]})
+    # of two sentences of one normal form the first counts
+    short = {form: key for form, key in reversed(known) if _ANY not in form and form.count(" ") < _SHORT}
+    long = [x for x in known if _ANY in x[0] or x[0].count(" ") >= _SHORT]
+    table = F.create_map(*[F.lit(x) for pair in short.items() for x in pair]) if short else None
     firsts = "|".join(sorted({k.split(" ")[0] for k, _ in known}))
     longest = max(k.count(" ") + 13 * k.count(_ANY) for k, _ in known) + 1
+    leads = "|".join(sorted(form for form, _ in known if re.match(_LEAD, form)))
+    lead = (f"^(?!(?:{leads})\\b)" if leads else "^") + _LEAD
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), _COMMENT, "")
-    pieces = F.filter(F.transform(F.split(plain, _SPLIT), normal_column), lambda n: n != "")
+    plain = F.when(F.contains(plain, F.lit(_TAG)), F.regexp_replace(F.regexp_replace(
+        plain, _OPERATOR, "\n" + _TAG + " "), _PLUS, "$1-or-later")).otherwise(plain)
+    pieces = F.filter(F.transform(F.split(plain, _SPLIT), lambda x: F.regexp_replace(
+        normal_column(x), lead, "")), lambda n: n != "")
 
     def to_id(all_, i):
         # pieces hold a word at least, so so many of them hold any known sentence
@@ -146,18 +240,18 @@ def identifiers(text: Column, sentences: dict[str, str] | None = None) -> Column
         ends = F.transform(F.sequence(F.lit(1), F.lit(_SHORT)),
                            lambda k: F.array_join(F.slice(all_, i + 1, k), " "))
 
-        def fits(form, n, ends):
+        def fits(form, n):
             if _ANY in form:
                 return F.rlike(n, F.lit("^" + form.replace(_ANY, r"(?:\S+ ){1,12}?") + r"\b"))
-            if form.count(" ") < _SHORT:
-                return F.array_contains(ends, form)
             return (n == form) | F.startswith(n, F.lit(form + " "))
 
         def choose(bound):
-            out = F.lit(None).cast("string")
-            # longest first: of two that fit, the more specific is tested first
-            for form, key in sorted(known, key=lambda x: len(x[0])):
-                out = F.when(fits(form, bound["n"], bound["ends"]), F.lit(key)).otherwise(out)
+            # longest first: of two that fit, the more specific is tested first; a short one is
+            # looked up by the pieces that may make it, the most pieces first
+            out = F.lit(None).cast("string") if table is None else F.get(F.filter(F.transform(
+                F.reverse(bound["ends"]), lambda e: F.try_element_at(table, e)), lambda x: x.isNotNull()), F.lit(0))
+            for form, key in sorted(long, key=lambda x: len(x[0])):
+                out = F.when(fits(form, bound["n"]), F.lit(key)).otherwise(out)
             return out
         return F.get(F.transform(F.array(F.struct(n.alias("n"), ends.alias("ends"))), choose), F.lit(0))
 
@@ -168,27 +262,42 @@ def identifiers(text: Column, sentences: dict[str, str] | None = None) -> Column
 
 
 def match_rules(ids: Column, rules=None) -> Column:
-    """Licences of an identifier sequence: the rules in turn, each sentence
-    used once.  The sequence is a string of ``<id>`` marks; a rule is a
-    pattern over it."""
+    """Licences of an identifier sequence: the rules of several sentences in
+    turn, each over the whole sequence from left to right, then those of one;
+    each sentence is used once.  The sequence is a string of ``<id>`` marks; a
+    rule is a pattern over it that puts ``<used>`` for its own sentences and
+    leaves those between them."""
+    rules = rules or [*RULES[:-1], *notices()[1], RULES[-1]]
     left = F.concat(F.lit("<"), F.array_join(ids, "><"), F.lit(">"))
     state = F.struct(left.alias("left"), F.array().cast("array<string>").alias("found"))
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(
-        ".*?" if p == "..." else f"(<{re.escape(p)}>)" for p in seq)).alias("pattern"))
-        for name, seq in (rules or RULES)])
+
+    def rule(name, seq):
+        pattern = "".join("(.*?)" if p == "..." else f"<{re.escape(p)}>" for p in seq)
+        gaps = iter(range(1, len(seq) + 1))
+        rest = "".join(f"${next(gaps)}" if p == "..." else "<used>" for p in seq)
+        return F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern"), F.lit(rest).alias("rest"))
+    table = F.array(*[rule(*r) for r in rules if len(r[1]) > 1])
+    one = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f"<{seq[0]}>").alias("mark"))
+                    for name, seq in rules if len(seq) == 1])
+
+    def answer(s):
+        found = F.array_distinct(F.concat(s["found"], F.transform(
+            F.filter(one, lambda r: F.contains(s["left"], r["mark"])), lambda r: r["name"])))
+        return F.when(F.size(found) > 1, F.array_remove(found, RESERVED)).otherwise(found)
     return F.aggregate(
         table, state,
         lambda s, r: F.when(F.rlike(s["left"], r["pattern"]), F.struct(
-            F.regexp_replace(s["left"], r["pattern"], F.lit("<used>")).alias("left"),
+            F.regexp_replace(s["left"], r["pattern"], r["rest"]).alias("left"),
             F.array_append(s["found"], r["name"]).alias("found"))).otherwise(s),
-        lambda s: F.array_distinct(s["found"]))
+        answer)
 
 
 def recognise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``sentence_ids`` and ``licences``."""
-    d = docs.withColumn("sentence_ids", identifiers(F.col(text_col)))
-    return d.withColumn("licences", F.when(F.size("sentence_ids") > 0, match_rules(
-        F.col("sentence_ids"))).otherwise(F.array().cast("array<string>")))
+    """``docs`` with ``sentence_ids`` and ``licences`` (see above for taken names)."""
+    ids, found = fresh_name(docs, "sentence_ids"), fresh_name(docs, "licences")
+    d = docs.withColumn(ids, identifiers(F.col(f"`{text_col}`")))
+    return d.withColumn(found, F.when(F.size(ids) > 0, match_rules(
+        F.col(ids))).otherwise(F.array().cast("array<string>")))
 
 
 def report(docs: DataFrame) -> DataFrame:

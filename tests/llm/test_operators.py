@@ -494,3 +494,63 @@ def test_decontaminate_empty_tables(spark):
     table = docs(spark, ["one two", "x"])
     assert [r.contaminated for r in D.report(table, items.limit(0)).collect()] == [False, False]
     assert D.report(table.limit(0), items).count() == 0 and D.decontaminate(table, items.limit(0)).count() == 2
+
+
+def brute_rules(ids, rules):
+    """Licences of a sequence, rule by rule, each sentence used once."""
+    ids, found = list(ids), []
+    for name, seq in sorted(rules, key=lambda r: len(r[1]) == 1):
+        seq, at = [p for p in seq if p != "..."], 0
+        while True:
+            places = []
+            for p in seq:
+                while at < len(ids) and ids[at] != p:
+                    at += 1
+                if at == len(ids):
+                    break
+                places.append(at)
+                at += 1
+            if len(places) < len(seq):
+                break
+            for k in places:
+                ids[k] = None
+            found.append(name)
+    found = list(dict.fromkeys(found))
+    return [x for x in found if x != "LicenseRef-all-rights-reserved"] if len(found) > 1 else found
+
+
+def test_rules_use_their_own_sentences_only(spark):
+    from quorum.llm import licenses as L
+    rng = random.Random(13)
+    names = sorted({p for _, seq in L.RULES if len(seq) > 1 for p in seq if p != "..."}) + ["lic-mit", "all-rights"]
+    rows = [["bsd-redistribution", "lic-mit", "bsd-source", "bsd-binary"], ["all-rights"], [],
+            ["all-rights", "bsd-redistribution", "bsd-source", "bsd-binary"]]
+    rows += [[rng.choice(names) for _ in range(rng.randint(0, 25))] for _ in range(200)]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, ids array<string>").select(
+        "i", L.match_rules(F.col("ids")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [brute_rules(x, [*L.RULES[:-1], *L.notices()[1], L.RULES[-1]]) for x in rows]
+    assert set(got[0].x) == {"BSD-2-Clause", "MIT"} and got[3].x == ["BSD-2-Clause"]
+
+
+def test_notices_tags_and_titles(spark):
+    from quorum.llm import licenses
+    cases = {
+        "This file is licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "The code in this folder is released under the BSD 3-Clause License.\nx": "BSD-3-Clause",
+        "# SPDX-License-Identifier: MIT\nimport os": "MIT",
+        "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */": "Apache-2.0,MIT",
+        "// SPDX-License-Identifier: GPL-2.0+\n": "GPL-2.0-or-later",
+        "// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only",
+        "                Apache License\n          Version 2.0, January 2004\n  http://www.apache.org/licenses/": "Apache-2.0",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright": "GPL-3.0",
+        "Copyright 2020 X. All rights reserved.\nDistributed under the MIT License.": "MIT",
+        "Copyright 2020 X. All rights reserved.": "LicenseRef-all-rights-reserved",
+        "He said that MIT OR Apache-2.0 AND more": "",
+        "Distributed under the MIT License of old times": "",
+        "SPDX-License-Identifier: Nothing-1.0": "",
+    }
+    table = docs(spark, list(cases)).withColumn("licences", F.lit(1)).withColumn("Sentence_Ids", F.lit(2))
+    got = licenses.recognise(table).orderBy("doc_id").collect()
+    assert [",".join(sorted(r["_licences"])) for r in got] == list(cases.values())
+    assert all((r["licences"], r["Sentence_Ids"]) == (1, 2) for r in got)
+    assert licenses.report(table.limit(0)).count() == 0
