@@ -3,7 +3,12 @@ of ``quorum.llm``, each written and read again before the next.
 
 quality rules -> line dedup -> SimHash near-dedup -> benchmark
 decontamination -> byte-level BPE.  All stages but the last return the
-columns of ``documents`` (``n_chars`` follows the text)."""
+columns of ``documents`` (``n_chars`` follows the text).
+
+Defined results: null and empty texts fail the quality rules and go; repeated
+rows are copies, of which one stays; an empty table gives an empty result;
+columns beside those of ``documents`` pass through all stages but the last,
+whatever their names."""
 
 from __future__ import annotations
 
@@ -43,9 +48,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and digests of the encoded texts."""
-    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN,
-                      digests=True, max_pieces=200_000, max_states=80_000).select("doc_id", "lang", "source", "n_tokens", "ids",
-                                           "ids_sha256", "decoded_sha256")
+    texts = docs.select("doc_id", "lang", "source", "text")      # other columns may have the new ones' names
+    return bpe.encode(texts, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, digests=True,
+                      max_pieces=200_000, max_states=80_000).select(
+        "doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
