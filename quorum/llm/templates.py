@@ -20,7 +20,8 @@ of recurring lines that do and that are the lesser part of their documents.
 
 Defined results: null and empty texts have no lines and stay; lines of fewer
 than ``MIN_TOKENS`` tokens are kept; repeated rows and repeated lines are
-treated alike; other columns stay as they are, whatever their names.
+treated alike; an empty table gives an empty one; very long texts and lines
+are read whole; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ MIN_DOCS = 10
 SIMILARITY = 0.5
 MIN_CONTEXTS = 0.5
 BITMAP_BYTES = 1 << 16
+SALTS = 16
 _FIELD = "<*>"
 
 
@@ -112,17 +114,24 @@ def recurring(rows: DataFrame, rid: str, text_col: str = "text", min_docs: int =
             "line", leaf(F.col("line")).alias("leaf"), F.xxhash64("line").alias("h"))
     held = once.select("rid", "h").distinct().groupBy("h").agg(F.count("*").alias("docs"))
     distinct = saved(texts.join(leaves, "leaf", "left_semi").join(held, "h"), "lines")
-    places = distinct.select("leaf", "h", "docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    # the leading tokens of a reached leaf are constant by its path (unless masked); the others are
+    # counted by place, and met again by (leaf, place, token) in SALTS parts, so that a token of all
+    # lines of a leaf is in no one task
+    tokens = F.transform(F.split("line", " "), lambda t, i: F.struct(i.alias("place"), t.alias("token")))
+    plain = F.filter(tokens, lambda x: ~F.contains(x["token"], F.lit("#")))
+    shapes = distinct.select("leaf", "h", n_tokens(F.col("line")).alias("n"),
+                             F.size(F.filter(plain, lambda x: x["place"] < LEAD)).alias("lead"))
+    places = distinct.select("leaf", "h", "docs", F.explode(F.filter(plain, lambda x: x["place"] >= LEAD)).alias("p")) \
+        .select("leaf", "h", "docs", "p.place", "p.token")
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(
-        (F.col("n") >= min_docs) & ~F.contains(F.col("token"), F.lit("#"))).select("leaf", "place", "token")
-    # per leaf, its constants: at most leaf documents / min_docs of them at each place
-    per_leaf = constant.groupBy("leaf").agg(F.collect_list(
-        F.concat_ws(" ", "place", "token")).alias("constants"))
-    fixed = F.filter(F.transform(F.split("line", " "), lambda t, i: F.concat_ws(" ", i, t)),
-                     lambda x: F.array_contains("constants", x))
-    templates = distinct.join(per_leaf, "leaf").withColumn("fixed", fixed).where(
-        F.size("fixed") >= F.lit(similarity) * n_tokens(F.col("line"))).select(
-        "h", F.xxhash64("leaf", "fixed").alias("template"))
+        F.col("n") >= min_docs).select("leaf", "place", "token")
+    fixed = places.drop("docs").withColumn("salt", F.pmod("h", F.lit(SALTS))).join(
+        constant.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))),
+        ["leaf", "place", "token", "salt"]).groupBy("leaf", "h").agg(
+            F.array_sort(F.collect_list(F.struct("place", "token"))).alias("fixed"))     # of one line
+    templates = shapes.join(fixed, ["leaf", "h"], "left").where(
+        F.col("lead") + F.coalesce(F.size("fixed"), F.lit(0)) >= F.lit(similarity) * F.col("n")).select(
+        "h", F.xxhash64("leaf", F.coalesce("fixed", F.array().cast("array<struct<place:int,token:string>>"))).alias("template"))
     seen = once.join(templates, "h").select("rid", "around", "template")
     n_docs = seen.select("rid", "template").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     n_around = seen.select("around", "template").distinct().groupBy("template").agg(
