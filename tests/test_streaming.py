@@ -310,3 +310,65 @@ assert QUERIES['python_decider'](spark, {SF_SMALL!r}).count() == 1000
     import os
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=300)
+
+
+class _Handle:
+    """The state of one key, with the calls that reach it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_requests_of_a_state_key_share_its_calls():
+    """A read, a write and a timer for a key's requests, however many; each is decided by itself."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import TimerValues
+    from quorum.streaming.collector import START, CollectorProcessor
+    from conftest import T
+    cols = Row("state_key", "guid", *START, "is_start", "answered", "data_model", "latency_ms", "result")
+
+    def rows(*of):
+        return iter([cols(7, g, 1, "cpu", T(1), 1, 2, 100, m is None, m is not None, m, lat, 1) for g, m, lat in of])
+
+    h, p = _Handle(), CollectorProcessor(settle_ms=0, grace_ms=1000)
+    p.init(h)
+
+    def took(came):
+        return sorted((r.guid, r.kind, r.outcome, r.late_model or "", len(r.answers)) for r in came)
+
+    first = [(f"g{i}", None, None) for i in range(50)] + [(f"g{i}", m, 10) for i in range(40) for m in ("a", "b")]
+    got = took(p.handleInputRows((7,), rows(*first, ("x", "a", 5)), TimerValues(0)))
+    assert got == sorted((f"g{i}", "result", "complete", "", 2) for i in range(40))
+    assert h.calls == 3 and h.timers == {100}
+    # an answer to a decided request, one past its deadline, and one that came before
+    assert took(p.handleInputRows((7,), rows(("g0", "c", 20), ("g49", "a", 101)), TimerValues(50))) == [
+        ("g0", "late", "late", "c", 0)]
+    h.timers.remove(100)                                 # Spark removes the timer that came
+    got = took(p.handleExpiredTimer((7,), TimerValues(100), None))
+    assert got == sorted([(f"g{i}", "result", "timeout", "", 0) for i in range(40, 50)] + [("g49", "late", "late", "a", 0)])
+    assert h.timers == {1000}
+    h.timers.remove(1000)
+    assert took(p.handleExpiredTimer((7,), TimerValues(1000), None)) == [("x", "unknown", "unknown", "a", 0)]
+    h.timers.remove(1100)
+    assert took(p.handleExpiredTimer((7,), TimerValues(1100), None)) == [] and h.value is None and not h.timers
