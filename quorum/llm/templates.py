@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import SPACE_PATTERN, block_keys, fresh_name, numbered, saved
+from quorum.llm.common import block_keys, fresh_name, numbered, saved
 
 LEAD = 3
 MIN_TOKENS = 3
@@ -41,9 +41,14 @@ SALTS = 16
 _FIELD = "<*>"
 
 
+def _one_space(text: Column, white: str) -> Column:
+    """``text`` with one space for each run of ``white``; single spaces, as most are, match nothing."""
+    return F.regexp_replace(text, f"[ {white}]{{2,}}|[{white}]", " ")
+
+
 def normal(line: Column) -> Column:
     """A line with one space between tokens and runs of digits as ``#``."""
-    return F.regexp_replace(F.btrim(F.regexp_replace(line, SPACE_PATTERN, " ")), "[0-9]+", "#")
+    return F.regexp_replace(F.btrim(_one_space(line, "\\t-\\r")), "[0-9]+", "#")
 
 
 def n_tokens(norm: Column) -> Column:
@@ -53,13 +58,15 @@ def n_tokens(norm: Column) -> Column:
 
 def leaf(norm: Column) -> Column:
     """The path of a normal line: token count and leading tokens, fields masked."""
-    lead = F.transform(F.split(F.substring_index(norm, " ", LEAD), " "),
-                       lambda t: F.when(F.contains(t, F.lit("#")), F.lit(_FIELD)).otherwise(t))
-    return F.xxhash64(n_tokens(norm), F.array_join(lead, " "))
+    lead = F.substring_index(norm, " ", LEAD)
+    masked = F.when(F.contains(lead, F.lit("#")), F.regexp_replace(lead, "[^ ]*#[^ ]*", _FIELD)).otherwise(lead)
+    return F.xxhash64(n_tokens(norm), masked)
 
 
 def _normal_lines(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal)
+    """:func:`normal` of each line, with one pass over the text for each pattern and none for each line."""
+    whole = F.regexp_replace(_one_space(F.coalesce(text, F.lit("")), "\\t\\x0B-\\r"), "[0-9]+", "#")
+    return F.transform(F.split(whole, "\n"), lambda x: F.btrim(x))
 
 
 def parsed(rows: DataFrame, rid: str, text_col: str, keep: list[str] | None = None) -> DataFrame:

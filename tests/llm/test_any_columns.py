@@ -128,3 +128,19 @@ def test_pipeline_stages(spark, tmp_path):
     docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "empty" / "documents.parquet"))
     spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_lines_are_normal_whichever_way(spark):
+    """The whole text at once gives the lines that each line by itself gives, and their paths."""
+    from pyspark.sql import functions as F
+    from quorum.llm import templates
+    texts = [" a\tb  c 12 3x \r\n\x0b\x0c q\x0b \n\n  \n z 7#y8 9", "", None, "\r\r a \t\t b\r", "x1 2y z3 w\n#", "1\n 2"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    old = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(
+        F.btrim(F.regexp_replace(x, "[ \\t-\\r]+", " ")), "[0-9]+", "#"))
+    rows = df.select(templates._normal_lines(F.col("text")).alias("new"), old.alias("old"))
+    assert rows.where("new <> old").count() == 0
+    masked = F.array_join(F.transform(F.split(F.substring_index("l", " ", 3), " "), lambda t: F.when(
+        F.contains(t, F.lit("#")), F.lit("<*>")).otherwise(t)), " ")
+    lines = rows.select(F.explode("new").alias("l"))
+    assert lines.where(templates.leaf(F.col("l")) != F.xxhash64(templates.n_tokens(F.col("l")), masked)).count() == 0
