@@ -68,16 +68,50 @@ class Merges:
                     self.rank_at.append(-1)
                     self.inner.append(False)
             self.rank_at[node] = r
+        self._halves: dict[int, tuple[int, int]] = {}
+
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge gives ``token``; (-1, -1) for one byte, (-2, -2)
+        where merging its bytes up to its rank leaves no two."""
+        got = self._halves.get(token)
+        if got is None:
+            raw = self.bytes_of[token]
+            parts = [self.rank.get(p) for p in self.merge(raw, token)] if len(raw) > 1 else []
+            got = (-1, -1) if len(raw) == 1 else tuple(parts) if len(parts) == 2 and None not in parts else (-2, -2)
+            self._halves[token] = got
+        return got
+
+    def stays_apart(self, a: int, b: int) -> bool:
+        """Whether tokens a, b are the tokenisation of their bytes: no pair that meets at their
+        border, while they are put together, merges before the parts it is of do.  The
+        parts are taken apart again, the one merged last first (equal ranks: the left first)."""
+        halves, known, bytes_of, rank = self.halves, self._halves, self.bytes_of, self.rank
+        x, y, limit, left = a, b, None, False
+        while True:
+            r = rank.get(bytes_of[x] + bytes_of[y])
+            if r is not None and (limit is None or r < limit or (r == limit and left)):
+                return False
+            x_to = (known.get(x) or halves(x))[1]
+            y_to = (known.get(y) or halves(y))[0]
+            if x_to == -2 or y_to == -2:
+                return self.merge(bytes_of[a] + bytes_of[b]) == [bytes_of[a], bytes_of[b]]
+            if x_to == y_to == -1:
+                return True
+            # undo the later merge; of equal ranks the right one came later
+            if y_to < 0 or (x_to >= 0 and x > y):
+                limit, left, x = x, False, x_to
+            else:
+                limit, left, y = y, True, y_to
 
-    def merge(self, raw: bytes) -> list[bytes]:
-        """Parts of ``raw`` after merging the pair of lowest rank, again and again."""
+    def merge(self, raw: bytes, below: int | None = None) -> list[bytes]:
+        """Parts of ``raw`` after merging the pair of lowest rank (``below`` a rank only), again and again."""
         parts = [raw[i:i + 1] for i in range(len(raw))]
         rank = self.rank
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
+                if r is not None and (best is None or r < best) and (below is None or r < below):
                     best, at = r, i
             if best is None:
                 break
@@ -118,8 +152,7 @@ class Transducer:
         if ok is None:
             if len(self._pairs) > self.max_states:
                 self._pairs.clear()
-            left, right = self.m.bytes_of[a], self.m.bytes_of[b]
-            ok = self._pairs[key] = self.m.merge(left + right) == [left, right]
+            ok = self._pairs[key] = self.m.stays_apart(a, b)
         return ok
 
     def path(self, lasts: tuple, n: int) -> list[int]:
@@ -135,9 +168,9 @@ class Transducer:
         prev, pending, lasts, live = state
         m = self.m
         child, rank_at, inner = m.child, m.rank_at, m.inner
-        last, going = -1, []
+        last, going, high = -1, [], byte << 32
         for s, node in (*live, (len(pending), 0)):
-            node = child.get(byte << 32 | node)
+            node = child.get(high | node)
             if node is None:
                 continue
             if inner[node]:
@@ -153,15 +186,18 @@ class Transducer:
         lasts += (last,)
         if going and not going[0][0]:        # an entry may still begin where the state does
             return (prev, pending, lasts, tuple(going)), ()
-        shared = self.path(lasts, len(pending))      # on the paths to all later boundaries
+        # the paths to all later boundaries are one up to the last end they share
+        size, cut = m.size_of, len(pending)
         for s, _ in going:
-            other = set(self.path(lasts, s))
-            shared = [n for n in shared if n in other]
-            if not shared:
+            while cut != s:
+                if cut > s:
+                    cut -= size[lasts[cut - 1]]
+                else:
+                    s -= size[lasts[s - 1]]
+            if not cut:
                 return (prev, pending, lasts, tuple(going)), ()
-        cut = shared[0]
         return ((lasts[cut - 1], pending[cut:], lasts[cut:], tuple([(s - cut, node) for s, node in going])),
-                tuple([lasts[n - 1] for n in reversed(shared)]))
+                self._tail(lasts[:cut]))
 
     def encode(self, raw: bytes) -> list[int]:
         """Ids of one piece.  With the tables full, steps from states not in

@@ -554,3 +554,18 @@ def test_notices_tags_and_titles(spark):
     assert [",".join(sorted(r["_licences"])) for r in got] == list(cases.values())
     assert all((r["licences"], r["Sentence_Ids"]) == (1, 2) for r in got)
     assert licenses.report(table.limit(0)).count() == 0
+
+
+def test_pairs_are_told_apart_as_by_merging(tmp_path):
+    """``stays_apart`` takes tokens apart again; it says what merging their bytes says."""
+    import base64
+    from quorum.llm.bpe import Merges
+    words = [bytes([i]) for i in range(256)] + [b"ab", b"bc", b"abc", b"aa", b"aaa", b"aaaa", b"ca", b"abca", b"cab", b"xyz"]
+    path = tmp_path / "v.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(w) + b" %d" % i for i, w in enumerate(words)))
+    m = Merges(str(path))
+    of = [ord(c) for c in "abcxyz"] + list(range(256, len(words)))
+    for a in of:
+        for b in of:
+            left, right = words[a], words[b]
+            assert m.stays_apart(a, b) == (m.merge(left + right) == [left, right]), (left, right)
