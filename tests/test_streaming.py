@@ -372,3 +372,93 @@ def test_requests_of_a_state_key_share_its_calls():
     assert took(p.handleExpiredTimer((7,), TimerValues(1000), None)) == [("x", "unknown", "unknown", "a", 0)]
     h.timers.remove(1100)
     assert took(p.handleExpiredTimer((7,), TimerValues(1100), None)) == [] and h.value is None and not h.timers
+
+
+def _packed_rows(spark, rows):
+    """Response rows -> pieces by state key, as the collector's stream packs them."""
+    import pyarrow as pa
+    from quorum.streaming import collector
+    from quorum.streaming.serve_stream import RESPONSES
+    df = spark.createDataFrame(rows, RESPONSES).select(*collector._CAME, (F.coalesce(F.length("guid"), F.lit(0)) % 2).cast("long").alias("state_key"))
+    batches = df.coalesce(1).toArrow().to_batches()
+    return {r["state_key"]: r["rows"] for b in collector.packed(iter(batches)) for r in pa.RecordBatch.to_pylist(b)}
+
+
+def test_a_key_gets_its_rows_as_one_piece(spark):
+    """The rows of a key cross the Python worker as one value each way, and give what the rows by themselves give."""
+    import pyarrow as pa
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import TimerValues
+    from quorum.streaming import collector
+    from quorum.streaming.serve_stream import RESPONSES
+    rows = _answers(("a", True, None, None), ("a", False, "m1", 10), ("a", False, "m2", 30), ("bb", False, "m1", 20),
+                    ("bb", True, None, None), ("bb", False, "m2", 120), ("c", False, "m1", 5), (None, False, "m1", 5),
+                    ("a", False, "m2", 30), ("ee", True, None, None), ("ee", True, None, None), ("f", True, None, None))
+    rows[-1] = rows[-1][:5] + (0,) + rows[-1][6:]        # a type without models
+    rows[6] = rows[6][:1] + (None,) * 6 + rows[6][7:]    # an answer that knows its guid only
+    pieces = _packed_rows(spark, rows)
+    assert set(pieces) == {0, 1}
+    came = [Row(*RESPONSES.fieldNames())(*r) for r in rows]
+
+    def out(processor, plain):
+        got = []
+        for key, piece in pieces.items():
+            h, p = _Handle(), processor(settle_ms=0, grace_ms=1000)
+            p.init(h)
+            mine = [r for r in came if len(r.guid or "") % 2 == key]
+            got += p.handleInputRows((key,), iter(mine if plain else [Row(rows=piece)]), TimerValues(0))
+            for now in (100, 1000, 1100):
+                h.timers.discard(min(h.timers, default=None))
+                got += p.handleExpiredTimer((key,), TimerValues(now), None)
+            assert h.value is None
+        if plain:
+            return [r.asDict(True) for r in got]
+        batch = pa.RecordBatch.from_pylist([{"rows": r.rows} for r in got])
+        return [r for b in collector.unpacked(iter([batch])) for r in b.to_pylist()]
+
+    order = lambda of: sorted(of, key=str)
+    want = out(collector.CollectorProcessor, True)
+    assert order(out(collector.PackedCollector, False)) == order(want)
+    assert sorted((r["guid"] or "", r["kind"], r["outcome"], r["late_model"] or "") for r in want) == [
+        ("", "unknown", "unknown", "m1"), ("a", "result", "complete", ""), ("bb", "late", "late", "m2"), ("bb", "result", "deadline", ""),
+        ("c", "unknown", "unknown", "m1"), ("ee", "result", "timeout", ""), ("f", "result", "no_model", "")]
+
+
+def test_marks_of_decided_requests_are_not_packed_again():
+    """A micro-batch that asks for none of the decided requests leaves their marks as they are; any that it asks
+    for is found, in whatever piece, until its grace is over."""
+    from quorum.streaming.collector import MARK_PIECES, START, CollectorProcessor, _Held
+    from conftest import T
+    h, p = _Handle(), CollectorProcessor(settle_ms=0, grace_ms=1000)
+    p.init(h)
+    start = (1, "cpu", T(1), 1, 1, 100)
+    assert len(start) == len(START)
+    n = 3 * MARK_PIECES
+    for i in range(n):
+        got = p.collect({f"g{i}": start, f"h{i}": start}, {f"g{i}": [(5, "m", 1)], f"h{i}": [(5, "m", 0)]}, i)
+        assert [r.outcome for r in got] == ["complete"] * 2
+        pieces = _Held(h.value[1]).pieces
+        assert len(pieces) <= MARK_PIECES and sum(x.n for x in pieces) == 2 * (i + 1)
+        if i == 2:
+            before = [x.requests for x in pieces[:2]]
+            assert [x.n for x in pieces] == [2, 2, 2]
+        if i == 3:
+            assert [x.requests for x in pieces[:2]] == before
+    # late, each of them, and no start opens one again
+    late = p.collect({"g3": start}, {f"g{i}": [(50, "z", 1)] for i in range(n)}, n)
+    assert sorted(r.guid for r in late) == sorted(f"g{i}" for i in range(n)) and {r.kind for r in late} == {"late"}
+    h.timers.clear()
+    assert p.expire(1000 + 5) == []
+    assert sorted(r[0] for r in _Held(h.value[1]).requests()) == sorted(f"{c}{i}" for c in "gh" for i in range(6, n))
+    assert [r.kind for r in p.collect({}, {"g3": [(50, "z", 1)], "g7": [(50, "z", 1)]}, 1006)] == ["late"]   # g3 is forgotten
+
+
+def test_a_start_lies_beside_its_answers(spark):
+    """A file of the responses has the start rows of all its answers: they do not wait for it in the collector's state."""
+    from quorum.streaming.demo_run import served
+    from quorum.streaming.serve_stream import RESPONSES
+    tables, _ = served(spark, SF_SMALL, "beside", 1, "all")
+    rows = spark.read.schema(RESPONSES).parquet(tables.responses).withColumn("f", F.input_file_name())
+    per = rows.groupBy("guid").agg(F.countDistinct("f").alias("files"), F.count_if("is_start").alias("starts"))
+    assert per.filter("files = 1 AND starts = 1").count() == per.count() == 1000
+    assert rows.filter("answered").count() == _rows(spark, SF_SMALL).filter("answered").count()
